@@ -20,11 +20,11 @@ _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 
-#: Bytes between words: white space, or ASCII without letters and digits.
+#: Bytes between words, before folding: white space, or ASCII without letters and digits.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 PUNCT = np.zeros(256, bool)
-PUNCT[0x00:0x30] = PUNCT[0x3A:0x61] = PUNCT[0x7B:0x80] = True
+PUNCT[0x00:0x30] = PUNCT[0x3A:0x41] = PUNCT[0x5B:0x61] = PUNCT[0x7B:0x80] = True
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:

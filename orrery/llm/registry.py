@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from orrery.llm import decontaminate
 from orrery.llm.near_dedup import op10_near_dedup
 
 QUERIES = {
+    "op5_decontaminate": decontaminate.op5_decontaminate,
     "op10_near_dedup": op10_near_dedup,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_decontaminate": decontaminate.ORACLE,
+}
