@@ -1,9 +1,23 @@
-"""Reading of the corpus tables."""
+"""Reading of the corpus tables, and taking documents out of them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from orrery.session import written
+
+#: Ids that a broadcast may hold; more are joined by a shuffle.
+BROADCAST_IDS = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` whose id is not among ``ids`` (one column); null ids stay."""
+    gone = written(ids.toDF("_gone").where("_gone is not null").distinct(), "dropped")
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
