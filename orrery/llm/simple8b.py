@@ -33,9 +33,9 @@ HEAD = np.dtype([("magic", "S4"), ("frame", "<u4"), ("ids", "<u8"), ("words", "<
 def _selectors(ids: np.ndarray, frame: int) -> np.ndarray:
     """For each place the selector that holds most ids from there on within its frame."""
     n = len(ids)
-    need = np.zeros(n, np.uint8)
-    for w in WIDTH[1:]:
-        need[ids >> np.uint64(w) != 0] = w + 1
+    need = ((ids.astype(np.float64).view(np.int64) >> 52) - 1022).clip(0).astype(np.uint8)  # bits of each id
+    for i in np.flatnonzero(ids >> np.uint64(53)).tolist():  # beyond exact doubles
+        need[i] = int(ids[i]).bit_length()
     left = frame - np.arange(n) % frame
     left = np.minimum(left, n - np.arange(n))
     best = np.full(n, 15, np.uint8)

@@ -16,13 +16,19 @@ from itertools import chain, repeat
 
 import numpy as np
 
-CACHE_PIECES = 400_000
+CACHE_PIECES = 900_000
 #: Unknown pieces encoded as one text.
 JOIN = 500
 #: Begins the key of a piece that has no leading space; other keys leave their space out.
 FIRST = "\0"
 _cut = re.compile(r"(?<=\S) (?=\S)")
-_odd = re.compile(r" \s|\s ")
+
+
+def _even(text: str) -> bool:
+    """Whether all white space is single spaces and line ends, none next to another: then a split at spaces does."""
+    if text[0] in " \n" or text[-1] in " \n" or "  " in text or " \n" in text or "\n " in text:
+        return False
+    return (text.replace("\n", " ") if "\n" in text else text).isprintable()
 
 
 def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -45,6 +51,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.tokenizer.model._resize_cache(0)  # the pieces are kept here
         self.parted = self._separator()
         self._clear()
 
@@ -109,7 +116,7 @@ class Encoder:
                 if FIRST in text:
                     cut = [text]
                 else:
-                    cut = _cut.split(text) if _odd.search(text) else text.split(" ")
+                    cut = text.split(" ") if _even(text) else _cut.split(text)
                 if text[0] == " " and cut[0] == "":
                     cut = cut[1:]
                 else:
