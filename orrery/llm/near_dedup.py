@@ -1,13 +1,13 @@
 """MinHash near-duplicates with odd sketches, confirmed on full shingle sets.
 
 Texts with equal shingle sets are one class and are compared once. MinHash
-samples of each class are banded; in each band bucket every class is first
-compared with one centre only, the class that shares most buckets. Odd sketches
-(parity bitmaps of the samples, compared by the population count of their XOR)
-drop pairs that cannot reach the similarity, and the rest are confirmed on the
-whole shingle sets. What is then still in different components is compared
-within the buckets, so no link that a bucket shows is lost, while a group of
-copies costs about as many comparisons as it has members.
+samples of each class are banded; classes that meet in band buckets, directly or
+through others, form a group. A group is cut into blocks of bounded size, and
+each task compares two blocks: odd sketches (parity bitmaps of the samples,
+compared by the population count of their XOR) drop pairs that cannot reach the
+similarity, and the rest are counted on the whole shingle sets. A task gives back
+only as many links as join what is linked, so no row is made for a pair and no
+link is lost.
 """
 
 from __future__ import annotations
@@ -31,6 +31,12 @@ ROWS_PER_BAND = 4
 MISS = 1e-7
 SKETCH_BITS = 512
 SLICE = 1 << 17  # shingles worked on at once
+#: Shingles and texts of one block of a group; two blocks are compared at a time.
+BLOCK_SHINGLES, BLOCK_TEXTS = 1 << 20, 1024
+#: Blocks of a group beyond which its band buckets are compared one by one.
+MOST_BLOCKS = 24
+#: Places of texts that a broadcast may hold; more are joined by a shuffle.
+BROADCAST_TEXTS = 1_000_000
 
 
 def bands_for(similarity: float, rows: int = ROWS_PER_BAND, miss: float = MISS) -> int:
@@ -104,9 +110,8 @@ def odd_sketches(mins: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, similarity: float, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: id, n, set key (k1, k2), band keys and sketch words; the last three null without shingles."""
+    """One row per row of ``docs``: id, n, set key (k1, k2) and band keys; the last is null without shingles."""
     bands = bands_for(similarity)
-    n_words = SKETCH_BITS // 64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,7 +120,6 @@ def signatures(docs: DataFrame, similarity: float, k: int = 5, id_col: str = "do
             some = np.flatnonzero(n)
             keys = np.zeros((2, len(n)), np.uint64)
             band = pa.nulls(len(n), pa.list_(pa.int64()))
-            sketch = [np.zeros(len(n), np.int64) for _ in range(n_words)]
             if len(some):
                 starts = np.append(begin[some], begin[-1])
                 for i in (0, 1):
@@ -124,55 +128,122 @@ def signatures(docs: DataFrame, similarity: float, k: int = 5, id_col: str = "do
                 lengths = np.zeros(len(n) + 1, np.int32)
                 lengths[some + 1] = bands
                 band = pa.ListArray.from_arrays(pa.array(np.cumsum(lengths, dtype=np.int32)), pa.array(band_keys(mins, bands, ROWS_PER_BAND).view(np.int64).ravel()))
-                for i, col in enumerate(odd_sketches(mins).view(np.int64).T):
-                    sketch[i][some] = col
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), *(pa.array(x.view(np.int64)) for x in keys), band, *map(pa.array, sketch)], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), *(pa.array(x.view(np.int64)) for x in keys), band], names)
 
-    names = ["id", "n", "k1", "k2", "bands", *(f"s{i}" for i in range(n_words))]
-    schema = "id long, n long, k1 long, k2 long, bands array<long>, " + ", ".join(f"s{i} long" for i in range(n_words))
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    names = ["id", "n", "k1", "k2", "bands"]
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, n long, k1 long, k2 long, bands array<long>")
 
 
-def _sets(docs: DataFrame, k: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            g, begin = shingle_sets(batch.column(1), k)
-            sets = [g[a:b].tobytes() for a, b in zip(begin[:-1], begin[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "set"])
-
-    return docs.mapInArrow(run, "id long, set binary")
-
+def _replicated_sets(docs: DataFrame, k: int) -> DataFrame:
+    """``docs`` (id, text, unit, block, blocks) as (unit, lo, hi, id, set): a row for each pair of blocks that the text's block is in."""
 
-def _confirmed(pairs: DataFrame, reps: DataFrame, sets: DataFrame, ratio: Fraction, limit: int) -> DataFrame:
-    """The (a, b) of ``pairs`` whose similarity is ``ratio`` or more."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                g, begin = shingle_sets(batch.column("text"), k)
+                rows: list[tuple] = []
+                for i, (x, placed) in enumerate(zip(batch.column("id").to_pylist(), batch.column("placed").to_pylist())):
+                    own = g[begin[i] : begin[i + 1]].tobytes()
+                    rows += [(p["unit"], min(p["block"], o), max(p["block"], o), x, own) for p in placed for o in range(p["blocks"])]
+                    if len(rows) >= 2000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+                        rows = []
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+
+    names = ["unit", "lo", "hi", "id", "set"]
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+    return docs.select("id", "text", "placed").mapInArrow(run, "unit long, lo int, hi int, id long, set binary")
+
+
+def _near(sets: list[np.ndarray], ratio: Fraction, samples: int, limit: int) -> np.ndarray:
+    """(pairs, 2) places in ``sets`` of similarity ``ratio`` or more: sketches first, then the whole sets."""
+    n = np.array([len(x) for x in sets])
+    begin = np.concatenate([[0], np.cumsum(n)])
+    flat = np.concatenate(sets)
+    sketch = odd_sketches(minhashes(flat, begin, samples))
     num, den = ratio.numerator, ratio.denominator
-    s = [c for c in reps.columns if c[0] == "s" and c[1:].isdigit()]
-    side = lambda x: reps.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), *(F.col(c).alias(f"{c}_{x}") for c in s))
-    apart = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in s[1:]), F.bit_count(F.col(f"{s[0]}_a").bitwiseXOR(F.col(f"{s[0]}_b"))))
-    near = (
-        pairs.join(side("a"), "a")
-        .join(side("b"), "b")
-        .where(apart <= limit)
-        .where(F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num)
-        .select("a", "b", "n_a", "n_b")
-        .distinct()
-    )
-    both = near.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
-    # the sets' own lengths count: an id may stand for several texts
-    both = both.where((F.octet_length("set_a") == 8 * F.col("n_a")) & (F.octet_length("set_b") == 8 * F.col("n_b")))
-    sized = _common_sized(both)
-    return sized.where(F.col("n_common") * den >= (F.col("n_a") + F.col("n_b") - F.col("n_common")) * num).select("a", "b").distinct()
-
+    out = []
+    shared = dense = None
+    for at in range(0, len(sets), 256):
+        to = min(at + 256, len(sets))
+        apart = np.zeros((to - at, len(sets)), np.uint16)
+        for w in range(sketch.shape[1]):
+            apart += np.bitwise_count(sketch[at:to, w, None] ^ sketch[None, :, w])
+        x, y = np.nonzero((apart <= limit) & (np.minimum(n[at:to, None], n[None, :]) * den >= np.maximum(n[at:to, None], n[None, :]) * num))
+        x += at
+        x, y = x[x < y], y[x < y]
+        if not len(x):
+            continue
+        if len(x) <= 4 * (to - at):
+            common = np.array([len(np.intersect1d(sets[p], sets[q], True)) for p, q in zip(x.tolist(), y.tolist())])
+        else:  # many pairs: count common shingles by matrix products over those that two sets hold
+            if shared is None:
+                key, place, times = np.unique(flat, return_inverse=True, return_counts=True)
+                column = np.cumsum(times > 1) - 1
+                row = np.repeat(np.arange(len(sets)), n)
+                keep = times[place] > 1
+                shared = row[keep], column[place][keep]
+                width = int(column[-1]) + 1
+            count = np.zeros((to - at, len(sets)), np.float32)
+            for c in range(0, width, 4096):
+                part = (shared[1] >= c) & (shared[1] < c + 4096)
+                dense = np.zeros((len(sets), min(4096, width - c)), np.float32)
+                dense[shared[0][part], shared[1][part] - c] = 1
+                count += dense[at:to] @ dense.T
+            common = count[x - at, y].astype(np.int64)
+        ok = common * den >= (n[x] + n[y] - common) * num
+        out.append(np.stack([x[ok], y[ok]], 1))
+    return np.concatenate(out) if out else np.empty((0, 2), np.int64)
+
+
+def _links(members: DataFrame, ratio: Fraction, samples: int, limit: int) -> DataFrame:
+    """(a, b) links that join what is linked within each (unit, lo, hi), as few as do it."""
+
+    def linked(rows: list[tuple[int, bytes]]) -> Iterator[tuple[int, int]]:
+        rows = [x for x in dict.fromkeys(rows) if x[1]]
+        if len(rows) < 2:
+            return
+        root = list(range(len(rows)))
+
+        def find(i: int) -> int:
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        for p, q in _near([np.frombuffer(x, np.uint64) for _, x in rows], ratio, samples, limit).tolist():
+            a, b = find(p), find(q)
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                if rows[p][0] != rows[q][0]:
+                    yield rows[p][0], rows[q][0]
 
-def _common_sized(both: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, found = None, [], []
         for batch in batches:
-            x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            n = [len(np.intersect1d(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), True)) for p, q in zip(x, y)]
-            size = lambda v: pa.array([len(p) // 8 for p in v], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), size(x), size(y), pa.array(n, pa.int64())], ["a", "b", "n_a", "n_b", "n_common"])
+            cols = [c.to_pylist() for c in batch.columns]
+            for unit, lo, hi, x, own in zip(*cols):
+                if (unit, lo, hi) != key:
+                    found += linked(held)
+                    key, held = (unit, lo, hi), []
+                held.append((x, own))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["a", "b"])
+                found = []
+        found += linked(held)
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["a", "b"])
+
+    dealt = members.repartition("unit", "lo", "hi").sortWithinPartitions("unit", "lo", "hi", "id")
+    return dealt.mapInArrow(run, "a long, b long")
+
 
-    return both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long, n_a long, n_b long, n_common long")
+def _in_blocks(placed: DataFrame) -> DataFrame:
+    """(unit, id, n) with the block of each member and how many blocks its unit has; a block holds about BLOCK_SHINGLES shingles or BLOCK_TEXTS texts."""
+    size = placed.groupBy("unit").agg(F.ceil(F.greatest(F.sum("n") / BLOCK_SHINGLES, F.count("*") / BLOCK_TEXTS)).cast("int").alias("blocks"))
+    return placed.join(size, "unit").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
 
 
 def near_dedup(docs: DataFrame, similarity: float = 0.8, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -189,39 +260,25 @@ def near_dedup(docs: DataFrame, similarity: float = 0.8, k: int = 5, id_col: str
     ratio = Fraction(str(similarity))
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     sig = written(signatures(src, similarity, k, "id"), "signatures")
-    s = [c for c in sig.columns if c[0] == "s"]
-    first = F.min(F.struct("id", "bands", *s)).alias("r")
+    first = F.min(F.struct("id", "bands")).alias("r")
     reps = written(sig.where("n > 0").groupBy("k1", "k2", "n").agg(first).select("k1", "k2", "n", "r.*"), "classes")
 
-    bands = reps.select("id", F.explode("bands").alias("key"))
-    full = bands.groupBy("key").agg(F.count("*").alias("g")).where("g > 1")
-    live = written(bands.join(full, "key"), "buckets")
-    crowd = live.groupBy("id").agg(F.sum("g").alias("crowd"))
-    sets = written(_sets(src.join(live.select("id").distinct(), "id", "left_semi"), k), "sets")
-
-    centre = live.join(crowd, "id").groupBy("key").agg(F.max(F.struct("crowd", (-F.col("id")).alias("neg"))).alias("c")).select("key", (-F.col("c.neg")).alias("b"))
-    spokes = live.join(centre, "key").where("id <> b").groupBy(F.col("id").alias("a"), "b").agg(F.count("*").alias("shared"))
-    spokes = written(spokes, "spokes")
-    best = spokes.groupBy("a").agg(F.max(F.struct("shared", (-F.col("b")).alias("neg"))).alias("m")).select("a", (-F.col("m.neg")).alias("b"))
-    limit = sketch_limit(similarity, bands_for(similarity) * ROWS_PER_BAND)
-
-    links = written(_confirmed(best, reps, sets, ratio, limit), "links")
-    comp = connected_components(links)
-    at = lambda df, x: df.join(comp.select(F.col("node").alias(x), F.col("component").alias(f"comp_{x}")), x, "left").withColumn(f"comp_{x}", F.coalesce(f"comp_{x}", x))
-
-    # The other centres, then all that buckets still show across components.
-    rest = spokes.join(best, ["a", "b"], "left_anti").select("a", "b")
-    more = _confirmed(at(at(rest, "a"), "b").where("comp_a <> comp_b").select("a", "b"), reps, sets, ratio, limit)
-    links = written(links.union(more), "links")
-    comp = connected_components(links)
-    placed = at(live.select("key", F.col("id").alias("a")), "a")
-    open_keys = placed.groupBy("key").agg(F.min("comp_a").alias("lo"), F.max("comp_a").alias("hi")).where("lo < hi").select("key")
-    placed = written(placed.join(open_keys, "key", "left_semi"), "open")
-    other = placed.select("key", F.col("a").alias("b"), F.col("comp_a").alias("comp_b"))
-    across = placed.join(other, "key").where("a < b and comp_a <> comp_b").select("a", "b").distinct()
-    tried = spokes.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = _confirmed(across.join(tried, ["a", "b"], "left_anti"), reps, sets, ratio, limit)
-    links = written(links.union(more), "links")
+    bands = reps.select("id", "n", F.explode("bands").alias("key"))
+    full = bands.groupBy("key").agg(F.count("*").alias("g"), F.min("id").alias("least")).where("g > 1")
+    live = written(bands.join(full, "key").select("key", "id", "n", "least"), "buckets")
+    met = connected_components(live.select(F.col("id").alias("a"), F.col("least").alias("b")))
+    group = live.select("id", "n").distinct().join(met, F.col("id") == F.col("node"), "left")
+    grouped = written(_in_blocks(group.select(F.coalesce("component", "id").alias("unit"), "id", "n")), "groups")
+    # A group of too many blocks is compared bucket by bucket instead.
+    giant = grouped.where(F.col("blocks") > MOST_BLOCKS).select("id").distinct()
+    by_bucket = _in_blocks(live.join(giant, "id", "left_semi").select(F.xxhash64("key", F.lit("bucket")).alias("unit"), "id", "n"))
+    places = grouped.where(F.col("blocks") <= MOST_BLOCKS).select("unit", "id", "block", "blocks").union(by_bucket.select("unit", "id", "block", "blocks"))
+    places = written(places.groupBy("id").agg(F.collect_set(F.struct("unit", "block", "blocks")).alias("placed")), "places")
+    if places.count() <= BROADCAST_TEXTS:
+        places = F.broadcast(places)
+    members = _replicated_sets(src.join(places, "id"), k)
+    samples = bands_for(similarity) * ROWS_PER_BAND
+    links = written(_links(members, ratio, samples, sketch_limit(similarity, samples)), "links")
     # rows that share an id tie their classes together
     twice = sig.where("n > 0").join(reps.select("k1", "k2", "n", F.col("id").alias("rep")), ["k1", "k2", "n"])
     comp = connected_components(links.union(twice.where("id <> rep").join(reps.select("id"), "id", "left_semi").select("id", "rep")))
