@@ -114,13 +114,16 @@ def decode(payload: bytes, frames: tuple[int, int] | None = None) -> np.ndarray:
         sel, where = sel[keep], np.cumsum(keep)[escape] - 1
         words = words[keep]
     count = COUNT[sel]
-    ends = np.cumsum(count)
-    word = np.repeat(np.arange(len(words)), count)
-    shift = (np.arange(int(count.sum())) - (ends - count)[word]) * WIDTH[sel][word]
-    mask = np.array([(1 << min(int(w), 60)) - 1 for w in WIDTH], np.uint64)[sel][word]
-    out = (words[word] >> (shift % 64).astype(np.uint64)) & mask
+    begin = np.cumsum(count) - count
+    out = np.zeros(int(count.sum()), np.uint64)
+    for s in np.unique(sel):
+        if c := int(COUNT[s]) if WIDTH[s] and s else 0:
+            at, w = np.flatnonzero(sel == s), np.uint64(WIDTH[s])
+            part, mask, to = words[at], np.uint64((1 << int(WIDTH[s])) - 1), begin[at]
+            for j in range(c):
+                out[to + j] = (part >> np.uint64(j * int(w))) & mask
     if len(maybe):
-        out[(ends - count)[where]] = raw
+        out[begin[where]] = raw
     return out[:n]
 
 

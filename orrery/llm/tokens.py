@@ -57,22 +57,29 @@ class Encoder:
 
     def _clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.size = np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.uint32)
-        self.begin = np.zeros(1, np.int64)
-        self.hits = np.zeros(0, np.int64)
+        self.size = np.zeros(1 << 12, np.int64)  # these grow by doubling; `known` says how much is in use
+        self.begin = np.zeros(1 << 12, np.int64)
+        self.hits = np.zeros(1 << 12, np.int64)
+        self.flat = np.zeros(1 << 14, np.uint32)
+        self.used = 0
 
     def _add(self, pieces: list[str], size: np.ndarray, flat: np.ndarray) -> None:
-        self.known.update(zip(pieces, range(len(self.known), len(self.known) + len(pieces))))
-        self.size = np.concatenate([self.size, size])
-        self.flat = np.concatenate([self.flat, flat])
-        self.begin = np.concatenate([[0], np.cumsum(self.size)])
-        self.hits = np.concatenate([self.hits, np.zeros(len(pieces), np.int64)])
+        n, m = len(self.known), len(self.known) + len(pieces)
+        if m > len(self.size):
+            more = max(m, 2 * len(self.size))
+            self.size, self.begin, self.hits = (np.concatenate([x, np.zeros(more - len(x), np.int64)]) for x in (self.size, self.begin, self.hits))
+        if self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(self.used + len(flat), 2 * len(self.flat)) - len(self.flat), np.uint32)])
+        self.known.update(zip(pieces, range(n, m)))
+        self.size[n:m], self.begin[n:m] = size, self.used + np.cumsum(size) - size
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
 
     def _shrink(self) -> None:
         """Forgets pieces that were met once; if many are left, all but those met most."""
-        least = max(2, int(np.partition(self.hits, -CACHE_PIECES // 2)[-CACHE_PIECES // 2]) + 1)
-        keep = np.flatnonzero(self.hits >= least)
+        hits = self.hits[: len(self.known)]
+        least = max(2, int(np.partition(hits, -CACHE_PIECES // 2)[-CACHE_PIECES // 2]) + 1)
+        keep = np.flatnonzero(hits >= least)
         names, size, begin, flat = list(self.known), self.size[keep], self.begin[keep], self.flat
         self._clear()
         self._add([names[i] for i in keep.tolist()], size, flat[_ranges(begin, size)])
@@ -131,7 +138,7 @@ class Encoder:
             new = [rows[i] for i in missed]
             self._learn(list(dict.fromkeys(new)))
             at[missed] = [self.known[x] for x in new]
-        self.hits += np.bincount(at, minlength=len(self.hits))
+        np.add.at(self.hits, at, 1)
         n = self.size[at]
         ids = self.flat[_ranges(self.begin[at], n)]
         piece_ends = np.concatenate([[0], np.cumsum(n)])
