@@ -33,7 +33,7 @@ from orrery.llm.tables import table
 from orrery.session import written
 
 #: Words with a class of their own, and words whose counts every task holds.
-CLASSES, FREQUENT = 1000, 1 << 18
+CLASSES, FREQUENT = 1000, 1 << 17
 BURN_IN, SWEEPS = 4, 8
 DISCOUNT, STRENGTH = 0.75, 5.0
 #: The hash that stands for the end of a text.
@@ -66,6 +66,8 @@ class Seats:
     """
 
     GRID = 64
+    #: Large blocks worked on at once.
+    CHUNK = 4096
 
     def __init__(self, c: np.ndarray, discount: float, small: int = 120):
         self.d = discount
@@ -77,7 +79,10 @@ class Seats:
         self.large = np.flatnonzero(c > small)
         self.c = c[self.large].astype(float)
         half = np.arange(1, self.GRID) + 0.5
-        self.grid = self._log_phi(np.repeat(self.c, len(half)), np.tile(half, len(self.c))).reshape(len(self.c), len(half)) - np.log(half)
+        self.grid = np.empty((len(self.c), len(half)), np.float32)
+        for at in range(0, len(self.c), self.CHUNK):
+            c = self.c[at : at + self.CHUNK]
+            self.grid[at : at + self.CHUNK] = self._log_phi(np.repeat(c, len(half)), np.tile(half, len(c))).reshape(len(c), len(half)) - np.log(half)
 
     def _phi(self, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """phi and z phi' / phi of phi(z) = (1 - (1 - z)^d) / d, whose powers generate the weights."""
@@ -103,33 +108,34 @@ class Seats:
     def draw(self, a: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> np.ndarray:
         t = np.ones(self.n)
         for c, which, weights in self.groups:
-            step = max(1, (1 << 21) // c)
+            step = max(1, (1 << 19) // c)
             for at in range(0, len(which), step):
                 k = which[at : at + step]
                 w = weights + np.cumsum(np.log(a[k, None] + self.d * p[k, None] * np.arange(c)), axis=1)
                 w = np.cumsum(np.exp(w - w.max(axis=1, keepdims=True)), axis=1)
                 t[k] = 1 + (w < rng.random(len(k))[:, None] * w[:, -1:]).sum(axis=1)
-        k, c = self.large, self.c
-        if len(k):
-            a, p = a[k], p[k]
-
-            def above(z):
-                phi, h = self._phi(z)
-                return phi * (a + self.d * p * c / h) > c / h
-
-            above.size = len(k)
-            mode = c / self._phi(self._solve(above))[1]
-            i = np.arange(1, self.GRID)
-            w = np.cumsum(np.concatenate([np.zeros((len(k), 1)), self.grid + np.log(a[:, None] + self.d * p[:, None] * i)], axis=1), axis=1)
-            w = np.cumsum(np.exp(w - w.max(axis=1, keepdims=True)), axis=1)
-            few = 1.0 + (w < rng.random(len(k))[:, None] * w[:, -1:]).sum(axis=1)
-            slope = lambda m: self._log_phi(c, m) - np.log(m) + np.log(a + self.d * p * m)
-            m = np.maximum(mode, 2.0)
-            var = 0.02 * m / np.maximum(slope(0.99 * m) - slope(1.01 * m), 1e-9)
-            many = np.clip(np.round(mode + np.sqrt(var) * rng.standard_normal(len(k))), 1, c)
-            t[k] = np.where(mode < 0.5 * self.GRID, few, many)
+        for at in range(0, len(self.large), self.CHUNK):
+            k, c, grid = self.large[at : at + self.CHUNK], self.c[at : at + self.CHUNK], self.grid[at : at + self.CHUNK]
+            t[k] = self._draw_large(c, grid, a[k], p[k], rng)
         return t
 
+    def _draw_large(self, c: np.ndarray, grid: np.ndarray, a: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+        def above(z):
+            phi, h = self._phi(z)
+            return phi * (a + self.d * p * c / h) > c / h
+
+        above.size = len(c)
+        mode = c / self._phi(self._solve(above))[1]
+        i = np.arange(1, self.GRID)
+        w = np.cumsum(np.concatenate([np.zeros((len(c), 1)), grid + np.log(a[:, None] + self.d * p[:, None] * i)], axis=1), axis=1)
+        w = np.cumsum(np.exp(w - w.max(axis=1, keepdims=True)), axis=1)
+        few = 1.0 + (w < rng.random(len(c))[:, None] * w[:, -1:]).sum(axis=1)
+        slope = lambda m: self._log_phi(c, m) - np.log(m) + np.log(a + self.d * p * m)
+        m = np.maximum(mode, 2.0)
+        var = 0.02 * m / np.maximum(slope(0.99 * m) - slope(1.01 * m), 1e-9)
+        many = np.clip(np.round(mode + np.sqrt(var) * rng.standard_normal(len(c))), 1, c)
+        return np.where(mode < 0.5 * self.GRID, few, many)
+
 
 class Restaurants:
     """Seating of class pairs (u, w) with their counts."""
@@ -218,6 +224,25 @@ def _summed(docs: DataFrame, keys, name: str) -> DataFrame:
     return docs.select("text").mapInArrow(run, f"{name} long, c long").groupBy(name).agg(F.sum("c").alias("c"))
 
 
+def _most_frequent(words: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and counts of the words from some count on, at most ``most``, by falling count, then hash.
+
+    The count is a step of a fine scale, so no sort of all words is needed.
+    """
+    step = F.floor(F.log2("c") * 64)
+    steps = sorted(words.groupBy(step.alias("s")).count().collect(), reverse=True)  # at most 64 * 63 rows
+    least, n = None, 0
+    for x in steps:
+        n += x["count"]
+        if n > most:
+            break
+        least = x["s"]
+    got = words.where(step >= least).toArrow() if least is not None else words.limit(0).toArrow()
+    w, c = got["w"].to_numpy().view(np.uint64), got["c"].to_numpy()
+    order = np.lexsort((w, -c))
+    return w[order], c[order]
+
+
 def _places(h: np.ndarray, keys: np.ndarray, order: np.ndarray) -> np.ndarray:
     """For each hash its place in ``order``, or -1; keys ascend."""
     if not len(keys):
@@ -242,9 +267,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", class
     words = written(_summed(train, lambda x: _tokens(x)[0], "w"), "words")
     n_all, v_all = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
 
-    top = words.orderBy(F.desc("c"), "w").limit(frequent).collect()  # a bounded table
-    top_w = np.array([x.w for x in top], np.int64).view(np.uint64)
-    top_c = np.array([x.c for x in top], np.int64)
+    top_w, top_c = _most_frequent(words, frequent)
     by_hash = np.argsort(top_w)
     own = top_w[by_hash[by_hash < classes]], by_hash[by_hash < classes]  # hash and class, in order of the hash
     size, other, begin = classes + 2, classes, classes + 1  # the begin of a text is a context, never a dish
@@ -262,18 +285,18 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", class
         u, w = pairs(*_tokens(x), own_b.value)
         return (u * size + w).astype(np.uint64)
 
-    seen = _summed(train, pair_keys, "k").toPandas()  # at most size * size rows
-    k = seen["k"].to_numpy(np.int64)
+    seen = _summed(train, pair_keys, "k").toArrow()  # at most size * size rows
+    k = seen["k"].to_numpy()
     order = np.argsort(k)
-    k, c = k[order], seen["c"].to_numpy(np.int64)[order]
+    k, c = k[order], seen["c"].to_numpy()[order]
     chance = averaged(k // size, k % size, c, size, seed=seed)
     chance[:, begin] = 0
     chance /= chance.sum(axis=1, keepdims=True)
 
     # Words of the shared class: a Pitman-Yor root whose new tables are all unseen words.
-    rare = words.orderBy(F.desc("c"), "w").limit(classes).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    rare = int(top_c[:classes].sum())
     ones, twos = words.agg(F.count(F.when(F.col("c") == 1, 1)), F.count(F.when(F.col("c") == 2, 1))).first()
-    rare_n, rare_v = n_all - rare, max(0, v_all - classes)
+    rare_n, rare_v = n_all - rare, v_all - min(classes, len(top_c))
     d0 = min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones else 0.5
     unseen = (1.0 + d0 * rare_v) / (1.0 + rare_n)
     base_of = lambda c: np.log10((c + 1) / (n_all + v_all + 1))
@@ -313,7 +336,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", class
     names = ["row", "id", "held_out", "w", "n", "known", "base", "total"]
     parts = src.select("id", "text", "held_out").mapInArrow(run, "row long, id long, held_out boolean, w long, n long, known long, base double, total double")
     parts = written(parts, "scores")
-    rest = words.select("w", "c") if v_all > frequent else words.where("false").select("w", "c")
+    rest = words.select("w", "c")
     found = parts.where("w is not null").select("row", "w", "n").join(rest, "w", "left")
     c = F.coalesce("c", F.lit(0))
     sums = found.groupBy("row").agg(
