@@ -46,7 +46,8 @@ def _selectors(ids: np.ndarray, frame: int) -> np.ndarray:
         while have < c:
             step = min(have, c - have)
             wider = most.copy()
-            wider[: n - step] = np.maximum(most[: n - step], most[step:])
+            rest = max(0, n - step)
+            wider[:rest] = np.maximum(most[:rest], most[step:])
             most, have = wider, have + step
         best[(most <= w) & (left >= c)] = s
     return best
