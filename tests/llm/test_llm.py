@@ -185,6 +185,7 @@ def test_secret_scan_keeps_base_spans_and_adds_formats(spark):
     pick = lambda a, n: "".join(rng.choice(list(a), n))
     hexa = "0123456789abcdef"
     texts = list(ODD) + [f"some ordinary words here token = \"{pick(hexa, 40)}\" and more" for _ in range(60)]
+    texts += [" ".join(pick("etaoinshrdlu", int(n)) for n in rng.integers(6, 14, 20)) for _ in range(30)]
     texts += [f"é {pick(hexa, 31)} AKIA{pick('ABCDEFGH2345', 16)} password:short PassWD=longenough1"]
     texts += [f"lone {pick(hexa, 30)} here", "averyverylongordinarywordwithoutdigits here", "token=password=abcdefghijk ſecret=notthis1234"]
     got = {r.id: r for r in secrets.scan(frame(spark, texts)).collect()}
