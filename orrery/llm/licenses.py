@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.llm.tables import table
+from orrery.session import written
 
 #: Short notices by SPDX identifier, as their licences ask to have them shown.
 TEMPLATES = {
@@ -34,16 +35,15 @@ def _terms(text: str) -> Column:
 
 
 def cosines(texts: DataFrame, templates: DataFrame) -> DataFrame:
-    """``(unit, license, cosine)`` of the best template of each distinct ``unit`` text (columns unit, n: how often it occurs).
+    """``(unit, license, cosine)`` of the best template of each distinct text (columns unit: its key, line: the text, n: how often it occurs).
 
     Document frequencies count all occurrences. Ties go to the first licence by name.
     """
-    counted = texts.select("unit", "n", F.explode(_terms("unit")).alias("term")).groupBy("unit", "n", "term").agg(F.count("*").alias("tf"))
+    counted = texts.select("unit", "n", F.explode(_terms("line")).alias("term")).groupBy("unit", "n", "term").agg(F.count("*").alias("tf"))
     df = counted.groupBy("term").agg(F.sum("n").alias("df"))
-    total = texts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
-    idf = df.select("term", (F.log((F.lit(total.first()[0]) + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
+    top = F.lit(1.0 + texts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    idf = df.select("term", (F.log(top / (F.col("df") + 1.0)) + 1.0).alias("idf"))
     t = templates.select("license", "line", F.explode(_terms("line")).alias("term")).groupBy("license", "line", "term").agg(F.count("*").alias("tf"))
-    top = F.lit(float(1 + total.first()[0]))
     t = t.join(idf, "term", "left").select("license", "line", "term", (F.col("tf") * F.coalesce("idf", F.log(top) + 1.0)).alias("w"))
     length = t.groupBy("license", "line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
     t = t.join(length, ["license", "line"]).select("license", "line", "term", (F.col("w") / F.col("length")).alias("w"))
@@ -70,14 +70,16 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_c
     tidy = lambda x: F.trim(F.regexp_replace(F.lower(x), r"\s+", " "))
     lines = F.transform(F.filter(F.split("text", "\n"), lambda x: x.rlike(HEADER)), tidy)
     units = F.when(is_file & F.col("text").rlike(HEADER), F.array_append(lines, tidy(F.col("text")))).otherwise(lines)
-    known = src.select("doc_id", "path", is_file.alias("is_file"), units.alias("units"), F.size(lines).cast("long").alias("n_headers"))
-    each = known.select(F.explode("units").alias("unit")).groupBy("unit").agg(F.count("*").alias("n"))
+    known = written(src.select("doc_id", "path", is_file.alias("is_file"), units.alias("units"), F.size(lines).cast("long").alias("n_headers")), "headers")
+    each = known.select(F.explode("units").alias("line")).groupBy(F.md5("line").alias("unit")).agg(F.min("line").alias("line"), F.count("*").alias("n"))
+    each = written(each, "units")
     templates = spark.createDataFrame(TEMPLATE_LINES, "license string, line string")
-    scored = cosines(each, templates).where(F.col("cosine") >= least)
-    hits = known.where(F.size("units") > 0).select("doc_id", "path", F.explode("units").alias("unit")).join(scored, "unit")
+    scored = written(cosines(each, templates).where(F.col("cosine") >= least), "cosines")
+    hits = known.where(F.size("units") > 0).select("doc_id", "path", F.explode(F.transform("units", lambda x: F.md5(x))).alias("unit")).join(scored, "unit")
     own = hits.groupBy("doc_id", "path").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("b"))
     own = own.select("doc_id", F.coalesce("path", F.lit("")).alias("key"), F.col("b.license").alias("own_license"), (-F.col("b.c")).alias("own_cosine"))
     folder = F.when(F.col("path").contains("/"), F.regexp_extract("path", r"^(.*)/[^/]*$", 1)).when(F.col("path").isNotNull(), F.lit(""))
+    own = written(own, "licenses")
     full = known.select("doc_id", "n_headers", "is_file", F.coalesce("path", F.lit("")).alias("key"), folder.alias("dir")).join(own, ["doc_id", "key"], "left")
     said = full.where("is_file and own_license is not null").groupBy("dir").agg(F.min(F.struct("key", "doc_id", "own_license")).alias("f")).select(F.col("dir").alias("above"), F.col("f.own_license").alias("dir_license"))
     parts = F.split("dir", "/")
