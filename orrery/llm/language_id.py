@@ -10,7 +10,6 @@ words of a bounded, hash-chosen sample of labelled training texts.
 from __future__ import annotations
 
 import re
-import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -27,7 +26,7 @@ SAMPLE_TEXTS, SAMPLE_WORDS = 800, 20_000
 LONGEST_PIECE = 12
 EM_ROUNDS = 3
 UNKNOWN = 1e-9
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 UND = "und"
 _word = re.compile(r"[^\W\d_]+")
 
@@ -130,12 +129,12 @@ def _training(docs: DataFrame) -> dict[str, dict[str, int]]:
 
 
 class Scorer:
-    """Log probabilities by word, kept for a worker's life."""
+    """Log probabilities by word, each found once."""
 
     def __init__(self, langs: list[str], prob: np.ndarray, vocab: dict[str, int]):
         self.langs, self.prob, self.vocab = langs, prob, vocab
         self.known: dict[str, int] = {}
-        self.rows = np.zeros((0, len(langs)))
+        self.rows = np.zeros((0, len(langs)), np.float32)
         self.letters = np.zeros(0, bool)
 
     def _rows(self, words: list[str]) -> np.ndarray:
@@ -167,7 +166,7 @@ class Scorer:
         if missed:
             new = list(dict.fromkeys(rows[i] for i in missed))
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
-            self.rows = np.concatenate([self.rows, self._rows(new)])
+            self.rows = np.concatenate([self.rows, self._rows(new).astype(np.float32)])
             self.letters = np.concatenate([self.letters, np.array([any(map(str.isalpha, x)) for x in new])])
             at[missed] = [self.known[rows[i]] for i in missed]
         doc = np.repeat(np.arange(len(texts)), n)
@@ -176,9 +175,6 @@ class Scorer:
         return total, np.bincount(doc[real], minlength=len(texts))
 
 
-_scorers: dict[str, Scorer] = {}
-
-
 def identify(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``docs`` with ``held_out``, ``lang_pred`` and ``score`` after its columns (earlier columns of these names go).
 
@@ -191,15 +187,11 @@ def identify(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
     vocab = vocabulary(model_path)
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     model = docs.sparkSession.sparkContext.broadcast((*fit(_training(src), vocab), vocab))
-    key = uuid.uuid4().hex
     kept = docs.drop("held_out", "lang_pred", "score")
     at = kept.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _scorers:
-            _scorers.clear()
-            _scorers[key] = Scorer(*model.value)
-        scorer = _scorers[key]
+        scorer = Scorer(*model.value)  # for the task: workers are used again by other stages
         for whole in batches:
             for i in range(0, whole.num_rows, 500):
                 batch = whole.slice(i, 500)

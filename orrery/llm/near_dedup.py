@@ -114,7 +114,7 @@ def signatures(docs: DataFrame, similarity: float, k: int = 5, id_col: str = "do
     bands = bands_for(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, 1000) for whole in batches for at in range(0, whole.num_rows, 1000)):
             g, begin = shingle_sets(batch.column(1), k)
             n = np.diff(begin)
             some = np.flatnonzero(n)
