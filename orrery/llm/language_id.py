@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from orrery.llm.resident import only
 from orrery.llm.tables import table
 
 #: Training texts and words by language that the model is fitted on, at most about.
@@ -191,6 +192,7 @@ def identify(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
     at = kept.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("language_id")
         scorer = Scorer(*model.value)  # for the task: workers are used again by other stages
         for whole in batches:
             for i in range(0, whole.num_rows, 500):

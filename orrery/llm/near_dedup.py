@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.llm import bytewords as B
+from orrery.llm.resident import only
 from orrery.llm.tables import table
 from orrery.operators.graph import connected_components
 from orrery.session import written
@@ -114,6 +115,7 @@ def signatures(docs: DataFrame, similarity: float, k: int = 5, id_col: str = "do
     bands = bands_for(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("near_dedup")
         for batch in (whole.slice(at, 1000) for whole in batches for at in range(0, whole.num_rows, 1000)):
             g, begin = shingle_sets(batch.column(1), k)
             n = np.diff(begin)

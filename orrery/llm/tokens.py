@@ -16,6 +16,8 @@ from itertools import chain, repeat
 
 import numpy as np
 
+from orrery.llm.resident import only
+
 CACHE_PIECES = 900_000
 #: Unknown pieces encoded as one text.
 JOIN = 500
@@ -145,13 +147,9 @@ class Encoder:
         return ids, piece_ends[np.concatenate([[0], np.cumsum(counts)])]
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    """The worker's encoder of a file; it is let go when another operator's task runs in the worker."""
+    return only(path, lambda: Encoder(path))
 
 
 def with_end(ids: np.ndarray, begin: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
