@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.llm import bytewords as B
+from orrery.llm.resident import only
 from orrery.llm.tables import table
 from orrery.session import written
 
@@ -170,6 +171,7 @@ def _pass(docs: DataFrame, index: Broadcast, last: bool) -> DataFrame:
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("decontaminate")
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 yield one(batch.slice(at, 2000))

@@ -10,6 +10,7 @@ words of a bounded, hash-chosen sample of labelled training texts.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -27,7 +28,7 @@ SAMPLE_TEXTS, SAMPLE_WORDS = 800, 20_000
 LONGEST_PIECE = 12
 EM_ROUNDS = 3
 UNKNOWN = 1e-9
-CACHE_WORDS = 300_000
+CACHE_WORDS = 400_000
 UND = "und"
 _word = re.compile(r"[^\W\d_]+")
 
@@ -188,12 +189,12 @@ def identify(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
     vocab = vocabulary(model_path)
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     model = docs.sparkSession.sparkContext.broadcast((*fit(_training(src), vocab), vocab))
+    key = uuid.uuid4().hex
     kept = docs.drop("held_out", "lang_pred", "score")
     at = kept.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        only("language_id")
-        scorer = Scorer(*model.value)  # for the task: workers are used again by other stages
+        scorer = only(key, lambda: Scorer(*model.value))
         for whole in batches:
             for i in range(0, whole.num_rows, 500):
                 batch = whole.slice(i, 500)
