@@ -24,6 +24,10 @@ JOIN = 500
 #: Begins the key of a piece that has no leading space; other keys leave their space out.
 FIRST = "\0"
 _cut = re.compile(r"(?<=\S) (?=\S)")
+_word = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+"
+_marks = r"[!-&(-/:-@\[-`{-~]+"
+#: A word and its marks, or two words with a line end between: both files part words from marks and line ends.
+_parts = re.compile(f"({_word})(?:({_marks})|((?:{_marks})?\n)({_word})({_marks})?)")
 
 
 def _even(text: str) -> bool:
@@ -39,9 +43,9 @@ def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(int(size.sum())) + np.repeat(begin - (ends - size), size)
 
 
-def _plain(key: str) -> bool:
-    """Whether a piece is visible characters after one space, and so may be parted from others by white space."""
-    return bool(key) and " " not in key and key.isprintable()
+def _plain(piece: str) -> bool:
+    """Whether a piece, less its leading space, is visible characters, and so may be parted from others by white space."""
+    return bool(piece) and " " not in piece and piece.isprintable()
 
 
 class Encoder:
@@ -96,25 +100,61 @@ class Encoder:
         return None
 
     def _learn(self, keys: list[str]) -> None:
-        """Many pieces are encoded as one text, parted by a token that none of them holds."""
-        plain = [x for x in keys if _plain(x)] if self.parted else []
-        rest = [x for x in keys if not _plain(x)] if self.parted else keys
+        """Adds unknown pieces; words and marks of compound ones are encoded apart, and once each."""
+        if not self.parted:
+            return self._encode_new([], keys)
+        words = [x for x in keys if x.isalpha()]
+        made, parts, many, others = [], [], [], []
+        for x in keys:
+            if x.isalpha():
+                continue
+            m = _parts.fullmatch(x)
+            if m is None:
+                others.append(x)
+                continue
+            word, marks, between, second, after = m.groups()
+            n = len(parts)
+            parts.append(word)
+            parts += [FIRST + y for y in ((marks,) if marks else (between, second, after) if after else (between, second))]
+            made.append(x)
+            many.append(len(parts) - n)
+        new = [x for x in dict.fromkeys(parts) if x not in self.known]
+        words = list(dict.fromkeys(chain(words, (x for x in new if x.isalpha()))))
+        others = list(dict.fromkeys(chain(others, (x for x in new if not x.isalpha()))))
+        if words or others:
+            self._encode_new(words, others)
+        if made:
+            at = np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
+            n = self.size[at]
+            self._add(made, np.add.reduceat(n, np.cumsum(many) - many), self.flat[_ranges(self.begin[at], n)])
+
+    def _encode_new(self, words: list[str], others: list[str]) -> None:
+        """Many pieces are encoded as one text, parted by a token that none of them holds; ``words`` are all letters."""
+        spaced, first, rest = words, [], []
+        for x in others:
+            if not (self.parted and _plain(x[1:] if x[:1] == FIRST else x)):
+                rest.append(x)
+            elif x[:1] == FIRST:
+                first.append(x)
+            else:
+                spaced.append(x)
         sizes, flats = [], []
-        if plain:
+        if spaced or first:
             sep, mark = self.parted
-            groups = [" " + (sep + " ").join(plain[i : i + JOIN]) for i in range(0, len(plain), JOIN)]
+            groups = [" " + (sep + " ").join(spaced[i : i + JOIN]) for i in range(0, len(spaced), JOIN)]
+            groups += [sep.join(x[1:] for x in first[i : i + JOIN]) for i in range(0, len(first), JOIN)]
             for x in self.tokenizer.encode_batch_fast(groups, add_special_tokens=False):
                 ids = np.array(x.ids, np.uint32)
                 at = np.flatnonzero(ids == mark)
                 sizes.append(np.diff(np.concatenate([[-1], at, [len(ids)]])) - 1)
                 flats.append(np.delete(ids, at))
-            if sum(map(len, sizes)) != len(plain):
+            if sum(map(len, sizes)) != len(spaced) + len(first):
                 raise ValueError("a piece holds the separator")
         if rest:
             got = [x.ids for x in self.tokenizer.encode_batch_fast([x[1:] if x[:1] == FIRST else " " + x for x in rest], add_special_tokens=False)]
             sizes.append(np.fromiter(map(len, got), np.int64, len(got)))
             flats.append(np.fromiter(chain.from_iterable(got), np.uint32, int(sizes[-1].sum())))
-        self._add(plain + rest, np.concatenate(sizes), np.concatenate(flats))
+        self._add(spaced + first + rest, np.concatenate(sizes), np.concatenate(flats))
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and where each text's begin (n + 1 values)."""

@@ -116,7 +116,7 @@ def test_decontamination_marks_every_word_of_every_window(spark):
 def test_cached_ids_are_the_tokenizers(name):
     e = tokens.Encoder(public_tokenizers.path(name))
     rng = np.random.default_rng(0)
-    texts = list(ODD) + [" a", "a  b", "a \n b", "it's 'x  y", "x \x1c y", "\0a \0", " ", "\n"] + ["".join(rng.choice(list(" \n\tabA1.,'é\x1c\0́"), int(rng.integers(1, 14)))) for _ in range(500)]
+    texts = list(ODD) + [" a", "a  b", "a \n b", "it's 'x  y", "x \x1c y", "\0a \0", " ", "\n", "ab, ab ab.\nAb ab.\nAb, \u00e9l!!", "x.\nY y\nz y\n\nz a_b\nc' d.\n'e \u0130. \u0130.\na a.\u0301 e.\n\u0301", "<|endoftext|> a<|endoftext|>"] + ["".join(rng.choice(list(" \n\tabA1.,'é\x1c\0́"), int(rng.integers(1, 14)))) for _ in range(500)]
     ids, begin = e.encode(texts)
     want = [x.ids for x in e.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
     assert [ids[a:b].tolist() for a, b in zip(begin, begin[1:])] == want
