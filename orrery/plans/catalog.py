@@ -12,6 +12,8 @@ from orrery.operators import annotations as ann
 from orrery.operators import answers, profile, sampling, similarity, splitting
 from orrery.operators.graph import connected_components
 from orrery.plans.views import V_BOXES, V_HASH, V_QAS, V_RECORDS, boxes, hashes, qas, records, table
+from orrery.sources import coco, files, yolo
+from orrery.streaming import dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -391,4 +393,54 @@ def dataset_diff(spark, d):
     return j.select("doc_id", F.expr("case when b is null then 'only_a' when a is null then 'only_b' else 'changed' end").alias("what"))
 
 
+@query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_partkey = l_partkey AND p_partkey % 10 <> 0)")
+def coco_fk_check(spark, d):
+    parts = table(spark, d, "part").where("p_partkey % 10 <> 0")
+    return coco.orphans(table(spark, d, "lineitem"), parts, {"l_partkey": "p_partkey"}).select("l_orderkey", "l_linenumber", "l_partkey")
+
+
+@query(f"WITH {V_QAS}, k AS (SELECT conv_id * 1000 + turn AS k, question, answer FROM v_qas) SELECT q.k, q.question, a.answer, p.answer AS predicted FROM k q LEFT JOIN (SELECT * FROM k WHERE k % 3 <> 0) a ON a.k = q.k LEFT JOIN (SELECT * FROM k WHERE k % 2 = 0) p ON p.k = q.k")
+def vqa_three_way_join(spark, d):
+    k = qas(spark, d).withColumn("k", F.col("conv_id") * 1000 + F.col("turn"))
+    predicted = k.where("k % 2 = 0").select("k", F.col("answer").alias("predicted"))
+    return files.vqa_items(k.select("k", "question"), k.where("k % 3 <> 0").select("k", "answer"), predicted, "k")
+
+
+@query("""WITH r AS (SELECT doc_id, lang, CASE WHEN doc_id % 2 = 1 THEN 0 ELSE 1 END AS src FROM documents),
+  f AS (SELECT lang, min(src * 1000000000000 + doc_id) AS met FROM r WHERE lang IS NOT NULL GROUP BY lang),
+  v AS (SELECT lang, row_number() OVER (ORDER BY met) - 1 AS cls FROM f)
+  SELECT doc_id, r.lang, src, cls FROM r LEFT JOIN v ON r.lang = v.lang""")
+def multi_source_union(spark, d):
+    t = table(spark, d, "documents").select("doc_id", "lang")
+    return files.union_sources([t.where("doc_id % 2 = 1"), t.where("doc_id % 2 = 0")], "lang", "doc_id")[0].select("doc_id", "lang", "src", "cls")
+
+
+@query(f"WITH {V_BOXES} SELECT CAST(image AS VARCHAR) AS image, row_number() OVER (PARTITION BY image ORDER BY ann) AS ann, CASE label WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS cls, CAST(x1 AS BIGINT) AS x1, CAST(y1 AS BIGINT) AS y1, CAST(w AS BIGINT) AS w, CAST(h AS BIGINT) AS h FROM v_boxes")
+def yolo_round_trip(spark, d):
+    """Boxes written as label lines and read from them again."""
+    share = lambda c: F.col(c) / 1000
+    rows = boxes(spark, d).select(
+        F.col("image").cast("string").alias("path"), "ann", F.lit("det").alias("kind"), F.expr("case label when 'A' then 0 when 'N' then 1 else 2 end").alias("cls"),
+        (share("x1") + share("w") / 2).alias("cx"), (share("y1") + share("h") / 2).alias("cy"), share("w").alias("w"), share("h").alias("h"), F.array().cast("array<double>").alias("points"),
+    )
+    back = yolo.annotations(yolo.parsed(yolo.to_lines(rows)), "det")
+    px = lambda c: F.round(c * 1000).cast("long")
+    return back.select(F.col("path").alias("image"), "ann", "cls", px(F.col("cx") - F.col("w") / 2).alias("x1"), px(F.col("cy") - F.col("h") / 2).alias("y1"), px(F.col("w")).alias("w"), px(F.col("h")).alias("h"))
+
+
+@query()
+def shard_plan(spark, d):
+    return files.shard_plan(table(spark, d, "documents"), "doc_id", "n_chars", 1000, 1_000_000)
+
+
+@query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def event_counts(spark, d):
+    return dedup.counts(table(spark, d, "events"), "ts", "1 day", ["event_type"])
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def events_incremental_dedup(spark, d):
+    return dedup.first_by_key(table(spark, d, "events").select("user_id", "event_type", "ts"), ["user_id", "event_type"], "ts").drop("ts")
+
+
 FLAGSHIP = structure
