@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions import keys
 from orrery.operators import annotations as ann
-from orrery.operators import answers, profile, sampling, similarity, splitting
+from orrery.operators import answers, geometry, profile, sampling, similarity, splitting, statistics
 from orrery.operators.graph import connected_components
 from orrery.plans.views import V_BOXES, V_HASH, V_QAS, V_RECORDS, boxes, hashes, qas, records, table
 from orrery.sources import coco, files, yolo
@@ -443,4 +443,43 @@ def events_incremental_dedup(spark, d):
     return dedup.first_by_key(table(spark, d, "events").select("user_id", "event_type", "ts"), ["user_id", "event_type"], "ts").drop("ts")
 
 
+@query(f"""WITH {V_BOXES}, c AS (SELECT image, ann, CAST(greatest(0, floor(x1 - 0.25 * w)) AS BIGINT) AS l, CAST(greatest(0, floor(y1 - 0.25 * h)) AS BIGINT) AS t,
+  CAST(least(800, ceil(x1 + w + 0.25 * w)) AS BIGINT) AS r, CAST(least(800, ceil(y1 + h + 0.25 * h)) AS BIGINT) AS b FROM v_boxes)
+  SELECT image, ann, l AS "left", t AS top, r AS "right", b AS bottom FROM c WHERE r > l AND b > t""")
+def crop_rects(spark, d):
+    c = boxes(spark, d).select("image", "ann", geometry.crop(F.col("x1"), F.col("y1"), F.col("w"), F.col("h"), F.lit(800), F.lit(800), 0.25).alias("c"))
+    return c.where("c is not null").select("image", "ann", "c.*")
+
+
+@query(f"""WITH {V_BOXES}, s AS (SELECT image, ann, w, h, least(224 / w, 160 / h) AS f FROM v_boxes),
+  n AS (SELECT image, ann, CAST(greatest(1, floor(w * f + 0.5)) AS BIGINT) AS nw, CAST(greatest(1, floor(h * f + 0.5)) AS BIGINT) AS nh FROM s)
+  SELECT image, ann, nw AS w, nh AS h, CAST(floor((224 - nw) / 2) AS BIGINT) AS pad_x, CAST(floor((160 - nh) / 2) AS BIGINT) AS pad_y FROM n""")
+def letterbox_math(spark, d):
+    return boxes(spark, d).select("image", "ann", geometry.letterbox(F.col("w"), F.col("h"), 224, 160).alias("c")).select("image", "ann", "c.w", "c.h", "c.pad_x", "c.pad_y")
+
+
+@query(f"WITH {V_BOXES} SELECT label, count(*) AS n, CAST(sum(CASE kind WHEN 'det' THEN 1 ELSE 0 END) AS BIGINT) AS det, CAST(sum(CASE kind WHEN 'seg' THEN 1 ELSE 0 END) AS BIGINT) AS seg, CAST(0 AS BIGINT) AS pose, round(min(score), 6) AS score_min, round(avg(score), 6) AS score_mean, round(max(score), 6) AS score_max FROM v_boxes GROUP BY label")
+def label_stats(spark, d):
+    return statistics.label_stats(boxes(spark, d))
+
+
+@query("SELECT count(*) AS images, count(k) AS annotated, count(*) - count(k) AS empty FROM part LEFT JOIN (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_quantity > 45) ON k = p_partkey")
+def image_stats(spark, d):
+    busy = table(spark, d, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey"))
+    return statistics.image_stats(table(spark, d, "part"), busy, "p_partkey")
+
+
+@query("""WITH r AS (SELECT CASE WHEN quality = 1 THEN 1 ELSE 0 END AS q, CASE WHEN toxic = 1 THEN 1 ELSE 0 END AS t FROM labels),
+  c AS (SELECT 'good' AS class, q + t AS k FROM r WHERE q = 1 UNION ALL SELECT 'toxic', q + t FROM r WHERE t = 1 UNION ALL SELECT 'unlabeled', 0 FROM r WHERE q + t = 0)
+  SELECT class, count(*) AS n, count(*) FILTER (WHERE k > 1) AS multi FROM c GROUP BY class""")
+def classify_stats(spark, d):
+    c = F.array_compact(F.array(F.when(F.col("quality") == 1, F.lit("good")), F.when(F.col("toxic") == 1, F.lit("toxic"))))
+    return statistics.class_stats(table(spark, d, "labels").select(c.alias("classes")), "classes")
+
+
+@query(f"WITH {V_QAS} SELECT turn, count(*) AS questions, count(*) FILTER (WHERE trim(answer) <> '') AS answered, count(DISTINCT conv_id) AS conv_ids FROM v_qas GROUP BY turn")
+def vlm_stats(spark, d):
+    return statistics.question_stats(qas(spark, d), "answer", "turn", "conv_id")
+
+
 FLAGSHIP = structure

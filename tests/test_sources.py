@@ -3,8 +3,10 @@ import json
 import tarfile
 
 import pytest
+from pyspark.sql import functions as F
 
-from orrery.sources import coco, files, labelme, yolo
+from orrery.operators import geometry
+from orrery.sources import coco, files, labelme, sinks, yolo
 from orrery.streaming import dedup
 
 
@@ -150,3 +152,42 @@ def test_streams_agree_with_tables(spark, tmp_path):
     assert ran(dedup.first_by_key(stream, ["k"], "ts", "1 day"), "firsts", "append").count() == 20
     got = {(r.start, r.n) for r in ran(dedup.counts(stream, "ts", "1 hour", [], "1 day"), "counted", "complete").collect()}
     assert got == {(r.start, r.n) for r in dedup.counts(rows, "ts", "1 hour", []).collect()}
+
+
+def test_files_are_written_once(spark, tmp_path):
+    to = f"file://{tmp_path}/out"
+    rows = spark.createDataFrame([("a/1.txt", "x"), ("2.txt", None)], "path string, text string")
+    assert sinks.write_files(rows, to) == 2
+    assert (tmp_path / "out/a/1.txt").read_text() == "x" and (tmp_path / "out/2.txt").read_text() == ""
+    with pytest.raises(FileExistsError):
+        sinks.write_files(rows, to)
+    assert sinks.write_files(rows.where("path = '2.txt'"), to, overwrite=True) == 1
+    assert not (tmp_path / "out/a").exists()
+    with pytest.raises(ValueError, match="twice"):
+        sinks.write_files(rows.union(rows), to, overwrite=True)
+    with pytest.raises(Exception, match="not below"):
+        sinks.write_files(spark.createDataFrame([("../x", "")], "path string, text string"), to, overwrite=True)
+
+
+def test_tar_shards_round_trip(spark, tmp_path):
+    samples = spark.range(50).selectExpr("lpad(cast(id as string), 3, '0') as key", "'jpg' as ending", "cast(cast(id as string) as binary) as image", "to_json(struct(id)) as json")
+    assert sinks.write_shards(samples, f"file://{tmp_path}/t", most_rows=9) >= 6
+    back = files.read_shards(spark, f"file://{tmp_path}/t")
+    assert {(r.key, bytes(r.image), r.json) for r in back.collect()} == {(r.key, bytes(r.image), r.json) for r in samples.collect()}
+
+
+def test_geometry(spark):
+    d = spark.range(1).select(
+        geometry.crop(*(F.lit(x) for x in (-5.0, 2.5, 10.0, 4.0, 8, 6))).alias("cut"),
+        geometry.crop(*(F.lit(x) for x in (20.0, 2.0, 3.0, 3.0, 8, 6))).alias("outside"),
+        geometry.letterbox(F.lit(100.0), F.lit(50.0), 64, 64).alias("fit"),
+        geometry.box_of_keypoints(F.expr("array(0.1D, 0.2D, 2D, 0.9D, 0.9D, 0D, 0.3D, 0.2D, 1D)"), 0.5).alias("seen"),
+        geometry.box_of_keypoints(F.expr("array(0.1D, 0.2D, 0D)")).alias("unseen"),
+        geometry.polygon_area(F.expr("array(0D, 0D, 4D, 0D, 4D, 3D)")).alias("area"),
+        geometry.polygon_area(F.expr("array(0D, 0D)")).alias("none"),
+    )
+    r = d.first()
+    assert tuple(r.cut) == (0, 2, 5, 6) and r.outside is None and r.unseen is None
+    assert tuple(r.fit) == (0.64, 64, 32, 0, 16)
+    assert [round(x, 9) for x in r.seen] == [0.2, 0.2, 0.4, 2e-6]
+    assert (r.area, r.none) == (6.0, 0.0)
