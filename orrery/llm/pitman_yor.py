@@ -1,21 +1,24 @@
 """Language-model scoring by a hierarchical Pitman-Yor model.
 
-Contexts are previous words; every context restaurant shares one parent. The
-restaurants serve word classes: each of the most frequent training words is a
-class of its own, all others are one class, whose words are then served by a
-Pitman-Yor root over the whole vocabulary with a base that is new every time, so
-unseen words as one outcome get its new-table mass. Probabilities over all known
-words and the unseen one sum to one.
-
-Counts come from all training texts: word counts by a distributed sum, class
-pairs likewise. There are at most (classes + 2) squared pairs, whatever the
-corpus, so seating is sampled on the driver: each sweep of the Gibbs sampler
-draws the tables of every (context, dish) block, all its customers at once, from
-their conditional distribution given all other seats. Its cost does not grow
-with customers. Predictive probabilities are averaged over sweeps.
-
-Scoring looks up frequent words in a table of bounded size, in place; only words
-outside it are shuffled, to be joined with their counts.
+Contexts are previous words, all of them; every context restaurant shares one
+parent over the whole vocabulary. The parent's base is new every time, so each
+of its tables has a word of its own: a word seen in training has one table
+there, and its customers are the word's tables in all contexts. Unseen words as
+one outcome get the parent's new-table mass. Probabilities over all known words
+and the unseen one sum to one.
+
+Counts of (context, word) pairs come from all training texts by a distributed
+sum and stay in distributed tables, as do the totals of contexts and words. Each
+sweep of the Gibbs sampler draws the tables of every (context, word) block, all
+its customers at once, from their conditional distribution given all other seats
+of the sweep before; blocks are drawn in parallel tasks, and their tables summed
+by context and by word in between. A block of one customer has one table and is
+never drawn. Cost does not grow with customers. Draws follow from the pair and
+the sweep, so a task that runs again draws the same. Tables of a block, a
+context and a word are averaged over sweeps, and predictive terms made of these.
+
+Scoring looks up frequent pairs in a table of bounded size, in place; only
+others are shuffled, to be joined with their terms.
 """
 
 from __future__ import annotations
@@ -32,14 +35,14 @@ from orrery.llm import bytewords as B
 from orrery.llm.tables import table
 from orrery.session import written
 
-#: Words with a class of their own, and words whose counts every task holds.
-CLASSES, FREQUENT = 1000, 1 << 17
+#: Pairs whose terms every task holds.
+FREQUENT = 1 << 17
 BURN_IN, SWEEPS = 4, 8
 DISCOUNT, STRENGTH = 0.75, 5.0
-#: The hash that stands for the end of a text.
+#: The hash that stands for the end of a text as a word, and for its begin as a context.
 END = np.uint64(0x5851F42D4C957F2D)
-#: Distinct words or pairs a task holds before it passes counts on.
-FLUSH = 1 << 20
+#: Distinct pairs a task holds before it passes counts on, and blocks it draws at once.
+FLUSH, DRAWN = 1 << 20, 1 << 17
 
 
 def log_seatings(n: int, discount: float) -> np.ndarray:
@@ -79,9 +82,10 @@ class Seats:
         self.large = np.flatnonzero(c > small)
         self.c = c[self.large].astype(float)
         half = np.arange(1, self.GRID) + 0.5
-        self.grid = np.empty((len(self.c), len(half)), np.float32)
-        for at in range(0, len(self.c), self.CHUNK):
-            c = self.c[at : at + self.CHUNK]
+        kinds, self.kind = np.unique(self.c, return_inverse=True)
+        self.grid = np.empty((len(kinds), len(half)), np.float32)
+        for at in range(0, len(kinds), self.CHUNK):
+            c = kinds[at : at + self.CHUNK]
             self.grid[at : at + self.CHUNK] = self._log_phi(np.repeat(c, len(half)), np.tile(half, len(c))).reshape(len(c), len(half)) - np.log(half)
 
     def _phi(self, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -105,7 +109,9 @@ class Seats:
         above.size = len(c)
         return np.log(self._phi(self._solve(above))[0])
 
-    def draw(self, a: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    def draw(self, a: np.ndarray, p: np.ndarray, rng: np.random.Generator | tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """``rng`` may be two uniform variates for each block instead."""
+        x, y = (rng.random(self.n), rng.random(self.n)) if isinstance(rng, np.random.Generator) else rng
         t = np.ones(self.n)
         for c, which, weights in self.groups:
             step = max(1, (1 << 19) // c)
@@ -113,13 +119,13 @@ class Seats:
                 k = which[at : at + step]
                 w = weights + np.cumsum(np.log(a[k, None] + self.d * p[k, None] * np.arange(c)), axis=1)
                 w = np.cumsum(np.exp(w - w.max(axis=1, keepdims=True)), axis=1)
-                t[k] = 1 + (w < rng.random(len(k))[:, None] * w[:, -1:]).sum(axis=1)
+                t[k] = 1 + (w < x[k, None] * w[:, -1:]).sum(axis=1)
         for at in range(0, len(self.large), self.CHUNK):
-            k, c, grid = self.large[at : at + self.CHUNK], self.c[at : at + self.CHUNK], self.grid[at : at + self.CHUNK]
-            t[k] = self._draw_large(c, grid, a[k], p[k], rng)
+            k, c, grid = self.large[at : at + self.CHUNK], self.c[at : at + self.CHUNK], self.grid[self.kind[at : at + self.CHUNK]]
+            t[k] = self._draw_large(c, grid, a[k], p[k], x[k], y[k])
         return t
 
-    def _draw_large(self, c: np.ndarray, grid: np.ndarray, a: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    def _draw_large(self, c: np.ndarray, grid: np.ndarray, a: np.ndarray, p: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         def above(z):
             phi, h = self._phi(z)
             return phi * (a + self.d * p * c / h) > c / h
@@ -129,16 +135,16 @@ class Seats:
         i = np.arange(1, self.GRID)
         w = np.cumsum(np.concatenate([np.zeros((len(c), 1)), grid + np.log(a[:, None] + self.d * p[:, None] * i)], axis=1), axis=1)
         w = np.cumsum(np.exp(w - w.max(axis=1, keepdims=True)), axis=1)
-        few = 1.0 + (w < rng.random(len(c))[:, None] * w[:, -1:]).sum(axis=1)
+        few = 1.0 + (w < x[:, None] * w[:, -1:]).sum(axis=1)
         slope = lambda m: self._log_phi(c, m) - np.log(m) + np.log(a + self.d * p * m)
         m = np.maximum(mode, 2.0)
         var = 0.02 * m / np.maximum(slope(0.99 * m) - slope(1.01 * m), 1e-9)
-        many = np.clip(np.round(mode + np.sqrt(var) * rng.standard_normal(len(c))), 1, c)
+        many = np.clip(np.round(mode + np.sqrt(-2 * var * np.log1p(-x)) * np.cos(2 * np.pi * y)), 1, c)
         return np.where(mode < 0.5 * self.GRID, few, many)
 
 
 class Restaurants:
-    """Seating of class pairs (u, w) with their counts."""
+    """Seating of numbered pairs (u, w) with their counts in one task, with a uniform base."""
 
     def __init__(self, u: np.ndarray, w: np.ndarray, c: np.ndarray, size: int, discount: float = DISCOUNT, strength: float = STRENGTH, seed: int = 0):
         self.u, self.w, self.c, self.size = u, w, c.astype(float), size
@@ -193,22 +199,34 @@ def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(h, first[1:], END), first + np.arange(len(first))
 
 
-def _counts(chunks: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    key, at = np.unique(np.concatenate([x for x, _ in chunks]), return_inverse=True)
-    return key, np.bincount(at, np.concatenate([y for _, y in chunks])).astype(np.int64)
+def _pairs(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Context and pair hash of each token."""
+    u = np.empty_like(h)
+    u[1:] = h[:-1]
+    u[first[:-1]] = END
+    return u, B.mix(B.mix(u, 1) + h, 2)
 
 
-def _summed(docs: DataFrame, keys, name: str) -> DataFrame:
-    """Counts of ``keys(texts)`` over all rows, added up in each task first."""
+def _counts(chunks: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    k, u, w, c = (np.concatenate(x) for x in zip(*chunks))
+    k, at, which = np.unique(k, return_index=True, return_inverse=True)
+    return k, u[at], w[at], np.bincount(which, c, minlength=len(k)).astype(np.int64)
+
+
+def pair_counts(src: DataFrame) -> DataFrame:
+    """``(u, w, c)``: customers from training texts of every (context, word) pair of ``src``; 0 where only held-out texts have it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         n = fresh = 0
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
-                k, c = np.unique(keys(whole.column(0).slice(at, 1000)), return_counts=True)
-                held.append((k, c))
-                fresh += len(k)
+                batch = whole.slice(at, 1000)
+                h, first = _tokens(batch.column(0))
+                u, k = _pairs(h, first)
+                train = ~batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+                held.append(_counts([(k, u, h, np.repeat(train, np.diff(first)).astype(np.int64))]))
+                fresh += len(held[-1][0])
                 if fresh > n + FLUSH:
                     held = [_counts(held)]
                     n = fresh = len(held[0][0])
@@ -218,40 +236,110 @@ def _summed(docs: DataFrame, keys, name: str) -> DataFrame:
         if held:
             yield out(*_counts(held))
 
-    def out(k: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(k.astype(np.uint64).view(np.int64)), pa.array(c)], [name, "c"])
+    def out(k: np.ndarray, u: np.ndarray, w: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(w.view(np.int64)), pa.array(c)], ["u", "w", "c"])
+
+    return src.select("text", "held_out").mapInArrow(run, "u long, w long, c long").groupBy("u", "w").agg(F.sum("c").alias("c"))
+
 
-    return docs.select("text").mapInArrow(run, f"{name} long, c long").groupBy(name).agg(F.sum("c").alias("c"))
+def _sweep(state: DataFrame, root: float, seed: int, keep: bool) -> DataFrame:
+    """``state`` with every block reseated given all other seats; ``root`` is the parent's customers and strength."""
+    by_u = state.groupBy("u").agg(F.sum("t").alias("at"))
+    by_w = state.groupBy("w").agg(F.sum("t").alias("bt"))
+    p = (F.col("sw") + F.col("bt") - DISCOUNT) / root
+    a = (STRENGTH + DISCOUNT * (F.col("su") + F.col("at") - F.col("t"))) * p
+    given = state.join(by_u, "u").join(by_w, "w").select("u", "w", "c", "su", "sw", "sum", a.alias("a"), p.alias("p"))
+
+    def drawn(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        u, w, c, _, _, total, a, p = (x.to_numpy() for x in rows.columns)
+        k = B.mix(B.mix(u.view(np.uint64), 1) + w.view(np.uint64), 3 + seed)
+        uniform = lambda x: (x >> np.uint64(11)) * 2.0**-53
+        t = Seats(c, DISCOUNT).draw(a, p, (uniform(k), uniform(B.mix(k, 4)))).astype(np.int64)
+        out = pa.table([*rows.columns[:5], pa.array(total + keep * t), pa.array(t)], names=["u", "w", "c", "su", "sw", "sum", "t"])
+        yield from out.to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= DRAWN:
+                yield from drawn(pa.Table.from_batches(held))
+                held, n = [], 0
+        if n:
+            yield from drawn(pa.Table.from_batches(held))
 
+    return given.mapInArrow(run, "u long, w long, c long, su long, sw long, sum long, t long")
 
-def _most_frequent(words: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and counts of the words from some count on, at most ``most``, by falling count, then hash.
 
-    The count is a step of a fine scale, so no sort of all words is needed.
+def _drop(df: DataFrame) -> None:
+    """Deletes the files of a table that ``written`` wrote and nothing reads again."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    for folder in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
+def terms(src: DataFrame, burn_in: int = BURN_IN, sweeps: int = SWEEPS, seed: int = 0) -> tuple[DataFrame, int, int]:
+    """``(u, w, c, cw, lp)`` of every (context, word) pair of ``src``, training tokens and known words.
+
+    ``c`` is the training count of the pair, ``cw`` of the word; ``lp`` the log10
+    probability of the word in the context.
+    """
+    pairs = written(pair_counts(src), "pairs")
+    one = F.count(F.when(F.col("c") == 1, 1))
+    words = written(pairs.groupBy("w").agg(F.sum("c").alias("cw"), one.alias("sw")).where("cw > 0"), "words")
+    contexts = written(pairs.groupBy("u").agg(F.sum("c").alias("cu"), one.alias("su")).where("cu > 0"), "contexts")
+    n_all, v_all, ones = words.agg(F.coalesce(F.sum("cw"), F.lit(0)), F.count("*"), F.coalesce(F.sum("sw"), F.lit(0))).first()
+    tables = lambda x: x.agg(F.coalesce(F.sum("t"), F.lit(0))).first()[0]
+
+    # blocks of one customer have one table; all others are drawn
+    many = pairs.where("c > 1").join(contexts.select("u", "su"), "u").join(words.select("w", "sw"), "w")
+    state = written(many.select("u", "w", "c", "su", "sw", F.lit(0).cast("long").alias("sum"), F.lit(1).cast("long").alias("t")), "seats")
+    for i in range(burn_in + sweeps):
+        last, state = state, written(_sweep(state, STRENGTH + ones + tables(state), seed * 1000 + i, i >= burn_in), "seats")
+        _drop(last)
+
+    mean = F.sum("sum") / float(sweeps)
+    root = STRENGTH + ones + state.agg(F.coalesce(mean, F.lit(0.0))).first()[0]
+    seats_u = F.col("su") + F.coalesce("tu", F.lit(0.0))
+    by_u = contexts.join(state.groupBy("u").agg(mean.alias("tu")), "u", "left").select("u", (F.col("cu") + STRENGTH).alias("size"), (STRENGTH + DISCOUNT * seats_u).alias("back"))
+    by_w = words.join(state.groupBy("w").agg(mean.alias("tw")), "w", "left").select("w", "cw", ((F.col("sw") + F.coalesce("tw", F.lit(0.0)) - DISCOUNT) / root).alias("p"))
+    every = state.select("u", "w", "c", (F.col("sum") / float(sweeps)).alias("t")).unionAll(pairs.where("c < 2").select("u", "w", "c", F.col("c").cast("double").alias("t")))
+    p = F.coalesce("p", F.lit((STRENGTH + DISCOUNT * v_all) / root))
+    chance = F.when(F.col("size").isNull(), p).otherwise((F.col("c") - DISCOUNT * F.col("t") + F.col("back") * p) / F.col("size"))
+    out = every.join(by_u, "u", "left").join(by_w, "w", "left").select("u", "w", "c", F.coalesce("cw", F.lit(0)).cast("long").alias("cw"), F.log10(chance).cast("float").alias("lp"))
+    out = written(out, "terms")
+    for x in (pairs, words, contexts, state):
+        _drop(x)
+    return out, int(n_all), int(v_all)
+
+
+def _most_frequent(df: DataFrame, most: int) -> DataFrame:
+    """The rows of ``df`` from some count ``c`` on, at most ``most``.
+
+    The count is a step of a fine scale, so no sort of all rows is needed.
     """
     step = F.floor(F.log2("c") * 64)
-    steps = sorted(words.groupBy(step.alias("s")).count().collect(), reverse=True)  # at most 64 * 63 rows
+    steps = sorted(df.where("c > 0").groupBy(step.alias("s")).count().collect(), reverse=True)  # at most 64 * 63 rows
     least, n = None, 0
     for x in steps:
         n += x["count"]
         if n > most:
             break
         least = x["s"]
-    got = words.where(step >= least).toArrow() if least is not None else words.limit(0).toArrow()
-    w, c = got["w"].to_numpy().view(np.uint64), got["c"].to_numpy()
-    order = np.lexsort((w, -c))
-    return w[order], c[order]
+    return df.where((F.col("c") > 0) & (step >= least)) if least is not None else df.limit(0)
 
 
-def _places(h: np.ndarray, keys: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """For each hash its place in ``order``, or -1; keys ascend."""
+def _places(h: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """For each hash its place in ``keys``, or -1; keys ascend."""
     if not len(keys):
         return np.full(len(h), -1)
     at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-    return np.where(keys[at] == h, order[at], -1)
+    return np.where(keys[at] == h, at, -1)
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes: int = CLASSES, frequent: int = FREQUENT, seed: int = 0) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes: int | None = None, frequent: int = FREQUENT, seed: int = 0) -> DataFrame:
     """``(id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` for every row of ``docs``.
 
     Learns from rows whose crc32(id as text) mod 7 is not 2. Tokens are words
@@ -259,95 +347,65 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", class
     add-one unigrams, ``score`` the model's log10 probability. Null and empty
     texts are the end alone. Repeated rows each count and give a row each. With
     no training rows every token is unknown; an empty table gives no rows.
+    ``classes`` has no effect: every word is a context and a dish of its own.
     """
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     src = src.withColumn("held_out", F.expr("coalesce(crc32(cast(id as string)) % 7 = 2, false)"))
-    train = src.where("not held_out")
-    words = written(_summed(train, lambda x: _tokens(x)[0], "w"), "words")
-    n_all, v_all = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-
-    top_w, top_c = _most_frequent(words, frequent)
-    by_hash = np.argsort(top_w)
-    own = top_w[by_hash[by_hash < classes]], by_hash[by_hash < classes]  # hash and class, in order of the hash
-    size, other, begin = classes + 2, classes, classes + 1  # the begin of a text is a context, never a dish
-    own_b = spark.sparkContext.broadcast(own)
-
-    def pairs(h: np.ndarray, first: np.ndarray, own: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        w = _places(h, *own)
-        w[w < 0] = other
-        u = np.empty_like(w)
-        u[1:] = w[:-1]
-        u[first[:-1]] = begin
-        return u, w
-
-    def pair_keys(x: pa.Array) -> np.ndarray:
-        u, w = pairs(*_tokens(x), own_b.value)
-        return (u * size + w).astype(np.uint64)
-
-    seen = _summed(train, pair_keys, "k").toArrow()  # at most size * size rows
-    k = seen["k"].to_numpy()
-    order = np.argsort(k)
-    k, c = k[order], seen["c"].to_numpy()[order]
-    chance = averaged(k // size, k % size, c, size, seed=seed)
-    chance[:, begin] = 0
-    chance /= chance.sum(axis=1, keepdims=True)
-
-    # Words of the shared class: a Pitman-Yor root whose new tables are all unseen words.
-    rare = int(top_c[:classes].sum())
-    ones, twos = words.agg(F.count(F.when(F.col("c") == 1, 1)), F.count(F.when(F.col("c") == 2, 1))).first()
-    rare_n, rare_v = n_all - rare, v_all - min(classes, len(top_c))
-    d0 = min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones else 0.5
-    unseen = (1.0 + d0 * rare_v) / (1.0 + rare_n)
+    model, n_all, v_all = terms(src, seed=seed)
+
+    top = _most_frequent(model, frequent).select("u", "w", "cw", "lp").toArrow()
+    top_u, top_w = (top[x].to_numpy().view(np.uint64) for x in ("u", "w"))
+    key = B.mix(B.mix(top_u, 1) + top_w, 2)
+    order = np.argsort(key)
     base_of = lambda c: np.log10((c + 1) / (n_all + v_all + 1))
-    model = spark.sparkContext.broadcast((top_w[by_hash], by_hash, top_c, np.log10(np.maximum(chance, 1e-300)).astype(np.float32)))
+    held = spark.sparkContext.broadcast((key[order], base_of(top["cw"].to_numpy())[order], top["lp"].to_numpy()[order].astype(float)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each text with what its frequent words give, and a row for each other word and text."""
-        keys, rank, counts, log_chance = model.value
+        """A row for each text with what its frequent pairs give, and a row for each other pair and text.
+
+        The former have their number for a pair, which no pair matches, so that one join serves both.
+        """
+        keys, base, chance = held.value
         row = TaskContext.get().partitionId() << 33
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
                 n = batch.num_rows
                 h, first = _tokens(batch.column(1))
-                u, w = pairs(h, first, own_b.value)
-                place = _places(h, keys, rank)
+                u, k = _pairs(h, first)
+                place = _places(k, keys)
                 hit = place >= 0
-                doc = B.owner(np.arange(len(h)), first)
-                c = counts[place[hit]] if hit.any() else np.zeros(0, np.int64)
-                base = np.bincount(doc[hit], base_of(c), minlength=n)
-                part = log_chance[u, w].astype(float)
-                in_rare = hit.copy()
-                in_rare[hit] = place[hit] >= classes
-                part[in_rare] += np.log10((counts[place[in_rare]] - d0) / (1.0 + rare_n))
-                total = np.bincount(doc, part, minlength=n)
+                doc = np.repeat(np.arange(n), np.diff(first))
+                sums = [np.bincount(doc[hit], x[place[hit]] if hit.any() else [], minlength=n).astype(float) for x in (base, chance)]
                 known = np.bincount(doc[hit], minlength=n)
                 ids = row + np.arange(n)
                 row += n
-                yield pa.RecordBatch.from_arrays([pa.array(ids), batch.column(0), batch.column(2), pa.nulls(n, pa.int64()), pa.array(np.diff(first)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(total)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), batch.column(0), batch.column(2), pa.array(ids), pa.array(ids), pa.array(np.diff(first)), pa.array(known.astype(np.int64)), *map(pa.array, sums)], names)
                 miss = np.flatnonzero(~hit)
                 if len(miss):
-                    both = np.rec.fromarrays([h[miss], doc[miss]], names="w,d")
-                    both, times = np.unique(both, return_counts=True)
-                    m = len(both)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[both["d"]]), pa.nulls(m, pa.int64()), pa.nulls(m, pa.bool_()), pa.array(both["w"].view(np.int64)), pa.array(times.astype(np.int64)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64())], names)
-
-    names = ["row", "id", "held_out", "w", "n", "known", "base", "total"]
-    parts = src.select("id", "text", "held_out").mapInArrow(run, "row long, id long, held_out boolean, w long, n long, known long, base double, total double")
-    parts = written(parts, "scores")
-    rest = words.select("w", "c")
-    found = parts.where("w is not null").select("row", "w", "n").join(rest, "w", "left")
-    c = F.coalesce("c", F.lit(0))
-    sums = found.groupBy("row").agg(
-        F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("known"),
-        F.sum(F.col("n") * F.log10((c + 1) / F.lit(float(n_all + v_all + 1)))).alias("base"),
-        F.sum(F.col("n") * F.when(c > 0, F.log10((c - F.lit(d0)) / F.lit(1.0 + rare_n))).otherwise(F.log10(F.lit(unseen)))).alias("total"),
+                    both = np.rec.fromarrays([k[miss], doc[miss]], names="k,d")
+                    both, some, times = np.unique(both, return_index=True, return_counts=True)
+                    some, m = miss[some], len(both)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[both["d"]]), pa.nulls(m, pa.int64()), pa.nulls(m, pa.bool_()), pa.array(u[some].view(np.int64)), pa.array(h[some].view(np.int64)), pa.array(times.astype(np.int64)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64())], names)
+
+    names = ["row", "id", "held_out", "u", "w", "n", "known", "base", "total"]
+    parts = src.select("id", "text", "held_out").mapInArrow(run, "row long, id long, held_out boolean, u long, w long, n long, known long, base double, total double")
+    found = parts.join(model.select("u", "w", "cw", "lp"), ["u", "w"], "left")
+    is_text, n = F.col("known").isNotNull(), F.col("n")
+    return (
+        found.groupBy("row")
+        .agg(
+            F.max("id").alias("id"),
+            F.max("held_out").alias("held_out"),
+            F.sum(F.when(is_text, n)).alias("n_tokens"),
+            F.sum(F.when(is_text, F.col("known")).when(F.col("cw") > 0, n).otherwise(0)).alias("n_known"),
+            F.lit(int(n_all)).cast("long").alias("train_tokens"),
+            F.sum(F.when(is_text, F.col("base")).otherwise(n * F.log10((F.col("cw") + 1) / F.lit(float(n_all + v_all + 1))))).alias("base_score"),
+            F.sum(F.when(is_text, F.col("total")).otherwise(n * F.col("lp").cast("double"))).alias("score"),
+        )
+        .drop("row")
     )
-    texts = parts.where("w is null").select("row", "id", "held_out", "n", "known", "base", "total")
-    full = texts.join(sums.select("row", F.col("known").alias("known2"), F.col("base").alias("base2"), F.col("total").alias("total2")), "row", "left")
-    plus = lambda x: (F.col(x) + F.coalesce(f"{x}2", F.lit(0).cast("double" if x != "known" else "long")))
-    return full.select("id", "held_out", F.col("n").alias("n_tokens"), plus("known").alias("n_known"), F.lit(int(n_all)).cast("long").alias("train_tokens"), plus("base").alias("base_score"), plus("total").alias("score"))
 
 
 def perplexity(scored: DataFrame) -> DataFrame:

@@ -222,6 +222,22 @@ def test_scores_match_the_base_and_sum_to_one(spark):
     assert pitman_yor.score(d.where("false")).count() == 0 and both.count() > 0
 
 
+def test_scores_use_pairs_of_rare_words(spark):
+    texts = [f"l{i} r{i}" for i in range(40) for _ in range(4)]
+    ids = [i for i in range(5000) if zlib.crc32(str(i).encode()) % 7 != 2][: len(texts)]
+    held = [i for i in range(5000, 9000) if zlib.crc32(str(i).encode()) % 7 == 2]
+    probe = ["l7 r7", "l7 r8", *(f"l7 {x}{i}" for x in "lr" for i in range(40)), "l7 zzz", "l7"]
+    rows = list(zip(ids + held, texts + probe))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.id: r.score for r in pitman_yor.score(d, classes=3, frequent=5).collect()}
+    assert got[held[0]] > got[held[1]] + 1
+    src = d.select(F.col("doc_id").alias("id"), "text", F.col("doc_id").isin(held[: len(probe)]).alias("held_out"))
+    model, n, v = pitman_yor.terms(src)
+    assert (n, v) == (3 * len(texts), 81)
+    rows = [r for r in model.collect() if r.u == int(pitman_yor._tokens(pa.array(["l7"]))[0][:1].view(np.int64)[0])]
+    assert len(rows) == 82 and math.isclose(sum(10**r.lp for r in rows), 1, rel_tol=1e-5)
+
+
 def test_tables_are_drawn_from_their_distribution():
     rng = np.random.default_rng(1)
     for c, a, p, d in ((5, 0.7, 0.1, 0.5), (30, 2.0, 0.05, 0.75), (300, 30.0, 0.1, 0.75)):
