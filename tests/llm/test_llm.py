@@ -289,6 +289,31 @@ def test_licenses_inherit_from_the_nearest_folder(spark):
     assert licenses.scan(spark.createDataFrame([], "doc_id long, path string, text string")).count() == 0
 
 
+def test_licenses_of_short_names_tags_and_wrapped_notices(spark):
+    gpl = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version."""
+    mpl = """ * This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at https://mozilla.org/MPL/2.0/. */"""
+    bsd = dict(licenses.NOTICES)["BSD-2-Clause"]
+    texts = [
+        ("CC-BY-NC-4.0", "prose\nLicensed under CC BY-NC 4.0.\nprose"),
+        ("MIT", "# SPDX-License-Identifier: MIT"),
+        ("GPL-2.0", "// SPDX-License-Identifier: GPL-2.0-or-later"),
+        ("zlib", "# SPDX-License-Identifier: Zlib"),
+        ("mit or apache-2.0", "# SPDX-License-Identifier: MIT OR Apache-2.0"),
+        ("GPL-3.0", "import x\n\n" + gpl + "\n\ncode"),
+        ("MPL-2.0", "/*\n" + mpl + "\nint x;"),
+        ("BSD-2-Clause", "\n".join(re.findall(r".{1,70}(?: |$)", bsd))),
+        (None, "nothing of the kind"),
+    ]
+    rows = [(i, f"d{i}/x.txt", t) for i, (_, t) in enumerate(texts)]
+    got = {r.doc_id: r.own_license for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert got == {i: k for i, (k, _) in enumerate(texts)}
+
+
 def test_shards_are_whole_merged_and_versioned(spark):
     d = spark.range(300).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), F.col("id").cast("int")).alias("text"), F.when(F.col("id") > 5, F.col("id") % 4).alias("arrival"))
     root = f"{shared_dir(spark)}/orrery/test-{hash(d)}"
