@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from orrery.session import written
+
 
 def size_rule(w: Column, h: Column, area: Column, min_box: float | None = None, min_side: float | None = None, min_area_frac: float | None = None) -> Column:
     """The first size rule that a box of ``w`` x ``h`` pixels fails, of min_box, min_side, min_area_frac; null if none."""
@@ -162,9 +164,28 @@ def matched(pred: DataFrame, truth: DataFrame, by: list[str], least: float = 0.5
 
 
 def average_precision(df: DataFrame, by: str, n_truth: int | Column, order: list[str]) -> DataFrame:
-    """(by, ap): area under the precision envelope of predictions by falling score."""
-    down = Window.partitionBy(by).orderBy(F.desc("score"), *order).rowsBetween(Window.unboundedPreceding, 0)
-    up = Window.partitionBy(by).orderBy(F.desc("score"), *order).rowsBetween(0, Window.unboundedFollowing)
-    d = df.withColumn("hits", F.sum(F.col("tp").cast("long")).over(down)).withColumn("n", F.count("*").over(down))
-    d = d.withColumn("best", F.max(F.col("hits") / F.col("n")).over(up))
-    return d.where("tp").groupBy(by).agg((F.sum("best") / F.first(F.lit(n_truth) if isinstance(n_truth, int) else n_truth)).alias("ap"))
+    """(by, ap): area under the precision envelope of predictions by falling score.
+
+    Ranks count within ranges of the order, from what the ranges before hold, so
+    a group's predictions need not fit in one task.
+    """
+    truth = F.lit(n_truth) if isinstance(n_truth, int) else n_truth
+    line = [F.desc("score"), *order]
+    d = df.withColumn("_truth", truth).repartitionByRange(by, *line).withColumn("_part", F.spark_partition_id())
+    d = written(d.select(by, "score", "tp", "_truth", "_part", *(x for x in order if x not in (by, "score"))), "ranges")
+    parts = Window.partitionBy("_by").orderBy("_at")
+    before, after = parts.rowsBetween(Window.unboundedPreceding, -1), parts.rowsBetween(1, Window.unboundedFollowing)
+
+    def beside(x: DataFrame, sums: DataFrame) -> DataFrame:
+        return x.join(F.broadcast(sums), F.col(by).eqNullSafe(F.col("_by")) & (F.col("_part") == F.col("_at"))).drop("_by", "_at")
+
+    keys = [F.col(by).alias("_by"), F.col("_part").alias("_at")]
+    held = d.groupBy(*keys).agg(F.sum(F.col("tp").cast("long")).alias("h"), F.count("*").alias("c"))
+    held = held.select("_by", "_at", *(F.coalesce(F.sum(x).over(before), F.lit(0)).alias(f"_{x}") for x in "hc"))
+    within = Window.partitionBy(by, "_part").orderBy(*line)
+    down, up = within.rowsBetween(Window.unboundedPreceding, 0), within.rowsBetween(0, Window.unboundedFollowing)
+    hits = F.col("_h") + F.coalesce(F.sum(F.col("tp").cast("long")).over(down), F.lit(0))
+    d = beside(d, held).withColumn("_rate", hits / (F.col("_c") + F.count("*").over(down)))
+    best = d.groupBy(*keys).agg(F.max("_rate").alias("m")).select("_by", "_at", F.max("m").over(after).alias("_later"))
+    d = beside(d.withColumn("best", F.max("_rate").over(up)), best).withColumn("best", F.greatest("best", "_later"))
+    return d.where("tp").groupBy(by).agg((F.sum("best") / F.first("_truth")).alias("ap"))

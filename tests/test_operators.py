@@ -1,5 +1,6 @@
 import itertools
 import os
+import re
 
 import numpy as np
 import pytest
@@ -116,6 +117,20 @@ def test_pins_hold(spark):
     assert {r.split for r in out.where("g = 3").collect()} == {"test"}
 
 
+def test_average_precision_ranks_within_ranges(spark):
+    rng = np.random.default_rng(3)
+    rows = [(int(i), "a" if i % 3 else "b", float(rng.integers(0, 40)), bool(rng.random() < 0.4)) for i in range(900)]
+    d = spark.createDataFrame(rows, "id long, label string, score double, tp boolean").repartition(6)
+    out = ann.average_precision(d, "label", 100, ["id"])
+    for r in out.collect():
+        hits = np.array([x[3] for x in sorted((x for x in rows if x[1] == r.label), key=lambda x: (-x[2], x[0]))])
+        rate = np.cumsum(hits) / np.arange(1, len(hits) + 1)
+        best = np.maximum.accumulate(rate[::-1])[::-1]
+        assert np.isclose(r.ap, best[hits].sum() / 100)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(label" in plan and not re.search(r"windowspecdefinition\(label#\d+, score", plan)
+
+
 @pytest.mark.parametrize(
     "text,label,rule",
     [("Yes!", "yes", "full_answer"), ("well\nno", "no", "edge_lines"), ("I think the answer is yes", "yes", "leadin_span"), ("no because of it", "no", "trimmed_span"), ("yes\nno", "unclear", "edge_lines:ambiguous"), ("", "unclear", "empty"), (None, "unclear", "empty"), ("perhaps", "unclear", "no_match")],
