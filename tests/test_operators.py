@@ -117,6 +117,18 @@ def test_pins_hold(spark):
     assert {r.split for r in out.where("g = 3").collect()} == {"test"}
 
 
+def test_pins_and_strata_hold_beyond_most_groups(spark, monkeypatch):
+    monkeypatch.setattr(splitting, "MOST_GROUPS", 50)
+    g = F.floor(F.col("id") / 2)
+    d = spark.range(2400).select("id", g.alias("g"), F.when((g % 3 == 0) & (F.col("id") % 2 == 0), "x").otherwise("y").alias("c"), F.when((g < 30) & (F.col("id") % 2 == 1), "test").alias("pin"))
+    out = splitting.split(d, "g", "c", {"train": 0.8, "test": 0.2}, pinned="pin").cache()
+    assert out.count() == 2400 and out.groupBy("g").agg(F.countDistinct("split").alias("n")).where("n <> 1").count() == 0
+    assert {r.split for r in out.where("g < 30").collect()} == {"test"}
+    n = {(r.c, r.split): r["count"] for r in out.where("g >= 30").groupBy("c", "split").count().collect()}
+    for c, all_of in (("x", 390), ("y", 1950)):
+        assert abs(n[c, "train"] - 0.8 * all_of) <= 2
+
+
 def test_average_precision_ranks_within_ranges(spark):
     rng = np.random.default_rng(3)
     rows = [(int(i), "a" if i % 3 else "b", float(rng.integers(0, 40)), bool(rng.random() < 0.4)) for i in range(900)]
