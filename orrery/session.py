@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Only used where the session names no shared folder, as in local tests.
+#: Only used by local sessions that name no shared folder, as in tests.
 LOCAL_CHECKPOINTS = "file:///tmp/checkpoints"
+#: Spark's own setting: a query's shuffle files go when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -28,21 +32,62 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: s
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir``, or a local one where it is unset."""
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
+
+    Only a local session may leave it unset and gets a local folder; on a cluster
+    that is an error, since executors would write to disks of their own.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
         path = LOCAL_CHECKPOINTS
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
 
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/orrery/{spark.sparkContext.applicationId}"
+
+
+@contextmanager
+def _cleaned(spark: SparkSession) -> Iterator[None]:
+    """Within, the shuffle files of each query that ends are removed rather than when the driver collects garbage."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as a table in the shared folder and reads it back.
 
     This cuts the lineage: what follows reads files that outlive any executor.
-    The tables stay until the folder is emptied, as Spark's own checkpoints do.
+    ``dropped`` removes a table that nothing reads again, ``clear`` all tables of
+    the application.
     """
-    path = f"{shared_dir(df.sparkSession)}/orrery/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    with _cleaned(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables that ``written`` made and nothing reads again."""
+    for df in tables:
+        for folder in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+            _delete(df.sparkSession, folder)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all tables that this application wrote; results that were not saved can then no longer be read."""
+    _delete(spark, _folder(spark))
