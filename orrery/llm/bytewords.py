@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 STRETCH = 1 << 20
 _P = 0x9E3779B97F4A7C15 | 1
@@ -46,7 +47,7 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
         down = np.full(size, pow(_P, -1, 2**64), np.uint64)
         up[0] = down[0] = 1
         keep = (np.multiply.accumulate(up), np.multiply.accumulate(down))
-        if n > 4 * STRETCH:  # a single giant word; not worth keeping
+        if n > STRETCH + (1 << 16):  # a single giant word; not worth keeping
             return keep
         _powers = keep
     return _powers
@@ -67,6 +68,20 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def slices(batches: Iterator[pa.RecordBatch], text: int, rows: int = 1000, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most ``rows`` rows and about ``size`` bytes of the string column ``text``; a longer text is a part of its own."""
+    for batch in batches:
+        at, n = 0, batch.num_rows
+        if not n:
+            continue
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        while at < n:
+            done = int(ends[at - 1]) if at else 0
+            to = min(at + rows, max(at + 1, int(np.searchsorted(ends, done + size, "right"))))
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def _stretches(raw: np.ndarray, offsets: np.ndarray, sep: np.ndarray) -> Iterator[tuple[int, int]]:
     at, end = 0, len(raw)
     while at < end:

@@ -20,6 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from orrery.llm import bytewords as B
 from orrery.llm.tables import table
 from orrery.llm.tokens import crc32, encoder, with_end
 from orrery.session import written
@@ -73,27 +74,25 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, id_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         enc = encoder(tokenizer_path)
-        for whole in batches:
-            for at in range(0, whole.num_rows, batch_docs):
-                batch = whole.slice(at, batch_docs)
-                flat, begin = with_end(*enc.encode(batch.column(1).to_pylist()), end_id)
-                size = np.diff(begin)
-                n = -(-size // capacity)
-                doc = np.repeat(np.arange(len(n)), n)
-                piece = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                start = piece * capacity
-                length = np.minimum(size[doc] - start, capacity)
-                crc = [crc32(flat[a : a + b]) for a, b in zip((begin[doc] + start).tolist(), length.tolist())]
-                order = np.argsort(length, kind="stable")
-                run_at = np.concatenate([[True], np.diff(length[order]) != 0])
-                nth = np.empty(len(length), np.int64)
-                nth[order] = np.arange(len(order)) - np.maximum.accumulate(np.where(run_at, np.arange(len(order)), 0))
-                nth += seen[length]
-                seen += np.bincount(length, minlength=capacity + 1)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(np.full(len(doc), part), pa.int32()), pa.array(nth)],
-                    ["id", "piece", "start", "length", "ids_crc32", "part", "nth"],
-                )
+        for batch in B.slices(batches, 1, batch_docs):
+            flat, begin = with_end(*enc.encode(batch.column(1)), end_id)
+            size = np.diff(begin)
+            n = -(-size // capacity)
+            doc = np.repeat(np.arange(len(n)), n)
+            piece = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            start = piece * capacity
+            length = np.minimum(size[doc] - start, capacity)
+            crc = [crc32(flat[a : a + b]) for a, b in zip((begin[doc] + start).tolist(), length.tolist())]
+            order = np.argsort(length, kind="stable")
+            run_at = np.concatenate([[True], np.diff(length[order]) != 0])
+            nth = np.empty(len(length), np.int64)
+            nth[order] = np.arange(len(order)) - np.maximum.accumulate(np.where(run_at, np.arange(len(order)), 0))
+            nth += seen[length]
+            seen += np.bincount(length, minlength=capacity + 1)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(np.full(len(doc), part), pa.int32()), pa.array(nth)],
+                ["id", "piece", "start", "length", "ids_crc32", "part", "nth"],
+            )
 
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return written(src.mapInArrow(run, "id long, piece int, start long, length long, ids_crc32 long, part int, nth long"), "pieces")

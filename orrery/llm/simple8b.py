@@ -19,6 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orrery.llm import bytewords as B
 from orrery.llm.tables import table
 from orrery.llm.tokens import crc32, encoder, with_end
 from orrery.session import written
@@ -135,24 +136,25 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str
     the block), ids and sizes (documents of the block and their token counts),
     payload. Each block is one payload of up to ``batch_docs`` documents; parts
     are ranges of ids, so order by (part, block) is order by id. Rows that share
-    an id follow each other. Null texts are empty: the end id alone.
+    an id follow each other by a hash of the text, then the text. Null texts are
+    empty: the end id alone. Other columns are ignored; an empty table gives no
+    blocks.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, block, start = TaskContext.get().partitionId(), 0, 0
         enc = encoder(tokenizer_path)
-        for whole in batches:
-            for at in range(0, whole.num_rows, batch_docs):
-                batch = whole.slice(at, batch_docs)
-                flat, begin = with_end(*enc.encode(batch.column(1).to_pylist()), end_id)
-                row = [part, block, start, batch.column(0).to_pylist(), np.diff(begin).tolist(), encode(flat)]
-                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types)], names)
-                block, start = block + 1, start + len(flat)
+        for batch in B.slices(batches, 1, batch_docs):
+            flat, begin = with_end(*enc.encode(batch.column(1)), end_id)
+            row = [part, block, start, batch.column(0).to_pylist(), np.diff(begin).tolist(), encode(flat)]
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types)], names)
+            block, start = block + 1, start + len(flat)
 
     names = ["part", "block", "start", "ids", "sizes", "payload"]
     types = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    ranged = src.repartitionByRange("id").sortWithinPartitions("id")
+    # by digest among rows that share an id, so that their order is defined and one id may fill several parts
+    ranged = src.withColumn("_h", F.xxhash64("text")).repartitionByRange("id", "_h").sortWithinPartitions("id", "_h", "text").drop("_h")
     return written(ranged.mapInArrow(run, "part int, block int, start long, ids array<long>, sizes array<long>, payload binary"), "tokens")
 
 

@@ -5,6 +5,11 @@ No pre-tokenisation rule of the two public files joins what such a cut parts,
 so ids of the pieces (each with its leading space) are the ids of the text;
 texts with other white space around a space keep it within a piece. The pieces
 of natural text repeat, and each is encoded once for a cache's life.
+
+Cuts are found on the bytes of a whole batch, and pieces are looked up by a
+64-bit hash of their bytes in an open table of numbers, so the cache holds no
+strings and its memory is bounded by ``CACHE_PIECES``. Strings of special tokens
+in a text are ordinary text, as the files' description has it.
 """
 
 from __future__ import annotations
@@ -12,29 +17,50 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 
+from orrery.llm import bytewords as B
 from orrery.llm.resident import only
 
-CACHE_PIECES = 900_000
+CACHE_PIECES = 1_000_000
 #: Unknown pieces encoded as one text.
 JOIN = 500
-#: Begins the key of a piece that has no leading space; other keys leave their space out.
-FIRST = "\0"
-_cut = re.compile(r"(?<=\S) (?=\S)")
 _word = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+"
 _marks = r"[!-&(-/:-@\[-`{-~]+"
 #: A word and its marks, or two words with a line end between: both files part words from marks and line ends.
 _parts = re.compile(f"({_word})(?:({_marks})|((?:{_marks})?\n)({_word})({_marks})?)")
 
+#: White space in ASCII, and the ends of white space beyond it by UTF-8 bytes.
+_ascii_space = np.zeros(256, bool)
+_ascii_space[[*range(0x09, 0x0E), *range(0x1C, 0x21)]] = True
+_two = np.zeros(256, bool)
+_two[[0x85, 0xA0]] = True
+_e280 = np.zeros(256, bool)
+_e280[[*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF]] = True
+
+
+def _wide_space(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Whether three bytes are a white-space character."""
+    return ((a == 0xE2) & (((b == 0x80) & _e280[c]) | ((b == 0x81) & (c == 0x9F)))) | ((a == 0xE1) & (b == 0x9A) & (c == 0x80)) | ((a == 0xE3) & (b == 0x80) & (c == 0x80))
 
-def _even(text: str) -> bool:
-    """Whether all white space is single spaces and line ends, none next to another: then a split at spaces does."""
-    if text[0] in " \n" or text[-1] in " \n" or "  " in text or " \n" in text or "\n " in text:
-        return False
-    return (text.replace("\n", " ") if "\n" in text else text).isprintable()
+
+def cuts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Places of single spaces within a text between two characters that are not white space."""
+    at = np.flatnonzero(raw == 0x20)
+    text = np.searchsorted(offsets, at, "right") - 1
+    at = at[(at > offsets[text]) & (at + 1 < offsets[text + 1])]
+    byte = lambda x: raw[np.clip(x, 0, len(raw) - 1)]
+    before, after = raw[at - 1], raw[at + 1]
+    ok = ~(_ascii_space[before] | _ascii_space[after])
+    for i, beyond in ((0, np.flatnonzero(ok & (before >= 0x80))), (1, np.flatnonzero(ok & (after >= 0x80)))):
+        x = at[beyond]
+        a, b, c = (byte(x - 3), byte(x - 2), byte(x - 1)) if i == 0 else (byte(x + 1), byte(x + 2), byte(x + 3))
+        two = (b == 0xC2) & _two[c] if i == 0 else (a == 0xC2) & _two[b]
+        ok[beyond[two | _wide_space(a, b, c)]] = False
+    return at[ok]
 
 
 def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -43,11 +69,63 @@ def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(int(size.sum())) + np.repeat(begin - (ends - size), size)
 
 
+def hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Hash of each piece, raw[start:end], and of whether it is its text's first; never 0. Pieces ascend."""
+    out = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        base = int(starts[at])
+        to = max(at + 1, int(np.searchsorted(ends, base + B.STRETCH, "right")))
+        part = raw[base : int(ends[to - 1])]
+        up, down = B._tables(len(part) + 1)
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)], out=total[1:])
+        s, e = starts[at:to] - base, ends[at:to] - base
+        out[at:to] = (total[e] - total[s]) * down[s] + (e - s).astype(np.uint64)
+        at = to
+    return np.maximum(B.mix(out + first.astype(np.uint64) * np.uint64(0xA0761D6478BD642F), 17), np.uint64(1))
+
+
+class Places:
+    """An open table from hashes to places; hashes are mixed already and not 0."""
+
+    def __init__(self, most: int):
+        self.mask = np.uint64((1 << max(12, (2 * most - 1).bit_length())) - 1)
+        self.key = np.zeros(int(self.mask) + 1, np.uint64)
+        self.place = np.zeros(int(self.mask) + 1, np.int32)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each hash, or -1."""
+        out = np.full(len(keys), -1, np.int64)
+        which, slot = np.arange(len(keys)), keys & self.mask
+        while len(which):
+            held = self.key[slot]
+            hit = held == keys[which]
+            out[which[hit]] = self.place[slot[hit]]
+            on = ~hit & (held != 0)
+            which, slot = which[on], (slot[on] + np.uint64(1)) & self.mask
+        return out
+
+    def add(self, keys: np.ndarray, first: int) -> None:
+        """Distinct hashes that are not held, at places ``first``, ``first`` + 1, ..."""
+        which, slot = np.arange(len(keys)), keys & self.mask
+        while len(which):
+            free = self.key[slot] == 0
+            self.key[slot[free]] = keys[which[free]]  # of several for a slot, the last stays
+            won = self.key[slot] == keys[which]
+            self.place[slot[won]] = first + which[won]
+            which, slot = which[~won], (slot[~won] + np.uint64(1)) & self.mask
+
+
 def _plain(piece: str) -> bool:
     """Whether a piece, less its leading space, is visible characters, and so may be parted from others by white space."""
     return bool(piece) and " " not in piece and piece.isprintable()
 
 
+#: A piece is a string without its leading space, and whether it has none.
+Piece = tuple[str, bool]
+
+
 class Encoder:
     """Ids by text for one tokenizers file; lives as long as the Python worker."""
 
@@ -59,36 +137,40 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.tokenizer.model._resize_cache(0)  # the pieces are kept here
         self.parted = self._separator()
-        self._clear()
+        self._clear(1 << 14)
 
-    def _clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.size = np.zeros(1 << 12, np.int64)  # these grow by doubling; `known` says how much is in use
-        self.begin = np.zeros(1 << 12, np.int64)
-        self.hits = np.zeros(1 << 12, np.int64)
+    def _clear(self, room: int) -> None:
+        self.places = Places(room)
+        self.room, self.n, self.used = room, 0, 0
+        self.keys = np.zeros(room, np.uint64)
+        self.size, self.begin, self.hits = (np.zeros(room, np.int32) for _ in range(3))
         self.flat = np.zeros(1 << 14, np.uint32)
-        self.used = 0
 
-    def _add(self, pieces: list[str], size: np.ndarray, flat: np.ndarray) -> None:
-        n, m = len(self.known), len(self.known) + len(pieces)
-        if m > len(self.size):
-            more = max(m, 2 * len(self.size))
-            self.size, self.begin, self.hits = (np.concatenate([x, np.zeros(more - len(x), np.int64)]) for x in (self.size, self.begin, self.hits))
+    def _add(self, keys: np.ndarray, size: np.ndarray, flat: np.ndarray) -> None:
+        n, m = self.n, self.n + len(keys)
+        if m > self.room:
+            old, self.room = self.room, max(m, 2 * self.room)
+            more = lambda x: np.concatenate([x, np.zeros(self.room - old, x.dtype)])
+            self.keys, self.size, self.begin, self.hits = more(self.keys), more(self.size), more(self.begin), more(self.hits)
+            self.places = Places(self.room)
+            self.places.add(self.keys[:n], 0)
         if self.used + len(flat) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(max(self.used + len(flat), 2 * len(self.flat)) - len(self.flat), np.uint32)])
-        self.known.update(zip(pieces, range(n, m)))
-        self.size[n:m], self.begin[n:m] = size, self.used + np.cumsum(size) - size
+            grown = np.zeros(max(self.used + len(flat), 2 * len(self.flat)), np.uint32)
+            grown[: self.used] = self.flat[: self.used]
+            self.flat = grown
+        self.places.add(keys, n)
+        self.keys[n:m], self.size[n:m], self.begin[n:m] = keys, size, self.used + np.cumsum(size) - size
         self.flat[self.used : self.used + len(flat)] = flat
-        self.used += len(flat)
+        self.n, self.used = m, self.used + len(flat)
 
     def _shrink(self) -> None:
         """Forgets pieces that were met once; if many are left, all but those met most."""
-        hits = self.hits[: len(self.known)]
+        hits = self.hits[: self.n]
         least = max(2, int(np.partition(hits, -CACHE_PIECES // 2)[-CACHE_PIECES // 2]) + 1)
         keep = np.flatnonzero(hits >= least)
-        names, size, begin, flat = list(self.known), self.size[keep], self.begin[keep], self.flat
-        self._clear()
-        self._add([names[i] for i in keep.tolist()], size, flat[_ranges(begin, size)])
+        keys, size, begin, flat = self.keys[keep], self.size[keep], self.begin[keep], self.flat
+        self._clear(CACHE_PIECES)
+        self._add(keys, size, flat[_ranges(begin.astype(np.int64), size)])
 
     def _separator(self) -> tuple[str, int] | None:
         """A string that parts pieces in one text and its id, if the tokenizer has one."""
@@ -99,50 +181,52 @@ class Encoder:
                 return sep, own[0]
         return None
 
-    def _learn(self, keys: list[str]) -> None:
+    def _hashes(self, pieces: list[Piece]) -> np.ndarray:
+        raw, offsets = B.buffers(pa.array([x for x, _ in pieces], pa.string()))
+        return hashes(raw, offsets[:-1], offsets[1:], np.fromiter((f for _, f in pieces), bool, len(pieces)))
+
+    def _learn(self, pieces: list[Piece]) -> None:
         """Adds unknown pieces; words and marks of compound ones are encoded apart, and once each."""
         if not self.parted:
-            return self._encode_new([], keys)
-        words = [x for x in keys if x.isalpha()]
-        made, parts, many, others = [], [], [], []
-        for x in keys:
-            if x.isalpha():
-                continue
-            m = _parts.fullmatch(x)
+            return self._encode_new(pieces)
+        plain: list[Piece] = []
+        made: list[Piece] = []
+        parts: list[Piece] = []
+        many: list[int] = []
+        for x in pieces:
+            m = None if x[1] or x[0].isalpha() else _parts.fullmatch(x[0])
             if m is None:
-                others.append(x)
+                plain.append(x)
                 continue
             word, marks, between, second, after = m.groups()
-            n = len(parts)
-            parts.append(word)
-            parts += [FIRST + y for y in ((marks,) if marks else (between, second, after) if after else (between, second))]
+            rest = (marks,) if marks else (between, second, after) if after else (between, second)
+            parts.append((word, False))
+            parts += [(y, True) for y in rest]
             made.append(x)
-            many.append(len(parts) - n)
-        new = [x for x in dict.fromkeys(parts) if x not in self.known]
-        words = list(dict.fromkeys(chain(words, (x for x in new if x.isalpha()))))
-        others = list(dict.fromkeys(chain(others, (x for x in new if not x.isalpha()))))
-        if words or others:
-            self._encode_new(words, others)
+            many.append(1 + len(rest))
         if made:
-            at = np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
-            n = self.size[at]
-            self._add(made, np.add.reduceat(n, np.cumsum(many) - many), self.flat[_ranges(self.begin[at], n)])
-
-    def _encode_new(self, words: list[str], others: list[str]) -> None:
-        """Many pieces are encoded as one text, parted by a token that none of them holds; ``words`` are all letters."""
-        spaced, first, rest = words, [], []
-        for x in others:
-            if not (self.parted and _plain(x[1:] if x[:1] == FIRST else x)):
-                rest.append(x)
-            elif x[:1] == FIRST:
-                first.append(x)
-            else:
-                spaced.append(x)
+            kinds = list(dict.fromkeys(parts))
+            fresh = [kinds[i] for i in np.flatnonzero(self.places.find(self._hashes(kinds)) < 0).tolist()]
+            plain = list(dict.fromkeys(chain(plain, fresh)))
+        if plain:
+            self._encode_new(plain)
+        if made:
+            at = self.places.find(self._hashes(parts))
+            n = self.size[at].astype(np.int64)
+            self._add(self._hashes(made), np.add.reduceat(n, np.cumsum(many) - many), self.flat[_ranges(self.begin[at].astype(np.int64), n)])
+
+    def _encode_new(self, pieces: list[Piece]) -> None:
+        """Many pieces are encoded as one text, parted by a token that none of them holds."""
+        spaced: list[Piece] = []
+        first: list[Piece] = []
+        rest: list[Piece] = []
+        for x in pieces:
+            (rest if not (self.parted and (x[0].isalpha() or _plain(x[0]))) else first if x[1] else spaced).append(x)
         sizes, flats = [], []
         if spaced or first:
             sep, mark = self.parted
-            groups = [" " + (sep + " ").join(spaced[i : i + JOIN]) for i in range(0, len(spaced), JOIN)]
-            groups += [sep.join(x[1:] for x in first[i : i + JOIN]) for i in range(0, len(first), JOIN)]
+            groups = [" " + (sep + " ").join(x for x, _ in spaced[i : i + JOIN]) for i in range(0, len(spaced), JOIN)]
+            groups += [sep.join(x for x, _ in first[i : i + JOIN]) for i in range(0, len(first), JOIN)]
             for x in self.tokenizer.encode_batch_fast(groups, add_special_tokens=False):
                 ids = np.array(x.ids, np.uint32)
                 at = np.flatnonzero(ids == mark)
@@ -151,38 +235,36 @@ class Encoder:
             if sum(map(len, sizes)) != len(spaced) + len(first):
                 raise ValueError("a piece holds the separator")
         if rest:
-            got = [x.ids for x in self.tokenizer.encode_batch_fast([x[1:] if x[:1] == FIRST else " " + x for x in rest], add_special_tokens=False)]
+            got = [x.ids for x in self.tokenizer.encode_batch_fast([x if f else " " + x for x, f in rest], add_special_tokens=False)]
             sizes.append(np.fromiter(map(len, got), np.int64, len(got)))
             flats.append(np.fromiter(chain.from_iterable(got), np.uint32, int(sizes[-1].sum())))
-        self._add(spaced + first + rest, np.concatenate(sizes), np.concatenate(flats))
+        self._add(self._hashes(spaced + first + rest), np.concatenate(sizes), np.concatenate(flats))
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and where each text's begin (n + 1 values)."""
-        counts = np.zeros(len(texts), np.int64)
-        rows: list[str] = []
-        for i, text in enumerate(texts):
-            if text:
-                if FIRST in text:
-                    cut = [text]
-                else:
-                    cut = text.split(" ") if _even(text) else _cut.split(text)
-                if text[0] == " " and cut[0] == "":
-                    cut = cut[1:]
-                else:
-                    cut[0] = FIRST + cut[0]
-                rows += cut
-                counts[i] = len(cut)
-        if len(self.known) > CACHE_PIECES:
+        raw, offsets = B.buffers(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+        some = np.flatnonzero(np.diff(offsets))
+        at = cuts(raw, offsets) if len(raw) else np.empty(0, np.int64)
+        counts = np.zeros(len(offsets) - 1, np.int64)
+        counts[some] = 1 + np.searchsorted(at, offsets[some + 1]) - np.searchsorted(at, offsets[some])
+        starts = np.sort(np.concatenate([offsets[some], at + 1]), kind="stable")
+        ends = np.sort(np.concatenate([offsets[some + 1], at]), kind="stable")
+        first = np.zeros(len(starts), bool)
+        first[(np.cumsum(counts) - counts)[some]] = True
+        if self.n > CACHE_PIECES:
             self._shrink()
-        at = np.fromiter(map(self.known.get, rows, repeat(-1)), np.int64, len(rows))
-        missed = np.flatnonzero(at < 0).tolist()
-        if missed:
-            new = [rows[i] for i in missed]
-            self._learn(list(dict.fromkeys(new)))
-            at[missed] = [self.known[x] for x in new]
-        np.add.at(self.hits, at, 1)
-        n = self.size[at]
-        ids = self.flat[_ranges(self.begin[at], n)]
+        keys = hashes(raw, starts, ends, first)
+        at = self.places.find(keys)
+        missed = np.flatnonzero(at < 0)
+        if len(missed):
+            _, one, same = np.unique(keys[missed], return_index=True, return_inverse=True)
+            new = missed[one]
+            whole = raw.tobytes()
+            self._learn([(whole[a:b].decode(), f) for a, b, f in zip(starts[new].tolist(), ends[new].tolist(), first[new].tolist())])
+            at[missed] = self.places.find(keys[new])[same]
+        self.hits[: self.n] += np.bincount(at, minlength=self.n).astype(np.int32)
+        n = self.size[at].astype(np.int64)
+        ids = self.flat[_ranges(self.begin[at].astype(np.int64), n)]
         piece_ends = np.concatenate([[0], np.cumsum(n)])
         return ids, piece_ends[np.concatenate([[0], np.cumsum(counts)])]
 
