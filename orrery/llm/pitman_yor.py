@@ -1,48 +1,68 @@
 """Language-model scoring by a hierarchical Pitman-Yor model.
 
-Contexts are previous words, all of them; every context restaurant shares one
-parent over the whole vocabulary. The parent's base is new every time, so each
-of its tables has a word of its own: a word seen in training has one table
-there, and its customers are the word's tables in all contexts. Unseen words as
-one outcome get the parent's new-table mass. Probabilities over all known words
-and the unseen one sum to one.
+Every previous word, and the begin of a text, is a context with a restaurant of
+its own. All context restaurants share one parent, whose base is uniform over
+the V known words and one outcome for all unseen ones, so an unseen word is less
+likely than any known one.
+
+The sampler alternates draws that are exact given what they condition on:
+
+- The parent's distribution G0 given its seating: a gamma variate of (customers -
+  discount * tables) for each word, and the new-table mass, spread by the base
+  (at its mean), over their sum.
+- For each context u a gamma variate g_u of shape strength / discount + tables.
+  Given these and G0, the table counts of all (context, word) blocks are
+  independent, with weights S(c, t) (discount g_u G0(w))^t, where S sums the
+  weights of the seatings of c customers at t tables. So all blocks are drawn in
+  parallel, and a sweep needs no counts of its own from the sweep before: only
+  sums of tables by context and by word are kept.
+- The parent's tables of each word likewise, given a gamma variate of the parent.
+
+Blocks of one customer have one table. Blocks of up to 120 customers are drawn
+exactly, larger ones by the saddle-point form of the same weights, so cost does
+not grow with customers. Variates are functions of the word or pair and the
+sweep, so a task that runs again draws the same.
+
+Predictive probabilities are averaged over the kept sweeps, with the expected
+tables of a block in place of drawn ones.
 
 Counts of (context, word) pairs come from all training texts by a distributed
-sum and stay in distributed tables, as do the totals of contexts and words. Each
-sweep of the Gibbs sampler draws the tables of every (context, word) block, all
-its customers at once, from their conditional distribution given all other seats
-of the sweep before; blocks are drawn in parallel tasks, and their tables summed
-by context and by word in between. A block of one customer has one table and is
-never drawn. Cost does not grow with customers. Draws follow from the pair and
-the sweep, so a task that runs again draws the same. Tables of a block, a
-context and a word are averaged over sweeps, and predictive terms made of these.
-
-Scoring looks up frequent pairs in a table of bounded size, in place; only
-others are shuffled, to be joined with their terms.
+sum over the full vocabulary and stay in distributed tables, as do words. Tasks
+hold the parameters of the most frequent words and the terms of the most
+frequent pairs, both bounded; all others are joined by shuffles. Pairs are dealt
+to a fixed number of parts by their hash, counted and scored one part after
+another, so that shuffles take a share of the disk.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.llm import bytewords as B
+from orrery.llm.resident import only
 from orrery.llm.tables import table
-from orrery.session import written
-
-#: Pairs whose terms every task holds.
-FREQUENT = 1 << 17
-BURN_IN, SWEEPS = 4, 8
+from orrery.llm.tokens import Places
+from orrery.session import dropped, written
+
+#: Pairs whose terms, and words whose parameters, every task holds.
+FREQUENT, WORDS = 1 << 19, 1 << 19
+#: Parts of the pairs.
+PASSES = 4
+BURN_IN, SWEEPS = 3, 4
 DISCOUNT, STRENGTH = 0.75, 5.0
 #: The hash that stands for the end of a text as a word, and for its begin as a context.
 END = np.uint64(0x5851F42D4C957F2D)
 #: Distinct pairs a task holds before it passes counts on, and blocks it draws at once.
 FLUSH, DRAWN = 1 << 20, 1 << 17
+SMALL = 120
 
 
 def log_seatings(n: int, discount: float) -> np.ndarray:
@@ -59,43 +79,41 @@ def log_seatings(n: int, discount: float) -> np.ndarray:
     return out
 
 
-class Seats:
-    """Draws the tables of blocks of ``c`` customers from their conditional distributions.
+_weights: dict[float, np.ndarray] = {}
 
-    A block has t tables with probability in proportion to the weights of its
-    seatings at t tables and the product of a + discount * p * i over i < t.
-    Blocks of up to ``small`` customers are drawn exactly; larger ones by the
-    saddle-point form of the same weights, so cost does not grow with customers.
-    """
+
+class Seats:
+    """Tables t of blocks of ``c`` customers, with weights S(c, t) x^t: drawn, or their means."""
 
     GRID = 64
     #: Large blocks worked on at once.
     CHUNK = 4096
 
-    def __init__(self, c: np.ndarray, discount: float, small: int = 120):
-        self.d = discount
-        self.n = len(c)
-        self.groups = []
-        weights = log_seatings(small, discount)
-        for x in np.unique(c[(c > 1) & (c <= small)]).astype(int).tolist():
-            self.groups.append((x, np.flatnonzero(c == x), weights[x, 1 : x + 1]))
+    def __init__(self, c: np.ndarray, discount: float = DISCOUNT, small: int = SMALL):
+        self.d, self.n = discount, len(c)
+        if discount not in _weights:
+            _weights[discount] = log_seatings(SMALL, discount)
+        c = c.astype(np.int64)
+        order = np.argsort(np.minimum(c, small + 1), kind="stable")
+        edges = np.searchsorted(c[order], np.arange(2, small + 2)) if self.n else np.zeros(small, np.int64)
+        self.groups = [(x, order[a:b], _weights[discount][x, 1 : x + 1]) for x, a, b in zip(range(2, small + 1), edges[:-1].tolist(), edges[1:].tolist()) if b > a]
         self.large = np.flatnonzero(c > small)
         self.c = c[self.large].astype(float)
         half = np.arange(1, self.GRID) + 0.5
         kinds, self.kind = np.unique(self.c, return_inverse=True)
         self.grid = np.empty((len(kinds), len(half)), np.float32)
         for at in range(0, len(kinds), self.CHUNK):
-            c = kinds[at : at + self.CHUNK]
-            self.grid[at : at + self.CHUNK] = self._log_phi(np.repeat(c, len(half)), np.tile(half, len(c))).reshape(len(c), len(half)) - np.log(half)
+            k = kinds[at : at + self.CHUNK]
+            self.grid[at : at + self.CHUNK] = self._log_phi(np.repeat(k, len(half)), np.tile(half, len(k))).reshape(len(k), len(half)) - np.log(half)
 
     def _phi(self, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """phi and z phi' / phi of phi(z) = (1 - (1 - z)^d) / d, whose powers generate the weights."""
         phi = -np.expm1(self.d * np.log1p(-z)) / self.d
         return phi, z * (1 - z) ** (self.d - 1) / phi
 
-    def _solve(self, above) -> np.ndarray:
-        """The z in (0, 1), by logit, where ``above`` turns true."""
-        lo, hi = np.full(above.size, -60.0), np.full(above.size, 34.0)
+    def _solve(self, n: int, above) -> np.ndarray:
+        """The n values of z in (0, 1), by logit, where ``above`` turns true."""
+        lo, hi = np.full(n, -60.0), np.full(n, 34.0)
         for _ in range(48):
             mid = (lo + hi) / 2
             up = above(1 / (1 + np.exp(-mid)))
@@ -103,93 +121,142 @@ class Seats:
         return 1 / (1 + np.exp(-lo))
 
     def _log_phi(self, c: np.ndarray, t: np.ndarray) -> np.ndarray:
-        def above(z):
-            return t * self._phi(z)[1] > c
-
-        above.size = len(c)
-        return np.log(self._phi(self._solve(above))[0])
+        return np.log(self._phi(self._solve(len(c), lambda z: t * self._phi(z)[1] > c))[0])
 
-    def draw(self, a: np.ndarray, p: np.ndarray, rng: np.random.Generator | tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-        """``rng`` may be two uniform variates for each block instead."""
-        x, y = (rng.random(self.n), rng.random(self.n)) if isinstance(rng, np.random.Generator) else rng
-        t = np.ones(self.n)
+    def _each(self, x: np.ndarray, small, large) -> np.ndarray:
+        out = np.ones(self.n)
+        lx = np.log(np.maximum(x, 1e-300))
         for c, which, weights in self.groups:
             step = max(1, (1 << 19) // c)
             for at in range(0, len(which), step):
                 k = which[at : at + step]
-                w = weights + np.cumsum(np.log(a[k, None] + self.d * p[k, None] * np.arange(c)), axis=1)
-                w = np.cumsum(np.exp(w - w.max(axis=1, keepdims=True)), axis=1)
-                t[k] = 1 + (w < x[k, None] * w[:, -1:]).sum(axis=1)
+                w = weights + lx[k, None] * np.arange(1, c + 1)
+                out[k] = small(np.exp(w - w.max(axis=1, keepdims=True)), k)
         for at in range(0, len(self.large), self.CHUNK):
             k, c, grid = self.large[at : at + self.CHUNK], self.c[at : at + self.CHUNK], self.grid[self.kind[at : at + self.CHUNK]]
-            t[k] = self._draw_large(c, grid, a[k], p[k], x[k], y[k])
-        return t
-
-    def _draw_large(self, c: np.ndarray, grid: np.ndarray, a: np.ndarray, p: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        def above(z):
-            phi, h = self._phi(z)
-            return phi * (a + self.d * p * c / h) > c / h
-
-        above.size = len(c)
-        mode = c / self._phi(self._solve(above))[1]
-        i = np.arange(1, self.GRID)
-        w = np.cumsum(np.concatenate([np.zeros((len(c), 1)), grid + np.log(a[:, None] + self.d * p[:, None] * i)], axis=1), axis=1)
-        w = np.cumsum(np.exp(w - w.max(axis=1, keepdims=True)), axis=1)
-        few = 1.0 + (w < x[:, None] * w[:, -1:]).sum(axis=1)
-        slope = lambda m: self._log_phi(c, m) - np.log(m) + np.log(a + self.d * p * m)
-        m = np.maximum(mode, 2.0)
-        var = 0.02 * m / np.maximum(slope(0.99 * m) - slope(1.01 * m), 1e-9)
-        many = np.clip(np.round(mode + np.sqrt(-2 * var * np.log1p(-x)) * np.cos(2 * np.pi * y)), 1, c)
-        return np.where(mode < 0.5 * self.GRID, few, many)
+            mode = c / self._phi(self._solve(len(c), lambda z, k=k, c=c: x[k] * self._phi(z)[0] > c / self._phi(z)[1]))[1]
+            w = np.cumsum(np.concatenate([np.zeros((len(c), 1)), grid + lx[k, None]], axis=1), axis=1)
+            out[k] = large(np.exp(w - w.max(axis=1, keepdims=True)), k, c, mode)
+        return out
+
+    def draw(self, x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Draws, by two uniform variates for each block."""
+
+        def pick(w: np.ndarray, k: np.ndarray) -> np.ndarray:
+            w = np.cumsum(w, axis=1)
+            return 1.0 + (w < a[k, None] * w[:, -1:]).sum(axis=1)
+
+        def large(w: np.ndarray, k: np.ndarray, c: np.ndarray, mode: np.ndarray) -> np.ndarray:
+            slope = lambda m: self._log_phi(c, m) - np.log(m)
+            m = np.maximum(mode, 2.0)
+            var = 0.02 * m / np.maximum(slope(0.99 * m) - slope(1.01 * m), 1e-9)
+            many = np.clip(np.round(mode + np.sqrt(-2 * var * np.log1p(-a[k])) * np.cos(2 * np.pi * b[k])), 1, c)
+            return np.where(mode < 0.5 * self.GRID, pick(w, k), many)
+
+        return self._each(x, pick, large)
+
+    def mean(self, x: np.ndarray) -> np.ndarray:
+        small = lambda w, k: (w * np.arange(1, w.shape[1] + 1)).sum(axis=1) / w.sum(axis=1)
+        return self._each(x, small, lambda w, k, c, mode: np.where(mode < 0.5 * self.GRID, small(w, k), mode))
+
+
+def uniform(key: np.ndarray, salt: int) -> np.ndarray:
+    """Variates in (0, 1) by hash."""
+    return ((B.mix(key, salt) >> np.uint64(12)).astype(float) + 0.5) * 2.0**-52
+
+
+def gammas(shape: np.ndarray, key: np.ndarray, salt: int) -> np.ndarray:
+    """Gamma variates by hash, by rejection (Marsaglia and Tsang); shapes below one by a power of a uniform."""
+    shape = np.asarray(shape, float)
+    a = np.where(shape < 1, shape + 1, shape)
+    d = a - 1 / 3
+    out, left, round_ = np.zeros(len(a)), np.arange(len(a)), 0
+    while len(left):
+        k = B.mix(key[left], salt * 64 + round_)
+        u, v, w = (uniform(k, i) for i in (1, 2, 3))
+        x = np.sqrt(-2 * np.log(u)) * np.cos(2 * np.pi * v)
+        c = 1 + x / np.sqrt(9 * d[left])
+        with np.errstate(invalid="ignore", divide="ignore"):
+            cube = c**3
+            ok = (c > 0) & (np.log(w) < 0.5 * x * x + d[left] * (1 - cube + np.log(np.maximum(cube, 1e-300))))
+        out[left[ok]] = d[left[ok]] * cube[ok]
+        left, round_ = left[~ok], round_ + 1
+    return np.where(shape < 1, out * uniform(B.mix(key, salt), 5) ** (1 / np.maximum(shape, 1e-3)), out)
+
+
+@dataclass
+class Root:
+    """The parent after a sweep: sums over words, and the scalars drawn for the next."""
+
+    tables: float
+    customers: float
+    mass: float
+    outcomes: int
+    rest: float = 0.0
+    g: float = 0.0
+
+    def drawn(self, rng: np.random.Generator) -> Root:
+        self.rest = float(rng.gamma(STRENGTH + DISCOUNT * self.tables))
+        self.g = float(rng.gamma(STRENGTH / DISCOUNT + self.tables))
+        return self
+
+    def g0(self, mass: np.ndarray) -> np.ndarray:
+        """G0 of words with a gamma mass."""
+        return (mass + self.rest / self.outcomes) / (self.mass + self.rest)
+
+    def predictive(self, customers, tables):
+        """Probability of a word by its customers and tables at the parent."""
+        return (customers - DISCOUNT * tables + (STRENGTH + DISCOUNT * self.tables) / self.outcomes) / (STRENGTH + self.customers)
+
+
+def root_step(key: np.ndarray, customers: np.ndarray, tables_u: np.ndarray, g: float, outcomes: int, salt: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For words: tables at the parent, gamma masses, and as contexts g_u."""
+    t0 = np.where(customers > 0, Seats(customers).draw(np.full(len(key), DISCOUNT * g / outcomes), uniform(key, salt), uniform(key, salt + 1)), 0.0)
+    mass = np.where(customers > 0, gammas(np.maximum(customers - DISCOUNT * t0, 1e-3), key, salt + 2), 0.0)
+    return t0, mass, gammas(STRENGTH / DISCOUNT + tables_u, key, salt + 3)
 
 
 class Restaurants:
-    """Seating of numbered pairs (u, w) with their counts in one task, with a uniform base."""
+    """The same sampler in one task, for numbered contexts and words; word ``size`` - 1 may be the unseen one."""
 
-    def __init__(self, u: np.ndarray, w: np.ndarray, c: np.ndarray, size: int, discount: float = DISCOUNT, strength: float = STRENGTH, seed: int = 0):
+    def __init__(self, u: np.ndarray, w: np.ndarray, c: np.ndarray, size: int, seed: int = 0):
         self.u, self.w, self.c, self.size = u, w, c.astype(float), size
-        self.d, self.s = discount, strength
         self.rng = np.random.default_rng(seed)
-        self.t = np.ones(len(c))
-        self.seats = Seats(self.c, discount)
-        self.root_t = np.zeros(size)
-        self.customers = np.bincount(u, self.c, minlength=size)
-        self._root()
-
-    def _root(self) -> None:
-        """Seats the tables of all contexts at the parent, whose base is uniform."""
-        self.root_c = np.bincount(self.w, self.t, minlength=self.size)
-        some = np.flatnonzero(self.root_c)
-        base = np.full(len(some), 1 / self.size)
-        a = (self.s + self.d * (self.root_t.sum() - self.root_t[some])) * base
-        self.root_t = np.zeros(self.size)
-        self.root_t[some] = Seats(self.root_c[some], self.d).draw(a, base, self.rng)
-        self.parent = (self.root_c - self.d * self.root_t + (self.s + self.d * self.root_t.sum()) / self.size) / (self.s + self.root_c.sum())
+        self.key = B.mix(np.arange(size, dtype=np.uint64), seed + 1)
+        self.pair = B.mix(self.key[u], 1) + self.key[w]
+        self.seats = Seats(self.c)
+        self.sweeps = 0
+        self.t = np.ceil(self.c**DISCOUNT)
+        self._settle(float(size))
+
+    def _settle(self, g: float) -> None:
+        self.sweeps += 1
+        self.tables = np.bincount(self.u, self.t, minlength=self.size)
+        self.customers = np.bincount(self.w, self.t, minlength=self.size)
+        self.t0, self.mass, self.g = root_step(self.key, self.customers, self.tables, g, self.size, 16 * self.sweeps)
+        self.root = Root(self.t0.sum(), self.customers.sum(), self.mass.sum(), self.size).drawn(self.rng)
 
     def sweep(self) -> None:
-        """Reseats every block given all other seats of the sweep before."""
-        tables = np.bincount(self.u, self.t, minlength=self.size)
-        p = self.parent[self.w]
-        self.t = self.seats.draw((self.s + self.d * (tables[self.u] - self.t)) * p, p, self.rng)
-        self._root()
+        x = DISCOUNT * self.g[self.u] * self.root.g0(self.mass)[self.w]
+        self.t = self.seats.draw(x, uniform(self.pair, 2 * self.sweeps), uniform(self.pair, 2 * self.sweeps + 1))
+        self._settle(self.root.g)
 
     def predictive(self) -> np.ndarray:
-        """(contexts, dishes) probabilities."""
-        tables = np.bincount(self.u, self.t, minlength=self.size)
-        out = ((self.s + self.d * tables) / (self.s + self.customers))[:, None] * self.parent[None, :]
-        out[self.u, self.w] += (self.c - self.d * self.t) / (self.s + self.customers[self.u])
+        """(contexts, words) probabilities."""
+        total = STRENGTH + np.bincount(self.u, self.c, minlength=self.size)
+        out = ((STRENGTH + DISCOUNT * self.tables) / total)[:, None] * self.root.predictive(self.customers, self.t0)[None, :]
+        out[self.u, self.w] += (self.c - DISCOUNT * self.t) / total[self.u]
         return out
 
 
 def averaged(u: np.ndarray, w: np.ndarray, c: np.ndarray, size: int, burn_in: int = BURN_IN, sweeps: int = SWEEPS, seed: int = 0) -> np.ndarray:
-    """Predictive probabilities averaged over Gibbs sweeps."""
-    r = Restaurants(u, w, c, size, seed=seed)
-    for _ in range(burn_in):
-        r.sweep()
+    """Predictive probabilities averaged over sweeps."""
+    r = Restaurants(u, w, c, size, seed)
     total = np.zeros((size, size))
-    for _ in range(sweeps):
+    for i in range(burn_in + sweeps):
         r.sweep()
-        total += r.predictive()
+        if i >= burn_in:
+            total += r.predictive()
     return total / sweeps
 
 
@@ -199,12 +266,20 @@ def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(h, first[1:], END), first + np.arange(len(first))
 
 
+def _pair(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return B.mix(B.mix(u, 1) + w, 2)
+
+
 def _pairs(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Context and pair hash of each token."""
     u = np.empty_like(h)
     u[1:] = h[:-1]
     u[first[:-1]] = END
-    return u, B.mix(B.mix(u, 1) + h, 2)
+    return u, _pair(u, h)
+
+
+def _part(k: np.ndarray) -> np.ndarray:
+    return (k >> np.uint64(40)) % np.uint64(PASSES)
 
 
 def _counts(chunks: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
@@ -213,26 +288,26 @@ def _counts(chunks: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
     return k, u[at], w[at], np.bincount(which, c, minlength=len(k)).astype(np.int64)
 
 
-def pair_counts(src: DataFrame) -> DataFrame:
-    """``(u, w, c)``: customers from training texts of every (context, word) pair of ``src``; 0 where only held-out texts have it."""
+def pair_counts(src: DataFrame, part: int) -> DataFrame:
+    """``(u, w, c)``: customers from training texts of every (context, word) pair of a part; 0 where only held-out texts have it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("pitman_yor")
         held: list[tuple[np.ndarray, ...]] = []
         n = fresh = 0
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                h, first = _tokens(batch.column(0))
-                u, k = _pairs(h, first)
-                train = ~batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-                held.append(_counts([(k, u, h, np.repeat(train, np.diff(first)).astype(np.int64))]))
-                fresh += len(held[-1][0])
-                if fresh > n + FLUSH:
-                    held = [_counts(held)]
-                    n = fresh = len(held[0][0])
-                    if n > FLUSH:
-                        yield out(*held.pop())
-                        n = fresh = 0
+        for batch in B.slices(batches, 0):
+            h, first = _tokens(batch.column(0))
+            u, k = _pairs(h, first)
+            train = np.repeat(~batch.column(1).to_numpy(zero_copy_only=False).astype(bool), np.diff(first))
+            mine = _part(k) == part
+            held.append(_counts([(k[mine], u[mine], h[mine], train[mine].astype(np.int64))]))
+            fresh += len(held[-1][0])
+            if fresh > n + FLUSH // 2:
+                held = [_counts(held)]
+                n = fresh = len(held[0][0])
+                if n > FLUSH:
+                    yield out(*held.pop())
+                    n = fresh = 0
         if held:
             yield out(*_counts(held))
 
@@ -242,177 +317,326 @@ def pair_counts(src: DataFrame) -> DataFrame:
     return src.select("text", "held_out").mapInArrow(run, "u long, w long, c long").groupBy("u", "w").agg(F.sum("c").alias("c"))
 
 
-def _sweep(state: DataFrame, root: float, seed: int, keep: bool) -> DataFrame:
-    """``state`` with every block reseated given all other seats; ``root`` is the parent's customers and strength."""
-    by_u = state.groupBy("u").agg(F.sum("t").alias("at"))
-    by_w = state.groupBy("w").agg(F.sum("t").alias("bt"))
-    p = (F.col("sw") + F.col("bt") - DISCOUNT) / root
-    a = (STRENGTH + DISCOUNT * (F.col("su") + F.col("at") - F.col("t"))) * p
-    given = state.join(by_u, "u").join(by_w, "w").select("u", "w", "c", "su", "sw", "sum", a.alias("a"), p.alias("p"))
-
-    def drawn(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        u, w, c, _, _, total, a, p = (x.to_numpy() for x in rows.columns)
-        k = B.mix(B.mix(u.view(np.uint64), 1) + w.view(np.uint64), 3 + seed)
-        uniform = lambda x: (x >> np.uint64(11)) * 2.0**-53
-        t = Seats(c, DISCOUNT).draw(a, p, (uniform(k), uniform(B.mix(k, 4)))).astype(np.int64)
-        out = pa.table([*rows.columns[:5], pa.array(total + keep * t), pa.array(t)], names=["u", "w", "c", "su", "sw", "sum", "t"])
-        yield from out.to_batches()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        for batch in batches:
-            held.append(batch)
-            n += batch.num_rows
-            if n >= DRAWN:
-                yield from drawn(pa.Table.from_batches(held))
-                held, n = [], 0
-        if n:
-            yield from drawn(pa.Table.from_batches(held))
-
-    return given.mapInArrow(run, "u long, w long, c long, su long, sw long, sum long, t long")
-
+def most_frequent(df: DataFrame, count: str, most: int) -> DataFrame:
+    """At most ``most`` rows of ``df``: those from some ``count`` on.
 
-def _drop(df: DataFrame) -> None:
-    """Deletes the files of a table that ``written`` wrote and nothing reads again."""
-    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-    for folder in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
-
-
-def terms(src: DataFrame, burn_in: int = BURN_IN, sweeps: int = SWEEPS, seed: int = 0) -> tuple[DataFrame, int, int]:
-    """``(u, w, c, cw, lp)`` of every (context, word) pair of ``src``, training tokens and known words.
-
-    ``c`` is the training count of the pair, ``cw`` of the word; ``lp`` the log10
-    probability of the word in the context.
+    The count is a step of a fine scale, so no sort of all rows is needed. If the
+    topmost step alone has more rows, some of them.
     """
-    pairs = written(pair_counts(src), "pairs")
-    one = F.count(F.when(F.col("c") == 1, 1))
-    words = written(pairs.groupBy("w").agg(F.sum("c").alias("cw"), one.alias("sw")).where("cw > 0"), "words")
-    contexts = written(pairs.groupBy("u").agg(F.sum("c").alias("cu"), one.alias("su")).where("cu > 0"), "contexts")
-    n_all, v_all, ones = words.agg(F.coalesce(F.sum("cw"), F.lit(0)), F.count("*"), F.coalesce(F.sum("sw"), F.lit(0))).first()
-    tables = lambda x: x.agg(F.coalesce(F.sum("t"), F.lit(0))).first()[0]
-
-    # blocks of one customer have one table; all others are drawn
-    many = pairs.where("c > 1").join(contexts.select("u", "su"), "u").join(words.select("w", "sw"), "w")
-    state = written(many.select("u", "w", "c", "su", "sw", F.lit(0).cast("long").alias("sum"), F.lit(1).cast("long").alias("t")), "seats")
-    for i in range(burn_in + sweeps):
-        last, state = state, written(_sweep(state, STRENGTH + ones + tables(state), seed * 1000 + i, i >= burn_in), "seats")
-        _drop(last)
-
-    mean = F.sum("sum") / float(sweeps)
-    root = STRENGTH + ones + state.agg(F.coalesce(mean, F.lit(0.0))).first()[0]
-    seats_u = F.col("su") + F.coalesce("tu", F.lit(0.0))
-    by_u = contexts.join(state.groupBy("u").agg(mean.alias("tu")), "u", "left").select("u", (F.col("cu") + STRENGTH).alias("size"), (STRENGTH + DISCOUNT * seats_u).alias("back"))
-    by_w = words.join(state.groupBy("w").agg(mean.alias("tw")), "w", "left").select("w", "cw", ((F.col("sw") + F.coalesce("tw", F.lit(0.0)) - DISCOUNT) / root).alias("p"))
-    every = state.select("u", "w", "c", (F.col("sum") / float(sweeps)).alias("t")).unionAll(pairs.where("c < 2").select("u", "w", "c", F.col("c").cast("double").alias("t")))
-    p = F.coalesce("p", F.lit((STRENGTH + DISCOUNT * v_all) / root))
-    chance = F.when(F.col("size").isNull(), p).otherwise((F.col("c") - DISCOUNT * F.col("t") + F.col("back") * p) / F.col("size"))
-    out = every.join(by_u, "u", "left").join(by_w, "w", "left").select("u", "w", "c", F.coalesce("cw", F.lit(0)).cast("long").alias("cw"), F.log10(chance).cast("float").alias("lp"))
-    out = written(out, "terms")
-    for x in (pairs, words, contexts, state):
-        _drop(x)
-    return out, int(n_all), int(v_all)
-
-
-def _most_frequent(df: DataFrame, most: int) -> DataFrame:
-    """The rows of ``df`` from some count ``c`` on, at most ``most``.
-
-    The count is a step of a fine scale, so no sort of all rows is needed.
-    """
-    step = F.floor(F.log2("c") * 64)
-    steps = sorted(df.where("c > 0").groupBy(step.alias("s")).count().collect(), reverse=True)  # at most 64 * 63 rows
+    df = df.where(F.col(count) > 0)
+    step = F.floor(F.log2(count) * 64)
+    steps = sorted(df.groupBy(step.alias("s")).count().collect(), reverse=True)  # at most 64 * 63 rows
     least, n = None, 0
     for x in steps:
         n += x["count"]
         if n > most:
             break
         least = x["s"]
-    return df.where((F.col("c") > 0) & (step >= least)) if least is not None else df.limit(0)
+    return df.limit(most) if least is None else df.where(step >= least)
+
+
+class Top:
+    """Columns of a bounded table, by hash."""
 
+    def __init__(self, key: np.ndarray, columns: dict[str, np.ndarray]):
+        self.key, self.columns = key, columns
+        self.places = Places(max(1, len(key)))
+        self.places.add(key, 0)
 
-def _places(h: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """For each hash its place in ``keys``, or -1; keys ascend."""
-    if not len(keys):
-        return np.full(len(h), -1)
-    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-    return np.where(keys[at] == h, at, -1)
+    def find(self, key: np.ndarray) -> np.ndarray:
+        return self.places.find(key)
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes: int | None = None, frequent: int = FREQUENT, seed: int = 0) -> DataFrame:
+def _unsigned(x) -> np.ndarray:
+    return x.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+
+
+def _held(df: DataFrame, key: str, columns: list[str]):
+    """A broadcast of a bounded table, and how a task makes a ``Top`` of it."""
+    got = df.select(key, *columns).toArrow().combine_chunks()
+    keys = np.maximum(_unsigned(got[key]), np.uint64(1))
+    values = {}
+    for c in columns:
+        x = got[c].combine_chunks() if isinstance(got[c], pa.ChunkedArray) else got[c]
+        values[c] = x.flatten().to_numpy(zero_copy_only=False).reshape(len(keys), -1) if pa.types.is_list(x.type) else x.to_numpy(zero_copy_only=False)
+    sent, name = df.sparkSession.sparkContext.broadcast((keys, values)), uuid.uuid4().hex
+    return sent, lambda: only(name, lambda: Top(*sent.value))
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= DRAWN:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held)
+
+
+def _by_both(pairs: DataFrame, top, both: bool) -> DataFrame:
+    """Pairs whose context and word tasks hold, as places in ``top``, or all others as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = top()
+        for b in batches:
+            u, w = (t.find(_unsigned(b.column(i))) for i in (0, 1))
+            ok = (u >= 0) & (w >= 0)
+            if both:
+                yield pa.RecordBatch.from_arrays([pa.array(u[ok].astype(np.int32)), pa.array(w[ok].astype(np.int32)), b.column(2).filter(pa.array(ok))], ["u", "w", "c"])
+            else:
+                yield b.filter(pa.array(~ok))
+
+    return pairs.select("u", "w", "c").mapInArrow(run, "u int, w int, c long" if both else "u long, w long, c long")
+
+
+def _sums(near: DataFrame, far: DataFrame, params: DataFrame | None, top, root: Root | None, sweep: int) -> DataFrame:
+    """``(key, tu, tw)``: tables drawn in a sweep, summed by context and by word. Without ``params`` the first guess."""
+
+    def drawn(u: np.ndarray, w: np.ndarray, c: np.ndarray, g: np.ndarray, mass: np.ndarray) -> np.ndarray:
+        if root is None:
+            return np.ceil(c.astype(float) ** DISCOUNT).astype(np.int64)
+        k = _pair(u, w)
+        return Seats(c).draw(DISCOUNT * g * root.g0(mass), uniform(k, 2 * sweep + 100), uniform(k, 2 * sweep + 101)).astype(np.int64)
+
+    def of_near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = top()
+        tu, tw = np.zeros(len(t.key), np.int64), np.zeros(len(t.key), np.int64)
+        for x in _gathered(batches):
+            u, w, c = (x[i].to_numpy() for i in ("u", "w", "c"))
+            n = drawn(t.key[u], t.key[w], c, t.columns["g"][u], t.columns["mass"][w]) if root else drawn(u, w, c, u, w)
+            tu += np.bincount(u, n, minlength=len(tu)).astype(np.int64)
+            tw += np.bincount(w, n, minlength=len(tw)).astype(np.int64)
+        some = np.flatnonzero((tu > 0) | (tw > 0))
+        yield pa.RecordBatch.from_arrays([pa.array(t.key[some].view(np.int64)), pa.array(tu[some]), pa.array(tw[some])], ["key", "tu", "tw"])
+
+    def of_far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in _gathered(batches):
+            u, w, c, g, mass = (x[i].to_numpy() for i in ("u", "w", "c", "g", "mass"))
+            n, none = drawn(u.view(np.uint64), w.view(np.uint64), c, g, mass), np.zeros(2 * len(u), np.int64)
+            tu, tw = none.copy(), none
+            tu[: len(u)], tw[len(u) :] = n, n
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([u, w])), pa.array(tu), pa.array(tw)], ["key", "tu", "tw"])
+
+    schema = "key long, tu long, tw long"
+    if params is None:
+        far = far.withColumns({"g": F.lit(1.0), "mass": F.lit(1.0)})
+    else:
+        far = far.join(params.select(F.col("key").alias("u"), "g"), "u").join(params.select(F.col("key").alias("w"), "mass"), "w")
+    both = near.mapInArrow(of_near, schema).unionAll(far.select("u", "w", "c", "g", "mass").mapInArrow(of_far, schema))
+    return both.groupBy("key").agg(F.sum("tu").alias("tu"), F.sum("tw").alias("tw"))
+
+
+def _params(words: DataFrame, sums: DataFrame, g: float, outcomes: int, sweep: int) -> DataFrame:
+    """Words with the parent's tables and the variates of the next sweep."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in _gathered(batches):
+            key, tables, customers = _unsigned(x["key"]), x["tables"].to_numpy(), x["customers"].to_numpy()
+            t0, mass, gu = root_step(key, customers, tables, g, outcomes, 16 * sweep + 7)
+            cols = [x["key"], x["top"], x["tables"], x["customers"], pa.array(t0), pa.array(mass), pa.array(gu)]
+            yield from pa.table([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in cols], names=names).to_batches()
+
+    names = ["key", "top", "tables", "customers", "t0", "mass", "g"]
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    d = words.join(sums, "key", "left").select("key", "top", (F.col("su") + zero("tu")).alias("tables"), (F.col("sw") + zero("tw")).alias("customers"))
+    return d.mapInArrow(run, "key long, top boolean, tables long, customers long, t0 double, mass double, g double")
+
+
+@dataclass
+class Model:
+    """Counts of pairs by part, words with their counts and the parameters of the kept sweeps, and sums."""
+
+    pairs: list[DataFrame]
+    words: DataFrame
+    tokens: int
+    known: int
+    #: New-table probability of the unseen word in each kept sweep.
+    unseen: list[float]
+    roots: list[Root]
+
+
+def train(src: DataFrame, burn_in: int = BURN_IN, sweeps: int = SWEEPS, seed: int = 0) -> Model:
+    """Counts the pairs of ``src`` (text, held_out) and samples the seating of its training texts."""
+    spark = src.sparkSession
+    pairs = [written(pair_counts(src, p), f"pairs{p}") for p in range(PASSES)]
+    every = reduce(DataFrame.unionAll, pairs)
+    one = F.col("c") == 1
+    side = lambda key, w, u: F.struct(F.col(key).alias("key"), *(F.when(F.lit(on), x).otherwise(0).cast("long").alias(n) for on, x, n in ((w, F.col("c"), "cw"), (w, one.cast("int"), "sw"), (u, F.col("c"), "cu"), (u, one.cast("int"), "su"))))
+    sides = every.where("c > 0").select(F.inline(F.array(side("w", True, False), side("u", False, True))))
+    words = written(sides.groupBy("key").agg(*(F.sum(x).alias(x) for x in ("cw", "sw", "cu", "su"))), "words")
+    n_all, v_all = words.agg(F.coalesce(F.sum("cw"), F.lit(0)), F.count_if(F.col("cw") > 0)).first()
+    outcomes = int(v_all) + 1
+
+    sent, top = _held(most_frequent(words.select("key", "cw"), "cw", WORDS), "key", ["cw"])
+    many = every.where("c > 1")
+    near, far = written(_by_both(many, top, True), "near"), written(_by_both(many, top, False), "far")
+    held = spark.createDataFrame(pa.table({"key": np.sort(sent.value[0]).view(np.int64)})) if len(sent.value[0]) else words.select("key").limit(0)
+    marked = written(words.join(held.withColumn("top", F.lit(True)), "key", "left").withColumn("top", F.coalesce("top", F.lit(False))), "words")
+    order = sent.value[0]
+
+    rng = np.random.default_rng(seed)
+    params, root, kept = None, None, []
+    for i in range(-1, burn_in + sweeps):
+        sums = _sums(near, far, params, top, root, i + 1 + 1000 * seed)
+        now = written(_params(marked, sums, root.g if root else float(outcomes), outcomes, i + 1 + 1000 * seed), "params")
+        s = now.agg(*(F.coalesce(F.sum(x), F.lit(0.0)).cast("double") for x in ("t0", "customers", "mass"))).first()
+        new = Root(s[0], s[1], s[2], outcomes).drawn(rng)
+        if i >= burn_in:
+            # g and mass are those the sweep's tables were drawn with; tables and customers what came of them
+            before, after = params.select("key", "g", (F.col("mass") * F.lit(1.0)).alias("mass")), now.select("key", "tables", "customers", "t0")
+            kept.append((written(before.join(after, "key"), "kept"), root, new))
+        if params is not None:
+            dropped(params)
+        params, root = now, new
+        if i + 1 < burn_in + sweeps:
+            again, top = _held(_placed(params.where("top"), order), "key", ["g", "mass"])
+            sent.unpersist()
+            sent = again
+    sent.unpersist()
+    dropped(params, near, far)
+
+    row = []
+    for i, (df, old, new) in enumerate(kept):
+        g0 = (F.col("mass") + old.rest / outcomes) / (old.mass + old.rest)
+        p = new.predictive(F.col("customers"), F.col("t0"))
+        row.append(df.select("key", F.struct(F.lit(i).alias("i"), (F.lit(DISCOUNT) * F.col("g")).alias("g"), g0.alias("q"), (STRENGTH + DISCOUNT * F.col("tables")).alias("back"), p.alias("p")).alias("s")))
+    terms = reduce(DataFrame.unionAll, row).groupBy("key").agg(F.array_sort(F.collect_list("s")).alias("s"))
+    field = lambda n: F.transform("s", lambda x: x[n].cast("float")).alias(n)
+    model = written(marked.join(terms, "key").select("key", "top", "cw", (F.col("cu") + STRENGTH).cast("double").alias("size"), *(field(n) for n in ("g", "q", "back", "p"))), "model")
+    dropped(words, marked, *(df for df, _, _ in kept))
+    new = [r for _, _, r in kept]
+    return Model(pairs, model, int(n_all), int(v_all), [r.predictive(0.0, 0.0) for r in new], new)
+
+
+def _placed(df: DataFrame, order: np.ndarray) -> DataFrame:
+    """The rows of a bounded table in the order of the hashes ``order``."""
+    at = pa.table({"key": order.view(np.int64), "_at": np.arange(len(order))})
+    return df.join(F.broadcast(df.sparkSession.createDataFrame(at)), "key").orderBy("_at") if len(order) else df
+
+
+def _terms(model: Model, pairs: DataFrame, top) -> DataFrame:
+    """``(k, cw, lp)`` of every pair: its hash, the word's training count, and log10 of its averaged probability."""
+    unseen = np.array(model.unseen)
+
+    def chances(c, size, g, q, back, p) -> np.ndarray:
+        total = back * p
+        some = np.flatnonzero(c > 1)
+        if len(some):
+            seats = Seats(c[some])
+            t = np.stack([seats.mean(g[some, i].astype(float) * q[some, i]) for i in range(g.shape[1])], 1)
+            total[some] += c[some, None] - DISCOUNT * t
+        total[c == 1] += 1 - DISCOUNT
+        return np.log10(total.mean(axis=1) / size)
+
+    def out(u, w, cw, lp) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(_pair(u, w).view(np.int64)), pa.array(cw), pa.array(lp.astype(np.float32))], ["k", "cw", "lp"])
+
+    def of_near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = top()
+        for x in _gathered(batches):
+            u, w, c = (x[i].to_numpy() for i in ("u", "w", "c"))
+            of = t.columns
+            yield out(t.key[u], t.key[w], of["cw"][w], chances(c, of["size"][u], of["g"][u], of["q"][w], of["back"][u].astype(float), of["p"][w].astype(float)))
+
+    def of_far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in _gathered(batches):
+            u, w, c, size, cw = (x[i].to_numpy() for i in ("u", "w", "c", "size", "cw"))
+            wide = lambda i: x[i].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(u), -1).astype(float)
+            yield out(u.view(np.uint64), w.view(np.uint64), cw, chances(c, size, wide("g"), wide("q"), wide("back"), wide("p")))
+
+    schema = "k long, cw long, lp float"
+    # a context or word that training has not: the parent alone, or the unseen word
+    floats = lambda v: F.array(*(F.lit(float(x)).cast("float") for x in v))
+    none = np.full(len(unseen), STRENGTH)
+    by_u = model.words.select(F.col("key").alias("u"), "size", "g", "back")
+    by_w = model.words.where("cw > 0").select(F.col("key").alias("w"), "cw", "q", "p")
+    far = _by_both(pairs, top, False).join(by_u, "u", "left").join(by_w, "w", "left")
+    far = far.select("u", "w", "c", F.coalesce("size", F.lit(STRENGTH)).alias("size"), F.coalesce("cw", F.lit(0)).cast("long").alias("cw"), F.coalesce("g", floats(none)).alias("g"), F.coalesce("q", floats(unseen)).alias("q"), F.coalesce("back", floats(none)).alias("back"), F.coalesce("p", floats(unseen)).alias("p"))
+    return _by_both(pairs, top, True).mapInArrow(of_near, schema).unionAll(far.mapInArrow(of_far, schema))
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 0) -> DataFrame:
     """``(id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` for every row of ``docs``.
 
     Learns from rows whose crc32(id as text) mod 7 is not 2. Tokens are words
     between white space, A-Z lower-cased, and one end. ``base_score`` is that of
     add-one unigrams, ``score`` the model's log10 probability. Null and empty
-    texts are the end alone. Repeated rows each count and give a row each. With
-    no training rows every token is unknown; an empty table gives no rows.
-    ``classes`` has no effect: every word is a context and a dish of its own.
+    texts are the end alone; a null id is not held out. Repeated rows each count
+    and give a row each. With no training rows every token is unknown; an empty
+    table gives no rows. Other columns are ignored.
     """
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     src = src.withColumn("held_out", F.expr("coalesce(crc32(cast(id as string)) % 7 = 2, false)"))
-    model, n_all, v_all = terms(src, seed=seed)
-
-    top = _most_frequent(model, frequent).select("u", "w", "cw", "lp").toArrow()
-    top_u, top_w = (top[x].to_numpy().view(np.uint64) for x in ("u", "w"))
-    key = B.mix(B.mix(top_u, 1) + top_w, 2)
-    order = np.argsort(key)
+    # rows equal in id and text score alike, so their hash may stand for them
+    src = src.withColumn("row", F.xxhash64("id", "text"))
+    model = train(src, seed=seed)
+    n_all, v_all = model.tokens, model.known
+
+    words_sent, words_top = _held(model.words.where("top and cw > 0"), "key", ["cw", "size", "g", "q", "back", "p"])
+    most = written(most_frequent(reduce(DataFrame.unionAll, model.pairs), "c", FREQUENT).select("u", "w", "c"), "frequent")
+    pairs_sent, pairs_top = _held(_terms(model, most, words_top), "k", ["cw", "lp"])
     base_of = lambda c: np.log10((c + 1) / (n_all + v_all + 1))
-    held = spark.sparkContext.broadcast((key[order], base_of(top["cw"].to_numpy())[order], top["lp"].to_numpy()[order].astype(float)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each text with what its frequent pairs give, and a row for each other pair and text.
-
-        The former have their number for a pair, which no pair matches, so that one join serves both.
-        """
-        keys, base, chance = held.value
-        row = TaskContext.get().partitionId() << 33
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
+    def missed(part: int) -> DataFrame:
+        """``(k, row, n)`` of the pairs of a part whose terms tasks do not hold; in part 0 also each text's sums over the others, with a null k."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            t = pairs_top()
+            base, chance = base_of(t.columns["cw"]), t.columns["lp"].astype(float)
+            for batch in B.slices(batches, 0, rows=500):
                 n = batch.num_rows
-                h, first = _tokens(batch.column(1))
-                u, k = _pairs(h, first)
-                place = _places(k, keys)
-                hit = place >= 0
+                row = batch.column(1).to_numpy()
+                h, first = _tokens(batch.column(0))
+                _, k = _pairs(h, first)
+                place = t.find(k)
                 doc = np.repeat(np.arange(n), np.diff(first))
-                sums = [np.bincount(doc[hit], x[place[hit]] if hit.any() else [], minlength=n).astype(float) for x in (base, chance)]
-                known = np.bincount(doc[hit], minlength=n)
-                ids = row + np.arange(n)
-                row += n
-                yield pa.RecordBatch.from_arrays([pa.array(ids), batch.column(0), batch.column(2), pa.array(ids), pa.array(ids), pa.array(np.diff(first)), pa.array(known.astype(np.int64)), *map(pa.array, sums)], names)
-                miss = np.flatnonzero(~hit)
+                if part == 0:
+                    hit = place >= 0
+                    sums = [np.bincount(doc[hit], x[place[hit]] if hit.any() else [], minlength=n).astype(float) for x in (base, chance)]
+                    known = np.bincount(doc[hit], t.columns["cw"][place[hit]] > 0 if hit.any() else [], minlength=n).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array(row), pa.array(np.diff(first)), pa.array(known), *map(pa.array, sums)], names)
+                miss = np.flatnonzero((place < 0) & (_part(k) == part))
                 if len(miss):
-                    both = np.rec.fromarrays([k[miss], doc[miss]], names="k,d")
-                    both, some, times = np.unique(both, return_index=True, return_counts=True)
-                    some, m = miss[some], len(both)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[both["d"]]), pa.nulls(m, pa.int64()), pa.nulls(m, pa.bool_()), pa.array(u[some].view(np.int64)), pa.array(h[some].view(np.int64)), pa.array(times.astype(np.int64)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64())], names)
-
-    names = ["row", "id", "held_out", "u", "w", "n", "known", "base", "total"]
-    parts = src.select("id", "text", "held_out").mapInArrow(run, "row long, id long, held_out boolean, u long, w long, n long, known long, base double, total double")
-    found = parts.join(model.select("u", "w", "cw", "lp"), ["u", "w"], "left")
-    is_text, n = F.col("known").isNotNull(), F.col("n")
+                    both, times = np.unique(np.rec.fromarrays([doc[miss], k[miss]], names="d,k"), return_counts=True)
+                    m = len(both)
+                    nothing = pa.nulls(m, pa.float64())
+                    yield pa.RecordBatch.from_arrays([pa.array(both["k"].view(np.int64)), pa.array(row[both["d"]]), pa.array(times.astype(np.int64)), pa.nulls(m, pa.int64()), nothing, nothing], names)
+
+        names = ["k", "row", "n", "known", "base", "total"]
+        return src.select("text", "row").mapInArrow(run, "k long, row long, n long, known long, base double, total double")
+
+    n, cw = F.col("n"), F.col("cw")
+    done = []
+    for p in range(PASSES):
+        rows = missed(p)
+        found = rows.where("k is not null").select("k", "row", "n").join(_terms(model, model.pairs[p], words_top), "k")
+        sums = found.groupBy("row").agg(F.lit(0).cast("long").alias("m"), F.lit(0).cast("long").alias("n_tokens"), F.sum(F.when(cw > 0, n).otherwise(0)).alias("known"), F.sum(n * F.log10((cw + 1) / F.lit(float(n_all + v_all + 1)))).alias("base"), F.sum(n * F.col("lp").cast("double")).alias("total"))
+        done.append(written(sums, f"scores{p}"))
+        if p == 0:
+            own = rows.where("k is null").groupBy("row").agg(F.count("*").alias("m"), F.sum("n").alias("n_tokens"), F.sum("known").alias("known"), F.sum("base").alias("base"), F.sum("total").alias("total"))
+            done.append(written(own, "scores"))
+        dropped(model.pairs[p])
+    dropped(most, model.words)
+    words_sent.unpersist()
+    pairs_sent.unpersist()
+    by = reduce(DataFrame.unionAll, done).groupBy("row").agg(*(F.sum(x).alias(x) for x in ("m", "n_tokens", "known", "base", "total")))
+    each = lambda x: (F.col(x) / F.col("m")).cast("long")
     return (
-        found.groupBy("row")
-        .agg(
-            F.max("id").alias("id"),
-            F.max("held_out").alias("held_out"),
-            F.sum(F.when(is_text, n)).alias("n_tokens"),
-            F.sum(F.when(is_text, F.col("known")).when(F.col("cw") > 0, n).otherwise(0)).alias("n_known"),
-            F.lit(int(n_all)).cast("long").alias("train_tokens"),
-            F.sum(F.when(is_text, F.col("base")).otherwise(n * F.log10((F.col("cw") + 1) / F.lit(float(n_all + v_all + 1))))).alias("base_score"),
-            F.sum(F.when(is_text, F.col("total")).otherwise(n * F.col("lp").cast("double"))).alias("score"),
-        )
-        .drop("row")
+        src.select("row", "id", "held_out")
+        .join(by, "row")
+        .select("id", "held_out", each("n_tokens").alias("n_tokens"), each("known").alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"), (F.col("base") / F.col("m")).alias("base_score"), (F.col("total") / F.col("m")).alias("score"))
     )
 
 
 def perplexity(scored: DataFrame) -> DataFrame:
-    """Perplexity of the model and of the base by fold."""
+    """``(held_out, perplexity, base_perplexity, n_tokens)``: of the model and of the base, by fold."""
     per = lambda x: F.pow(F.lit(10.0), -F.sum(x) / F.sum("n_tokens"))
     return scored.groupBy("held_out").agg(per("score").alias("perplexity"), per("base_score").alias("base_perplexity"), F.sum("n_tokens").alias("n_tokens"))
 
 
 def op4_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scores of all ``documents``."""
     return score(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
