@@ -10,8 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Only used by local sessions that name no shared folder, as in tests.
 LOCAL_CHECKPOINTS = "file:///tmp/checkpoints"
-#: Spark's own setting: a query's shuffle files go when it has ended.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Spark's settings while a table is written: a query's shuffle files go when it has ended, and what is sent to Python at once is small.
+WRITING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
+}
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -53,14 +57,16 @@ def _folder(spark: SparkSession) -> str:
 
 
 @contextmanager
-def _cleaned(spark: SparkSession) -> Iterator[None]:
-    """Within, the shuffle files of each query that ends are removed rather than when the driver collects garbage."""
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+def _writing(spark: SparkSession) -> Iterator[None]:
+    """The session's settings of ``WRITING`` within, and as they were after."""
+    before = {k: spark.conf.get(k, None) for k in WRITING}
     try:
+        for k, v in WRITING.items():
+            spark.conf.set(k, v)
         yield
     finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -71,7 +77,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     the application.
     """
     path = f"{_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    with _cleaned(df.sparkSession):
+    with _writing(df.sparkSession):
         df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
