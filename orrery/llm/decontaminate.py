@@ -8,13 +8,17 @@ words of every confirmed window are hit. Items of fewer than 13 words are
 looked up whole.
 
 The benchmark is the query set: it is read in blocks of bounded size, and all
-documents pass each block. Documents are neither shuffled nor joined.
+documents pass each block. With one block documents are neither shuffled nor
+joined; with several, each but the last gives only the words and items it hits,
+which are joined to the documents at the end. Windows are compared by a 64-bit
+hash of their words.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -127,36 +131,52 @@ def _blocks(bench: DataFrame, id_col: str, text_col: str, limit: int) -> Iterato
         yield block
 
 
-def _pass(docs: DataFrame, index: Broadcast, last: bool) -> DataFrame:
-    """Adds a block's hits: ``_hit`` has a byte for each eight words, ``_items`` the items; the last pass sums up."""
-    out = ["id", "n_words", "n_hit", "n_items", "items_sha256", "spans"] if last else ["id", "text", "_hit", "_items"]
+def _mark(index: Index | None, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, dict[int, set[str]]]:
+    """Whether each word is hit, and the items of each text that has some."""
+    if index is None:
+        return np.zeros(len(h), bool), {}
+    start, span, item = index.hits(h, first)
+    edge = np.zeros(len(h) + 1, np.int64)
+    np.add.at(edge, start, 1)
+    np.add.at(edge, start + span, -1)
+    items: dict[int, set[str]] = {}
+    if len(start):
+        for d, i in np.unique(np.stack([B.owner(start, first), item], 1), axis=0).tolist():
+            items.setdefault(d, set()).add(index.ids[i])
+    return np.cumsum(edge[:-1]) > 0, items
+
+
+def _found(docs: DataFrame, index: Broadcast) -> DataFrame:
+    """``(row, hit, items)`` of the texts (columns text, row) that a block hits: a bit for each word, and the items."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("decontaminate")
+        for batch in B.slices(batches, 0, rows=2000):
+            h, first = B.words(batch.column(0), B.PUNCT)
+            hit, items = _mark(index.value, h, first)
+            some = sorted(items)
+            bits = [np.packbits(hit[first[d] : first[d + 1]]).tobytes() for d in some]
+            yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(some, pa.int64())), pa.array(bits, pa.binary()), pa.array([sorted(items[d]) for d in some], pa.list_(pa.string()))], ["row", "hit", "items"])
+
+    return docs.select("text", "row").mapInArrow(run, "row long, hit binary, items array<string>")
+
+
+def _summed(docs: DataFrame, index: Broadcast) -> DataFrame:
+    """The results of ``docs`` (id, text, hits, items) by a block's hits and those found before."""
+    out = ["id", "n_words", "n_hit", "n_items", "items_sha256", "spans"]
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ix: Index = index.value
         h, first = B.words(batch.column(1), B.PUNCT)
-        start, span, item = ix.hits(h, first) if ix else (np.empty(0, np.int64),) * 3
-        edge = np.zeros(len(h) + 1, np.int64)
-        np.add.at(edge, start, 1)
-        np.add.at(edge, start + span, -1)
-        hit = np.cumsum(edge[:-1]) > 0
-        doc = B.owner(start, first)
-        pairs = np.unique(np.stack([doc, item], 1), axis=0) if len(doc) else np.empty((0, 2), np.int64)
-        items: list[set[str]] = [set(x) for x in batch.column(3).to_pylist()]
-        for d, i in pairs.tolist():
-            items[d].add(ix.ids[i])
-        before = batch.column(2).to_pylist()
+        hit, found = _mark(index.value, h, first)
         n = np.diff(first)
-        for d in np.flatnonzero([bool(x) for x in before]).tolist():
-            hit[first[d] : first[d + 1]] |= np.unpackbits(np.frombuffer(before[d], np.uint8), count=int(n[d])).astype(bool)
-        some = np.zeros(len(n), bool)
-        some[B.owner(np.flatnonzero(hit), first)] = True
-        if not last:
-            bits = [np.packbits(hit[a:b]).tobytes() if s else b"" for a, b, s in zip(first[:-1], first[1:], some)]
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits, pa.binary()), pa.array([sorted(x) for x in items], pa.list_(pa.string()))], out)
+        items = [found.get(i, set()) | set(x or ()) for i, x in enumerate(batch.column(3).to_pylist())]
+        for d, before in enumerate(batch.column(2).to_pylist()):
+            for bits in before or ():
+                hit[first[d] : first[d + 1]] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=int(n[d])).astype(bool)
         total = np.concatenate([[0], np.cumsum(hit)])
         spans = []
-        for a, b, s in zip(first[:-1].tolist(), first[1:].tolist(), some.tolist()):
-            runs = np.flatnonzero(np.diff(np.concatenate([[0], hit[a:b].astype(np.int8), [0]]))) if s else np.empty(0, np.int64)
+        for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
+            runs = np.flatnonzero(np.diff(np.concatenate([[0], hit[a:b].astype(np.int8), [0]]))) if total[b] > total[a] else np.empty(0, np.int64)
             spans.append([{"start": int(x), "end": int(y)} for x, y in zip(runs[::2], runs[1::2])])
         return pa.RecordBatch.from_arrays(
             [
@@ -164,7 +184,7 @@ def _pass(docs: DataFrame, index: Broadcast, last: bool) -> DataFrame:
                 pa.array(n.astype(np.int64)),
                 pa.array(total[first[1:]] - total[first[:-1]]),
                 pa.array([len(x) for x in items], pa.int64()),
-                pa.array([hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items]),
+                pa.array([hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items], pa.string()),
                 pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
             ],
             out,
@@ -172,12 +192,9 @@ def _pass(docs: DataFrame, index: Broadcast, last: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only("decontaminate")
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                yield one(batch.slice(at, 2000))
+        yield from map(one, B.slices(batches, 1, rows=2000))
 
-    schema = "id long, n_words long, n_hit long, n_items long, items_sha256 string, spans array<struct<start:long,end:long>>"
-    return docs.mapInArrow(run, schema if last else "id long, text string, _hit binary, _items array<string>")
+    return docs.select("id", "text", "hits", "items").mapInArrow(run, "id long, n_words long, n_hit long, n_items long, items_sha256 string, spans array<struct<start:long,end:long>>")
 
 
 def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -192,18 +209,28 @@ def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     empty benchmark hits nothing.
     """
     sc = docs.sparkSession.sparkContext
-    d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.lit(b"").alias("_hit"), F.array().cast("array<string>").alias("_items"))
+    d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    # rows equal in id and text have equal hits, so their hash may stand for them
+    row = d.withColumn("row", F.xxhash64("id", "text"))
+    found: list[DataFrame] = []
     held: Index | None = None
     for block in _blocks(bench, item_col, item_text, block_bytes):
         if held is not None:
-            d = written(_pass(d, sc.broadcast(held), False), "decontaminate")
+            found.append(written(_found(row, sc.broadcast(held)), "hits"))
         held = Index(block)
-    d = _pass(d, sc.broadcast(held), True)
+    if found:
+        # as many distinct values for a row as there are blocks, however often a document is repeated
+        by = reduce(DataFrame.unionAll, found).groupBy("row").agg(F.collect_set("hit").alias("hits"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
+        d = row.join(by, "row", "left")
+    else:
+        d = d.withColumns({"hits": F.array().cast("array<binary>"), "items": F.array().cast("array<string>")})
+    d = _summed(d, sc.broadcast(held))
     flag = (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
     return d.select("id", "n_words", "n_hit", "n_items", "items_sha256", flag.alias("contaminated"), "spans")
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark hits of all ``documents``."""
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.drop("spans").withColumnRenamed("id", "doc_id")
 

@@ -4,8 +4,11 @@ Tokens are runs of visible characters, lower-cased; ideographs and kana stand
 alone and longer runs are cut. A run of five tokens is chosen where the least
 hash of its four inner pairs is that of its first or last pair. Whether it is
 chosen depends on its own tokens alone, so shared stretches of two texts choose
-the same anchors wherever they lie. A fingerprint is the bottom of the sorted
-hashes of the chosen runs.
+the same anchors wherever they lie. A fingerprint is the hashes of all chosen
+runs in the order of the text, 32 bits each; an anchor is such a hash and its
+place, so texts are compared by the runs they share and by those they share at
+the same place. A text that chooses none is anchored at its pairs of tokens, or
+at its only token.
 """
 
 from __future__ import annotations
@@ -18,9 +21,8 @@ from pyspark.sql import functions as F
 
 from orrery.llm.tables import table
 
-KEPT = 64
 TOKEN = r"[぀-ヿ㐀-鿿가-힯]|[^\s぀-ヿ㐀-鿿가-힯]{1,24}"
-#: Rows of one window bucket, and buckets, at most about; beyond, buckets grow.
+#: Rows of one window bucket, and buckets, at most about; beyond, buckets grow, and what a task cannot hold of one it spills.
 BUCKET_ROWS, BUCKETS, FAN = 1500, 1 << 14, 128
 
 
@@ -53,23 +55,30 @@ def anchors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return w.where(_closed(F.col("x"))).select("id", "pos", _gram(F.col("x")).alias("gram"))
 
 
-def with_sketch(df: DataFrame, text: str, to: str, kept: int = KEPT) -> DataFrame:
-    """Adds ``to``: the ``kept`` least hashes of the chosen runs, ascending; a text that chooses none is hashed whole."""
+def with_anchors(df: DataFrame, text: str, to: str) -> DataFrame:
+    """Adds ``to``: the chosen runs in order, each as 32 bits of its hash above its place."""
     d = _pairs(df, text, "_m")
-    d = d.withColumn("_g", F.transform(F.filter(_windows(F.col("_m")), _closed), _gram))
-    whole = F.when(F.size("_m_t") == 0, F.array().cast("array<bigint>")).otherwise(F.array(F.xxhash64(F.col("_m_t"))))
-    d = d.withColumn("_g", F.when(F.size("_g") == 0, whole).otherwise(F.col("_g")))
-    return d.withColumn(to, F.slice(F.sort_array(F.array_distinct("_g")), 1, kept)).drop("_g", "_m", "_m_t")
+    anchor = lambda g, i: F.shiftleft(g.bitwiseAND(F.lit(0xFFFFFFFF)), 32).bitwiseOR(i.cast("long"))
+    chosen = F.transform(_windows(F.col("_m")), lambda x, i: F.when(_closed(x), anchor(_gram(x), i)))
+    d = d.withColumn("_g", F.filter(chosen, lambda x: x.isNotNull()))
+    fewer = F.transform(F.when(F.size("_m") > 0, F.col("_m")).otherwise(F.col("_m_t")), anchor)
+    return d.withColumn(to, F.when(F.size("_g") > 0, F.col("_g")).otherwise(fewer)).drop("_g", "_m", "_m_t")
 
 
-def likeness(a: str, b: str, kept: int = KEPT) -> Column:
-    """Estimated similarity of the chosen runs: of the least of both sketches, the share that both hold. Two empty ones are alike."""
-    both = F.slice(F.sort_array(F.array_union(a, b)), 1, kept)
-    return F.when(F.size(both) == 0, 1.0).otherwise(F.size(F.array_intersect(both, F.array_intersect(a, b))) / F.size(both))
+def runs(anchors: str) -> Column:
+    """The hashes of anchors in order."""
+    return F.transform(anchors, lambda x: F.shiftrightunsigned(x, 32))
 
 
-def printed(sketch: str) -> Column:
-    return F.array_join(F.transform(sketch, lambda x: F.lower(F.lpad(F.hex(x), 16, "0"))), "")
+def likeness(a: Column, b: Column) -> Column:
+    """Of the distinct runs of either, the share that both have. Two empty sets are alike."""
+    both = F.size(F.array_intersect(a, b))
+    either = F.size(F.array_distinct(a)) + F.size(F.array_distinct(b)) - both
+    return F.when(either == 0, 1.0).otherwise(both / either)
+
+
+def printed(anchors: str) -> Column:
+    return F.array_join(F.transform(anchors, lambda x: F.lower(F.lpad(F.hex(F.shiftrightunsigned(x, 32)), 8, "0"))), "")
 
 
 def with_bucket(df: DataFrame, key: str) -> tuple[DataFrame, int]:
@@ -101,7 +110,8 @@ def with_next(df: DataFrame, key: str, columns: list[str], prepare=lambda d: d)
     order = [key, *columns]
     w = Window.partitionBy("_bucket").orderBy(*order)
     heads = prepare(dealt.where("_opens")).groupBy(((F.col("_bucket") + n - 1) % n).alias("_bucket")).agg(F.min(F.struct(*order)).alias("_head"))
-    d = prepare(dealt.drop("_opens")).withColumn("_lead", F.lead(F.struct(*order)).over(w))
+    # rows are dealt before they are prepared, so that only ``df`` is shuffled
+    d = prepare(dealt.drop("_opens").repartition("_bucket")).withColumn("_lead", F.lead(F.struct(*order)).over(w))
     d = d.join(heads, "_bucket", "left")
     for c in columns:
         d = d.withColumn(f"next_{c}", F.coalesce(F.col("_lead"), F.col("_head"))[c])
@@ -109,30 +119,36 @@ def with_next(df: DataFrame, key: str, columns: list[str], prepare=lambda d: d)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next)``.
+    """``(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_anchors, n_in_place)``.
 
     Every text is compared with its edited text, whose last quarter (code points,
     rounded down) gives way to as much of the next text's begin, and with the
-    next text. Null texts are empty; an empty text has an empty fingerprint, like
-    only to another empty one. Repeated rows give a row each; other columns are
-    ignored; an empty table gives an empty result.
+    next text: by the share of distinct chosen runs that both have. ``n_in_place``
+    counts the anchors that text and edited text have at the same place. Null
+    texts are empty; an empty text has an empty fingerprint, like only to another
+    empty one. Rows that share an id follow each other in the order of their
+    texts; repeated rows give a row each; a null id comes first; other columns
+    are ignored; an empty table gives an empty result.
     """
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    d = with_next(src, "doc_id", ["text", "sketch"], lambda x: with_sketch(x, "text", "sketch"))
+    d = with_next(src, "doc_id", ["text", "anchors"], lambda x: with_anchors(x, "text", "anchors"))
     n = F.char_length("text")
     cut = F.floor(n / 4).cast("int")
-    d = d.select("doc_id", n.cast("long").alias("n_chars"), "sketch", "next_sketch", F.concat(F.substring("text", F.lit(1), n - cut), F.substring("next_text", F.lit(1), cut)).alias("edited"))
-    d = with_sketch(d, "edited", "edited_sketch")
+    d = d.select("doc_id", n.cast("long").alias("n_chars"), "anchors", "next_anchors", F.concat(F.substring("text", F.lit(1), n - cut), F.substring("next_text", F.lit(1), cut)).alias("edited"))
+    d = with_anchors(d, "edited", "edited_anchors")
     return d.select(
         "doc_id",
         "n_chars",
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        printed("sketch").alias("fingerprint"),
-        printed("edited_sketch").alias("edited_fingerprint"),
-        likeness("sketch", "edited_sketch").alias("near_edited"),
-        likeness("sketch", "next_sketch").alias("near_next"),
+        printed("anchors").alias("fingerprint"),
+        printed("edited_anchors").alias("edited_fingerprint"),
+        likeness(runs("anchors"), runs("edited_anchors")).alias("near_edited"),
+        likeness(runs("anchors"), runs("next_anchors")).alias("near_next"),
+        F.size("anchors").cast("long").alias("n_anchors"),
+        F.size(F.array_intersect("anchors", "edited_anchors")).cast("long").alias("n_in_place"),
     )
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all ``documents`` and of their edited texts."""
     return fingerprints(table(spark, sf_dir, "documents"))

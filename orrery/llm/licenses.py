@@ -118,28 +118,33 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_c
     on the licence of the nearest directory above, itself included, that holds a
     licence file with one; of several files there the first by path, then id,
     speaks. ``inherited_from`` names that directory. Null texts and paths have no
-    headers and no directory; repeated rows give a row each.
+    headers and no directory; rows are judged each by their own text, also where
+    ids or paths repeat; other columns are ignored; an empty table gives no rows.
+    Ties go to the first licence by name.
     """
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.col(path_col).cast("string").alias("path"))
     is_file = F.coalesce(F.col("path").rlike(LICENSE_FILE), F.lit(False))
     tidy = lambda x: F.trim(F.regexp_replace(F.lower(x), r"\s+", " "))
     lines = F.transform(F.filter(F.split("text", "\n"), lambda x: x.rlike(HEADER)), tidy)
-    has = F.col("text").rlike(HEADER)
-    units = F.when(has, F.concat(lines, F.array_except(blocks(F.col("text"), tidy), lines), F.when(is_file, F.array(tidy(F.col("text")))).otherwise(F.array().cast("array<string>")))).otherwise(lines)
-    known = written(src.select("doc_id", "path", is_file.alias("is_file"), units.alias("units"), F.size(lines).cast("long").alias("n_headers")), "headers")
+    none = F.array().cast("array<string>")
+    headers = F.when(F.col("text").rlike(HEADER), F.array_union(lines, blocks(F.col("text"), tidy))).otherwise(none)
+    whole = F.when(is_file & (F.trim("text") != ""), F.array(tidy(F.col("text")))).otherwise(none)  # whatever its words
+    # rows have numbers of their own, since ids and paths may repeat; once written they stay
+    numbered = src.select(F.monotonically_increasing_id().alias("row"), "doc_id", "path", is_file.alias("is_file"), F.array_union(headers, whole).alias("units"), F.size(lines).cast("long").alias("n_headers"))
+    known = written(numbered, "headers")
     each = known.select(F.explode("units").alias("line")).groupBy(F.md5("line").alias("unit")).agg(F.min("line").alias("line"), F.count("*").alias("n"))
     each = written(each, "units")
     templates = spark.createDataFrame(TEMPLATE_LINES, "license string, line string")
     tagged = F.col("line").rlike(SPDX)
     scored = cosines(each.where(~tagged), templates).where(F.col("cosine") >= least)
     scored = written(scored.unionByName(tags(each)), "cosines")
-    hits = known.where(F.size("units") > 0).select("doc_id", "path", F.explode(F.transform("units", lambda x: F.md5(x))).alias("unit")).join(scored, "unit")
-    own = hits.groupBy("doc_id", "path").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("b"))
-    own = own.select("doc_id", F.coalesce("path", F.lit("")).alias("key"), F.col("b.license").alias("own_license"), (-F.col("b.c")).alias("own_cosine"))
+    hits = known.where(F.size("units") > 0).select("row", F.explode(F.transform("units", lambda x: F.md5(x))).alias("unit")).join(scored, "unit")
+    own = hits.groupBy("row").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("b"))
+    own = own.select("row", F.col("b.license").alias("own_license"), (-F.col("b.c")).alias("own_cosine"))
     folder = F.when(F.col("path").contains("/"), F.regexp_extract("path", r"^(.*)/[^/]*$", 1)).when(F.col("path").isNotNull(), F.lit(""))
     own = written(own, "licenses")
-    full = known.select("doc_id", "n_headers", "is_file", F.coalesce("path", F.lit("")).alias("key"), folder.alias("dir")).join(own, ["doc_id", "key"], "left")
+    full = known.select("row", "doc_id", "n_headers", "is_file", F.coalesce("path", F.lit("")).alias("key"), folder.alias("dir")).join(own, "row", "left")
     said = full.where("is_file and own_license is not null").groupBy("dir").agg(F.min(F.struct("key", "doc_id", "own_license")).alias("f")).select(F.col("dir").alias("above"), F.col("f.own_license").alias("dir_license"))
     parts = F.split("dir", "/")
     above = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
@@ -164,4 +169,5 @@ def document_paths(docs: DataFrame) -> DataFrame:
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licences of all ``documents``, read as files."""
     return scan(document_paths(table(spark, sf_dir, "documents")))

@@ -36,8 +36,10 @@ SLICE = 1 << 17  # shingles worked on at once
 BLOCK_SHINGLES, BLOCK_TEXTS = 1 << 20, 1024
 #: Blocks of a group beyond which its band buckets are compared one by one.
 MOST_BLOCKS = 24
-#: Places of texts that a broadcast may hold; more are joined by a shuffle.
-BROADCAST_TEXTS = 1_000_000
+#: Places of texts that a broadcast may hold, and their bytes; more are joined by a shuffle.
+BROADCAST_TEXTS, BROADCAST_BYTES = 200_000, 32 << 20
+#: Bytes of sets in one batch.
+SENT_BYTES = 16 << 20
 
 
 def bands_for(similarity: float, rows: int = ROWS_PER_BAND, miss: float = MISS) -> int:
@@ -116,7 +118,7 @@ def signatures(docs: DataFrame, similarity: float, k: int = 5, id_col: str = "do
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only("near_dedup")
-        for batch in (whole.slice(at, 1000) for whole in batches for at in range(0, whole.num_rows, 1000)):
+        for batch in B.slices(batches, 1):
             g, begin = shingle_sets(batch.column(1), k)
             n = np.diff(begin)
             some = np.flatnonzero(n)
@@ -140,19 +142,21 @@ def _replicated_sets(docs: DataFrame, k: int) -> DataFrame:
     """``docs`` (id, text, unit, block, blocks) as (unit, lo, hi, id, set): a row for each pair of blocks that the text's block is in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                g, begin = shingle_sets(batch.column("text"), k)
-                rows: list[tuple] = []
-                for i, (x, placed) in enumerate(zip(batch.column("id").to_pylist(), batch.column("placed").to_pylist())):
-                    own = g[begin[i] : begin[i + 1]].tobytes()
-                    rows += [(p["unit"], min(p["block"], o), max(p["block"], o), x, own) for p in placed for o in range(p["blocks"])]
-                    if len(rows) >= 2000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
-                        rows = []
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+        for batch in B.slices(batches, 1, rows=500):
+            g, begin = shingle_sets(batch.column("text"), k)
+            rows: list[tuple] = []
+            size = 0
+            for i, (x, placed) in enumerate(zip(batch.column("id").to_pylist(), batch.column("placed").to_pylist())):
+                own = g[begin[i] : begin[i + 1]].tobytes()
+                for p in placed:
+                    for o in range(p["blocks"]):
+                        rows.append((p["unit"], min(p["block"], o), max(p["block"], o), x, own))
+                        size += len(own)
+                        if size > SENT_BYTES or len(rows) >= 2000:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+                            rows, size = [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
     names = ["unit", "lo", "hi", "id", "set"]
     types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
@@ -224,9 +228,9 @@ def _links(members: DataFrame, ratio: Fraction, samples: int, limit: int) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, found = None, [], []
-        for batch in batches:
-            cols = [c.to_pylist() for c in batch.columns]
-            for unit, lo, hi, x, own in zip(*cols):
+        only("near_dedup")
+        for batch in B.slices(batches, 4, rows=500):  # the sets are bytes like texts
+            for unit, lo, hi, x, own in zip(*(c.to_pylist() for c in batch.columns)):
                 if (unit, lo, hi) != key:
                     found += linked(held)
                     key, held = (unit, lo, hi), []
@@ -276,7 +280,8 @@ def near_dedup(docs: DataFrame, similarity: float = 0.8, k: int = 5, id_col: str
     by_bucket = _in_blocks(live.join(giant, "id", "left_semi").select(F.xxhash64("key", F.lit("bucket")).alias("unit"), "id", "n"))
     places = grouped.where(F.col("blocks") <= MOST_BLOCKS).select("unit", "id", "block", "blocks").union(by_bucket.select("unit", "id", "block", "blocks"))
     places = written(places.groupBy("id").agg(F.collect_set(F.struct("unit", "block", "blocks")).alias("placed")), "places")
-    if places.count() <= BROADCAST_TEXTS:
+    n_places, n_units = places.agg(F.count("*"), F.coalesce(F.sum(F.size("placed")), F.lit(0))).first()
+    if n_places <= BROADCAST_TEXTS and 40 * n_places + 48 * n_units <= BROADCAST_BYTES:
         places = F.broadcast(places)
     members = _replicated_sets(src.join(places, "id"), k)
     samples = bands_for(similarity) * ROWS_PER_BAND
@@ -293,4 +298,5 @@ def near_dedup(docs: DataFrame, similarity: float = 0.8, k: int = 5, id_col: str
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The groups of near-duplicates of all ``documents`` at a similarity of 0.85."""
     return near_dedup(table(spark, sf_dir, "documents"), 0.85).withColumnRenamed("id", "doc_id")

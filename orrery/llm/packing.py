@@ -127,6 +127,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = 2048
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packing of all ``documents``."""
     import public_tokenizers
 
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=0).withColumnRenamed("id", "doc_id")

@@ -18,9 +18,9 @@ The sampler alternates draws that are exact given what they condition on:
   sums of tables by context and by word are kept.
 - The parent's tables of each word likewise, given a gamma variate of the parent.
 
-Blocks of one customer have one table. Blocks of up to 120 customers are drawn
-exactly, larger ones by the saddle-point form of the same weights, so cost does
-not grow with customers. Variates are functions of the word or pair and the
+Blocks of one customer have one table. Blocks of up to 120 customers, and of few
+tables, are drawn exactly, others by a normal law about the saddle point of the
+weights, so cost does not grow with customers. Variates are functions of the word or pair and the
 sweep, so a task that runs again draws the same.
 
 Predictive probabilities are averaged over the kept sweeps, with the expected
@@ -36,6 +36,7 @@ another, so that shuffles take a share of the disk.
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -83,7 +84,11 @@ _weights: dict[float, np.ndarray] = {}
 
 
 class Seats:
-    """Tables t of blocks of ``c`` customers, with weights S(c, t) x^t: drawn, or their means."""
+    """Tables t of blocks of ``c`` customers, with weights S(c, t) x^t: drawn, or their means.
+
+    Blocks of few customers, and of few tables, are drawn exactly; those of many
+    tables by a normal law about the saddle point.
+    """
 
     GRID = 64
     #: Large blocks worked on at once.
@@ -99,29 +104,54 @@ class Seats:
         self.groups = [(x, order[a:b], _weights[discount][x, 1 : x + 1]) for x, a, b in zip(range(2, small + 1), edges[:-1].tolist(), edges[1:].tolist()) if b > a]
         self.large = np.flatnonzero(c > small)
         self.c = c[self.large].astype(float)
-        half = np.arange(1, self.GRID) + 0.5
         kinds, self.kind = np.unique(self.c, return_inverse=True)
-        self.grid = np.empty((len(kinds), len(half)), np.float32)
+        self.grid = np.empty((len(kinds), self.GRID))
         for at in range(0, len(kinds), self.CHUNK):
-            k = kinds[at : at + self.CHUNK]
-            self.grid[at : at + self.CHUNK] = self._log_phi(np.repeat(k, len(half)), np.tile(half, len(k))).reshape(len(k), len(half)) - np.log(half)
+            self.grid[at : at + self.CHUNK] = self._log_weights(kinds[at : at + self.CHUNK])
 
-    def _phi(self, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """phi and z phi' / phi of phi(z) = (1 - (1 - z)^d) / d, whose powers generate the weights."""
-        phi = -np.expm1(self.d * np.log1p(-z)) / self.d
-        return phi, z * (1 - z) ** (self.d - 1) / phi
+    def _phi(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """At z of logit ``s``: phi, h = z phi' / phi, and z h'."""
+        z, q = 1 / (1 + np.exp(-s)), 1 / (1 + np.exp(s))
+        phi = -np.expm1(self.d * np.log(q)) / self.d
+        h = z * q ** (self.d - 1) / phi
+        return phi, h, h * (1 + z * (1 - self.d) / q - h)
 
     def _solve(self, n: int, above) -> np.ndarray:
-        """The n values of z in (0, 1), by logit, where ``above`` turns true."""
-        lo, hi = np.full(n, -60.0), np.full(n, 34.0)
+        """The n logits where ``above`` turns true."""
+        lo, hi = np.full(n, -60.0), np.full(n, 60.0)
         for _ in range(48):
             mid = (lo + hi) / 2
-            up = above(1 / (1 + np.exp(-mid)))
+            up = above(mid)
             lo, hi = np.where(up, lo, mid), np.where(up, mid, hi)
-        return 1 / (1 + np.exp(-lo))
-
-    def _log_phi(self, c: np.ndarray, t: np.ndarray) -> np.ndarray:
-        return np.log(self._phi(self._solve(len(c), lambda z: t * self._phi(z)[1] > c))[0])
+        return (lo + hi) / 2
+
+    def _log_weights(self, c: np.ndarray) -> np.ndarray:
+        """[block, t - 1]: log of S(c, t) for t up to ``GRID``, but for what depends on c alone.
+
+        S(c, t) = 1 / (t! d^t) sum over k of (-1)^k C(t, k) Gamma(c - d k) / Gamma(-d k);
+        for c > ``SMALL`` terms fall fast enough to be summed as they are.
+        """
+        n = self.GRID
+        k = np.arange(1, n + 1)
+        choose = np.zeros((n, n))  # [k - 1, t - 1]
+        for t in range(1, n + 1):
+            choose[:t, t - 1] = [math.comb(t, j) for j in range(1, t + 1)]
+        reciprocal = -np.sin(np.pi * self.d * k) / np.pi * np.exp([math.lgamma(self.d * j + 1) for j in k.tolist()])  # 1 / Gamma(-d k)
+        x = c[:, None] - self.d * k[None, :]
+        log_gamma = (x - 0.5) * np.log(x) - x + 1 / (12 * x) - 1 / (360 * x**3)
+        ratio = np.exp(log_gamma - log_gamma[:, :1]) * reciprocal * np.where(k % 2 == 0, 1.0, -1.0)
+        return np.log(np.maximum(ratio @ choose, 1e-300)) - k * math.log(self.d) - np.cumsum(np.log(k))
+
+    def _mode(self, c: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Mean and variance where weights of large t are greatest, by the saddle point of phi(z)^t.
+
+        Near z = 1, where phi is singular, weights are those of a shifted Poisson
+        law; its shift and the distance of its mean from its mode are 3 / 2.
+        """
+        s = self._solve(len(c), lambda s: x * self._phi(s)[0] * self._phi(s)[1] > c)
+        phi, h, spread = self._phi(s)
+        t = c / h
+        return np.minimum(t + 1.5, c), t / (1 + h * h / np.maximum(spread, 1e-300))
 
     def _each(self, x: np.ndarray, small, large) -> np.ndarray:
         out = np.ones(self.n)
@@ -134,9 +164,8 @@ class Seats:
                 out[k] = small(np.exp(w - w.max(axis=1, keepdims=True)), k)
         for at in range(0, len(self.large), self.CHUNK):
             k, c, grid = self.large[at : at + self.CHUNK], self.c[at : at + self.CHUNK], self.grid[self.kind[at : at + self.CHUNK]]
-            mode = c / self._phi(self._solve(len(c), lambda z, k=k, c=c: x[k] * self._phi(z)[0] > c / self._phi(z)[1]))[1]
-            w = np.cumsum(np.concatenate([np.zeros((len(c), 1)), grid + lx[k, None]], axis=1), axis=1)
-            out[k] = large(np.exp(w - w.max(axis=1, keepdims=True)), k, c, mode)
+            w = grid + lx[k, None] * np.arange(1, self.GRID + 1)
+            out[k] = large(np.exp(w - w.max(axis=1, keepdims=True)), k, c, *self._mode(c, np.maximum(x[k], 1e-300)))
         return out
 
     def draw(self, x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -146,10 +175,7 @@ class Seats:
             w = np.cumsum(w, axis=1)
             return 1.0 + (w < a[k, None] * w[:, -1:]).sum(axis=1)
 
-        def large(w: np.ndarray, k: np.ndarray, c: np.ndarray, mode: np.ndarray) -> np.ndarray:
-            slope = lambda m: self._log_phi(c, m) - np.log(m)
-            m = np.maximum(mode, 2.0)
-            var = 0.02 * m / np.maximum(slope(0.99 * m) - slope(1.01 * m), 1e-9)
+        def large(w: np.ndarray, k: np.ndarray, c: np.ndarray, mode: np.ndarray, var: np.ndarray) -> np.ndarray:
             many = np.clip(np.round(mode + np.sqrt(-2 * var * np.log1p(-a[k])) * np.cos(2 * np.pi * b[k])), 1, c)
             return np.where(mode < 0.5 * self.GRID, pick(w, k), many)
 
@@ -157,7 +183,7 @@ class Seats:
 
     def mean(self, x: np.ndarray) -> np.ndarray:
         small = lambda w, k: (w * np.arange(1, w.shape[1] + 1)).sum(axis=1) / w.sum(axis=1)
-        return self._each(x, small, lambda w, k, c, mode: np.where(mode < 0.5 * self.GRID, small(w, k), mode))
+        return self._each(x, small, lambda w, k, c, mode, var: np.where(mode < 0.5 * self.GRID, small(w, k), mode))
 
 
 def uniform(key: np.ndarray, salt: int) -> np.ndarray:
@@ -358,7 +384,7 @@ def _held(df: DataFrame, key: str, columns: list[str]):
     values = {}
     for c in columns:
         x = got[c].combine_chunks() if isinstance(got[c], pa.ChunkedArray) else got[c]
-        values[c] = x.flatten().to_numpy(zero_copy_only=False).reshape(len(keys), -1) if pa.types.is_list(x.type) else x.to_numpy(zero_copy_only=False)
+        values[c] = x.flatten().to_numpy(zero_copy_only=False).reshape(len(keys), -1 if len(keys) else SWEEPS) if pa.types.is_list(x.type) else x.to_numpy(zero_copy_only=False)
     sent, name = df.sparkSession.sparkContext.broadcast((keys, values)), uuid.uuid4().hex
     return sent, lambda: only(name, lambda: Top(*sent.value))
 

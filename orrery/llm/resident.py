@@ -7,6 +7,8 @@ import gc
 from collections.abc import Callable
 from typing import Any
 
+import pyarrow as pa
+
 _held: dict[str, Any] = {}
 
 
@@ -16,6 +18,7 @@ def only(name: str, make: Callable[[], Any] = lambda: None) -> Any:
         if _held:
             _held.clear()
             gc.collect()
+            pa.default_memory_pool().release_unused()
             try:
                 ctypes.CDLL(None).malloc_trim(0)
             except (AttributeError, OSError):  # not glibc

@@ -182,6 +182,7 @@ def read_tokens(blocks: DataFrame) -> DataFrame:
 
 
 def op2_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token places of all ``documents``, written and read back."""
     import public_tokenizers
 
     blocks = write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)

@@ -15,9 +15,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as no column of ``df`` has it."""
+    while name.lower() in {x.lower() for x in df.columns}:
+        name = "_" + name
+    return name
+
+
 def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose id is not among ``ids`` (one column); null ids stay."""
-    gone = written(ids.toDF("_gone").where("_gone is not null").distinct(), "dropped")
+    """The rows of ``docs`` whose id is not among ``ids`` (one column); null ids stay, and ``docs`` may have any other columns."""
+    name = fresh(docs, "_gone")
+    gone = ids.toDF(name)
+    gone = written(gone.where(gone[name].isNotNull()).distinct(), "dropped")
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    return docs.join(gone, F.col(f"`{id_col}`") == F.col(f"`{name}`"), "left_anti")
