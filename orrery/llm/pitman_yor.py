@@ -44,7 +44,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.llm import bytewords as B
@@ -54,10 +54,10 @@ from orrery.llm.tokens import Places
 from orrery.session import dropped, written
 
 #: Pairs whose terms, and words whose parameters, every task holds.
-FREQUENT, WORDS = 1 << 19, 1 << 19
+FREQUENT, WORDS = 1 << 19, 1 << 18
 #: Parts of the pairs.
 PASSES = 4
-BURN_IN, SWEEPS = 3, 4
+BURN_IN, SWEEPS = 2, 4
 DISCOUNT, STRENGTH = 0.75, 5.0
 #: The hash that stands for the end of a text as a word, and for its begin as a context.
 END = np.uint64(0x5851F42D4C957F2D)
@@ -343,22 +343,20 @@ def pair_counts(src: DataFrame, part: int) -> DataFrame:
     return src.select("text", "held_out").mapInArrow(run, "u long, w long, c long").groupBy("u", "w").agg(F.sum("c").alias("c"))
 
 
-def most_frequent(df: DataFrame, count: str, most: int) -> DataFrame:
-    """At most ``most`` rows of ``df``: those from some ``count`` on.
+def frequent(df: DataFrame, count: str, most: int) -> Column:
+    """Whether a row's ``count`` is among the largest: from some count on, at most ``most`` rows of ``df``.
 
-    The count is a step of a fine scale, so no sort of all rows is needed. If the
-    topmost step alone has more rows, some of them.
+    The count is a step of a fine scale, so no sort of all rows is needed.
     """
-    df = df.where(F.col(count) > 0)
     step = F.floor(F.log2(count) * 64)
-    steps = sorted(df.groupBy(step.alias("s")).count().collect(), reverse=True)  # at most 64 * 63 rows
+    steps = sorted(df.where(F.col(count) > 0).groupBy(step.alias("s")).count().collect(), reverse=True)  # at most 64 * 63 rows
     least, n = None, 0
     for x in steps:
         n += x["count"]
         if n > most:
             break
         least = x["s"]
-    return df.limit(most) if least is None else df.where(step >= least)
+    return F.lit(False) if least is None else (F.col(count) > 0) & (step >= least)
 
 
 class Top:
@@ -378,14 +376,16 @@ def _unsigned(x) -> np.ndarray:
 
 
 def _held(df: DataFrame, key: str, columns: list[str]):
-    """A broadcast of a bounded table, and how a task makes a ``Top`` of it."""
+    """A broadcast of a bounded table in order of its hashes, and how a task makes a ``Top`` of it."""
     got = df.select(key, *columns).toArrow().combine_chunks()
     keys = np.maximum(_unsigned(got[key]), np.uint64(1))
+    order = np.argsort(keys)
     values = {}
     for c in columns:
         x = got[c].combine_chunks() if isinstance(got[c], pa.ChunkedArray) else got[c]
-        values[c] = x.flatten().to_numpy(zero_copy_only=False).reshape(len(keys), -1 if len(keys) else SWEEPS) if pa.types.is_list(x.type) else x.to_numpy(zero_copy_only=False)
-    sent, name = df.sparkSession.sparkContext.broadcast((keys, values)), uuid.uuid4().hex
+        x = x.flatten().to_numpy(zero_copy_only=False).reshape(len(keys), -1 if len(keys) else SWEEPS) if pa.types.is_list(x.type) else x.to_numpy(zero_copy_only=False)
+        values[c] = x[order]
+    sent, name = df.sparkSession.sparkContext.broadcast((keys[order], values)), uuid.uuid4().hex
     return sent, lambda: only(name, lambda: Top(*sent.value))
 
 
@@ -488,19 +488,16 @@ def train(src: DataFrame, burn_in: int = BURN_IN, sweeps: int = SWEEPS, seed: in
     spark = src.sparkSession
     pairs = [written(pair_counts(src, p), f"pairs{p}") for p in range(PASSES)]
     every = reduce(DataFrame.unionAll, pairs)
-    one = F.col("c") == 1
-    side = lambda key, w, u: F.struct(F.col(key).alias("key"), *(F.when(F.lit(on), x).otherwise(0).cast("long").alias(n) for on, x, n in ((w, F.col("c"), "cw"), (w, one.cast("int"), "sw"), (u, F.col("c"), "cu"), (u, one.cast("int"), "su"))))
-    sides = every.where("c > 0").select(F.inline(F.array(side("w", True, False), side("u", False, True))))
-    words = written(sides.groupBy("key").agg(*(F.sum(x).alias(x) for x in ("cw", "sw", "cu", "su"))), "words")
+    side = lambda key, a, b: every.where("c > 0").groupBy(F.col(key).alias("key")).agg(F.sum("c").alias(a), F.count_if(F.col("c") == 1).alias(b))
+    both = side("w", "cw", "sw").join(side("u", "cu", "su"), "key", "full")
+    words = written(both.select("key", *(F.coalesce(x, F.lit(0)).alias(x) for x in ("cw", "sw", "cu", "su"))), "words")
     n_all, v_all = words.agg(F.coalesce(F.sum("cw"), F.lit(0)), F.count_if(F.col("cw") > 0)).first()
     outcomes = int(v_all) + 1
 
-    sent, top = _held(most_frequent(words.select("key", "cw"), "cw", WORDS), "key", ["cw"])
+    marked = words.withColumn("top", frequent(words, "cw", WORDS))
+    sent, top = _held(marked.where("top"), "key", [])
     many = every.where("c > 1")
     near, far = written(_by_both(many, top, True), "near"), written(_by_both(many, top, False), "far")
-    held = spark.createDataFrame(pa.table({"key": np.sort(sent.value[0]).view(np.int64)})) if len(sent.value[0]) else words.select("key").limit(0)
-    marked = written(words.join(held.withColumn("top", F.lit(True)), "key", "left").withColumn("top", F.coalesce("top", F.lit(False))), "words")
-    order = sent.value[0]
 
     rng = np.random.default_rng(seed)
     params, root, kept = None, None, []
@@ -517,10 +514,9 @@ def train(src: DataFrame, burn_in: int = BURN_IN, sweeps: int = SWEEPS, seed: in
             dropped(params)
         params, root = now, new
         if i + 1 < burn_in + sweeps:
-            again, top = _held(_placed(params.where("top"), order), "key", ["g", "mass"])
-            sent.unpersist()
-            sent = again
-    sent.unpersist()
+            sent.destroy()
+            sent, top = _held(params.where("top"), "key", ["g", "mass"])
+    sent.destroy()
     dropped(params, near, far)
 
     row = []
@@ -531,17 +527,11 @@ def train(src: DataFrame, burn_in: int = BURN_IN, sweeps: int = SWEEPS, seed: in
     terms = reduce(DataFrame.unionAll, row).groupBy("key").agg(F.array_sort(F.collect_list("s")).alias("s"))
     field = lambda n: F.transform("s", lambda x: x[n].cast("float")).alias(n)
     model = written(marked.join(terms, "key").select("key", "top", "cw", (F.col("cu") + STRENGTH).cast("double").alias("size"), *(field(n) for n in ("g", "q", "back", "p"))), "model")
-    dropped(words, marked, *(df for df, _, _ in kept))
+    dropped(words, *(df for df, _, _ in kept))
     new = [r for _, _, r in kept]
     return Model(pairs, model, int(n_all), int(v_all), [r.predictive(0.0, 0.0) for r in new], new)
 
 
-def _placed(df: DataFrame, order: np.ndarray) -> DataFrame:
-    """The rows of a bounded table in the order of the hashes ``order``."""
-    at = pa.table({"key": order.view(np.int64), "_at": np.arange(len(order))})
-    return df.join(F.broadcast(df.sparkSession.createDataFrame(at)), "key").orderBy("_at") if len(order) else df
-
-
 def _terms(model: Model, pairs: DataFrame, top) -> DataFrame:
     """``(k, cw, lp)`` of every pair: its hash, the word's training count, and log10 of its averaged probability."""
     unseen = np.array(model.unseen)
@@ -602,8 +592,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed:
     n_all, v_all = model.tokens, model.known
 
     words_sent, words_top = _held(model.words.where("top and cw > 0"), "key", ["cw", "size", "g", "q", "back", "p"])
-    most = written(most_frequent(reduce(DataFrame.unionAll, model.pairs), "c", FREQUENT).select("u", "w", "c"), "frequent")
-    pairs_sent, pairs_top = _held(_terms(model, most, words_top), "k", ["cw", "lp"])
+    every = reduce(DataFrame.unionAll, model.pairs)
+    most = written(_terms(model, every.where(frequent(every, "c", FREQUENT)), words_top), "frequent")
+    pairs_sent, pairs_top = _held(most, "k", ["cw", "lp"])
     base_of = lambda c: np.log10((c + 1) / (n_all + v_all + 1))
 
     def missed(part: int) -> DataFrame:
@@ -646,8 +637,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed:
             done.append(written(own, "scores"))
         dropped(model.pairs[p])
     dropped(most, model.words)
-    words_sent.unpersist()
-    pairs_sent.unpersist()
+    words_sent.destroy()
+    pairs_sent.destroy()
     by = reduce(DataFrame.unionAll, done).groupBy("row").agg(*(F.sum(x).alias(x) for x in ("m", "n_tokens", "known", "base", "total")))
     each = lambda x: (F.col(x) / F.col("m")).cast("long")
     return (
