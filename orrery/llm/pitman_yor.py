@@ -383,7 +383,7 @@ def _held(df: DataFrame, key: str, columns: list[str]):
     values = {}
     for c in columns:
         x = got[c].combine_chunks() if isinstance(got[c], pa.ChunkedArray) else got[c]
-        x = x.flatten().to_numpy(zero_copy_only=False).reshape(len(keys), -1 if len(keys) else SWEEPS) if pa.types.is_list(x.type) else x.to_numpy(zero_copy_only=False)
+        x = x.flatten().to_numpy(zero_copy_only=False).reshape(len(keys), -1 if len(keys) else 1) if pa.types.is_list(x.type) else x.to_numpy(zero_copy_only=False)
         values[c] = x[order]
     sent, name = df.sparkSession.sparkContext.broadcast((keys[order], values)), uuid.uuid4().hex
     return sent, lambda: only(name, lambda: Top(*sent.value))
@@ -573,7 +573,7 @@ def _terms(model: Model, pairs: DataFrame, top) -> DataFrame:
     return _by_both(pairs, top, True).mapInArrow(of_near, schema).unionAll(far.mapInArrow(of_far, schema))
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 0) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 0, burn_in: int = BURN_IN, sweeps: int = SWEEPS) -> DataFrame:
     """``(id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` for every row of ``docs``.
 
     Learns from rows whose crc32(id as text) mod 7 is not 2. Tokens are words
@@ -588,7 +588,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed:
     src = src.withColumn("held_out", F.expr("coalesce(crc32(cast(id as string)) % 7 = 2, false)"))
     # rows equal in id and text score alike, so their hash may stand for them
     src = src.withColumn("row", F.xxhash64("id", "text"))
-    model = train(src, seed=seed)
+    model = train(src, burn_in, sweeps, seed)
     n_all, v_all = model.tokens, model.known
 
     words_sent, words_top = _held(model.words.where("top and cw > 0"), "key", ["cw", "size", "g", "q", "back", "p"])

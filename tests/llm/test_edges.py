@@ -43,7 +43,7 @@ OPERATORS = {
     "fingerprints": lambda d, b: fingerprints.fingerprints(d),
     "simple8b": lambda d, b: simple8b.read_tokens(simple8b.write_tokens(d, BYTE, 2)),
     "licenses": lambda d, b: licenses.scan(licenses.document_paths(d.withColumn("source", F.lit("s")))),
-    "pitman_yor": lambda d, b: pitman_yor.score(d),
+    "pitman_yor": lambda d, b: pitman_yor.score(d, burn_in=0, sweeps=1),
     "decontaminate": lambda d, b: decontaminate.contamination(d, b),
     "secrets": lambda d, b: secrets.scan(d),
     "language_id": lambda d, b: language_id.identify(d, PIECE),

@@ -256,11 +256,12 @@ def test_masked_credentials_are_found():
     assert max(g.scores(["".join(rng.permutation(["ing", "ter", "con", "pre"])) for _ in range(200)])) < g.limit
 
 
-def test_scores_match_the_base_and_sum_to_one(spark):
+def test_scores_match_the_base_and_sum_to_one(spark, monkeypatch):
+    monkeypatch.setattr(pitman_yor, "PASSES", 2)
     rng = np.random.default_rng(0)
     texts = list(ODD) + [" ".join(rng.choice(["a", "b", "c", "d", f"r{i}"], 12, p=[0.4, 0.3, 0.15, 0.1, 0.05])) for i in range(80)]
     d = frame(spark, texts)
-    got = {r.id: r for r in pitman_yor.score(d).collect()}
+    got = {r.id: r for r in pitman_yor.score(d, burn_in=1, sweeps=2).collect()}
     toks = {i: [*words_of(t), "</end>"] for i, t in enumerate(texts)}
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in toks}
     c = Counter(w for i, x in toks.items() if not held[i] for w in x)
@@ -270,22 +271,24 @@ def test_scores_match_the_base_and_sum_to_one(spark):
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(x), sum(w in c for w in x), n)
         assert math.isclose(r.base_score, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in x), rel_tol=1e-9)
     assert sum(r.score for r in got.values()) > sum(r.base_score for r in got.values())
-    per = {r.held_out: r for r in pitman_yor.perplexity(pitman_yor.score(d)).collect()}
+    scored = spark.createDataFrame(list(got.values()))
+    per = {r.held_out: r for r in pitman_yor.perplexity(scored).collect()}
     for fold in (False, True):
         mine = [got[i] for i in got if held[i] == fold]
         assert math.isclose(per[fold].perplexity, 10 ** (-sum(r.score for r in mine) / sum(r.n_tokens for r in mine)), rel_tol=1e-9)
     assert per[False].perplexity <= per[True].perplexity
-    assert pitman_yor.score(d.where("false")).count() == 0
+    assert pitman_yor.score(d.where("false"), burn_in=0, sweeps=1).count() == 0
 
 
-def test_scores_use_pairs_of_rare_words(spark):
+def test_scores_use_pairs_of_rare_words(spark, monkeypatch):
+    monkeypatch.setattr(pitman_yor, "PASSES", 1)
     texts = [f"l{i} r{i}" for i in range(40) for _ in range(4)]
     ids = [i for i in range(5000) if zlib.crc32(str(i).encode()) % 7 != 2][: len(texts)]
     held = [i for i in range(5000, 9000) if zlib.crc32(str(i).encode()) % 7 == 2]
     probe = ["l7 r7", "l7 r8", *(f"l7 {x}{i}" for x in "lr" for i in range(40)), "l7 zzz", "l7"]
     rows = list(zip(ids + held, texts + probe))
     d = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.id: r.score for r in pitman_yor.score(d).collect()}
+    got = {r.id: r.score for r in pitman_yor.score(d, burn_in=1, sweeps=2).collect()}
     assert got[held[0]] > got[held[1]] + 1
     # an unseen word is less likely than any known one
     assert got[held[probe.index("l7 zzz")]] < min(got[held[2 + i]] for i in range(40, 80))
@@ -336,10 +339,12 @@ def test_distributed_scores_are_the_models(spark, monkeypatch):
     """With few words and pairs held by tasks, or all of them, the same scores come out."""
     rng = np.random.default_rng(3)
     texts = [" ".join(rng.choice([f"w{i}" for i in range(30)], int(rng.integers(1, 25)))) for _ in range(120)]
-    want = {r.id: r.score for r in pitman_yor.score(frame(spark, texts)).collect()}
+    monkeypatch.setattr(pitman_yor, "PASSES", 1)
+    want = {r.id: r.score for r in pitman_yor.score(frame(spark, texts), burn_in=1, sweeps=1).collect()}
+    monkeypatch.setattr(pitman_yor, "PASSES", 2)
     monkeypatch.setattr(pitman_yor, "WORDS", 5)
     monkeypatch.setattr(pitman_yor, "FREQUENT", 7)
-    got = {r.id: r.score for r in pitman_yor.score(frame(spark, texts)).collect()}
+    got = {r.id: r.score for r in pitman_yor.score(frame(spark, texts), burn_in=1, sweeps=1).collect()}
     assert all(math.isclose(got[i], want[i], rel_tol=1e-4) for i in want)
 
 
