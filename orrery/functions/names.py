@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -98,18 +99,15 @@ def unique_keys(df: DataFrame, key: str, order: str, to: str = "unique_key") ->
     schema = df.withColumn(to, F.lit("")).schema
 
     def settle(g):
-        used: dict[str, int] = {}
-        out = []
-        for name in g.sort_values(order)[key]:
-            n = used.get(name, 0)
-            tried = name if n == 0 else f"{name}_{n}"
-            while tried in used:
-                n += 1
-                tried = f"{name}_{n}"
-            used[name] = n + 1
-            used[tried] = 1 if tried != name else used[name]
-            out.append(tried)
         g = g.sort_values(order)
+        taken: set[str] = set()
+        following: dict[str, int] = {}  # where a name's next repeat begins to probe
+        out = []
+        for name in g[key]:
+            place = next(i for i in count(following.get(name, 0)) if (f"{name}_{i}" if i else name) not in taken)
+            out.append(f"{name}_{place}" if place else name)
+            taken.add(out[-1])
+            following[name] = place + 1
         g[to] = out
         return g[schema.names]
 

@@ -8,7 +8,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from orrery.session import written
 
@@ -60,69 +59,71 @@ def _order(scores: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return np.lexsort((ids, -scores))
 
 
-def _overlap(box: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """Inclusive-pixel overlap of one box with others, columns x1, y1, x2, y2."""
-    side = lambda i: np.maximum(0.0, np.minimum(box[i + 2], others[:, i + 2]) - np.maximum(box[i], others[:, i]) + 1.0)
-    area = lambda b: (b[..., 2] - b[..., 0] + 1.0) * (b[..., 3] - b[..., 1] + 1.0)
-    inter = side(0) * side(1)
-    return inter / (area(box) + area(others) - inter + 1e-9)
-
-
-def suppressed(boxes: np.ndarray, scores: np.ndarray, ids: np.ndarray, limit: float, labels: np.ndarray | None = None) -> np.ndarray:
+def suppressed(boxes: np.ndarray, scores: np.ndarray, ids: np.ndarray, limit: float, labels: np.ndarray | None = None, inclusive: bool = True) -> np.ndarray:
     """Whether each box stays: best scores first (ties by id), a box goes where a kept one overlaps it beyond ``limit``.
 
-    With labels, only boxes of other labels suppress.
+    With labels, only boxes of other labels suppress. ``inclusive`` counts edge
+    pixels, as pixel boxes do; shares of an image take plain areas.
     """
-    keep = np.zeros(len(boxes), bool)
-    chosen: list[int] = []
-    for i in _order(scores, ids):
-        rivals = [j for j in chosen if labels is None or labels[j] != labels[i]]
-        if not rivals or (_overlap(boxes[i], boxes[rivals]) <= limit).all():
-            keep[i] = True
-            chosen.append(i)
+    order = _order(scores, ids)
+    b = boxes[order]
+    one = 1.0 if inclusive else 0.0
+    area = np.maximum(b[:, 2] - b[:, 0] + one, 0.0) * np.maximum(b[:, 3] - b[:, 1] + one, 0.0)
+    tags = None if labels is None else labels[order]
+    alive = np.ones(len(b), bool)
+    for i in range(len(b) - 1):
+        if not alive[i]:
+            continue
+        rest = b[i + 1 :]
+        w = np.minimum(rest[:, 2], b[i, 2]) - np.maximum(rest[:, 0], b[i, 0]) + one
+        h = np.minimum(rest[:, 3], b[i, 3]) - np.maximum(rest[:, 1], b[i, 1]) + one
+        inter = np.maximum(w, 0.0) * np.maximum(h, 0.0)
+        hit = inter > limit * (area[i + 1 :] + area[i] - inter + (1e-9 if inclusive else 0.0))
+        alive[i + 1 :] &= ~(hit if tags is None else hit & (tags[i + 1 :] != tags[i]))
+    keep = np.zeros(len(b), bool)
+    keep[order[alive]] = True
     return keep
 
 
-def in_groups(df: DataFrame, by: list[str], order: list[Column | str], choose: Callable[[pd.DataFrame], np.ndarray]) -> DataFrame:
-    """Rows that ``choose`` marks in each group of ``by``; groups are dealt by hash, sorted, and met one after another in a task.
+def in_groups(df: DataFrame, by: list[str], order: list[Column | str], columns: list[str], choose: Callable[..., np.ndarray]) -> DataFrame:
+    """Rows that ``choose`` marks in each group of ``by``, given the arrays of ``columns``.
 
-    Many small groups then cost no call of their own, and a task holds one group at a time.
+    Groups are dealt by hash, sorted, and met one after another in a task, so many
+    small groups cost no call of their own and a task holds one group at a time.
     """
-
-    def marked(d: pd.DataFrame) -> pd.DataFrame:
-        key = d[by].to_numpy(object)
-        cut = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(d)]
-        keep = np.ones(len(d), bool)
-        for x, y in zip(cut[:-1], cut[1:]):
-            if y - x > 1:
-                keep[x:y] = choose(d.iloc[x:y])
-        return d[keep]
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
+        held: pd.DataFrame | None = None
         for d in parts:
             if not len(d):
                 continue
-            key = d[by].to_numpy(object)
-            last = len(d) - int(np.argmax((key != key[-1]).any(axis=1)[::-1])) if (key != key[-1]).any() else 0
-            if last:
-                yield marked(pd.concat([*held, d.iloc[:last]]))
-                held = []
-            held.append(d.iloc[last:])
-        if held:
-            yield marked(pd.concat(held))
+            d = d if held is None or not len(held) else pd.concat([held, d])
+            first = np.flatnonzero(d["_r"].to_numpy() == 1)
+            held = d.iloc[first[-1] :]
+            yield marked(d.iloc[: first[-1]], first)
+        if held is not None and len(held):
+            yield marked(held, np.zeros(1, int))
+
+    def marked(d: pd.DataFrame, first: np.ndarray) -> pd.DataFrame:
+        ends = np.append(first[first < len(d)], len(d))
+        keep = np.ones(len(d), bool)
+        arrays = [d[c].to_numpy() for c in columns]
+        for x, y in zip(ends[:-1].tolist(), ends[1:].tolist()):
+            if y - x > 1:
+                keep[x:y] = choose(*(a[x:y] for a in arrays))
+        return d[keep].drop(columns="_r")
 
-    return df.repartition(*by).sortWithinPartitions(*by, *order).mapInPandas(run, df.schema)
+    return df.withColumn("_r", rank).mapInPandas(run, df.schema)
 
 
-def nms(df: DataFrame, by: list[str], limit: float, ann: str = "ann", across: str | None = None) -> DataFrame:
-    """Non-maximum suppression within ``by``; with ``across`` only boxes of another value of that column suppress."""
+def nms(df: DataFrame, by: list[str], limit: float, ann: str = "ann", across: str | None = None, inclusive: bool = True) -> DataFrame:
+    """Non-maximum suppression within ``by``; with ``across`` only boxes of another value of that column suppress. An image's boxes meet in one task."""
 
-    def choose(g: pd.DataFrame) -> np.ndarray:
-        labels = g[across].to_numpy() if across else None
-        return suppressed(g[["x1", "y1", "x2", "y2"]].to_numpy(float), g["score"].to_numpy(float), g[ann].to_numpy(), limit, labels)
+    def choose(x1, y1, x2, y2, score, ids, labels=None) -> np.ndarray:
+        return suppressed(np.stack([x1, y1, x2, y2], 1).astype(float), score.astype(float), ids, limit, labels, inclusive)
 
-    return in_groups(df, by, [F.desc("score"), ann], choose)
+    return in_groups(df, by, [F.desc("score"), ann], ["x1", "y1", "x2", "y2", "score", ann, *([across] if across else [])], choose)
 
 
 def top_k(df: DataFrame, by: list[str], k: int, ann: str = "ann") -> DataFrame:
@@ -139,30 +140,6 @@ def postprocess(df: DataFrame, image: str = "image", label: str = "label", nms_l
     return df if cross_limit is None else nms(df, [image], cross_limit, across=label)
 
 
-def matched(pred: DataFrame, truth: DataFrame, by: list[str], least: float = 0.5) -> DataFrame:
-    """``pred`` with ``tp``: greedy one-to-one matches within ``by``, best overlap first; ties by prediction, then truth id.
-
-    Only pairs that overlap enough are made, and each group's pairs are matched in
-    one task.
-    """
-    p = pred.select(*by, F.col("ann").alias("p"), *(F.col(c).alias(f"p_{c}") for c in ("x1", "y1", "x2", "y2")))
-    t = truth.select(*by, F.col("ann").alias("t"), *(F.col(c).alias(f"t_{c}") for c in ("x1", "y1", "x2", "y2")))
-    pairs = p.join(t, by).withColumn("iou", iou("p_", "t_")).where(F.col("iou") >= least).select(*by, "p", "t", "iou")
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        used_p, used_t = set(), set()
-        for x in g.sort_values(["iou", "p", "t"], ascending=[False, True, True]).itertuples():
-            if x.p not in used_p and x.t not in used_t:
-                used_p.add(x.p)
-                used_t.add(x.t)
-        out = g[[*by, "p"]].drop_duplicates()
-        return out[out["p"].isin(used_p)]
-
-    schema = StructType([f for f in pairs.schema.fields if f.name in (*by, "p")])
-    hits = pairs.groupBy(*by).applyInPandas(run, schema).select(*by, F.col("p").alias("ann"), F.lit(True).alias("tp"))
-    return pred.join(hits, [*by, "ann"], "left").withColumn("tp", F.coalesce("tp", F.lit(False)))
-
-
 def average_precision(df: DataFrame, by: str, n_truth: int | Column, order: list[str]) -> DataFrame:
     """(by, ap): area under the precision envelope of predictions by falling score.
 

@@ -127,6 +127,61 @@ def audit(df: DataFrame, split: str, image: str) -> DataFrame:
         F.count(F.when(F.col("kind") == "det", 1)).alias("det"),
         F.count(F.when(F.col("kind") == "seg", 1)).alias("seg"),
         F.round(F.min("score"), 6).alias("min_score"),
-        F.round(F.avg("score"), 6).alias("mean_score"),
+        F.round(F.avg("score"), 4).alias("mean_score"),
         F.round(F.max("score"), 6).alias("max_score"),
     )
+
+
+# health
+
+
+def zero_area(df: DataFrame) -> DataFrame:
+    return df.where("w <= 0 or h <= 0")
+
+
+def unannotated(records: DataFrame, anns: DataFrame, record: str) -> DataFrame:
+    return records.join(anns.select(record).distinct(), record, "left_anti")
+
+
+def unreadable(records: DataFrame, width: str = "width", height: str = "height") -> DataFrame:
+    return records.where(F.col(width).isNull() | F.col(height).isNull() | (F.col(width) <= 0) | (F.col(height) <= 0))
+
+
+def health(checks: dict[str, DataFrame], examples: int = 10) -> DataFrame:
+    """``(check, count, examples)``: distinct paths (the one column of each table) that fail a check, and the first few of them."""
+    from functools import reduce
+
+    rows = []
+    for name, d in checks.items():
+        paths = d.toDF("path").distinct()
+        some = paths.orderBy("path").limit(examples).agg(F.array_join(F.array_sort(F.collect_list("path")), ";").alias("examples"))
+        n = paths.agg(F.count("*").alias("count"))
+        rows.append(n.join(F.broadcast(some)).select(F.lit(name).alias("check"), "count", "examples"))
+    return reduce(DataFrame.unionAll, rows)
+
+
+def class_universe(declared: list[str], observed: DataFrame, cls: str) -> DataFrame:
+    """``(class)``: names that are declared or occur."""
+    spark = observed.sparkSession
+    return spark.createDataFrame([(c,) for c in declared], "class string").union(observed.select(F.col(cls).alias("class")).where("class is not null")).distinct()
+
+
+def missing_names(df: DataFrame, cls: str, split: str, sep: str = ";") -> DataFrame:
+    """``(split, classes, names)``: for each split other than train, the classes that it lacks."""
+    universe = df.select(cls).where(F.col(cls).isNotNull()).distinct().join(F.broadcast(df.where(F.col(split) != "train").select(split).distinct()))
+    gone = universe.join(df.select(cls, split).distinct(), [cls, split], "left_anti")
+    return gone.groupBy(split).agg(F.count("*").alias("classes"), F.array_join(F.array_sort(F.collect_list(cls)), sep).alias("names"))
+
+
+def aspect_histogram(df: DataFrame, w: Column, h: Column, edges: list[float]) -> DataFrame:
+    """``(bin, n)``: how many values of w / h lie below the first edge (0), between edges, and from the last on."""
+    ratio = w / h
+    b = F.lit(0)
+    for e in edges:
+        b = b + F.when(ratio >= e, 1).otherwise(0)
+    return df.groupBy(b.cast("int").alias("bin")).agg(F.count("*").alias("n"))
+
+
+def resolutions(df: DataFrame, w: str, h: str, top: int = 20) -> DataFrame:
+    """``(value, n)``: the most frequent sizes and one row for the rest."""
+    return top_and_other(df.select(F.concat_ws("x", F.col(w).cast("string"), F.col(h).cast("string")).alias("size")), "size", top)

@@ -23,13 +23,47 @@ def take(df: DataFrame, key: str, k: int, seed: int = 0, by: list[str] | None =
     return df.withColumn("_r", hash_rank(F.col(key).cast("string"), seed, by)).where(F.col("_r") <= k).drop("_r")
 
 
+def check_unique(df: DataFrame, key: str) -> None:
+    """Ranks need keys that differ; repeated ones fail with a few of them."""
+    twice = [str(r[0]) for r in df.groupBy(key).count().where("count > 1").limit(5).collect()]
+    if twice:
+        raise ValueError(f"sampling keys repeat, for example: {', '.join(twice)}")
+
+
+def check_sizes(df: DataFrame, count: int, by: list[str] | None = None) -> None:
+    """Every stratum must hold ``count`` rows."""
+    if count < 0:
+        raise ValueError("a count cannot be negative")
+    least = df.groupBy(*(by or [])).agg(F.count("*").alias("n")).orderBy("n").first()
+    if least is None or least["n"] < count:
+        raise ValueError(f"{count} wanted, {least['n'] if least else 0} there")
+
+
+def lowest(df: DataFrame, key: str, targets: DataFrame, by: list[str], seed: int = 0) -> DataFrame:
+    """Of each stratum the ``_k`` rows (a column of ``targets``) of lowest rank.
+
+    Counts by the hash's first digits tell from where on no row can be wanted, so
+    only about as many rows as are wanted are sorted.
+    """
+    h = F.sha1(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+    first = F.substring("_h", 1, 4)
+    d = df.withColumn("_h", h)
+    n = d.groupBy(*by, first.alias("_p")).agg(F.count("*").alias("_n"))  # at most 65,536 rows a stratum
+    upto = n.withColumn("_before", F.sum("_n").over(Window.partitionBy(*by).orderBy("_p")) - F.col("_n"))
+    joined = upto.join(targets, by) if by else upto.join(F.broadcast(targets))
+    cut = joined.where("_before < _k").groupBy(*by, "_k").agg(F.max("_p").alias("_cut"))
+    kept = (d.join(cut, by) if by else d.join(F.broadcast(cut))).where(first <= F.col("_cut"))
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy("_h", F.col(key).cast("string")))
+    return kept.withColumn("_r", rank).where("_r <= _k").drop("_r", "_k", "_h", "_cut")
+
+
 def take_share(df: DataFrame, key: str, share: float, seed: int = 0, by: list[str] | None = None) -> DataFrame:
-    """The floor of ``share`` of each stratum, one at least."""
-    by = by or []
-    sizes = df.groupBy(*by).agg(F.greatest(F.lit(1), F.floor(F.count("*") * F.lit(share))).alias("_k"))
-    ranked = df.withColumn("_r", hash_rank(F.col(key).cast("string"), seed, by))
-    ranked = ranked.join(sizes, by) if by else ranked.join(F.broadcast(sizes))
-    return ranked.where("_r <= _k").drop("_r", "_k")
+    """The floor of ``share`` of each stratum, one at least for a positive share."""
+    if not 0 <= share <= 1:
+        raise ValueError("a share lies between 0 and 1")
+    k = F.floor(F.count("*") * F.lit(share))
+    sizes = df.groupBy(*(by or [])).agg((F.greatest(F.lit(1), k) if share > 0 else k).alias("_k"))
+    return lowest(df, key, sizes, by or [], seed)
 
 
 def class_targets(df: DataFrame, cls: str, mode: str, max_n: int | None = None, max_frac: float | None = None) -> DataFrame:
@@ -45,7 +79,16 @@ def class_targets(df: DataFrame, cls: str, mode: str, max_n: int | None = None,
     return s.select(cls, F.least(t, F.col("n")).cast("long").alias("target"))
 
 
-def class_sample(df: DataFrame, key: str, cls: str, mode: str, max_n: int | None = None, max_frac: float | None = None, seed: int = 0) -> DataFrame:
-    targets = class_targets(df, cls, mode, max_n, max_frac)
-    ranked = df.withColumn("_r", hash_rank(F.col(key).cast("string"), seed, [cls]))
-    return ranked.join(targets, cls).where("_r <= target").drop("_r", "target")
+def class_sample(df: DataFrame, key: str, cls: str, mode: str, max_n: int | None = None, max_frac: float | None = None, seed: int = 0, by: list[str] | None = None) -> DataFrame:
+    """Rows of each class up to its target, in each stratum if ``by`` is given."""
+    if by:
+        from functools import reduce
+
+        strata = [r for r in df.select(*by).distinct().orderBy(*by).collect()]  # a row for each stratum
+        parts = []
+        for r in strata:
+            same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.lit(r[c])) for c in by))
+            parts.append(class_sample(df.where(same), key, cls, mode, max_n, max_frac, seed))
+        return reduce(DataFrame.unionByName, parts) if parts else df.limit(0)
+    targets = class_targets(df, cls, mode, max_n, max_frac).select(cls, F.col("target").alias("_k"))
+    return lowest(df, key, targets, [cls], seed)

@@ -6,25 +6,32 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.operators.graph import connected_components
-from orrery.session import written
+from orrery.session import dropped, written
 
 BITS = 64
-#: Largest distance whose bands still select; beyond, blocks are compared.
-BANDED = 10
+#: Largest distance whose bands still select; beyond, blocks of about so many hashes are compared.
+BANDED, BLOCK = 10, 8192
 
 
 def _apart(a: str, b: str):
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
+def members(df: DataFrame, key: str, h: str) -> DataFrame:
+    """``(id, a)``: each row and the first row of its hash, which stands for all that are equal."""
+    first = df.groupBy(F.col(h).alias("h")).agg(F.min(key).alias("a"))
+    return df.select(F.col(key).alias("id"), F.col(h).alias("h")).join(first, "h").select("id", "a")
+
+
 def pairs_within(df: DataFrame, key: str, h: str, limit: int) -> DataFrame:
-    """(a, b, dist) with a < b of hashes at most ``limit`` bits apart.
+    """``(a, b, dist, n_a, n_b)`` with a < b: different hashes at most ``limit`` bits apart, each by its first row, and how many rows have them.
 
-    Hashes that close agree on one of limit + 1 bands, so small limits are an
-    exact equi-join of bands; equal hashes are joined once. For wide limits, where
-    bands select nothing, all rows are compared by blocks.
+    Equal hashes are one, so no hash meets itself. Hashes that close agree on one of
+    limit + 1 bands, so small limits are an exact equi-join of bands. For wide
+    limits, where bands select nothing, all hashes are compared by blocks, whose
+    number follows theirs.
     """
-    d = df.select(F.col(key).alias("id"), F.col(h).alias("h"))
+    d = df.where(F.col(h).isNotNull()).groupBy(F.col(h).alias("h")).agg(F.min(key).alias("id"), F.count("*").alias("n"))
     if limit <= BANDED:
         n = limit + 1
         edge = [BITS * i // n for i in range(n + 1)]
@@ -32,11 +39,13 @@ def pairs_within(df: DataFrame, key: str, h: str, limit: int) -> DataFrame:
         bands = F.array(*(F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("h", edge[i]).bitwiseAND(mask(i) if mask(i) < 2**63 else -1).alias("v")) for i in range(n)))
         e = d.withColumn("band", F.explode(bands))
     else:
-        m = 8
-        d = d.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(m)))
+        d = written(d, "hashes")
+        m = max(8, -(-d.count() // BLOCK))
+        d = d.withColumn("block", F.pmod(F.xxhash64("h"), F.lit(m)))
         e = d.withColumn("band", F.explode(F.transform(F.sequence(F.lit(0), F.lit(m - 1)), lambda o: F.struct(F.least(F.col("block"), o).alias("i"), F.greatest(F.col("block"), o).alias("v")))))
-    l, r = e.select("band", F.col("id").alias("a"), F.col("h").alias("ha")), e.select("band", F.col("id").alias("b"), F.col("h").alias("hb"))
-    return l.join(r, "band").where("a < b").withColumn("dist", _apart("ha", "hb").cast("int")).where(F.col("dist") <= limit).select("a", "b", "dist").distinct()
+    l, r = e.select("band", F.col("id").alias("a"), F.col("h").alias("ha"), F.col("n").alias("n_a")), e.select("band", F.col("id").alias("b"), F.col("h").alias("hb"), F.col("n").alias("n_b"))
+    near = l.join(r, "band").where("a < b").withColumn("dist", _apart("ha", "hb").cast("int")).where(F.col("dist") <= limit)
+    return near.select("a", "b", "dist", "n_a", "n_b").distinct()
 
 
 def nearest(query: DataFrame, ref: DataFrame, key: str, h: str, k: int = 1, block: int = 4096) -> DataFrame:
@@ -57,24 +66,29 @@ def nearest(query: DataFrame, ref: DataFrame, key: str, h: str, k: int = 1, bloc
 
 
 def similarity_components(df: DataFrame, key: str, h: str, limit: int) -> DataFrame:
-    """(id, component) for every row, by hashes at most ``limit`` bits apart."""
-    comp = connected_components(pairs_within(df, key, h, limit))
-    return df.select(F.col(key).alias("id")).join(comp, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("component"))
+    """(id, component) for every row, by hashes at most ``limit`` bits apart; a null hash is near to none."""
+    first = written(members(df, key, h), "members")
+    comp = connected_components(pairs_within(df, key, h, limit).select("a", "b"))
+    d = df.select(F.col(key).alias("id")).join(first, "id", "left").join(comp, F.col("a") == F.col("node"), "left")
+    return d.select("id", F.coalesce("component", "a", "id").alias("component"))
 
 
 def sequential_dedup(df: DataFrame, key: str, h: str, limit: int) -> DataFrame:
-    """Rows kept when taken in order of ``key``: a row goes if an earlier kept one is at most ``limit`` bits away.
+    """Rows kept when taken in order of ``key``: a row goes if an earlier kept one is at most ``limit`` bits away; rows without a hash stay.
 
-    Whether a row stays depends on earlier decisions, so rounds settle all rows
-    whose earlier neighbours are settled: a row with a kept neighbour goes, one
-    whose neighbours all went stays.
+    Of equal hashes only the first can stay. Whether it stays depends on earlier
+    decisions, so rounds settle all whose earlier neighbours are settled: one with
+    a kept neighbour goes, one whose neighbours all went stays. There are as many
+    rounds as the longest chain of neighbours is long.
     """
+    first = df.where(F.col(h).isNotNull()).groupBy(F.col(h).alias("h")).agg(F.min(key).alias("id"))
     pairs = written(pairs_within(df, key, h, limit).select("a", "b"), "near")
-    state = df.select(F.col(key).alias("id")).withColumn("kept", F.lit(None).cast("boolean"))
-    while True:
+    state = written(first.select("id", F.lit(None).cast("boolean").alias("kept")), "settled")
+    while not state.where("kept is null").isEmpty():
         before = pairs.join(state.select(F.col("id").alias("a"), F.col("kept").alias("k")), "a").groupBy(F.col("b").alias("id")).agg(F.max(F.coalesce("k", F.lit(False))).alias("any_kept"), F.max(F.col("k").isNull()).alias("any_open"))
         now = state.join(before, "id", "left")
         kept = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.col("any_kept"), False).when(F.coalesce("any_open", F.lit(False)), None).otherwise(True)
-        state = written(now.select("id", kept.alias("kept")), "settled")
-        if state.where("kept is null").isEmpty():
-            return df.join(state.where("kept").select(F.col("id").alias(key)), key, "left_semi")
+        last, state = state, written(now.select("id", kept.alias("kept")), "settled")
+        dropped(last)
+    stay = df.join(state.where("kept").select(F.col("id").alias(key)), key, "left_semi")
+    return stay.unionByName(df.where(F.col(h).isNull()))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions import keys
 from orrery.operators import annotations as ann
-from orrery.operators import answers, geometry, profile, sampling, similarity, splitting, statistics
+from orrery.operators import answers, arrange, geometry, matching, profile, sampling, similarity, splitting, statistics
 from orrery.operators.graph import connected_components
 from orrery.plans.views import V_BOXES, V_HASH, V_QAS, V_RECORDS, boxes, hashes, qas, records, table
 from orrery.sources import coco, files, yolo
@@ -189,7 +189,7 @@ def _edges(b):
 _iou = "greatest(0, least(a.x1 + a.w, b.x1 + b.w) - greatest(a.x1, b.x1)) * greatest(0, least(a.y1 + a.h, b.y1 + b.h) - greatest(a.y1, b.y1))"
 
 
-@query(f"WITH {V_BOXES} SELECT a.image, a.label, a.ann AS ann_a, b.ann AS ann_b FROM v_boxes a JOIN v_boxes b ON a.image = b.image AND a.label = b.label AND a.ann < b.ann WHERE {_iou} / (a.w * a.h + b.w * b.h - {_iou}) >= 0.5")
+@query(f"WITH {V_BOXES}, m AS MATERIALIZED (SELECT image, label, ann, x1, y1, w, h FROM v_boxes), p AS (SELECT a.image, a.label, a.ann AS ann_a, b.ann AS ann_b, {_iou} AS i, a.w * a.h + b.w * b.h AS s FROM m a JOIN m b ON a.image = b.image AND a.label = b.label WHERE a.ann < b.ann) SELECT image, label, ann_a, ann_b FROM p WHERE i / (s - i) >= 0.5")
 def health_duplicate_boxes(spark, d):
     return ann.duplicate_boxes(_edges(boxes(spark, d)), "image", "label", "ann", 0.5)
 
@@ -236,11 +236,22 @@ def straddle_pairs(spark, d):
     return profile.straddling(records(spark, d).withColumn("g", F.sha2("text", 256)), "g", "split")
 
 
-@query(f"WITH {V_HASH} SELECT a.vec_id AS a, b.vec_id AS b, CAST(bit_count(xor(a.h, b.h)) AS INTEGER) AS dist FROM v_hash a JOIN v_hash b ON a.vec_id < b.vec_id AND bit_count(xor(a.h, b.h)) <= 20")
+@query(f"WITH {V_HASH}, c AS (SELECT h, min(vec_id) AS id, count(*) AS n FROM v_hash GROUP BY h) SELECT a.id AS a, b.id AS b, CAST(bit_count(xor(a.h, b.h)) AS INTEGER) AS dist, a.n AS n_a, b.n AS n_b FROM c a JOIN c b ON a.id < b.id AND bit_count(xor(a.h, b.h)) <= 20")
 def hamming_pairs(spark, d):
     return similarity.pairs_within(hashes(spark, d), "vec_id", "h", 20)
 
 
+@query(f"WITH {V_HASH}, c AS (SELECT h, min(vec_id) AS id, count(*) AS n FROM v_hash GROUP BY h) SELECT a.id AS a, b.id AS b, CAST(bit_count(xor(a.h, b.h)) AS INTEGER) AS dist, a.n AS n_a, b.n AS n_b FROM c a JOIN c b ON a.id < b.id AND bit_count(xor(a.h, b.h)) <= 9")
+def hamming_pairs_banded(spark, d):
+    """Few bits, by bands."""
+    return similarity.pairs_within(hashes(spark, d), "vec_id", "h", 9)
+
+
+@query(f"WITH {V_HASH} SELECT vec_id AS id, min(vec_id) OVER (PARTITION BY h) AS a FROM v_hash")
+def hamming_members(spark, d):
+    return similarity.members(hashes(spark, d), "vec_id", "h")
+
+
 @query(f"WITH {V_HASH} SELECT q.vec_id AS q, r.vec_id AS r, CAST(bit_count(xor(q.h, r.h)) AS INTEGER) AS dist, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY bit_count(xor(q.h, r.h)), r.vec_id) AS INTEGER) AS rank FROM v_hash q CROSS JOIN v_hash r WHERE q.split = 'test' AND r.split = 'train' QUALIFY rank <= 3")
 def hamming_nearest(spark, d):
     h = hashes(spark, d)
@@ -272,14 +283,14 @@ def independent_units(spark, d):
     return profile.units(h.join(c, h.vec_id == c.id), "component", "split", "label")
 
 
-@query()
+@query(f"WITH {V_HASH}, s AS (SELECT list_transform(list({{'i': vec_id, 'h': h}} ORDER BY vec_id), lambda x: [x]) AS l FROM v_hash), k AS (SELECT unnest(list_reduce(l, lambda a, b: CASE WHEN len(list_filter(a, lambda x: bit_count(xor(x.h, b[1].h)) <= 20)) = 0 THEN list_concat(a, b) ELSE a END)) AS x FROM s) SELECT x.i AS vec_id FROM k")
 def perceptual_dedup_sequential(spark, d):
     return similarity.sequential_dedup(hashes(spark, d), "vec_id", "h", 20).select("vec_id")
 
 
 @query(f"""WITH {V_BOXES}, s AS (SELECT *, CASE WHEN image % 5 = 0 THEN 'val' ELSE 'train' END AS split FROM v_boxes)
   SELECT split, count(DISTINCT image) AS images, count(*) AS annotations, count(*) FILTER (kind = 'det') AS det, count(*) FILTER (kind = 'seg') AS seg,
-  round(min(score), 6) AS min_score, round(avg(score), 6) AS mean_score, round(max(score), 6) AS max_score FROM s GROUP BY ROLLUP (split)""")
+  round(min(score), 6) AS min_score, round(avg(score), 4) AS mean_score, round(max(score), 6) AS max_score FROM s GROUP BY ROLLUP (split)""")
 def audit_rollup(spark, d):
     b = boxes(spark, d).withColumn("split", F.when(F.col("image") % 5 == 0, "val").otherwise("train"))
     return profile.audit(b, "split", "image")
@@ -316,30 +327,51 @@ def topk_per_class(spark, d):
     return ann.top_k(boxes(spark, d), ["image", "label"], 3).select("image", F.col("ann").cast("long").alias("ann"), "label")
 
 
-@query()
+_pixels = "greatest(0, least({a}.x2, {b}.x2) - greatest({a}.x1, {b}.x1) + 1) * greatest(0, least({a}.y2, {b}.y2) - greatest({a}.y1, {b}.y1) + 1)"
+
+
+def _suppressed(name: str, of: str, by: str, limit: float, other: str = "") -> str:
+    """Boxes by falling score that no kept one overlaps beyond ``limit``, as a fold over each group's list; areas count edge pixels."""
+    over = _pixels.format(a="k", b="b[1]")
+    area = "({0}.x2 - {0}.x1 + 1) * ({0}.y2 - {0}.y1 + 1)"
+    hit = f"{over} > {limit} * ({area.format('k')} + {area.format('b[1]')} - {over} + 1e-9){other}"
+    return f"""{name}_l AS (SELECT {by}, list_transform(list({{'image': image, 'ann': ann, 'label': label, 'score': score, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}} ORDER BY score DESC, ann), lambda x: [x]) AS l FROM {of} GROUP BY {by}),
+  {name} AS (SELECT unnest(list_reduce(l, lambda a, b: CASE WHEN len(list_filter(a, lambda k: {hit})) = 0 THEN list_concat(a, b) ELSE a END), recursive := true) FROM {name}_l)"""
+
+
+_boxed = f"{V_BOXES}, e AS (SELECT *, x1 + w AS x2, y1 + h AS y2 FROM v_boxes)"
+
+
+@query(f"WITH {_boxed}, {_suppressed('n', 'e', 'image, label', 0.3)} SELECT image, ann, label FROM n")
 def nms_per_class(spark, d):
     return ann.nms(_edges(boxes(spark, d)), ["image", "label"], 0.3).select("image", "ann", "label")
 
 
-@query()
+_other = " AND k.label <> b[1].label"
+
+
+@query(f"WITH {_boxed}, {_suppressed('n', 'e', 'image, label', 0.3)}, t AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY image, label ORDER BY score DESC, ann) <= 5), {_suppressed('c', 't', 'image', 0.6, _other)} SELECT image, ann, label FROM c")
 def filter_postprocess(spark, d):
     return ann.postprocess(_edges(boxes(spark, d)), nms_limit=0.3, k=5, cross_limit=0.6).select("image", "ann", "label")
 
 
-@query()
+@query(f"""WITH {V_BOXES}, pairs AS (SELECT p.image, p.label, p.ann AS p, t.ann AS t, {_iou.replace("a.", "p.").replace("b.", "t.")} / (p.w * p.h + t.w * t.h - {_iou.replace("a.", "p.").replace("b.", "t.")}) AS iou FROM v_boxes p JOIN v_boxes t ON p.image = t.image AND p.label = t.label AND p.kind = 'det' AND t.kind = 'seg'),
+  g AS (SELECT image, label, list_transform(list({{'p': p, 't': t}} ORDER BY iou DESC, p, t), lambda x: [x]) AS l FROM pairs WHERE iou >= 0.3 GROUP BY image, label),
+  k AS (SELECT image, label, unnest(list_reduce(l, lambda a, b: CASE WHEN len(list_filter(a, lambda x: x.p = b[1].p OR x.t = b[1].t)) = 0 THEN list_concat(a, b) ELSE a END)) AS m FROM g)
+  SELECT v.label, count(m) AS tp, count(*) - count(m) AS fp FROM v_boxes v LEFT JOIN k ON k.image = v.image AND k.label = v.label AND k.m.p = v.ann WHERE v.kind = 'det' GROUP BY v.label""")
 def match_tp_fp(spark, d):
     b = _edges(boxes(spark, d))
-    out = ann.matched(b.where("kind = 'det'"), b.where("kind = 'seg'"), ["image", "label"], 0.3)
+    out = matching.matched(b.where("kind = 'det'"), b.where("kind = 'seg'"), ["image", "label"], 0.3)
     return out.groupBy("label").agg(F.count(F.when(F.col("tp"), 1)).alias("tp"), F.count(F.when(~F.col("tp"), 1)).alias("fp"))
 
 
-@query(f"""WITH {V_BOXES}, t AS (SELECT *, (image + ann) % 3 = 0 AS tp FROM v_boxes WHERE image <= 300), n AS (SELECT label, count(*) AS n FROM t GROUP BY label),
+@query(f"""WITH {V_BOXES}, t AS (SELECT *, (image + ann) % 3 = 0 AS tp FROM v_boxes),
   r AS (SELECT *, sum(CAST(tp AS INTEGER)) OVER w AS hits, count(*) OVER w AS k FROM t WINDOW w AS (PARTITION BY label ORDER BY score DESC, image, ann ROWS UNBOUNDED PRECEDING)),
   e AS (SELECT *, max(hits / k) OVER (PARTITION BY label ORDER BY score DESC, image, ann ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS best FROM r)
-  SELECT label, round(sum(best) FILTER (tp) / 1000, 6) AS ap FROM e GROUP BY label""")
+  SELECT label, round(sum(best) FILTER (tp) / 1000000, 9) AS ap FROM e GROUP BY label""")
 def ap_curve(spark, d):
-    t = boxes(spark, d).where("image <= 300").withColumn("tp", (F.col("image") + F.col("ann")) % 3 == 0)
-    return ann.average_precision(t, "label", 1000, ["image", "ann"]).select("label", F.round("ap", 6).alias("ap"))
+    t = boxes(spark, d).withColumn("tp", (F.col("image") + F.col("ann")) % 3 == 0)
+    return ann.average_precision(t, "label", 1_000_000, ["image", "ann"]).select("label", F.round("ap", 9).alias("ap"))
 
 
 @query()
@@ -350,13 +382,13 @@ def split_ratio(spark, d):
 
 @query()
 def split_kfold(spark, d):
-    return splitting.folds(records(spark, d), "grp", "class", 5, restarts=50).select("record_id", "grp", "fold")
+    return splitting.folds(records(spark, d), "grp", "class", 5).select("record_id", "grp", "fold")
 
 
 @query()
 def split_pinned(spark, d):
     r = records(spark, d).withColumn("pin", F.when(F.col("grp") == "src3", "test"))
-    return splitting.split(r.drop("split"), "grp", "class", {"train": 0.8, "val": 0.1, "test": 0.1}, pinned="pin", restarts=50).select("record_id", "grp", "split")
+    return splitting.split(r.drop("split"), "grp", "class", {"train": 0.8, "val": 0.1, "test": 0.1}, pinned="pin").select("record_id", "grp", "split")
 
 
 _answer = "CASE record_id % 5 WHEN 0 THEN 'Yes.' WHEN 1 THEN 'The answer is no' WHEN 2 THEN 'Final answer: YES because it is' WHEN 3 THEN 'maybe' ELSE '' END"
@@ -370,10 +402,8 @@ def map_answers(spark, d):
 
 @query("SELECT doc_id, lpad(CAST(row_number() OVER (ORDER BY source, doc_id) + 100 AS VARCHAR), 6, '0') AS name FROM documents")
 def rename_seq(spark, d):
-    from pyspark.sql import Window
-
-    w = Window.orderBy("source", "doc_id")
-    return table(spark, d, "documents").select("doc_id", F.lpad((F.row_number().over(w) + 100).cast("string"), 6, "0").alias("name"))
+    t = arrange.with_rank(table(spark, d, "documents").select("doc_id", "source"), ["source", "doc_id"], "n")
+    return t.select("doc_id", F.lpad((F.col("n") + 101).cast("string"), 6, "0").alias("name"))
 
 
 @query("WITH p AS (SELECT unnest(['a cat', 'a dog']) AS prompt), s AS (SELECT unnest(range(1, 4)) AS i) SELECT doc_id, prompt, concat('doc_', CAST(doc_id AS VARCHAR), '_', lpad(CAST(i AS VARCHAR), 4, '0')) AS key FROM documents CROSS JOIN p CROSS JOIN s")
@@ -428,9 +458,12 @@ def yolo_round_trip(spark, d):
     return back.select(F.col("path").alias("image"), "ann", "cls", px(F.col("cx") - F.col("w") / 2).alias("x1"), px(F.col("cy") - F.col("h") / 2).alias("y1"), px(F.col("w")).alias("w"), px(F.col("h")).alias("h"))
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT doc_id, n_chars AS b, row_number() OVER (ORDER BY doc_id) AS r FROM documents),
+  w AS (SELECT doc_id, b, r, CAST(0 AS INTEGER) AS shard, CAST(1 AS BIGINT) AS n, b AS total FROM o WHERE r = 1 UNION ALL
+  SELECT o.doc_id, o.b, o.r, CAST(CASE WHEN w.n >= 100 OR w.total + o.b > 300000 THEN w.shard + 1 ELSE w.shard END AS INTEGER), CASE WHEN w.n >= 100 OR w.total + o.b > 300000 THEN 1 ELSE w.n + 1 END, CASE WHEN w.n >= 100 OR w.total + o.b > 300000 THEN o.b ELSE w.total + o.b END
+  FROM w JOIN o ON o.r = w.r + 1) SELECT doc_id, b AS n_chars, shard FROM w""")
 def shard_plan(spark, d):
-    return files.shard_plan(table(spark, d, "documents"), "doc_id", "n_chars", 1000, 1_000_000)
+    return files.shard_plan(table(spark, d, "documents"), "doc_id", "n_chars", 100, 300_000)
 
 
 @query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
@@ -451,8 +484,8 @@ def crop_rects(spark, d):
     return c.where("c is not null").select("image", "ann", "c.*")
 
 
-@query(f"""WITH {V_BOXES}, s AS (SELECT image, ann, w, h, least(224 / w, 160 / h) AS f FROM v_boxes),
-  n AS (SELECT image, ann, CAST(greatest(1, floor(w * f + 0.5)) AS BIGINT) AS nw, CAST(greatest(1, floor(h * f + 0.5)) AS BIGINT) AS nh FROM s)
+@query(f"""WITH {V_BOXES}, s AS (SELECT image, ann, w, h, least(224.0 / w, 160.0 / h) AS f FROM v_boxes),
+  n AS (SELECT image, ann, CAST(greatest(1, round_even(w * f, 0)) AS BIGINT) AS nw, CAST(greatest(1, round_even(h * f, 0)) AS BIGINT) AS nh FROM s)
   SELECT image, ann, nw AS w, nh AS h, CAST(floor((224 - nw) / 2) AS BIGINT) AS pad_x, CAST(floor((160 - nh) / 2) AS BIGINT) AS pad_y FROM n""")
 def letterbox_math(spark, d):
     return boxes(spark, d).select("image", "ann", geometry.letterbox(F.col("w"), F.col("h"), 224, 160).alias("c")).select("image", "ann", "c.w", "c.h", "c.pad_x", "c.pad_y")

@@ -8,10 +8,11 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from orrery.session import written
+
 #: File endings of images, names of split folders.
 IMAGES = ("jpg", "jpeg", "png", "bmp", "gif", "tif", "tiff", "webp")
 SPLITS = ("train", "val", "valid", "validation", "test")
@@ -70,9 +71,15 @@ def difference(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFram
     return d.select(key, status.alias("status"))
 
 
-def vqa_items(questions: DataFrame, answers: DataFrame, predictions: DataFrame, key: str) -> DataFrame:
-    """Questions with the answer and the prediction of their key, null where there is none; each side's key is met once."""
-    return questions.dropDuplicates([key]).join(answers.dropDuplicates([key]), key, "left").join(predictions.dropDuplicates([key]), key, "left")
+def vqa_items(questions: DataFrame, answers: DataFrame, predictions: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """Questions with the answer and the prediction of their key, null where there is none; of rows that share a key the first by ``order`` (or by all columns) counts."""
+
+    def first(d: DataFrame) -> DataFrame:
+        by = [order] if order and order in d.columns else [c for c in d.columns if c != key]
+        rest = [c for c in d.columns if c != key]
+        return d.groupBy(key).agg(F.min(F.struct(*dict.fromkeys([*by, *rest]))).alias("_v")).select(key, *(F.col("_v")[c].alias(c) for c in rest if c != order))
+
+    return first(questions).join(first(answers), key, "left").join(first(predictions), key, "left")
 
 
 def read_shards(spark: SparkSession, folder: str) -> DataFrame:
@@ -100,23 +107,50 @@ def read_shards(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def shard_plan(rows: DataFrame, order: str, size: str, most_rows: int = 10_000, most_bytes: int = 500_000_000) -> DataFrame:
-    """``(order, size, part, shard)``: rows in order fill a shard until the next one would exceed either bound.
+    """``(order, size, shard)``: rows in order fill a shard until the next one would exceed either bound; a row beyond the bound has a shard of its own.
 
-    Parts are ranges of ``order`` and count their shards apart, so that no task
-    meets all rows; a row beyond the bound has a shard of its own.
+    One running rule holds over all rows, whatever their partitions: ranges of the
+    order are walked one after another, each on an executor, from what the one
+    before leaves open; then all are numbered at once.
     """
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, shard, n, total = TaskContext.get().partitionId(), 0, 0, 0
-        for d in parts:
-            at = []
-            for b in d[size]:
-                if n and (n >= most_rows or total + b > most_bytes):
-                    shard, n, total = shard + 1, 0, 0
-                n, total = n + 1, total + b
-                at.append(shard)
-            yield d.assign(part=part, shard=at)
-
-    src = rows.select(order, F.coalesce(F.col(size).cast("long"), F.lit(0)).alias(size))
+    src = rows.select(F.col(order), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias(size))
+    ranged = written(src.repartitionByRange(order).withColumn("_part", F.spark_partition_id()), "ordered")
     types = dict(src.dtypes)
-    return src.repartitionByRange(order).sortWithinPartitions(order).mapInPandas(run, f"{order} {types[order]}, {size} long, part int, shard int")
+    parts = sorted(r[0] for r in ranged.select("_part").distinct().collect())  # a row for each range
+
+    def fill(sizes, n: int, total: int):
+        """Whether each row opens a shard, and what the last one holds."""
+        opens = []
+        for b in sizes:
+            new = bool(n) and (n >= most_rows or total + b > most_bytes)
+            opens.append(new)
+            n, total = (1, b) if new else (n + 1, total + b)
+        return opens, n, total
+
+    def tail(part: DataFrame, n: int, total: int) -> tuple[int, int, int]:
+        """Shards that a range opens and what the last holds, found in one task without moving the range."""
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            opened, a, b = 0, n, total
+            for d in batches:
+                opens, a, b = fill(d[size].tolist(), a, b)
+                opened += sum(opens)
+            yield pd.DataFrame({"opened": [opened], "n": [a], "total": [b]})
+
+        r = part.coalesce(1).sortWithinPartitions(order).mapInPandas(run, "opened long, n long, total long").first()
+        return r.opened, r.n, r.total
+
+    starts, shard, n, total = [], 0, 0, 0
+    for p in parts:
+        starts.append((p, shard, n, total))
+        opened, n, total = tail(ranged.where(F.col("_part") == p), n, total)
+        shard += opened
+    at = {p: (s, a, b) for p, s, a, b in starts}
+
+    def number(d: pd.DataFrame) -> pd.DataFrame:
+        s, a, b = at[int(d["_part"].iloc[0])]
+        d = d.sort_values(order)
+        opens, _, _ = fill(d[size].tolist(), a, b)
+        return d.assign(shard=s + pd.Series(opens, index=d.index).cumsum())[[order, size, "shard"]]
+
+    return ranged.groupBy("_part").applyInPandas(number, f"{order} {types[order]}, {size} long, shard int")
