@@ -88,7 +88,15 @@ def clipped(points: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> C
 
 def clipped_area(points: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     """Area of a polygon's part within a rectangle."""
-    return polygon_area(clipped(points, x1, y1, x2, y2))
+
+    def run(rings: pd.Series, a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+        out = []
+        for r, box in zip(rings, np.stack([a, b, c, d], axis=1).astype(float)):
+            p = clip(np.asarray(r, float).reshape(-1, 2), box) if r is not None and len(r) >= 6 else np.zeros((0, 2))
+            out.append(abs(float(p[:, 0] @ np.roll(p[:, 1], -1) - p[:, 1] @ np.roll(p[:, 0], -1))) / 2 if len(p) > 2 else 0.0)
+        return pd.Series(out, dtype=float)
+
+    return F.pandas_udf(run, "double")(points, *(x.cast("double") for x in (x1, y1, x2, y2)))
 
 
 CROP_ID = r"^([^:]+):(.+):(box|polygon):(\d+)$"

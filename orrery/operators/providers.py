@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from orrery.functions.arrays import in_order
 from orrery.session import shared_dir
 
 #: Jobs answered at once.
@@ -108,7 +109,7 @@ def classified(results: DataFrame, threshold: float | None = None, probs: str =
 
 def appended(records: DataFrame, results: DataFrame, record: str, column: str, item: Column, order: str = "job") -> DataFrame:
     """``records`` with what results give appended to an array, in order of the job."""
-    new = results.groupBy(record).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), item.alias("x")))), lambda s: s["x"]).alias("_new"))
+    new = results.groupBy(record).agg(F.transform(in_order(F.collect_list(F.struct(F.col(order).alias("o"), item.alias("x"))), "o"), lambda s: s["x"]).alias("_new"))
     none = F.array().cast(records.schema[column].dataType)
     return records.join(new, record, "left").withColumn(column, F.concat(F.coalesce(column, none), F.coalesce(F.col("_new").cast(records.schema[column].dataType), none))).drop("_new")
 

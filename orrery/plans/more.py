@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from orrery.dataset import Dataset
 from orrery.functions import keys, names, numeric
+from orrery.functions.arrays import in_order
 from orrery.operators import annotations as ann
 from orrery.operators import arrange, gates, generation, geometry, ground, matching, negatives, profile, providers, questions, sampling, select, similarity, splitting, trust
 from orrery.plans.catalog import SPLITS, _edges, _scored, query
@@ -562,7 +563,7 @@ def twin_rank(spark, d):
     return _ranked(spark, d).select("q", "r", "score", "rank", F.round("percent", 6).alias("percent"))
 
 
-@query(f"WITH {_twins}, e AS (SELECT unnest([0, 1, 5, 25, 75]) AS p), w AS (SELECT min(p) AS example, at FROM (SELECT p, CAST(round_even(p / 100.0 * ((SELECT max(n) FROM c) - 1), 0) AS BIGINT) AS at FROM e) GROUP BY at) SELECT q, CAST(example AS INTEGER) AS example FROM c JOIN w ON rank = at")
+@query(f"WITH {_twins}, e AS (SELECT unnest([0, 1, 5, 25, 75]) AS p), w AS (SELECT min(p) AS example, pos FROM (SELECT p, CAST(round_even(p / 100.0 * ((SELECT max(n) FROM c) - 1), 0) AS BIGINT) AS pos FROM e) GROUP BY pos) SELECT q, CAST(example AS INTEGER) AS example FROM c JOIN w ON rank = pos")
 def twin_examples(spark, d):
     return trust.at_percents(_ranked(spark, d)).select("q", "example")
 
@@ -698,7 +699,7 @@ _qa = f"WITH {V_QAS}"
 def _asked(spark, d):
     none = lambda t: F.lit(None).cast(t)
     q = F.struct(F.col("question"), F.when(F.col("turn") % 4 == 1, "").otherwise(F.col("answer")).alias("answer"), none("double").alias("score"), F.lit("m").alias("model"), F.col("turn").cast("string").alias("id"), none("string").alias("label"), none("string").alias("ground_truth"), none("array<string>").alias("expected"), F.lit("chat").alias("source"), none("map<string,string>").alias("meta")).cast(questions.QA)
-    rows = qas(spark, d).select("conv_id", "turn", q.alias("qa")).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "qa"))).alias("l"))
+    rows = qas(spark, d).select("conv_id", "turn", q.alias("qa")).groupBy("conv_id").agg(in_order(F.collect_list(F.struct("turn", "qa")), "turn").alias("l"))
     return rows.select("conv_id", F.transform("l", lambda x: x["qa"]).alias("qas"))
 
 
