@@ -2,7 +2,7 @@
 
 All word patterns used here are sets of ASCII bytes and everything above 0x7F,
 so they can be found on the bytes of a text; positions count words. Texts are
-worked on in stretches of about a megabyte that end between words, so memory
+worked on in stretches of a quarter of a megabyte that end between words, so memory
 does not follow the longest text.
 """
 
@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-STRETCH = 1 << 20
+STRETCH = 1 << 18
 _P = 0x9E3779B97F4A7C15 | 1
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 

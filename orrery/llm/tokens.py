@@ -17,6 +17,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -25,9 +26,9 @@ import pyarrow as pa
 from orrery.llm import bytewords as B
 from orrery.llm.resident import only
 
-CACHE_PIECES = 1_000_000
-#: Unknown pieces encoded as one text.
-JOIN = 500
+CACHE_PIECES = 600_000
+#: Unknown pieces encoded as one text, and such texts encoded at once: a tokenizer's results take far more room than their ids.
+JOIN, AT_ONCE = 500, 8
 _word = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+"
 _marks = r"[!-&(-/:-@\[-`{-~]+"
 #: A word and its marks, or two words with a line end between: both files part words from marks and line ends.
@@ -227,19 +228,23 @@ class Encoder:
             sep, mark = self.parted
             groups = [" " + (sep + " ").join(x for x, _ in spaced[i : i + JOIN]) for i in range(0, len(spaced), JOIN)]
             groups += [sep.join(x for x, _ in first[i : i + JOIN]) for i in range(0, len(first), JOIN)]
-            for x in self.tokenizer.encode_batch_fast(groups, add_special_tokens=False):
-                ids = np.array(x.ids, np.uint32)
+            for ids in self._ids(groups):
                 at = np.flatnonzero(ids == mark)
                 sizes.append(np.diff(np.concatenate([[-1], at, [len(ids)]])) - 1)
                 flats.append(np.delete(ids, at))
             if sum(map(len, sizes)) != len(spaced) + len(first):
                 raise ValueError("a piece holds the separator")
         if rest:
-            got = [x.ids for x in self.tokenizer.encode_batch_fast([x if f else " " + x for x, f in rest], add_special_tokens=False)]
+            got = list(self._ids([x if f else " " + x for x, f in rest], 200))
             sizes.append(np.fromiter(map(len, got), np.int64, len(got)))
-            flats.append(np.fromiter(chain.from_iterable(got), np.uint32, int(sizes[-1].sum())))
+            flats.append(np.concatenate(got))
         self._add(self._hashes(spaced + first + rest), np.concatenate(sizes), np.concatenate(flats))
 
+    def _ids(self, texts: list[str], at_once: int = AT_ONCE) -> Iterator[np.ndarray]:
+        for i in range(0, len(texts), at_once):
+            for x in self.tokenizer.encode_batch_fast(texts[i : i + at_once], add_special_tokens=False):
+                yield np.array(x.ids, np.uint32)
+
     def encode(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and where each text's begin (n + 1 values)."""
         raw, offsets = B.buffers(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
