@@ -169,7 +169,7 @@ def test_average_precision_ranks_within_ranges(spark):
 
 @pytest.mark.parametrize(
     "text,label,rule",
-    [("Yes!", "yes", "full_answer"), ("well\nno", "no", "edge_lines"), ("I think the answer is yes", "yes", "leadin_span"), ("no because of it", "no", "trimmed_span"), ("yes\nno", "unclear", "edge_lines:ambiguous"), ("", "unclear", "empty"), (None, "unclear", "empty"), ("perhaps", "unclear", "no_match"), ("(b).", "no", "symbolic_token"), ("I choose option A, or b?", "unclear", "no_match"), ("I picked (a)", "yes", "symbolic_token")],
+    [("Yes!", "yes", "full_answer"), ("well\nno", "no", "edge_lines"), ("I think the answer is yes", "yes", "leadin_span"), ("no because of it", "no", "trimmed_span"), ("yes\nno", "unclear", "edge_lines:ambiguous"), ("", "unclear", "empty"), (None, "unclear", "empty"), ("perhaps", "unclear", "no_match"), ("(b).", "no", "full_answer"), ("I choose option A, or b?", "unclear", "no_match"), ("I picked (a)", "yes", "symbolic_token")],
 )
 def test_answers(spark, text, label, rule):
     called = answers.Registry.of(["yes", "no"], {"yes": ["a"], "no": ["b"]})
