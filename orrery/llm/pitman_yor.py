@@ -304,8 +304,8 @@ def _pairs(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return u, _pair(u, h)
 
 
-def _part(k: np.ndarray) -> np.ndarray:
-    return (k >> np.uint64(40)) % np.uint64(PASSES)
+def _part(k: np.ndarray, parts: int) -> np.ndarray:
+    return (k >> np.uint64(40)) % np.uint64(parts)
 
 
 def _counts(chunks: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
@@ -314,7 +314,7 @@ def _counts(chunks: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
     return k, u[at], w[at], np.bincount(which, c, minlength=len(k)).astype(np.int64)
 
 
-def pair_counts(src: DataFrame, part: int) -> DataFrame:
+def pair_counts(src: DataFrame, part: int, parts: int) -> DataFrame:
     """``(u, w, c)``: customers from training texts of every (context, word) pair of a part; 0 where only held-out texts have it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,7 +325,7 @@ def pair_counts(src: DataFrame, part: int) -> DataFrame:
             h, first = _tokens(batch.column(0))
             u, k = _pairs(h, first)
             train = np.repeat(~batch.column(1).to_numpy(zero_copy_only=False).astype(bool), np.diff(first))
-            mine = _part(k) == part
+            mine = _part(k, parts) == part
             held.append(_counts([(k[mine], u[mine], h[mine], train[mine].astype(np.int64))]))
             fresh += len(held[-1][0])
             if fresh > n + FLUSH // 2:
@@ -486,7 +486,7 @@ class Model:
 def train(src: DataFrame, burn_in: int = BURN_IN, sweeps: int = SWEEPS, seed: int = 0) -> Model:
     """Counts the pairs of ``src`` (text, held_out) and samples the seating of its training texts."""
     spark = src.sparkSession
-    pairs = [written(pair_counts(src, p), f"pairs{p}") for p in range(PASSES)]
+    pairs = [written(pair_counts(src, p, PASSES), f"pairs{p}") for p in range(PASSES)]
     every = reduce(DataFrame.unionAll, pairs)
     side = lambda key, a, b: every.where("c > 0").groupBy(F.col(key).alias("key")).agg(F.sum("c").alias(a), F.count_if(F.col("c") == 1).alias(b))
     both = side("w", "cw", "sw").join(side("u", "cu", "su"), "key", "full")
@@ -589,7 +589,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed:
     # rows equal in id and text score alike, so their hash may stand for them
     src = src.withColumn("row", F.xxhash64("id", "text"))
     model = train(src, burn_in, sweeps, seed)
-    n_all, v_all = model.tokens, model.known
+    n_all, v_all, parts = model.tokens, model.known, len(model.pairs)
 
     words_sent, words_top = _held(model.words.where("top and cw > 0"), "key", ["cw", "size", "g", "q", "back", "p"])
     every = reduce(DataFrame.unionAll, model.pairs)
@@ -615,7 +615,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed:
                     sums = [np.bincount(doc[hit], x[place[hit]] if hit.any() else [], minlength=n).astype(float) for x in (base, chance)]
                     known = np.bincount(doc[hit], t.columns["cw"][place[hit]] > 0 if hit.any() else [], minlength=n).astype(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array(row), pa.array(np.diff(first)), pa.array(known), *map(pa.array, sums)], names)
-                miss = np.flatnonzero((place < 0) & (_part(k) == part))
+                miss = np.flatnonzero((place < 0) & (_part(k, parts) == part))
                 if len(miss):
                     both, times = np.unique(np.rec.fromarrays([doc[miss], k[miss]], names="d,k"), return_counts=True)
                     m = len(both)
@@ -627,7 +627,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed:
 
     n, cw = F.col("n"), F.col("cw")
     done = []
-    for p in range(PASSES):
+    for p in range(parts):
         rows = missed(p)
         found = rows.where("k is not null").select("k", "row", "n").join(_terms(model, model.pairs[p], words_top), "k")
         sums = found.groupBy("row").agg(F.lit(0).cast("long").alias("m"), F.lit(0).cast("long").alias("n_tokens"), F.sum(F.when(cw > 0, n).otherwise(0)).alias("known"), F.sum(n * F.log10((cw + 1) / F.lit(float(n_all + v_all + 1)))).alias("base"), F.sum(n * F.col("lp").cast("double")).alias("total"))
