@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from orrery.operators import profile, sampling, similarity
 from orrery.operators.arrange import with_rank
+from orrery.session import written
 
 #: Positions, in percent of the ranking, whose rows serve as examples.
 EXAMPLES = (0, 1, 5, 25, 75)
@@ -26,6 +27,7 @@ def rank_curve(scores: DataFrame, key: str = "q", score: str = "score") -> DataF
 
     Positions count rows, so ties do not share one.
     """
+    scores = written(scores, "scores")
     d = with_rank(scores.withColumn("_down", -F.col(score)), ["_down", key], "rank").drop("_down")
     n = scores.agg(F.count("*").alias("_n"))
     return d.join(F.broadcast(n)).withColumn("percent", F.when(F.col("_n") > 1, 100.0 * F.col("rank") / (F.col("_n") - 1)).otherwise(0.0)).drop("_n")

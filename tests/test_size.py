@@ -1,13 +1,71 @@
 """What keeps queries in bounds on large tables."""
 
-import re
+from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from orrery.operators import annotations as ann
+from orrery.operators import similarity
 
 
 def test_precision_envelope_walks_no_frame_to_the_end(spark):
     d = spark.range(100).select("id", F.lit("a").alias("label"), (F.col("id") % 7).cast("double").alias("score"), (F.col("id") % 3 == 0).alias("tp"))
     plan = ann.average_precision(d, "label", 100, ["id"])._jdf.queryExecution().optimizedPlan().toString()
-    assert not re.search(r"windowspecdefinition\(label#[^)]*unboundedfollowing", plan)
+    rows = [x.split("$())")[0] for x in plan.split("windowspecdefinition(")[1:] if x.startswith("label#")]
+    assert rows and not any("unboundedfollowing" in x for x in rows)
+
+
+def _hashes(spark, n=700):
+    rng = np.random.default_rng(5)
+    h = [int(x) for x in rng.integers(-(2**63), 2**63, n)]
+    h[40:60] = h[:20]
+    h[60:90] = [x ^ 0b1011 for x in h[:30]]
+    rows = [(i * 3 % n, x) for i, x in enumerate(h)]
+    return sorted(rows), spark.createDataFrame([*rows, (n, None)], "id long, h long").repartition(5)
+
+
+def _apart(a, b):
+    return ((a ^ b) & (2**64 - 1)).bit_count()
+
+
+def test_wide_pairs_links_and_rounds_by_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "BLOCK", 100)
+    monkeypatch.setattr(similarity, "ROUND", 130)
+    rows, d = _hashes(spark)
+    first, n = {}, Counter(h for _, h in rows)
+    for i, h in rows:
+        first.setdefault(h, i)
+    want = {(a, b, _apart(x, y), n[x], n[y]) for x, a in first.items() for y, b in first.items() if a < b and _apart(x, y) <= 20}
+    pairs = similarity.pairs_within(d, "id", "h", 20)
+    assert "Join" not in pairs._jdf.queryExecution().optimizedPlan().toString()
+    got = [tuple(r) for r in pairs.collect()]
+    assert len(got) == len(want) and set(got) == want
+
+    root = {i: i for i in first.values()}
+    for a, b, *_ in sorted(want):
+        x, y = sorted((root[a], root[b]))
+        root = {k: x if v == y else v for k, v in root.items()}
+    component = {i: root[first[h]] for i, h in rows} | {700: 700}
+    assert {r.id: r.component for r in similarity.similarity_components(d, "id", "h", 20).collect()} == component
+
+    kept = []
+    for i, h in rows:
+        if all(_apart(h, k) > 20 for _, k in kept):
+            kept.append((i, h))
+    assert sorted(r.id for r in similarity.sequential_dedup(d, "id", "h", 20).collect()) == [i for i, _ in kept] + [700]
+
+
+def test_nearest_by_several_blocks_and_without_hashes(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "BLOCK", 100)
+    rows, d = _hashes(spark)
+    q, r = d.where("id % 5 = 0"), d.where("id % 5 <> 0")
+    near = similarity.nearest(q, r, "id", "h", 3)
+    got = {(x.q, x["rank"]): (x.r, x.dist) for x in near.collect()}
+    for i, h in rows:
+        if i % 5 == 0:
+            best = sorted((_apart(h, y), j) for j, y in rows if j % 5)[:3]
+            assert [got[i, k + 1] for k in range(3)] == [(j, x) for x, j in best]
+    assert [got[700, k + 1] for k in range(3)] == [(1, None), (2, None), (3, None)]
+    few = spark.createDataFrame([(1, 5), (2, None)], "id long, h long")
+    assert [(x.r, x.dist) for x in similarity.nearest(q.where("id = 0"), few, "id", "h", 3).orderBy("rank").select("r", "dist").collect()][1] == (2, None)
