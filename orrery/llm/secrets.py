@@ -1,13 +1,14 @@
 """Secret scans by grammar inference.
 
-Base patterns find labelled credentials. From a bounded, hash-chosen sample of
-their strings a prefix tree is built for each kind, and statistically compatible
-states are merged into a probabilistic automaton. Two states are compatible if
-their frequencies of ending and of symbol classes agree (Hoeffding bounds, down
-the tree) and if the lengths still to come agree (a bound of Dvoretzky, Kiefer
-and Wolfowitz), so that formats of fixed length keep their positions; a state
-met by few strings says too little for that and may merge only with a state of
-its own depth.
+Base patterns find labelled credentials. Of all their distinct strings a prefix
+tree is built for each kind, and statistically compatible states are merged into
+a probabilistic automaton. Two states are compatible if their frequencies of
+ending and of symbol classes agree (Hoeffding bounds, down the tree) and if the
+lengths still to come agree (a bound of Dvoretzky, Kiefer and Wolfowitz), so that
+formats of fixed length keep their positions; a state met by few strings says too
+little for that and may merge only with a state of its own depth. Prefixes beyond
+``NODES`` of the most frequent ones share a state for each depth. All strings are
+then counted along the automaton.
 
 All candidates, runs of eight or more credential characters that no base span
 covers, are scored by the log likelihood of the best automaton, its ending
@@ -23,7 +24,7 @@ import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +35,15 @@ from pyspark.sql.types import StructType
 from orrery.llm import bytewords as B
 from orrery.llm.resident import only
 from orrery.llm.tables import table
-
-#: Strings by kind that an automaton is fitted on, at most.
-SAMPLE_STRINGS = 400
-#: Documents that ordinary runs are taken from, and distinct runs, at most about.
-SAMPLE_TEXTS, SAMPLE_RUNS = 2000, 20_000
+from orrery.operators.arrange import with_rank
+from orrery.session import dropped, written
+
+#: Prefixes by kind that have a state of their own before merging, at most, and characters of the longest.
+NODES, DEEP = 10_000, 64
+#: Depths with a shared state, and lengths still to come that are told apart.
+SHARED, LENGTHS = 128, 128
+#: Distinct strings, and their characters, that a task holds before it passes them on.
+HELD, HELD_CHARS = 200_000, 8 << 20
 #: Least characters of a candidate.
 SHORTEST = 8
 #: Confidence of the bounds, and strings from which a state may merge with one of another depth.
@@ -100,38 +105,95 @@ def runs(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return np.searchsorted(offsets, begin, "right") - 1, begin, end
 
 
+def _child(node: int, k: int) -> int:
+    """The number of the prefix that class ``k`` makes of another; the empty one is 0."""
+    h = ((node ^ (k + 1)) * 0x9E3779B97F4A7C15 + k + 1) & (2**64 - 1)
+    return ((h ^ (h >> 29)) * 0xBF58476D1CE4E5B9 & (2**64 - 1)) >> 1
+
+
+#: A string at each of its prefixes: prefix, the one before it, its last class, its length, next character (EDGE: ends), length to come.
+VISIT = ["node", "parent", "k", "depth", "char", "rest"]
+
+
+def visits(strings: list[str]) -> list[tuple[int, ...]]:
+    out = []
+    for s in strings:
+        x, node, parent, k = codes(s).tolist(), 0, -1, -1
+        for i, c in enumerate([*x[: DEEP + 1], EDGE][: DEEP + 1]):
+            out.append((node, parent, k, i, c, min(len(x) - i, LENGTHS)))
+            if c < EDGE:
+                k = int(CLASS[c])
+                node, parent = _child(node, k), node
+    return out
+
+
 class Automaton:
     """A probabilistic automaton merged from the prefix tree of strings."""
 
     def __init__(self, strings: list[str], alpha: float = ALPHA):
+        chars, rest, nodes = Counter(), Counter(), {}
+        for node, parent, k, depth, c, r in visits(strings):
+            chars[node, c] += 1
+            rest[node, r] += 1
+            nodes[node] = (node, parent, k, depth)
+        self._learn(list(nodes.values()), [(*x, n) for x, n in chars.items()], [(*x, n) for x, n in rest.items()], alpha)
+        self.fit(self.run(strings))
+
+    @classmethod
+    def of_tree(cls, nodes: list, chars: list, rest: list, alpha: float = ALPHA) -> Automaton:
+        """The states of a tree by its rows (node, parent, k, depth), (node, char, n) and (node, rest, n); ``fit`` gives them probabilities."""
+        a = cls.__new__(cls)
+        a._learn(nodes, chars, rest, alpha)
+        return a
+
+    def _learn(self, nodes: list, chars: list, rest: list, alpha: float) -> None:
         self.bound = math.sqrt(0.5 * math.log(2 / alpha))
         self.next: list[dict[int, int]] = []
         self.count: list[Counter] = []  # by class
-        self.chars: list[Counter] = []
         self.rest: list[Counter] = []  # lengths still to come
         self.ends: list[int] = []
         self.total: list[int] = []
         self.depth: list[int] = []
         self._node(0)
-        for s in strings:
-            x, at = codes(s).tolist(), 0
-            for i, c in enumerate([*x, None]):
-                self.total[at] += 1
-                self.rest[at][len(x) - i] += 1
-                if c is None:
-                    self.ends[at] += 1
-                    break
-                k = int(CLASS[c])
-                self.count[at][k] += 1
-                self.chars[at][c] += 1
-                if k not in self.next[at]:
-                    self.next[at][k] = self._node(i + 1)
-                at = self.next[at][k]
+        number = {0: 0}
+        for node, parent, k, depth in sorted(nodes, key=lambda x: (x[3], x[1], x[2])):
+            if depth:
+                number[node] = self.next[number[parent]][k] = self._node(depth)
+        for node, c, n in chars:
+            at = number[node]
+            self.total[at] += n
+            if c == EDGE:
+                self.ends[at] += n
+            else:
+                self.count[at][int(CLASS[c])] += n
+        for node, r, n in rest:
+            self.rest[number[node]][r] += n
         self._merge()
-        self._tables()
+        # where a class leads: to its state, else to the one that strings of that depth share
+        size = len(self.states)
+        place = {x: i for i, x in enumerate(self.states)}
+        depth = np.array([self.depth[x] for x in self.states] + list(range(SHARED + 1)))
+        self.ways = np.repeat(size + np.minimum(depth + 1, SHARED)[:, None], N_CLASS, axis=1)
+        for i, x in enumerate(self.states):
+            for k, y in self.next[x].items():
+                self.ways[i, k] = place[y]
+        del self.next, self.count, self.rest, self.ends, self.total, self.depth
+
+    def run(self, strings: list[str]) -> np.ndarray:
+        """[state, character]: how often strings meet each character, or their end (EDGE), in each state."""
+        out = np.zeros((len(self.ways), EDGE + 1), np.int64)
+        ways, kinds = self.ways.tolist(), CLASS.tolist()
+        for s in strings:
+            x, at, path = codes(s).tolist(), 0, []
+            for c in x:
+                path.append(at)
+                at = ways[at][kinds[c]]
+            path.append(at)
+            np.add.at(out, (path, [*x, EDGE]), 1)
+        return out
 
     def _node(self, depth: int) -> int:
-        for x, v in ((self.next, {}), (self.count, Counter()), (self.chars, Counter()), (self.rest, Counter()), (self.ends, 0), (self.total, 0), (self.depth, depth)):
+        for x, v in ((self.next, {}), (self.count, Counter()), (self.rest, Counter()), (self.ends, 0), (self.total, 0), (self.depth, depth)):
             x.append(v)
         return len(self.total) - 1
 
@@ -175,7 +237,6 @@ class Automaton:
             self.ends[x] += self.ends[y]
             self.total[x] += self.total[y]
             self.count[x] += self.count[y]
-            self.chars[x] += self.chars[y]
             self.rest[x] += self.rest[y]
             for k, z in self.next[y].items():
                 if k in self.next[x]:
@@ -200,32 +261,29 @@ class Automaton:
                 self._fold(into, node)
         self.states = order
 
-    def _tables(self, more: float = 0.1, more_chars: float = 2.0) -> None:
-        """Log probabilities [state, character], of ending [state], and next states, smoothed so that none is 0 and each state's sum to 1."""
-        number = {x: i for i, x in enumerate(self.states)}
-        usual = np.ones(EDGE)
-        for x in self.states:
-            for c, n in self.chars[x].items():
-                usual[c] += n
+    def fit(self, counts: np.ndarray, more: float = 0.1, more_chars: float = 2.0) -> None:
+        """Log probabilities [state, character], of ending [state], and next states, smoothed so that none is 0 and each state's sum to 1.
+
+        By what ``run`` counts of all strings; states that none of them meets go.
+        """
+        met = counts.sum(axis=1) > 0
+        met[0] = True
+        # states that a class of a met state may lead to are met, but for classes that were not
+        place = np.cumsum(met) - 1
+        counts, ways = counts[met], self.ways[met]
+        chars, ends = counts[:, :EDGE].astype(float), counts[:, EDGE]
+        usual = 1 + chars.sum(axis=0)
         in_class = np.bincount(CLASS, usual, minlength=N_CLASS)
         usual = usual / in_class[CLASS]
-        size = len(self.states)
-        self.log = np.empty((size, EDGE))
-        self.log_end = np.empty(size)
-        self.to = np.empty((size, EDGE), np.int32)
-        for i, x in enumerate(self.states):
-            all_ = self.total[x] + more * (N_CLASS + 1)
-            by_class = np.array([(self.count[x][k] + more) / all_ for k in range(N_CLASS)])
-            seen = np.zeros(EDGE)
-            for c, n in self.chars[x].items():
-                seen[c] = n
-            n = np.bincount(CLASS, seen, minlength=N_CLASS)
-            self.log[i] = np.log(by_class[CLASS] * (seen + more_chars * usual) / (n + more_chars)[CLASS])
-            self.log_end[i] = math.log((self.ends[x] + more) / all_)
-            # a class that was not met goes where most strings go from here
-            most = max(self.next[x], key=lambda k: (self.count[x][k], -k), default=None)
-            fallback = number[self.next[x][most]] if most is not None else i
-            self.to[i] = [number[self.next[x][k]] if k in self.next[x] else fallback for k in CLASS.tolist()]
+        self.states = list(range(len(counts)))
+        by_class = np.stack([np.bincount(CLASS, x, minlength=N_CLASS) for x in chars])
+        all_ = counts.sum(axis=1) + more * (N_CLASS + 1)
+        self.log = np.log(((by_class + more) / all_[:, None])[:, CLASS] * (chars + more_chars * usual) / (by_class + more_chars)[:, CLASS])
+        self.log_end = np.log((ends + more) / all_)
+        # a class that was not met goes where most strings go from here
+        most, none = by_class.argmax(axis=1), by_class.sum(axis=1) == 0
+        to = np.where(by_class > 0, ways, ways[self.states, most][:, None])
+        self.to = np.where(none[:, None], np.array(self.states)[:, None], place[to])[:, CLASS].astype(np.int32)
 
     def log_prob(self, s: str) -> float:
         """Log probability of the string, its end included."""
@@ -236,17 +294,37 @@ class Automaton:
         return total + float(self.log_end[at])
 
 
+def trigrams(strings: list[str]) -> np.ndarray:
+    """[first, second, third]: how often characters follow each other, two begins and an end (EDGE) included."""
+    k = EDGE + 1
+    out = np.zeros(k**3, np.int64)
+    at = 0
+    while at < len(strings):
+        to, size = at, 0
+        while to < len(strings) and size < HELD_CHARS // 8:
+            size += len(strings[to])
+            to += 1
+        n = np.fromiter(map(len, strings[at:to]), np.int64, to - at)
+        c = np.full(size + 3 * len(n), EDGE, np.int64)
+        inner = np.ones(len(c), bool)
+        begin = np.cumsum(n + 3) - (n + 3)
+        inner[begin] = inner[begin + 1] = inner[begin + n + 2] = False
+        c[inner] = codes("".join(strings[at:to]))
+        ok = np.ones(len(c), bool)
+        ok[begin] = ok[begin + 1] = False
+        three = (c[:-2] * k + c[1:-1]) * k + c[2:]
+        out += np.bincount(three[ok[2:]], minlength=k**3)
+        at = to
+    return out.reshape(k, k, k)
+
+
 class Trigrams:
-    """Characters of ordinary runs, their begin and end included."""
+    """Characters of ordinary runs, their begin and end included; of strings, or of what ``trigrams`` counts of them."""
 
-    def __init__(self, strings: list[str]):
-        k = EDGE + 1
-        one, two, three = np.full(k, 0.5), np.zeros((k, k)), np.zeros((k, k, k))
-        for s in strings:
-            c = np.concatenate([[EDGE, EDGE], codes(s), [EDGE]])
-            np.add.at(one, c[2:], 1)
-            np.add.at(two, (c[1:-1], c[2:]), 1)
-            np.add.at(three, (c[:-2], c[1:-1], c[2:]), 1)
+    def __init__(self, strings: list[str] | np.ndarray):
+        three = (strings if isinstance(strings, np.ndarray) else trigrams(strings)).astype(float)
+        two = three.sum(axis=0)
+        one = 0.5 + two.sum(axis=0)
         p1 = one / one.sum()
 
         def under(n: np.ndarray, shorter: np.ndarray) -> np.ndarray:
@@ -275,11 +353,21 @@ class Trigrams:
         return np.add.reduceat(each, at) if len(at) else np.empty(0)
 
 
+def held_out(x: str) -> bool:
+    return zlib.crc32(x.encode()) % HELD_OUT == 0
+
+
+def threshold(low: Callable[[int], float], n_low: int, high: Callable[[int], float], n_high: int) -> float:
+    """Between the scores of labelled strings and of ordinary runs, given by their places in order from 0."""
+    bottom, top = low(int(BELOW * n_low)), high(n_high - 1 - int(ABOVE * n_high))
+    return max(LEAST, min(bottom, top + BETWEEN * (bottom - top)))
+
+
 class Grammar:
     """Automata by kind, a model of ordinary runs, and the threshold between them."""
 
     def __init__(self, labelled: dict[str, list[str]], ordinary: list[str]):
-        out = lambda x: zlib.crc32(x.encode()) % HELD_OUT == 0
+        out = held_out
         fitted = {k: [x for x in v if not out(x)] or v for k, v in sorted(labelled.items()) if v}
         self.automata = {k: Automaton(v) for k, v in fitted.items()}
         self.ordinary = Trigrams(ordinary) if ordinary else None
@@ -291,8 +379,13 @@ class Grammar:
         if self.automata and self.ordinary:
             low = sorted(self.scores([x for v in labelled.values() for x in v if out(x)] or [x for v in labelled.values() for x in v]))
             high = sorted(self.scores([x for x in ordinary if out(x)] or ordinary))
-            bottom, top = low[int(BELOW * len(low))], high[-1 - int(ABOVE * len(high))]
-            self.limit = max(LEAST, min(bottom, top + BETWEEN * (bottom - top)))
+            self.limit = threshold(low.__getitem__, len(low), high.__getitem__, len(high))
+
+    @classmethod
+    def of(cls, automata: dict[str, Automaton], ordinary: Trigrams | None, limit: float = math.inf) -> Grammar:
+        g = cls.__new__(cls)
+        g.automata, g.ordinary, g.limit = automata, ordinary, limit
+        return g
 
     def score(self, chars: np.ndarray, begin: np.ndarray, end: np.ndarray, counted: bool = False) -> np.ndarray:
         """Log likelihood ratios of chars[begin:end] (numbers in the alphabet)."""
@@ -384,55 +477,141 @@ def all_spans(texts: list[str | None], column: pa.Array, grammar: Grammar) -> tu
     return base, added
 
 
-def labelled_strings(src: DataFrame) -> dict[str, list[str]]:
-    """Distinct strings of the base spans of ``src`` (id, text), of each kind at most ``SAMPLE_STRINGS``, chosen by hash."""
+def strings_of(src: DataFrame) -> DataFrame:
+    """``(value, kinds, held_out)``: all distinct strings of the base spans and all other candidates of ``src`` (id, text); bit k of kinds is set for kind k, bit 3 for candidates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only("secrets")
+        held: dict[str, int] = {}
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int32()), pa.array([held_out(x) for x in held], pa.bool_())], ["value", "kinds", "held_out"])
+
         for batch in B.slices(batches, 0, rows=512):
-            texts = batch.column(0).to_pylist()
             raw, offsets = B.buffers(batch.column(0))
-            got = {(k, s) for x in candidates(texts, raw, offsets)[0] for _, _, k, s in x}
-            if got:
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in got], pa.int32()), pa.array([s for _, s in got], pa.string())], ["kind", "value"])
-
-    values = src.select("text").mapInArrow(run, "kind int, value string").distinct().withColumn("h", F.sha1("value"))
-    least = values.select("kind", F.substring("h", 1, 2).alias("p")).groupBy("kind", "p").count().collect()  # at most 256 rows a kind
-    edges = {}
-    for kind in range(3):
-        n = 0
-        for x in sorted((y for y in least if y.kind == kind), key=lambda y: y.p):
-            n += x["count"]
-            edges[kind] = x.p
-            if n >= SAMPLE_STRINGS:
-                break
-    near = F.lit(False)
-    for kind, p in edges.items():
-        near = near | ((F.col("kind") == kind) & (F.substring("h", 1, 2) <= p))
-    rows = sorted((x.kind, x.h, x.value) for x in values.where(near).collect())
-    return {KINDS[k]: [v for kind, _, v in rows if kind == k][:SAMPLE_STRINGS] for k in range(3)}
+            base, _, begin, end = candidates(batch.column(0).to_pylist(), raw, offsets)
+            got = [(x, 1 << k) for v in base for _, _, k, x in v]
+            got += [(raw[a:b].tobytes().decode(), 8) for a, b in zip(begin.tolist(), end.tolist())]
+            for x, kind in got:
+                if x not in held:
+                    size += len(x)
+                    held[x] = kind
+                else:
+                    held[x] |= kind
+            if len(held) > HELD or size > HELD_CHARS:
+                yield out()
+                held.clear()
+                size = 0
+        if held:
+            yield out()
 
+    found = src.select("text").mapInArrow(run, "value string, kinds int, held_out boolean")
+    return found.groupBy("value", "held_out").agg(F.bit_or("kinds").alias("kinds"))
 
-def ordinary_runs(src: DataFrame, secret: set[str]) -> list[str]:
-    """Distinct candidates of a bounded, hash-chosen share of the texts of ``src`` (id, text), none within a labelled string."""
+
+def _counted(df: DataFrame, count: Callable[..., np.ndarray]) -> np.ndarray:
+    """The sum over all rows of what ``count`` makes of the columns of a part of ``df``, as lists: an array of one shape."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in B.slices(batches, 0, rows=512):
-            raw, offsets = B.buffers(batch.column(0))
-            _, _, begin, end = candidates(batch.column(0).to_pylist(), raw, offsets)
-            got = sorted({raw[a:b].tobytes().decode() for a, b in zip(begin.tolist(), end.tolist()) if b - a <= LONG})
-            yield pa.RecordBatch.from_arrays([pa.array(got, pa.string())], ["r"])
+        only("secrets")
+        total = none
+        for batch in B.slices(batches, 0, rows=5000, size=1 << 20):
+            total = total + count(*(x.to_pylist() for x in batch.columns)).ravel()
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "n"])
+
+    out = count(*([] for _ in df.columns))
+    shape, none = out.shape, np.zeros(1, np.int64)
+    got = df.mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # at most a row for each cell
+    out = np.zeros(out.size, np.int64)
+    out[got["at"].to_numpy()] = got["n"].to_numpy()
+    return out.reshape(shape)
 
-    share = min(1 << 30, (SAMPLE_TEXTS << 30) // max(1, src.count()))
-    some = src.where(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) < share)
-    sample = some.select("text").mapInArrow(run, "r string").distinct().orderBy(F.sha1("r"), "r").limit(SAMPLE_RUNS)
-    return [x.r for x in sample.collect() if x.r not in secret]
+
+def automaton(values: DataFrame) -> Automaton:
+    """The automaton of all strings of ``values`` (value)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("secrets")
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                v = np.array(visits(batch.column(0).slice(at, 1000).to_pylist()), np.int64).reshape(-1, len(VISIT))
+                yield pa.RecordBatch.from_arrays([pa.array(v[:, i]) for i in range(len(VISIT))], VISIT)
+
+    seen = values.select("value").mapInArrow(run, ", ".join(f"{x} long" for x in VISIT))
+    seen = written(seen.groupBy(*VISIT).agg(F.count("*").alias("n")), "visits")
+    nodes = written(seen.groupBy(*VISIT[:4]).agg(F.sum("n").alias("n")), "nodes")
+    # prefixes met by as many strings as any that has a state has a state
+    least, above = 1, 0
+    for x in sorted(nodes.groupBy("n").count().collect(), key=lambda x: -x["n"]):  # sums of distinct values: few
+        above += x["count"]
+        if above > NODES:
+            least = x["n"] + 1
+            break
+    some = nodes.where((F.col("n") >= least) | (F.col("depth") == 0))
+    kept = seen.join(some.select("node"), "node", "left_semi")
+    rows = lambda *by: [tuple(r) for r in kept.groupBy(*by).agg(F.sum("n")).collect()]
+    a = Automaton.of_tree([tuple(r) for r in some.select(*VISIT[:4]).collect()], rows("node", "char"), rows("node", "rest"))  # at most NODES prefixes
+    dropped(seen, nodes)
+    a.fit(_counted(values.select("value"), a.run))
+    return a
 
 
 def learn(src: DataFrame) -> Grammar:
-    """Automata from the labelled strings of ``src`` (id, text), and a model of its ordinary runs; both samples are bounded."""
-    labelled = labelled_strings(src)
-    return Grammar(labelled, ordinary_runs(src, {x for v in labelled.values() for x in v}))
+    """What ``Grammar`` makes of lists, of all strings of ``src`` (id, text) in tasks."""
+    spark = src.sparkSession
+    every = written(strings_of(src), "strings")
+    ordinary = every.where("kinds = 8")
+    kinds = {k: every.where(F.col("kinds").bitwiseAND(1 << i) > 0) for i, k in enumerate(KINDS[:3])}
+    n = every.agg(*(F.count_if((F.col("kinds").bitwiseAND(1 << i) > 0) & (F.lit(whole) | ~F.col("held_out"))).alias(f"{k}{whole}") for i, k in enumerate(KINDS[:3]) for whole in (False, True)), F.count_if(F.col("kinds") == 8).alias("ordinary")).first()
+    automata = {k: automaton(v if not n[f"{k}False"] else v.where("not held_out")) for k, v in sorted(kinds.items()) if n[f"{k}True"]}
+    if not automata or not n["ordinary"]:
+        dropped(every)
+        return Grammar.of(automata, None)
+    first = Grammar.of(automata, Trigrams(_counted(ordinary.select("value"), trigrams)))
+    sent = spark.sparkContext.broadcast(first)
+
+    def common(values: list, held: list) -> np.ndarray:
+        """Trigrams of what is ordinary by the first model: of strings not held out, and of all."""
+        some = [(x, out) for x, out, y in zip(values, held, sent.value.scores(values, counted=True)) if y < LEAST]
+        return np.stack([trigrams([x for x, out in some if not out]), trigrams([x for x, _ in some])])
+
+    fit, all_ = _counted(ordinary.select("value", "held_out"), common)
+    if not all_.any():
+        dropped(every)
+        sent.destroy()
+        return Grammar.of(automata, None)
+    g = Grammar.of(automata, Trigrams(fit if fit.any() else all_))
+    final = spark.sparkContext.broadcast(g)
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("secrets")
+        for batch in B.slices(batches, 0, rows=5000, size=1 << 20):
+            values, kinds = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+            high = kinds == 8
+            low = ~high
+            times = sum((kinds >> i) & 1 for i in range(3))  # as often as it is a string of a kind
+            high[high] = np.array(sent.value.scores([x for x, k in zip(values, high) if k], counted=True)) < LEAST
+            times[high] = 1
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(final.value.scores(values)), times)), pa.array(np.repeat(low, times))], ["y", "low"])
+
+    # of a side without held-out strings all are scored
+    rest = all_.sum() == fit.sum()
+    no_low = all(n[f"{k}True"] == n[f"{k}False"] for k in KINDS[:3])
+    sides = F.col("held_out") | (F.lit(bool(rest)) & (F.col("kinds") == 8)) | (F.lit(no_low) & (F.col("kinds") != 8))
+    scores = written(every.where(sides).select("value", "kinds").mapInArrow(scored, "y double, low boolean"), "scores")
+    sizes = {r["low"]: r["count"] for r in scores.groupBy("low").count().collect()}
+
+    def placed(low: bool) -> Callable[[int], float]:
+        ranked = with_rank(scores.where(F.col("low") == low).select("y"), ["y"], "_rank")
+        return lambda place: ranked.where(F.col("_rank") == place).first()["y"]
+
+    g.limit = threshold(placed(True), sizes[True], placed(False), sizes[False])
+    dropped(every, scores)
+    for x in (sent, final):
+        x.destroy()
+    return g
 
 
 def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

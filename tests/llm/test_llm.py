@@ -256,6 +256,30 @@ def test_masked_credentials_are_found():
     assert max(g.scores(["".join(rng.permutation(["ing", "ter", "con", "pre"])) for _ in range(200)])) < g.limit
 
 
+def test_all_strings_of_a_table_are_learned(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    make = lambda n: "".join(rng.choice(list(secrets.ALPHABET[:62]), n))
+    keys = [make(int(n)) for n in rng.choice([12, 24], 900)] + ["k" * 70 + make(9)]
+    words = sorted({"".join(rng.choice(["ing", "ter", "con", "pre", "ation", "der", "mis", "ver", "lo", "na"], int(rng.integers(3, 6)))) for _ in range(4000)})
+    words = [x for x in words if len(x) >= 8] + [make(24) for _ in range(20)] + ["y" * 2500]
+    texts = [f"{' '.join(words[i::300])} token={keys[i]} AKIA{make(16).upper()}" if i < 300 else f"secret: {keys[i]}" for i in range(len(keys))]
+    got = secrets.learn(frame(spark, texts).withColumnRenamed("doc_id", "id").repartition(7))
+    ids = [t.rsplit(" ", 1)[1] for t in texts[:300]]
+    want = secrets.Grammar({"assign": sorted(keys), "access": sorted(ids)}, words)
+    for k, a in want.automata.items():
+        assert np.allclose(a.log, got.automata[k].log) and np.allclose(a.log_end, got.automata[k].log_end) and (a.to == got.automata[k].to).all()
+    assert np.array_equal(want.ordinary.log, got.ordinary.log) and np.isclose(want.limit, got.limit)
+    # few prefixes have states of their own: the others share some, and still every string counts
+    monkeypatch.setattr(secrets, "NODES", 60)
+    values = spark.createDataFrame([(x,) for x in keys], "value string")
+    runs = []
+    monkeypatch.setattr(secrets, "_counted", lambda df, count: runs.append(count([r.value for r in df.collect()])) or runs[-1])
+    few = secrets.automaton(values)
+    assert runs[0][:, secrets.EDGE].sum() == len(keys) and runs[0][:, : secrets.EDGE].sum() == sum(map(len, keys))
+    assert len(few.states) < secrets.SHARED and np.allclose(np.exp(few.log).sum(axis=1) + np.exp(few.log_end), 1)
+    assert few.log_prob(make(24)) > few.log_prob(make(30)) + 3
+
+
 def test_scores_match_the_base_and_sum_to_one(spark, monkeypatch):
     monkeypatch.setattr(pitman_yor, "PASSES", 2)
     rng = np.random.default_rng(0)
