@@ -55,8 +55,8 @@ from orrery.session import dropped, written
 
 #: Pairs whose terms, and words whose parameters, every task holds.
 FREQUENT, WORDS = 1 << 19, 1 << 18
-#: Parts of the pairs.
-PASSES = 4
+#: Parts of the pairs, and bytes that a task is dealt of a part, about.
+PASSES, DEALT = 3, 16 << 20
 BURN_IN, SWEEPS = 2, 4
 DISCOUNT, STRENGTH = 0.75, 5.0
 #: The hash that stands for the end of a text as a word, and for its begin as a context.
@@ -314,7 +314,50 @@ def _counts(chunks: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
     return k, u[at], w[at], np.bincount(which, c, minlength=len(k)).astype(np.int64)
 
 
-def pair_counts(src: DataFrame, part: int, parts: int) -> DataFrame:
+def _dealt(key: np.ndarray, shares: int, columns: list[np.ndarray], kind: int) -> pa.RecordBatch:
+    """``(share, kind, data)``: rows dealt to shares by a hash, the columns of a share's rows as bytes one after another. So Spark moves blocks, not rows."""
+    to = ((key >> np.uint64(8)) % np.uint64(shares)).astype(np.int32)
+    order = np.argsort(to, kind="stable")
+    some, at = np.unique(to[order], return_index=True)
+    cuts = list(zip(at.tolist(), [*at[1:].tolist(), len(to)]))
+    columns = [c[order] for c in columns]
+    data = [b"".join(c[x:y].tobytes() for c in columns) for x, y in cuts]
+    return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(np.full(len(some), kind, np.int32)), pa.array(data, pa.binary())], list(_BLOCKS_OF))
+
+
+_BLOCKS_OF = ("share", "kind", "data")
+BLOCKS = "share int, kind int, data binary"
+
+
+def _undealt(data: list[bytes], types: str) -> list[np.ndarray]:
+    """The columns of blocks."""
+    kinds = [np.dtype(t) for t in types.split()]
+    size = sum(t.itemsize for t in kinds)
+    out: list[list[np.ndarray]] = [[] for _ in kinds]
+    for x in data:
+        n, at = len(x) // size, 0
+        for t, col in zip(kinds, out):
+            col.append(np.frombuffer(x, t, n, at))
+            at += n * t.itemsize
+    return [np.concatenate(c) if c else np.empty(0, t) for c, t in zip(out, kinds)]
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> dict[int, list[bytes]]:
+    """All blocks of a task by kind."""
+    found: dict[int, list[bytes]] = {}
+    for b in batches:
+        for kind, data in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+            found.setdefault(kind, []).append(data)
+    return found
+
+
+def _shares(src: DataFrame, parts: int) -> int:
+    """Shares of a part of the pairs of ``src`` (text)."""
+    size = src.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0))).first()[0]
+    return max(2 * src.sparkSession.sparkContext.defaultParallelism, math.ceil(4 * size / parts / DEALT))
+
+
+def pair_counts(src: DataFrame, part: int, parts: int, shares: int) -> DataFrame:
     """``(u, w, c)``: customers from training texts of every (context, word) pair of a part; 0 where only held-out texts have it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,21 +369,29 @@ def pair_counts(src: DataFrame, part: int, parts: int) -> DataFrame:
             u, k = _pairs(h, first)
             train = np.repeat(~batch.column(1).to_numpy(zero_copy_only=False).astype(bool), np.diff(first))
             mine = _part(k, parts) == part
-            held.append(_counts([(k[mine], u[mine], h[mine], train[mine].astype(np.int64))]))
+            held.append((k[mine], u[mine], h[mine], train[mine].astype(np.int64)))
             fresh += len(held[-1][0])
             if fresh > n + FLUSH // 2:
                 held = [_counts(held)]
                 n = fresh = len(held[0][0])
-                if n > FLUSH:
+                if n > FLUSH // 2:
                     yield out(*held.pop())
                     n = fresh = 0
         if held:
             yield out(*_counts(held))
 
     def out(k: np.ndarray, u: np.ndarray, w: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(w.view(np.int64)), pa.array(c)], ["u", "w", "c"])
+        return _dealt(k, shares, [u, w, c], 0)
 
-    return src.select("text", "held_out").mapInArrow(run, "u long, w long, c long").groupBy("u", "w").agg(F.sum("c").alias("c"))
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("pitman_yor")
+        for data in _gather(batches).values():
+            u, w, c = _undealt(data, "u8 u8 i8")
+            data.clear()
+            _, u, w, c = _counts([(_pair(u, w), u, w, c)])
+            yield from pa.table([pa.array(u.view(np.int64)), pa.array(w.view(np.int64)), pa.array(c)], names=["u", "w", "c"]).to_batches(DRAWN)
+
+    return src.select("text", "held_out").mapInArrow(run, BLOCKS).repartitionById(shares, "share").mapInArrow(total, "u long, w long, c long")
 
 
 def frequent(df: DataFrame, count: str, most: int) -> Column:
@@ -486,7 +537,8 @@ class Model:
 def train(src: DataFrame, burn_in: int = BURN_IN, sweeps: int = SWEEPS, seed: int = 0) -> Model:
     """Counts the pairs of ``src`` (text, held_out) and samples the seating of its training texts."""
     spark = src.sparkSession
-    pairs = [written(pair_counts(src, p, PASSES), f"pairs{p}") for p in range(PASSES)]
+    shares = _shares(src, PASSES)
+    pairs = [written(pair_counts(src, p, PASSES, shares), f"pairs{p}") for p in range(PASSES)]
     every = reduce(DataFrame.unionAll, pairs)
     side = lambda key, a, b: every.where("c > 0").groupBy(F.col(key).alias("key")).agg(F.sum("c").alias(a), F.count_if(F.col("c") == 1).alias(b))
     both = side("w", "cw", "sw").join(side("u", "cu", "su"), "key", "full")
@@ -532,8 +584,8 @@ def train(src: DataFrame, burn_in: int = BURN_IN, sweeps: int = SWEEPS, seed: in
     return Model(pairs, model, int(n_all), int(v_all), [r.predictive(0.0, 0.0) for r in new], new)
 
 
-def _terms(model: Model, pairs: DataFrame, top) -> DataFrame:
-    """``(k, cw, lp)`` of every pair: its hash, the word's training count, and log10 of its averaged probability."""
+def _terms(model: Model, pairs: DataFrame, top, shares: int = 0) -> DataFrame:
+    """``(k, cw, lp)`` of every pair: its hash, the word's training count, and log10 of its averaged probability; as blocks of kind 1 if there are ``shares``."""
     unseen = np.array(model.unseen)
 
     def chances(c, size, g, q, back, p) -> np.ndarray:
@@ -547,6 +599,9 @@ def _terms(model: Model, pairs: DataFrame, top) -> DataFrame:
         return np.log10(total.mean(axis=1) / size)
 
     def out(u, w, cw, lp) -> pa.RecordBatch:
+        if shares:
+            k = _pair(u, w)
+            return _dealt(k, shares, [k, cw.astype(np.int64), lp.astype(np.float32)], 1)
         return pa.RecordBatch.from_arrays([pa.array(_pair(u, w).view(np.int64)), pa.array(cw), pa.array(lp.astype(np.float32))], ["k", "cw", "lp"])
 
     def of_near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -562,7 +617,7 @@ def _terms(model: Model, pairs: DataFrame, top) -> DataFrame:
             wide = lambda i: x[i].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(u), -1).astype(float)
             yield out(u.view(np.uint64), w.view(np.uint64), cw, chances(c, size, wide("g"), wide("q"), wide("back"), wide("p")))
 
-    schema = "k long, cw long, lp float"
+    schema = BLOCKS if shares else "k long, cw long, lp float"
     # a context or word that training has not: the parent alone, or the unseen word
     floats = lambda v: F.array(*(F.lit(float(x)).cast("float") for x in v))
     none = np.full(len(unseen), STRENGTH)
@@ -597,44 +652,92 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed:
     pairs_sent, pairs_top = _held(most, "k", ["cw", "lp"])
     base_of = lambda c: np.log10((c + 1) / (n_all + v_all + 1))
 
+    shares = _shares(src, parts)
+    sums = "i8 i4 i4 i8 f8 f8"  # of a row: rows, tokens, known tokens, base, total
+
+    def dealt_sums(row: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
+        return _dealt(B.mix(row.view(np.uint64)), shares, [row, *(c.astype(t) for c, t in zip(columns, sums.split()[1:]))], 2)
+
     def missed(part: int) -> DataFrame:
-        """``(k, row, n)`` of the pairs of a part whose terms tasks do not hold; in part 0 also each text's sums over the others, with a null k."""
+        """Blocks of the pairs (k, row, n) of a part whose terms tasks do not hold; in part 0 also each text's sums over the others, as blocks of kind 2."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             t = pairs_top()
             base, chance = base_of(t.columns["cw"]), t.columns["lp"].astype(float)
+            held: list[tuple[np.ndarray, ...]] = []
+            own: list[tuple[np.ndarray, ...]] = []
+            n_held = n_own = 0
             for batch in B.slices(batches, 0, rows=500):
                 n = batch.num_rows
                 row = batch.column(1).to_numpy()
                 h, first = _tokens(batch.column(0))
                 _, k = _pairs(h, first)
-                place = t.find(k)
                 doc = np.repeat(np.arange(n), np.diff(first))
+                if part:
+                    mine = np.flatnonzero(_part(k, parts) == part)
+                    k, doc = k[mine], doc[mine]
+                place = t.find(k)
                 if part == 0:
                     hit = place >= 0
-                    sums = [np.bincount(doc[hit], x[place[hit]] if hit.any() else [], minlength=n).astype(float) for x in (base, chance)]
-                    known = np.bincount(doc[hit], t.columns["cw"][place[hit]] > 0 if hit.any() else [], minlength=n).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array(row), pa.array(np.diff(first)), pa.array(known), *map(pa.array, sums)], names)
-                miss = np.flatnonzero((place < 0) & (_part(k, parts) == part))
-                if len(miss):
-                    both, times = np.unique(np.rec.fromarrays([doc[miss], k[miss]], names="d,k"), return_counts=True)
-                    m = len(both)
-                    nothing = pa.nulls(m, pa.float64())
-                    yield pa.RecordBatch.from_arrays([pa.array(both["k"].view(np.int64)), pa.array(row[both["d"]]), pa.array(times.astype(np.int64)), pa.nulls(m, pa.int64()), nothing, nothing], names)
-
-        names = ["k", "row", "n", "known", "base", "total"]
-        return src.select("text", "row").mapInArrow(run, "k long, row long, n long, known long, base double, total double")
-
-    n, cw = F.col("n"), F.col("cw")
+                    both = [np.bincount(doc[hit], x[place[hit]] if hit.any() else [], minlength=n).astype(float) for x in (base, chance)]
+                    known = np.bincount(doc[hit], t.columns["cw"][place[hit]] > 0 if hit.any() else [], minlength=n)
+                    own.append((row, np.ones(n), np.diff(first), known, *both))
+                    n_own += n
+                    if n_own > FLUSH // 8:
+                        yield dealt_own(own)
+                        own, n_own = [], 0
+                    mine = np.flatnonzero((place < 0) & (_part(k, parts) == part))
+                else:
+                    mine = np.flatnonzero(place < 0)
+                # a pair that comes again in a text is a row again
+                held.append((k[mine], row[doc[mine]]))
+                n_held += len(mine)
+                if n_held > FLUSH:
+                    yield _dealt(np.concatenate([x for x, _ in held]), shares, [np.concatenate(x) for x in zip(*held)], 0)
+                    held, n_held = [], 0
+            if n_held:
+                yield _dealt(np.concatenate([x for x, _ in held]), shares, [np.concatenate(x) for x in zip(*held)], 0)
+            if n_own:
+                yield dealt_own(own)
+
+        def dealt_own(own: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+            row, *columns = (np.concatenate(x) for x in zip(*own))
+            return dealt_sums(row, columns)
+
+        return src.select("text", "row").mapInArrow(run, BLOCKS)
+
+    def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sums by row over the pairs of a share."""
+        only("pitman_yor")
+        found = _gather(batches)
+        if 2 in found:  # sums already
+            row, *columns = _undealt(found.pop(2), sums)
+            yield dealt_sums(row, columns)
+        key, cw, lp = _undealt(found.pop(1, []), "u8 i8 f4")
+        order = np.argsort(key)
+        key, cw, lp = key[order], cw[order], lp[order].astype(float)
+        base = base_of(cw)
+        k, row = _undealt(found.pop(0, []), "u8 i8")
+        if not len(k):
+            return
+        place = np.searchsorted(key, k)
+        if not (key[np.minimum(place, len(key) - 1)] == k).all():
+            raise ValueError("a pair without a term")
+        row, which = np.unique(row, return_inverse=True)
+        n = len(row)
+        yield dealt_sums(row, [np.zeros(n), np.zeros(n), np.bincount(which, cw[place] > 0, minlength=n), np.bincount(which, base[place], minlength=n), np.bincount(which, lp[place], minlength=n)])
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("pitman_yor")
+        row, *columns = _undealt(_gather(batches).get(2, []), sums)
+        row, which = np.unique(row, return_inverse=True)
+        columns = [np.bincount(which, c, minlength=len(row)) for c in columns]
+        yield from pa.table([pa.array(row), *(pa.array(c.astype(np.int64)) for c in columns[:3]), *map(pa.array, columns[3:])], names=["row", "m", "n_tokens", "known", "base", "total"]).to_batches(DRAWN)
+
     done = []
     for p in range(parts):
-        rows = missed(p)
-        found = rows.where("k is not null").select("k", "row", "n").join(_terms(model, model.pairs[p], words_top), "k")
-        sums = found.groupBy("row").agg(F.lit(0).cast("long").alias("m"), F.lit(0).cast("long").alias("n_tokens"), F.sum(F.when(cw > 0, n).otherwise(0)).alias("known"), F.sum(n * F.log10((cw + 1) / F.lit(float(n_all + v_all + 1)))).alias("base"), F.sum(n * F.col("lp").cast("double")).alias("total"))
-        done.append(written(sums, f"scores{p}"))
-        if p == 0:
-            own = rows.where("k is null").groupBy("row").agg(F.count("*").alias("m"), F.sum("n").alias("n_tokens"), F.sum("known").alias("known"), F.sum("base").alias("base"), F.sum("total").alias("total"))
-            done.append(written(own, "scores"))
+        blocks = missed(p).unionAll(_terms(model, model.pairs[p], words_top, shares)).repartitionById(shares, "share").mapInArrow(matched, BLOCKS)
+        done.append(written(blocks.repartitionById(shares, "share").mapInArrow(summed, "row long, m long, n_tokens long, known long, base double, total double"), f"scores{p}"))
         dropped(model.pairs[p])
     dropped(most, model.words)
     words_sent.destroy()

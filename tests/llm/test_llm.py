@@ -280,6 +280,25 @@ def test_all_strings_of_a_table_are_learned(spark, monkeypatch):
     assert few.log_prob(make(24)) > few.log_prob(make(30)) + 3
 
 
+def test_pairs_are_counted_in_blocks(spark):
+    texts = ["a b a b", "b a", None, "a b c"] * 3
+    d = spark.createDataFrame([(t, i % 3 == 0) for i, t in enumerate(texts)], "text string, held_out boolean").repartition(3)
+    counts, kinds = Counter(), set()
+    for p in range(2):
+        df = pitman_yor.pair_counts(d, p, 2, 5)
+        assert "Aggregate" not in df._jdf.queryExecution().optimizedPlan().toString()  # no rows of pairs are shuffled
+        for r in df.collect():
+            assert (r.u, r.w) not in kinds
+            kinds.add((r.u, r.w))
+            counts[r.c] += 1
+    want = Counter()
+    for i, t in enumerate(texts):
+        tok = ["<", *(t or "").split(), ">"]
+        for x in zip(tok, tok[1:]):
+            want[x] += i % 3 != 0
+    assert counts == Counter(want.values())
+
+
 def test_scores_match_the_base_and_sum_to_one(spark, monkeypatch):
     monkeypatch.setattr(pitman_yor, "PASSES", 2)
     rng = np.random.default_rng(0)
