@@ -193,3 +193,14 @@ def test_cosines_are_those_of_plain_tf_idf(spark):
         if r.doc_id in units:
             best = max(cosine(u, v) for u in units[r.doc_id] for _, v in licenses.TEMPLATE_LINES)
             assert (r.own_cosine is None and best < licenses.LEAST) or abs(r.own_cosine - best) < 0.05, (r, best)
+
+
+def test_the_pipeline_learns_secrets_from_all_strings(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    keys = ["".join(rng.choice(list("abcdef0123456789XYZ"), 20)) for _ in range(700)]
+    seen = []
+    monkeypatch.setattr(secrets.Automaton, "fit", lambda self, counts, fit=secrets.Automaton.fit: (seen.append(int(counts[:, secrets.EDGE].sum())), fit(self, counts))[1])
+    d = spark.createDataFrame([(i, f"plain wordsofmany letters{'abcdefgh'[i % 8:]} token={k}") for i, k in enumerate(keys)], "doc_id long, text string")
+    out = [r.text for r in corpus_pipeline.redact_secrets(spark, d, "").collect()]
+    assert seen == [sum(not secrets.held_out(k) for k in keys)]  # more than any sample of 400
+    assert len(out) == 700 and all(x.endswith("<secret>") for x in out)
