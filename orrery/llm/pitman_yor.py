@@ -29,9 +29,13 @@ tables of a block in place of drawn ones.
 Counts of (context, word) pairs come from all training texts by a distributed
 sum over the full vocabulary and stay in distributed tables, as do words. Tasks
 hold the parameters of the most frequent words and the terms of the most
-frequent pairs, both bounded; all others are joined by shuffles. Pairs are dealt
-to a fixed number of parts by their hash, counted and scored one part after
-another, so that shuffles take a share of the disk.
+frequent pairs, both bounded. Every rare word has a share; pairs with one rare
+word are dealt to its share, pairs of two to that of the context, and pairs of
+frequent words by their hash. So a share has what its pairs need, but for the
+words of pairs of two rare ones, which the words' shares send. All tables are
+blocks of bytes, a share's rows of a kind each, so that Spark moves few rows and
+joins none. Pairs are counted in two scans and scored in three, so that shuffles
+take a share of the disk.
 """
 
 from __future__ import annotations
@@ -44,7 +48,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.llm import bytewords as B
@@ -55,12 +59,17 @@ from orrery.session import dropped, written
 
 #: Pairs whose terms, and words whose parameters, every task holds.
 FREQUENT, WORDS = 1 << 19, 1 << 18
-#: Parts of the pairs, and bytes that a task is dealt of a part, about.
-PASSES, DEALT = 3, 16 << 20
+#: Parts in which pairs are scored, and bytes that a task is dealt of a part, at most about.
+PASSES, DEALT = 3, 96 << 20
+#: Scans of the texts in which pairs are counted.
+COUNTS = 2
+#: Shares, at most, that add up the sums of frequent words.
+SPREAD = 256
 BURN_IN, SWEEPS = 2, 4
 DISCOUNT, STRENGTH = 0.75, 5.0
 #: The hash that stands for the end of a text as a word, and for its begin as a context.
 END = np.uint64(0x5851F42D4C957F2D)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Distinct pairs a task holds before it passes counts on, and blocks it draws at once.
 FLUSH, DRAWN = 1 << 20, 1 << 17
 SMALL = 120
@@ -99,7 +108,7 @@ class Seats:
         if discount not in _weights:
             _weights[discount] = log_seatings(SMALL, discount)
         c = c.astype(np.int64)
-        order = np.argsort(np.minimum(c, small + 1), kind="stable")
+        order = np.argsort(np.minimum(c, small + 1).astype(np.int16), kind="stable")
         edges = np.searchsorted(c[order], np.arange(2, small + 2)) if self.n else np.zeros(small, np.int64)
         self.groups = [(x, order[a:b], _weights[discount][x, 1 : x + 1]) for x, a, b in zip(range(2, small + 1), edges[:-1].tolist(), edges[1:].tolist()) if b > a]
         self.large = np.flatnonzero(c > small)
@@ -296,42 +305,89 @@ def _pair(u: np.ndarray, w: np.ndarray) -> np.ndarray:
     return B.mix(B.mix(u, 1) + w, 2)
 
 
-def _pairs(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Context and pair hash of each token."""
+def _contexts(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The context of each token."""
     u = np.empty_like(h)
     u[1:] = h[:-1]
     u[first[:-1]] = END
-    return u, _pair(u, h)
+    return u
+
+
+def _share(key: np.ndarray, shares: int) -> np.ndarray:
+    return ((key >> np.uint64(8)) % np.uint64(shares)).astype(np.int32)
+
+
+def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of hashes, and where each distinct one begins in it."""
+    order = np.argsort(key)
+    key = key[order]
+    begins = np.ones(len(key), bool)
+    begins[1:] = key[1:] != key[:-1]
+    return order, np.flatnonzero(begins)
+
+
+def _summed(key: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct hashes in order and the sums of each column."""
+    if not len(key):
+        return key, *columns
+    order, at = _runs(key)
+    return key[order[at]], *(np.add.reduceat(c[order], at) for c in columns)
+
+
+def _find(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The place of each hash in ``keys``, which are in order, or -1."""
+    if not len(keys):
+        return np.full(len(x), -1)
+    at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
+    return np.where(keys[at] == x, at, -1)
+
+
+# Kinds of blocks and their columns. A table of blocks is ``(share, kind, data)``: the columns of some rows of a share
+# as bytes one after another, so that Spark moves blocks, not rows.
+WORD, COUNT, NONE, ONCE, MANY, NEAR, FAR, SUM, TOP, WANTED, RARE, PARAM, SCALAR, TOKEN, ROW, MODEL, ONES = range(17)
+#: At this and the numbers after it: tables and customers of a share's rare words in a sweep.
+STATE = 100
+TYPES = {
+    WORD: "u8 i8 i8",  # word, tokens in training texts, tokens
+    COUNT: "u8 u8 i8",  # context, word, customers, as a task of texts counts them
+    NONE: "u8 u8",  # pairs that only held-out texts have
+    ONCE: "u8 u8",  # pairs of one customer
+    MANY: "u8 u8 i8",  # and of more
+    NEAR: "i4 i4 i8",  # those of two frequent words, by their places
+    FAR: "u8 u8 i8",
+    SUM: "u8 i8 i8",  # word, tables as context, tables as word
+    TOP: "i4 i8 i8",  # the same of a frequent word
+    WANTED: "u8 i4 u1",  # a rare word, a share that has pairs of it and another rare one, whether of several customers
+    RARE: "u8 i8 i8 i8",  # word, customers, its pairs of one customer as context and as word
+    PARAM: "u8 f8 f8",  # word, g, mass
+    SCALAR: "f8 f8 f8",  # sums over rare words: tables at the parent, customers, mass
+    TOKEN: "u8 i8",  # pair, row
+    ROW: "i8 i4 i4 i8 f8 f8",  # row, rows, tokens, known tokens, base, total
+    ONES: "u8",  # words of one customer
+}
+BLOCKS = "share int, kind int, data binary"
 
 
-def _part(k: np.ndarray, parts: int) -> np.ndarray:
-    return (k >> np.uint64(40)) % np.uint64(parts)
+def _batch(shares: np.ndarray, kind: int, data: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(shares, pa.int32()), pa.array(np.full(len(data), kind, np.int32)), pa.array(data, pa.binary())], ["share", "kind", "data"])
 
 
-def _counts(chunks: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-    k, u, w, c = (np.concatenate(x) for x in zip(*chunks))
-    k, at, which = np.unique(k, return_index=True, return_inverse=True)
-    return k, u[at], w[at], np.bincount(which, c, minlength=len(k)).astype(np.int64)
+def _block(share: int, kind: int, *columns: np.ndarray) -> pa.RecordBatch:
+    return _batch(np.array([share]), kind, [b"".join(c.tobytes() for c in columns)])
 
 
-def _dealt(key: np.ndarray, shares: int, columns: list[np.ndarray], kind: int) -> pa.RecordBatch:
-    """``(share, kind, data)``: rows dealt to shares by a hash, the columns of a share's rows as bytes one after another. So Spark moves blocks, not rows."""
-    to = ((key >> np.uint64(8)) % np.uint64(shares)).astype(np.int32)
+def _dealt(to: np.ndarray, kind: int, *columns: np.ndarray) -> pa.RecordBatch:
+    """Rows as blocks for the shares ``to``."""
     order = np.argsort(to, kind="stable")
     some, at = np.unique(to[order], return_index=True)
     cuts = list(zip(at.tolist(), [*at[1:].tolist(), len(to)]))
     columns = [c[order] for c in columns]
-    data = [b"".join(c[x:y].tobytes() for c in columns) for x, y in cuts]
-    return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(np.full(len(some), kind, np.int32)), pa.array(data, pa.binary())], list(_BLOCKS_OF))
-
-
-_BLOCKS_OF = ("share", "kind", "data")
-BLOCKS = "share int, kind int, data binary"
+    return _batch(some, kind, [b"".join(c[x:y].tobytes() for c in columns) for x, y in cuts])
 
 
 def _undealt(data: list[bytes], types: str) -> list[np.ndarray]:
     """The columns of blocks."""
-    kinds = [np.dtype(t) for t in types.split()]
+    kinds = [np.dtype(t) for t in types.split()]  # also of several values, as in (4,)f4
     size = sum(t.itemsize for t in kinds)
     out: list[list[np.ndarray]] = [[] for _ in kinds]
     for x in data:
@@ -342,23 +398,88 @@ def _undealt(data: list[bytes], types: str) -> list[np.ndarray]:
     return [np.concatenate(c) if c else np.empty(0, t) for c, t in zip(out, kinds)]
 
 
-def _gather(batches: Iterator[pa.RecordBatch]) -> dict[int, list[bytes]]:
-    """All blocks of a task by kind."""
-    found: dict[int, list[bytes]] = {}
+class Found(dict):
+    """The blocks of a share by kind."""
+
+    def take(self, kind: int, types: str = "") -> list[np.ndarray]:
+        return _undealt(self.pop(kind, []), types or TYPES[kind])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, bytes]]:
     for b in batches:
-        for kind, data in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-            found.setdefault(kind, []).append(data)
-    return found
+        yield from zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist())
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Found]]:
+    """A task's shares with all their blocks."""
+    found: dict[int, Found] = {}
+    for share, kind, data in _blocks(batches):
+        found.setdefault(share, Found()).setdefault(kind, []).append(data)
+    yield from found.items()
+
+
+def _met(shares: int, run, *tables: DataFrame) -> DataFrame:
+    """``run`` over the blocks of each share of several tables."""
+    each = reduce(DataFrame.unionAll, tables).repartitionById(shares, F.col("share") % shares)
+    return each.mapInArrow(run, BLOCKS)
 
 
 def _shares(src: DataFrame, parts: int) -> int:
     """Shares of a part of the pairs of ``src`` (text)."""
     size = src.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0))).first()[0]
-    return max(2 * src.sparkSession.sparkContext.defaultParallelism, math.ceil(4 * size / parts / DEALT))
+    shares = max(src.sparkSession.sparkContext.defaultParallelism, math.ceil(4 * size / parts / DEALT))
+    return COUNTS * math.ceil(shares / COUNTS)
 
 
-def pair_counts(src: DataFrame, part: int, parts: int, shares: int) -> DataFrame:
-    """``(u, w, c)``: customers from training texts of every (context, word) pair of a part; 0 where only held-out texts have it."""
+class Top:
+    """Columns of a bounded table, by hash."""
+
+    def __init__(self, key: np.ndarray, columns: dict[str, np.ndarray]):
+        self.key, self.columns = key, columns
+        self.places = Places(max(1, 2 * len(key)))
+        self.places.add(key, 0)
+
+    def find(self, key: np.ndarray) -> np.ndarray:
+        """The place of each hash, or -1."""
+        slot = key & self.places.mask
+        held = self.places.key[slot]
+        out = np.where(held == key, self.places.place[slot], np.int32(-1))
+        on = np.flatnonzero((out < 0) & (held != 0))
+        out[on] = self.places.find(key[on])
+        return out
+
+    def has(self, key: np.ndarray) -> np.ndarray:
+        held = self.places.key[key & self.places.mask]
+        out = held == key
+        on = np.flatnonzero(~out & (held != 0))
+        out[on] = self.places.find(key[on]) >= 0
+        return out
+
+
+def _sent(spark: SparkSession, *tops: tuple[np.ndarray, dict[str, np.ndarray]]):
+    """A broadcast of bounded tables, and how a task makes them a ``Top`` each."""
+    sent, name = spark.sparkContext.broadcast(tops), uuid.uuid4().hex
+    return sent, lambda: only(name, lambda: [Top(*x) for x in sent.value])
+
+
+def _homes(t: Top | None, h: np.ndarray, first: np.ndarray, shares: int) -> tuple[np.ndarray, np.ndarray]:
+    """Context and share of each token: by the pair if both words are frequent, else by the rare word, the context if both are rare."""
+    u = _contexts(h, first)
+    home = u * _ODD + h
+    if t is not None:
+        rare = ~t.has(h)
+        of_u = np.empty_like(rare)
+        of_u[1:] = rare[:-1]
+        of_u[first[:-1]] = ~t.has(np.array([END]))[0]
+        some = np.flatnonzero(of_u)
+        home[some] = u[some]
+        some = np.flatnonzero(rare & ~of_u)
+        home[some] = h[some]
+    return u, _share(home, shares)
+
+
+def word_counts(src: DataFrame, shares: int) -> DataFrame:
+    """A block for each share of the words: tokens in training texts and in all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only("pitman_yor")
@@ -366,266 +487,488 @@ def pair_counts(src: DataFrame, part: int, parts: int, shares: int) -> DataFrame
         n = fresh = 0
         for batch in B.slices(batches, 0):
             h, first = _tokens(batch.column(0))
-            u, k = _pairs(h, first)
             train = np.repeat(~batch.column(1).to_numpy(zero_copy_only=False).astype(bool), np.diff(first))
-            mine = _part(k, parts) == part
-            held.append((k[mine], u[mine], h[mine], train[mine].astype(np.int64)))
-            fresh += len(held[-1][0])
+            for own, trained in ((h[train], 1), (h[~train], 0)):
+                own, n_own = np.unique(own, return_counts=True)
+                held.append((own, trained * n_own, n_own))
+                fresh += len(own)
+            if fresh > n + FLUSH:
+                held = [_summed(*map(np.concatenate, zip(*held)))]
+                n = fresh = len(held[0][0])
+                if n > FLUSH:
+                    yield out(held.pop())
+                    n = fresh = 0
+        if held:
+            yield out(_summed(*map(np.concatenate, zip(*held))))
+
+    def out(x: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+        return _dealt(_share(x[0], shares), WORD, *x)
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("pitman_yor")
+        for share, found in _gather(batches):
+            yield _block(share, WORD, *_summed(*found.take(WORD)))
+
+    return _met(shares, total, src.select("text", "held_out").mapInArrow(run, BLOCKS))
+
+
+def pair_blocks(src: DataFrame, part: int, parts: int, shares: int, top=None) -> DataFrame:
+    """The pairs of a part with their customers from training texts, as blocks ``NONE``, ``ONCE`` and ``MANY`` of its shares."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = top()[0] if top else only("pitman_yor")
+        held: list[tuple[np.ndarray, ...]] = []
+        n = fresh = 0
+        for batch in B.slices(batches, 0):
+            h, first = _tokens(batch.column(0))
+            u, to = _homes(t, h, first, parts * shares)
+            train = np.repeat(~batch.column(1).to_numpy(zero_copy_only=False).astype(bool), np.diff(first))
+            mine = np.flatnonzero((to >= part * shares) & (to < (part + 1) * shares))
+            u, h = u[mine], h[mine]
+            held.append((_pair(u, h), u, h, to[mine], train[mine].astype(np.int64)))
+            fresh += len(mine)
             if fresh > n + FLUSH // 2:
-                held = [_counts(held)]
+                held = [counts(held)]
                 n = fresh = len(held[0][0])
                 if n > FLUSH // 2:
                     yield out(*held.pop())
                     n = fresh = 0
         if held:
-            yield out(*_counts(held))
+            yield out(*counts(held))
+
+    def counts(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+        k, u, w, to, c = map(np.concatenate, zip(*held))
+        if not len(k):
+            return k, u, w, to, c
+        order, at = _runs(k)
+        some = order[at]
+        return k[some], u[some], w[some], to[some], np.add.reduceat(c[order], at)
 
-    def out(k: np.ndarray, u: np.ndarray, w: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
-        return _dealt(k, shares, [u, w, c], 0)
+    def out(k: np.ndarray, u: np.ndarray, w: np.ndarray, to: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+        return _dealt(to, COUNT, u, w, c)
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only("pitman_yor")
-        for data in _gather(batches).values():
-            u, w, c = _undealt(data, "u8 u8 i8")
-            data.clear()
-            _, u, w, c = _counts([(_pair(u, w), u, w, c)])
+        for share, found in _gather(batches):
+            u, w, c = found.take(COUNT)
+            _, u, w, _, c = counts([(_pair(u, w), u, w, u, c)])
+            for kind, x in ((NONE, c == 0), (ONCE, c == 1), (MANY, c > 1)):
+                yield _block(share, kind, u[x], w[x], *([c[x]] if kind == MANY else []))
+
+    return _met(shares, total, src.select("text", "held_out").mapInArrow(run, BLOCKS))
+
+
+def _customers(kind: int, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    u, w, *c = columns
+    return u, w, c[0] if c else np.full(len(u), int(kind == ONCE))
+
+
+def pair_counts(src: DataFrame, part: int, parts: int, shares: int) -> DataFrame:
+    """``(u, w, c)``: customers from training texts of every (context, word) pair of a part; 0 where only held-out texts have it."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, kind, data in _blocks(batches):
+            u, w, c = _customers(kind, _undealt([data], TYPES[kind]))
             yield from pa.table([pa.array(u.view(np.int64)), pa.array(w.view(np.int64)), pa.array(c)], names=["u", "w", "c"]).to_batches(DRAWN)
 
-    return src.select("text", "held_out").mapInArrow(run, BLOCKS).repartitionById(shares, "share").mapInArrow(total, "u long, w long, c long")
+    return pair_blocks(src, part, parts, shares).mapInArrow(rows, "u long, w long, c long")
 
 
-def frequent(df: DataFrame, count: str, most: int) -> Column:
-    """Whether a row's ``count`` is among the largest: from some count on, at most ``most`` rows of ``df``.
+def _step(count: np.ndarray) -> np.ndarray:
+    """A step of a fine scale for each count, so that the largest are found without a sort."""
+    return np.floor(np.log2(np.maximum(count, 1)) * 64).astype(np.int32)
 
-    The count is a step of a fine scale, so no sort of all rows is needed.
-    """
-    step = F.floor(F.log2(count) * 64)
-    steps = sorted(df.where(F.col(count) > 0).groupBy(step.alias("s")).count().collect(), reverse=True)  # at most 64 * 63 rows
-    least, n = None, 0
-    for x in steps:
-        n += x["count"]
+
+def _least(steps: DataFrame, most: int) -> int:
+    """The step from which on there are at most ``most`` of ``steps`` (s, n)."""
+    least, n = 1 << 30, 0
+    for s, x in sorted(((r["s"], r["n"]) for r in steps.groupBy("s").agg(F.sum("n").alias("n")).collect()), reverse=True):  # at most 64 * 63 rows
+        n += x
         if n > most:
             break
-        least = x["s"]
-    return F.lit(False) if least is None else (F.col(count) > 0) & (step >= least)
+        least = s
+    return least
 
 
-class Top:
-    """Columns of a bounded table, by hash."""
+def _steps(df: DataFrame, kind: int, column: int) -> DataFrame:
+    """``(s, n)``: how many rows of the blocks of a kind are at each step of a column."""
 
-    def __init__(self, key: np.ndarray, columns: dict[str, np.ndarray]):
-        self.key, self.columns = key, columns
-        self.places = Places(max(1, len(key)))
-        self.places.add(key, 0)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, data in _blocks(batches):
+            s, n = np.unique(_step(_undealt([data], TYPES[kind])[column]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(n.astype(np.int64))], ["s", "n"])
 
-    def find(self, key: np.ndarray) -> np.ndarray:
-        return self.places.find(key)
+    return df.where(F.col("kind") == kind).mapInArrow(run, "s int, n long")
+
+
+def _top_sums(tu: np.ndarray, tw: np.ndarray, shares: int) -> pa.RecordBatch:
+    some = np.flatnonzero((tu > 0) | (tw > 0)).astype(np.int32)
+    return _dealt(some % min(shares, SPREAD), TOP, some, tu[some], tw[some])
 
 
-def _unsigned(x) -> np.ndarray:
-    return x.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+def _met_top(found: Found) -> tuple[np.ndarray, ...]:
+    return _summed(*found.take(TOP))
 
 
-def _held(df: DataFrame, key: str, columns: list[str]):
-    """A broadcast of a bounded table in order of its hashes, and how a task makes a ``Top`` of it."""
-    got = df.select(key, *columns).toArrow().combine_chunks()
-    keys = np.maximum(_unsigned(got[key]), np.uint64(1))
-    order = np.argsort(keys)
-    values = {}
-    for c in columns:
-        x = got[c].combine_chunks() if isinstance(got[c], pa.ChunkedArray) else got[c]
-        x = x.flatten().to_numpy(zero_copy_only=False).reshape(len(keys), -1 if len(keys) else 1) if pa.types.is_list(x.type) else x.to_numpy(zero_copy_only=False)
-        values[c] = x[order]
-    sent, name = df.sparkSession.sparkContext.broadcast((keys[order], values)), uuid.uuid4().hex
-    return sent, lambda: only(name, lambda: Top(*sent.value))
+def _rare_sums(u: np.ndarray, w: np.ndarray, n: np.ndarray, iu: np.ndarray, iw: np.ndarray, shares: int) -> pa.RecordBatch:
+    """Sums by rare contexts and words, for the shares of these."""
+    a, b = iu < 0, iw < 0
+    n = n.astype(np.int64)
+    key, tu, tw = _summed(np.concatenate([u[a], w[b]]), np.concatenate([n[a], np.zeros(b.sum(), np.int64)]), np.concatenate([np.zeros(a.sum(), np.int64), n[b]]))
+    return _dealt(_share(key, shares), SUM, key, tu, tw)
 
 
-def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    held, n = [], 0
-    for batch in batches:
-        held.append(batch)
-        n += batch.num_rows
-        if n >= DRAWN:
-            yield pa.Table.from_batches(held)
-            held, n = [], 0
-    if n:
-        yield pa.Table.from_batches(held)
+def _add(sums: np.ndarray, places: np.ndarray, n: np.ndarray) -> None:
+    ok = places >= 0
+    sums += np.bincount(places[ok], n[ok], minlength=len(sums)).astype(np.int64)
 
 
-def _by_both(pairs: DataFrame, top, both: bool) -> DataFrame:
-    """Pairs whose context and word tasks hold, as places in ``top``, or all others as they are."""
+def _once(pairs: DataFrame, top, shares: int) -> DataFrame:
+    """Sums of pairs of one customer, and which rare words the shares of other rare words want."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = top()
-        for b in batches:
-            u, w = (t.find(_unsigned(b.column(i))) for i in (0, 1))
-            ok = (u >= 0) & (w >= 0)
-            if both:
-                yield pa.RecordBatch.from_arrays([pa.array(u[ok].astype(np.int32)), pa.array(w[ok].astype(np.int32)), b.column(2).filter(pa.array(ok))], ["u", "w", "c"])
-            else:
-                yield b.filter(pa.array(~ok))
+        t = top()[0]
+        tu, tw = np.zeros(len(t.key), np.int64), np.zeros(len(t.key), np.int64)
+        for share, kind, data in _blocks(batches):
+            u, w, c = _customers(kind, _undealt([data], TYPES[kind]))
+            iu, iw = t.find(u), t.find(w)
+            if kind == ONCE:
+                _add(tu, iu, c)
+                _add(tw, iw, c)
+                yield _rare_sums(u, w, c, iu, iw, shares)
+            key = np.unique(w[(iu < 0) & (iw < 0)])
+            to = _share(key, shares)
+            key, to = key[to != share], to[to != share]
+            yield _dealt(to, WANTED, key, np.full(len(key), share, np.int32), np.full(len(key), kind == MANY, np.uint8))
+        yield _top_sums(tu, tw, shares)
+
+    return pairs.mapInArrow(run, BLOCKS)
 
-    return pairs.select("u", "w", "c").mapInArrow(run, "u int, w int, c long" if both else "u long, w long, c long")
 
+def _rare(words: DataFrame, once: DataFrame, top, shares: int) -> DataFrame:
+    """The rare words of each share with their counts, what other shares want of them, and sums of frequent ones."""
 
-def _sums(near: DataFrame, far: DataFrame, params: DataFrame | None, top, root: Root | None, sweep: int) -> DataFrame:
-    """``(key, tu, tw)``: tables drawn in a sweep, summed by context and by word. Without ``params`` the first guess."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = top()[0]
+        for share, found in _gather(batches):
+            key, cw, _ = found.take(WORD)
+            rare = (cw > 0) & (t.find(key) < 0)
+            key, cw = key[rare], cw[rare]
+            k, tu, tw = _summed(*found.take(SUM))
+            su, sw = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
+            at = _find(key, k)
+            su[at], sw[at] = tu, tw
+            yield _block(share, RARE, key, cw, su, sw)
+            w, to, many = found.take(WANTED)
+            if len(w):
+                order, at = _runs(_pair(w, to.astype(np.uint64)))
+                some = order[at]
+                yield _block(share, WANTED, w[some], to[some], np.maximum.reduceat(many[order], at))
+            yield _block(share, TOP, *_met_top(found))
+
+    return _met(shares, run, words, once)
+
+
+def _near_and_far(pairs: DataFrame, top) -> DataFrame:
+    """Pairs of several customers: of frequent words by their places, and all others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = top()[0]
+        for share, _, data in _blocks(batches):
+            u, w, c = _undealt([data], TYPES[MANY])
+            iu, iw = t.find(u), t.find(w)
+            near = (iu >= 0) & (iw >= 0)
+            yield _block(share, NEAR, iu[near].astype(np.int32), iw[near].astype(np.int32), c[near])
+            yield _block(share, FAR, u[~near], w[~near], c[~near])
+
+    return pairs.where(F.col("kind") == MANY).mapInArrow(run, BLOCKS)
+
+
+def _cuts(n: int) -> Iterator[slice]:
+    return (slice(at, at + DRAWN) for at in range(0, n, DRAWN))
+
+
+def _tables(many: DataFrame, params: DataFrame | None, top, root: Root | None, sweep: int, shares: int) -> DataFrame:
+    """Sums of the tables drawn in a sweep by context and by word. Without ``params`` the first guess."""
 
     def drawn(u: np.ndarray, w: np.ndarray, c: np.ndarray, g: np.ndarray, mass: np.ndarray) -> np.ndarray:
-        if root is None:
-            return np.ceil(c.astype(float) ** DISCOUNT).astype(np.int64)
         k = _pair(u, w)
-        return Seats(c).draw(DISCOUNT * g * root.g0(mass), uniform(k, 2 * sweep + 100), uniform(k, 2 * sweep + 101)).astype(np.int64)
+        again, large = np.zeros(len(k)), np.flatnonzero(c > SMALL)  # only large blocks need a second variate
+        again[large] = uniform(k[large], 2 * sweep + 101)
+        return Seats(c).draw(DISCOUNT * g * root.g0(mass), uniform(k, 2 * sweep + 100), again).astype(np.int64)
+
+    guess = lambda c: np.ceil(c.astype(float) ** DISCOUNT).astype(np.int64)
 
     def of_near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = top()
+        t = top()[0]
         tu, tw = np.zeros(len(t.key), np.int64), np.zeros(len(t.key), np.int64)
-        for x in _gathered(batches):
-            u, w, c = (x[i].to_numpy() for i in ("u", "w", "c"))
-            n = drawn(t.key[u], t.key[w], c, t.columns["g"][u], t.columns["mass"][w]) if root else drawn(u, w, c, u, w)
-            tu += np.bincount(u, n, minlength=len(tu)).astype(np.int64)
-            tw += np.bincount(w, n, minlength=len(tw)).astype(np.int64)
-        some = np.flatnonzero((tu > 0) | (tw > 0))
-        yield pa.RecordBatch.from_arrays([pa.array(t.key[some].view(np.int64)), pa.array(tu[some]), pa.array(tw[some])], ["key", "tu", "tw"])
+        for _, _, data in _blocks(batches):
+            iu, iw, c = _undealt([data], TYPES[NEAR])
+            for x in _cuts(len(c)):
+                u, w = iu[x], iw[x]
+                n = drawn(t.key[u], t.key[w], c[x], t.columns["g"][u], t.columns["mass"][w]) if root else guess(c[x])
+                _add(tu, u, n)
+                _add(tw, w, n)
+        yield _top_sums(tu, tw, shares)
 
     def of_far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in _gathered(batches):
-            u, w, c, g, mass = (x[i].to_numpy() for i in ("u", "w", "c", "g", "mass"))
-            n, none = drawn(u.view(np.uint64), w.view(np.uint64), c, g, mass), np.zeros(2 * len(u), np.int64)
-            tu, tw = none.copy(), none
-            tu[: len(u)], tw[len(u) :] = n, n
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([u, w])), pa.array(tu), pa.array(tw)], ["key", "tu", "tw"])
-
-    schema = "key long, tu long, tw long"
-    if params is None:
-        far = far.withColumns({"g": F.lit(1.0), "mass": F.lit(1.0)})
-    else:
-        far = far.join(params.select(F.col("key").alias("u"), "g"), "u").join(params.select(F.col("key").alias("w"), "mass"), "w")
-    both = near.mapInArrow(of_near, schema).unionAll(far.select("u", "w", "c", "g", "mass").mapInArrow(of_far, schema))
-    return both.groupBy("key").agg(F.sum("tu").alias("tu"), F.sum("tw").alias("tw"))
+        t = top()[0]
+        tu, tw = np.zeros(len(t.key), np.int64), np.zeros(len(t.key), np.int64)
+        for _, found in _gather(batches):
+            us, ws, cs = found.take(FAR)
+            key, g, mass = found.take(PARAM)
+            order = np.argsort(key)
+            key, g, mass = key[order], g[order], mass[order]
+            for x in _cuts(len(cs)):
+                u, w, c = us[x], ws[x], cs[x]
+                iu, iw = t.find(u), t.find(w)
+                if root:
+                    of = lambda i, k, top, rare: np.where(i >= 0, top[i] if len(top) else 0.0, rare[_find(key, k)] if len(rare) else 0.0)  # noqa: B023, E731
+                    n = drawn(u, w, c, of(iu, u, t.columns["g"], g), of(iw, w, t.columns["mass"], mass))
+                else:
+                    n = guess(c)
+                _add(tu, iu, n)
+                _add(tw, iw, n)
+                yield _rare_sums(u, w, n, iu, iw, shares)
+        yield _top_sums(tu, tw, shares)
 
+    far = many.where(F.col("kind") == FAR)
+    far = far.mapInArrow(of_far, BLOCKS) if params is None else _met(shares, of_far, far, params.where(F.col("kind") == PARAM))
+    return many.where(F.col("kind") == NEAR).mapInArrow(of_near, BLOCKS).unionAll(far)
 
-def _params(words: DataFrame, sums: DataFrame, g: float, outcomes: int, sweep: int) -> DataFrame:
-    """Words with the parent's tables and the variates of the next sweep."""
+
+def _params(rare: DataFrame, tables: DataFrame, g: float, outcomes: int, sweep: int, shares: int) -> DataFrame:
+    """Of each share: tables and customers of its rare words, their variates of the next sweep, their sums, and tables of frequent words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in _gathered(batches):
-            key, tables, customers = _unsigned(x["key"]), x["tables"].to_numpy(), x["customers"].to_numpy()
-            t0, mass, gu = root_step(key, customers, tables, g, outcomes, 16 * sweep + 7)
-            cols = [x["key"], x["top"], x["tables"], x["customers"], pa.array(t0), pa.array(mass), pa.array(gu)]
-            yield from pa.table([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in cols], names=names).to_batches()
+        only("pitman_yor")
+        for share, found in _gather(batches):
+            key, cw, su, sw = found.take(RARE)
+            k, tu, tw = _summed(*found.take(SUM))
+            at = _find(key, k)
+            su[at] += tu
+            sw[at] += tw
+            yield _block(share, STATE, su, sw)
+            # words of one customer have one table everywhere
+            many = cw > 1
+            act, one = key[many], key[~many]
+            t0, mass, gu = root_step(act, sw[many], su[many], g, outcomes, _salt(sweep))
+            rest = gammas(np.full(len(one), 1 - DISCOUNT), one, _salt(sweep) + 2)
+            yield _block(share, SCALAR, np.array([t0.sum() + len(one)]), np.array([float(sw.sum())]), np.array([mass.sum() + rest.sum()]))
+            yield _block(share, PARAM, act, gu, mass)
+            w, to, several = found.take(WANTED)
+            at = _find(act, w)
+            ok = (at >= 0) & (several > 0)
+            yield _dealt(to[ok], PARAM, w[ok], gu[at[ok]], mass[at[ok]])
+            yield _block(share, TOP, *_met_top(found))
+
+    return _met(shares, run, rare.where(F.col("kind") != TOP), tables)
+
+
+def _salt(sweep: int) -> int:
+    return 16 * sweep + 7
+
+
+def _collected(df: DataFrame, *kinds: int) -> Found:
+    """Blocks of bounded kinds on the driver, in order of their shares."""
+    found = Found()
+    for r in sorted(df.where(F.col("kind").isin(*kinds)).collect(), key=lambda r: r["share"]):
+        found.setdefault(r["kind"], []).append(bytes(r["data"]))
+    return found
 
-    names = ["key", "top", "tables", "customers", "t0", "mass", "g"]
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    d = words.join(sums, "key", "left").select("key", "top", (F.col("su") + zero("tu")).alias("tables"), (F.col("sw") + zero("tw")).alias("customers"))
-    return d.mapInArrow(run, "key long, top boolean, tables long, customers long, t0 double, mass double, g double")
+
+def _placed(found: Found, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of frequent words by place."""
+    a, b = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    at, tu, tw = found.take(TOP)
+    a[at], b[at] = tu, tw
+    return a, b
 
 
 @dataclass
 class Model:
-    """Counts of pairs by part, words with their counts and the parameters of the kept sweeps, and sums."""
+    """Counts of pairs, the frequent words with their terms, rare ones with theirs in blocks by share, and sums."""
 
     pairs: list[DataFrame]
-    words: DataFrame
+    many: DataFrame
+    shares: int
+    key: np.ndarray
+    top: dict[str, np.ndarray]
+    rare: DataFrame
     tokens: int
     known: int
-    #: New-table probability of the unseen word in each kept sweep.
+    #: New-table probability of the unseen word, and of a word of one customer, in each kept sweep.
     unseen: list[float]
-    roots: list[Root]
+    ones: list[float]
 
 
 def train(src: DataFrame, burn_in: int = BURN_IN, sweeps: int = SWEEPS, seed: int = 0) -> Model:
     """Counts the pairs of ``src`` (text, held_out) and samples the seating of its training texts."""
     spark = src.sparkSession
     shares = _shares(src, PASSES)
-    pairs = [written(pair_counts(src, p, PASSES, shares), f"pairs{p}") for p in range(PASSES)]
-    every = reduce(DataFrame.unionAll, pairs)
-    side = lambda key, a, b: every.where("c > 0").groupBy(F.col(key).alias("key")).agg(F.sum("c").alias(a), F.count_if(F.col("c") == 1).alias(b))
-    both = side("w", "cw", "sw").join(side("u", "cu", "su"), "key", "full")
-    words = written(both.select("key", *(F.coalesce(x, F.lit(0)).alias(x) for x in ("cw", "sw", "cu", "su"))), "words")
-    n_all, v_all = words.agg(F.coalesce(F.sum("cw"), F.lit(0)), F.count_if(F.col("cw") > 0)).first()
-    outcomes = int(v_all) + 1
+    n_shares = PASSES * shares
+    words = written(word_counts(src, n_shares), "words")
 
-    marked = words.withColumn("top", frequent(words, "cw", WORDS))
-    sent, top = _held(marked.where("top"), "key", [])
-    many = every.where("c > 1")
-    near, far = written(_by_both(many, top, True), "near"), written(_by_both(many, top, False), "far")
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, data in _blocks(batches):
+            _, cw, _ = _undealt([data], TYPES[WORD])
+            yield pa.RecordBatch.from_arrays([pa.array([int(cw.sum())]), pa.array([int((cw > 0).sum())])], ["tokens", "known"])
+
+    n_all, v_all = words.mapInArrow(sizes, "tokens long, known long").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("known"), F.lit(0))).first()
+    outcomes = int(v_all) + 1
+    # by all tokens, so that no word of held-out texts alone is dealt as a rare one if there are very many of it
+    least = _least(_steps(words, WORD, 2), WORDS)
+
+    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, data in _blocks(batches):
+            key, cw, every = _undealt([data], TYPES[WORD])
+            some = _step(every) >= least
+            yield pa.RecordBatch.from_arrays([pa.array(key[some].view(np.int64)), pa.array(cw[some])], ["key", "cw"])
+
+    got = words.mapInArrow(frequent, "key long, cw long").toArrow()
+    key, cw = got["key"].to_numpy().astype(np.int64).view(np.uint64), got["cw"].to_numpy().astype(np.int64)
+    order = np.argsort(key)
+    key, cw = key[order], cw[order]
+    sent, top = _sent(spark, (key, {}))
+
+    pairs = [written(pair_blocks(src, p, COUNTS, n_shares // COUNTS, top), f"pairs{p}") for p in range(COUNTS)]
+    every = reduce(DataFrame.unionAll, pairs)
+    many = written(_near_and_far(every, top), "many")
+    rare = written(_rare(words, _once(every, top, n_shares), top, n_shares), "rare")
+    dropped(words)
+    su, sw = _placed(_collected(rare, TOP), len(key))
 
     rng = np.random.default_rng(seed)
-    params, root, kept = None, None, []
+    params, root, state, kept, states, roots = None, None, None, [], [], []
     for i in range(-1, burn_in + sweeps):
-        sums = _sums(near, far, params, top, root, i + 1 + 1000 * seed)
-        now = written(_params(marked, sums, root.g if root else float(outcomes), outcomes, i + 1 + 1000 * seed), "params")
-        s = now.agg(*(F.coalesce(F.sum(x), F.lit(0.0)).cast("double") for x in ("t0", "customers", "mass"))).first()
-        new = Root(s[0], s[1], s[2], outcomes).drawn(rng)
+        sweep, g = i + 1 + 1000 * seed, root.g if root else float(outcomes)
+        now = written(_params(rare, _tables(many, params, top, root, sweep, n_shares), g, outcomes, sweep, n_shares), "params")
+        found = _collected(now, TOP, SCALAR)
+        tu, tw = _placed(found, len(key))
+        tables, customers = su + tu, sw + tw
+        t0, mass, gu = root_step(key, customers, tables, g, outcomes, _salt(sweep))
+        s = [x.sum() for x in found.take(SCALAR)]
+        new = Root(t0.sum() + s[0], customers.sum() + s[1], mass.sum() + s[2], outcomes).drawn(rng)
         if i >= burn_in:
             # g and mass are those the sweep's tables were drawn with; tables and customers what came of them
-            before, after = params.select("key", "g", (F.col("mass") * F.lit(1.0)).alias("mass")), now.select("key", "tables", "customers", "t0")
-            kept.append((written(before.join(after, "key"), "kept"), root, new))
-        if params is not None:
+            kept.append({"g": DISCOUNT * state[1], "q": root.g0(state[0]), "back": STRENGTH + DISCOUNT * tables, "p": new.predictive(customers, t0)})
+        if params is not None and i < burn_in:
             dropped(params)
-        params, root = now, new
-        if i + 1 < burn_in + sweeps:
-            sent.destroy()
-            sent, top = _held(params.where("top"), "key", ["g", "mass"])
+        if i >= burn_in - 1:
+            states.append((now, g, sweep))
+            roots.append(new)
+        params, root, state = now, new, (mass, gu)
+        sent.destroy()
+        sent, top = _sent(spark, (key, {"g": gu, "mass": mass}))
     sent.destroy()
-    dropped(params, near, far)
-
-    row = []
-    for i, (df, old, new) in enumerate(kept):
-        g0 = (F.col("mass") + old.rest / outcomes) / (old.mass + old.rest)
-        p = new.predictive(F.col("customers"), F.col("t0"))
-        row.append(df.select("key", F.struct(F.lit(i).alias("i"), (F.lit(DISCOUNT) * F.col("g")).alias("g"), g0.alias("q"), (STRENGTH + DISCOUNT * F.col("tables")).alias("back"), p.alias("p")).alias("s")))
-    terms = reduce(DataFrame.unionAll, row).groupBy("key").agg(F.array_sort(F.collect_list("s")).alias("s"))
-    field = lambda n: F.transform("s", lambda x: x[n].cast("float")).alias(n)
-    model = written(marked.join(terms, "key").select("key", "top", "cw", (F.col("cu") + STRENGTH).cast("double").alias("size"), *(field(n) for n in ("g", "q", "back", "p"))), "model")
-    dropped(words, *(df for df, _, _ in kept))
-    new = [r for _, _, r in kept]
-    return Model(pairs, model, int(n_all), int(v_all), [r.predictive(0.0, 0.0) for r in new], new)
-
-
-def _terms(model: Model, pairs: DataFrame, top, shares: int = 0) -> DataFrame:
-    """``(k, cw, lp)`` of every pair: its hash, the word's training count, and log10 of its averaged probability; as blocks of kind 1 if there are ``shares``."""
-    unseen = np.array(model.unseen)
-
-    def chances(c, size, g, q, back, p) -> np.ndarray:
-        total = back * p
-        some = np.flatnonzero(c > 1)
-        if len(some):
-            seats = Seats(c[some])
-            t = np.stack([seats.mean(g[some, i].astype(float) * q[some, i]) for i in range(g.shape[1])], 1)
-            total[some] += c[some, None] - DISCOUNT * t
+
+    columns = {c: np.stack([x[c] for x in kept], 1).astype(np.float32) for c in ("g", "q", "back", "p")} | {"cw": cw, "size": cw + STRENGTH}
+    model = written(_terms_of_rare(rare, states, roots, outcomes, n_shares), "model")
+    dropped(rare, *(x[0] for x in states))
+    return Model(pairs, many, shares, key, columns, model, int(n_all), int(v_all), [float(r.predictive(0.0, 0.0)) for r in roots[1:]], [float(r.predictive(1.0, 1.0)) for r in roots[1:]])
+
+
+def _terms_of_rare(rare: DataFrame, states: list[tuple[DataFrame, float, int]], roots: list[Root], outcomes: int, shares: int) -> DataFrame:
+    """Terms of the kept sweeps of rare words, for their shares and those that want them; ``states`` begin before the first kept sweep."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("pitman_yor")
+        for share, found in _gather(batches):
+            key, cw, _, _ = found.take(RARE)
+            many = cw > 1
+            act, one, cw = key[many], key[~many], cw[many]
+            out: dict[str, list[np.ndarray]] = {"g": [], "q": [], "back": [], "p": []}
+            for i, (g, sweep) in enumerate(drawn):
+                tables, customers = (x[many] for x in found.take(STATE + i, "i8 i8"))
+                t0, mass, gu = root_step(act, customers, tables, g, outcomes, _salt(sweep))
+                if i:
+                    out["back"].append(STRENGTH + DISCOUNT * tables)
+                    out["p"].append(roots[i].predictive(customers, t0))
+                if i + 1 < len(drawn):
+                    out["g"].append(DISCOUNT * gu)
+                    out["q"].append(roots[i].g0(mass))
+            terms = [np.stack(out[c], 1).astype(np.float32) for c in ("g", "q", "back", "p")]
+            yield _block(share, MODEL, act, cw, *terms)
+            yield _block(share, ONES, one)
+            w, to, _ = found.take(WANTED)
+            at = _find(act, w)
+            ok = at >= 0
+            yield _dealt(to[ok], MODEL, w[ok], cw[at[ok]], *(x[at[ok]] for x in terms))
+            ok = _find(one, w) >= 0
+            yield _dealt(to[ok], ONES, w[ok])
+
+    drawn = [(g, sweep) for _, g, sweep in states]
+    each = [df.where(F.col("kind") == STATE).withColumn("kind", F.lit(STATE + i)) for i, (df, _, _) in enumerate(states)]
+    return _met(shares, run, rare.where(F.col("kind") != TOP), *each)
+
+
+def chances(c: np.ndarray, size: np.ndarray, g: np.ndarray | None, q: np.ndarray | None, back: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """log10 of the averaged probability of pairs of ``c`` customers; without ``g`` and ``q`` of one or none."""
+    total = np.einsum("ij,ij->i", back, p, dtype=float) / back.shape[1]
+    if g is not None:
+        seats = Seats(c)
+        total += c - DISCOUNT * sum(seats.mean(g[:, i].astype(float) * q[:, i]) for i in range(g.shape[1])) / g.shape[1]
+    else:
         total[c == 1] += 1 - DISCOUNT
-        return np.log10(total.mean(axis=1) / size)
+    return np.log10(total / size)
 
-    def out(u, w, cw, lp) -> pa.RecordBatch:
-        if shares:
-            k = _pair(u, w)
-            return _dealt(k, shares, [k, cw.astype(np.int64), lp.astype(np.float32)], 1)
-        return pa.RecordBatch.from_arrays([pa.array(_pair(u, w).view(np.int64)), pa.array(cw), pa.array(lp.astype(np.float32))], ["k", "cw", "lp"])
 
-    def of_near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = top()
-        for x in _gathered(batches):
-            u, w, c = (x[i].to_numpy() for i in ("u", "w", "c"))
-            of = t.columns
-            yield out(t.key[u], t.key[w], of["cw"][w], chances(c, of["size"][u], of["g"][u], of["q"][w], of["back"][u].astype(float), of["p"][w].astype(float)))
+class Terms:
+    """Terms of the words of a share: frequent ones, its rare ones, those of one customer, and all unseen ones."""
 
-    def of_far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in _gathered(batches):
-            u, w, c, size, cw = (x[i].to_numpy() for i in ("u", "w", "c", "size", "cw"))
-            wide = lambda i: x[i].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(u), -1).astype(float)
-            yield out(u.view(np.uint64), w.view(np.uint64), cw, chances(c, size, wide("g"), wide("q"), wide("back"), wide("p")))
-
-    schema = BLOCKS if shares else "k long, cw long, lp float"
-    # a context or word that training has not: the parent alone, or the unseen word
-    floats = lambda v: F.array(*(F.lit(float(x)).cast("float") for x in v))
-    none = np.full(len(unseen), STRENGTH)
-    by_u = model.words.select(F.col("key").alias("u"), "size", "g", "back")
-    by_w = model.words.where("cw > 0").select(F.col("key").alias("w"), "cw", "q", "p")
-    far = _by_both(pairs, top, False).join(by_u, "u", "left").join(by_w, "w", "left")
-    far = far.select("u", "w", "c", F.coalesce("size", F.lit(STRENGTH)).alias("size"), F.coalesce("cw", F.lit(0)).cast("long").alias("cw"), F.coalesce("g", floats(none)).alias("g"), F.coalesce("q", floats(unseen)).alias("q"), F.coalesce("back", floats(none)).alias("back"), F.coalesce("p", floats(unseen)).alias("p"))
-    return _by_both(pairs, top, True).mapInArrow(of_near, schema).unionAll(far.mapInArrow(of_far, schema))
+    def __init__(self, t: Top, unseen: list[float], ones: list[float], found: Found):
+        self.t, self.k = t, len(unseen)
+        key, cw, g, q, back, p = found.take(MODEL, "u8 i8" + f" ({self.k},)f4" * 4)
+        order = np.argsort(key)
+        self.key = key[order]
+        self.one = np.sort(found.take(ONES)[0])
+        zero = np.zeros((2, self.k))
+        more = {"cw": [1, 0], "size": [1 + STRENGTH, STRENGTH], "g": zero, "q": zero, "back": zero + [[STRENGTH + DISCOUNT], [STRENGTH]], "p": np.array([ones, unseen])}
+        own = {"cw": cw, "size": cw + STRENGTH, "g": g, "q": q, "back": back, "p": p}
+        self.rare = {c: np.concatenate([own[c][order], np.asarray(more[c]).astype(t.columns[c].dtype)]) for c in own}
+
+    def find(self, x: np.ndarray) -> np.ndarray:
+        """The place of each word: of frequent ones first."""
+        at, n = self.t.find(x), len(self.t.key)
+        left = np.flatnonzero(at < 0)
+        x = x[left]
+        rare = _find(self.key, x)
+        at[left] = n + np.where(rare >= 0, rare, len(self.key) + (_find(self.one, x) < 0))
+        return at
+
+    def of(self, name: str, at: np.ndarray) -> np.ndarray:
+        n = len(self.t.key)
+        out = self.rare[name][np.maximum(at - n, 0)]
+        near = at < n
+        out[near] = self.t.columns[name][at[near]]
+        return out
+
+    def pairs(self, u: np.ndarray, w: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Training counts of the words, and the terms of the pairs."""
+        iu, iw = self.find(u), self.find(w)
+        g, q = (self.of("g", iu), self.of("q", iw)) if len(c) and c.max() > 1 else (None, None)
+        return self.of("cw", iw), chances(c, self.of("size", iu), g, q, self.of("back", iu), self.of("p", iw))
+
+
+def _most(model: Model, top) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """The most frequent pairs with their words' training counts and terms, in order."""
+    least = _least(_steps(model.many, NEAR, 2), FREQUENT)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = top()[0]
+        of = t.columns
+        for _, _, data in _blocks(batches):
+            u, w, c = _undealt([data], TYPES[NEAR])
+            some = _step(c) >= least
+            u, w, c = u[some], w[some], c[some]
+            for x in _cuts(len(c)):
+                lp = chances(c[x], of["size"][u[x]], of["g"][u[x]], of["q"][w[x]], of["back"][u[x]], of["p"][w[x]])
+                yield pa.RecordBatch.from_arrays([pa.array(_pair(t.key[u[x]], t.key[w[x]]).view(np.int64)), pa.array(of["cw"][w[x]]), pa.array(lp.astype(np.float32))], ["k", "cw", "lp"])
+
+    got = model.many.where(F.col("kind") == NEAR).mapInArrow(run, "k long, cw long, lp float").toArrow()
+    k = got["k"].to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(k)
+    return k[order], {c: got[c].to_numpy()[order] for c in ("cw", "lp")}
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 0, burn_in: int = BURN_IN, sweeps: int = SWEEPS) -> DataFrame:
@@ -644,25 +987,22 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed:
     # rows equal in id and text score alike, so their hash may stand for them
     src = src.withColumn("row", F.xxhash64("id", "text"))
     model = train(src, burn_in, sweeps, seed)
-    n_all, v_all, parts = model.tokens, model.known, len(model.pairs)
+    n_all, v_all, parts, shares = model.tokens, model.known, PASSES, model.shares
+    unseen, ones = model.unseen, model.ones
 
-    words_sent, words_top = _held(model.words.where("top and cw > 0"), "key", ["cw", "size", "g", "q", "back", "p"])
-    every = reduce(DataFrame.unionAll, model.pairs)
-    most = written(_terms(model, every.where(frequent(every, "c", FREQUENT)), words_top), "frequent")
-    pairs_sent, pairs_top = _held(most, "k", ["cw", "lp"])
+    words_sent, words_top = _sent(spark, (model.key, model.top))
+    pairs_sent, pairs_top = _sent(spark, (model.key, {}), _most(model, words_top))
+    dropped(model.many)
     base_of = lambda c: np.log10((c + 1) / (n_all + v_all + 1))
 
-    shares = _shares(src, parts)
-    sums = "i8 i4 i4 i8 f8 f8"  # of a row: rows, tokens, known tokens, base, total
-
     def dealt_sums(row: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
-        return _dealt(B.mix(row.view(np.uint64)), shares, [row, *(c.astype(t) for c, t in zip(columns, sums.split()[1:]))], 2)
+        return _dealt(_share(B.mix(row.view(np.uint64)), shares), ROW, row, *(c.astype(t) for c, t in zip(columns, TYPES[ROW].split()[1:])))
 
     def missed(part: int) -> DataFrame:
-        """Blocks of the pairs (k, row, n) of a part whose terms tasks do not hold; in part 0 also each text's sums over the others, as blocks of kind 2."""
+        """Blocks of the pairs of a part's tokens whose terms tasks do not hold; in part 0 also each text's sums over the others."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            t = pairs_top()
+            words, t = pairs_top()
             base, chance = base_of(t.columns["cw"]), t.columns["lp"].astype(float)
             held: list[tuple[np.ndarray, ...]] = []
             own: list[tuple[np.ndarray, ...]] = []
@@ -671,14 +1011,16 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed:
                 n = batch.num_rows
                 row = batch.column(1).to_numpy()
                 h, first = _tokens(batch.column(0))
-                _, k = _pairs(h, first)
+                u, to = _homes(words, h, first, parts * shares)
                 doc = np.repeat(np.arange(n), np.diff(first))
                 if part:
-                    mine = np.flatnonzero(_part(k, parts) == part)
-                    k, doc = k[mine], doc[mine]
+                    mine = np.flatnonzero((to >= part * shares) & (to < (part + 1) * shares))
+                    u, h, doc, to = u[mine], h[mine], doc[mine], to[mine]
+                k = _pair(u, h)
                 place = t.find(k)
+                miss = place < 0
                 if part == 0:
-                    hit = place >= 0
+                    hit = ~miss
                     both = [np.bincount(doc[hit], x[place[hit]] if hit.any() else [], minlength=n).astype(float) for x in (base, chance)]
                     known = np.bincount(doc[hit], t.columns["cw"][place[hit]] > 0 if hit.any() else [], minlength=n)
                     own.append((row, np.ones(n), np.diff(first), known, *both))
@@ -686,20 +1028,23 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed:
                     if n_own > FLUSH // 8:
                         yield dealt_own(own)
                         own, n_own = [], 0
-                    mine = np.flatnonzero((place < 0) & (_part(k, parts) == part))
-                else:
-                    mine = np.flatnonzero(place < 0)
+                    miss &= to < shares
                 # a pair that comes again in a text is a row again
-                held.append((k[mine], row[doc[mine]]))
+                mine = np.flatnonzero(miss)
+                held.append((to[mine], k[mine], row[doc[mine]]))
                 n_held += len(mine)
                 if n_held > FLUSH:
-                    yield _dealt(np.concatenate([x for x, _ in held]), shares, [np.concatenate(x) for x in zip(*held)], 0)
+                    yield dealt_tokens(held)
                     held, n_held = [], 0
             if n_held:
-                yield _dealt(np.concatenate([x for x, _ in held]), shares, [np.concatenate(x) for x in zip(*held)], 0)
+                yield dealt_tokens(held)
             if n_own:
                 yield dealt_own(own)
 
+        def dealt_tokens(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+            to, k, row = map(np.concatenate, zip(*held))
+            return _dealt(to, TOKEN, k, row)
+
         def dealt_own(own: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
             row, *columns = (np.concatenate(x) for x in zip(*own))
             return dealt_sums(row, columns)
@@ -708,38 +1053,48 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed:
 
     def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sums by row over the pairs of a share."""
-        only("pitman_yor")
-        found = _gather(batches)
-        if 2 in found:  # sums already
-            row, *columns = _undealt(found.pop(2), sums)
-            yield dealt_sums(row, columns)
-        key, cw, lp = _undealt(found.pop(1, []), "u8 i8 f4")
-        order = np.argsort(key)
-        key, cw, lp = key[order], cw[order], lp[order].astype(float)
-        base = base_of(cw)
-        k, row = _undealt(found.pop(0, []), "u8 i8")
-        if not len(k):
-            return
-        place = np.searchsorted(key, k)
-        if not (key[np.minimum(place, len(key) - 1)] == k).all():
-            raise ValueError("a pair without a term")
-        row, which = np.unique(row, return_inverse=True)
-        n = len(row)
-        yield dealt_sums(row, [np.zeros(n), np.zeros(n), np.bincount(which, cw[place] > 0, minlength=n), np.bincount(which, base[place], minlength=n), np.bincount(which, lp[place], minlength=n)])
+        t = words_top()[0]
+        for _, found in _gather(batches):
+            for x in found.pop(ROW, []):  # sums already
+                row, *columns = _undealt([x], TYPES[ROW])
+                yield dealt_sums(row, columns)
+            terms = Terms(t, unseen, ones, found)
+            ks, bases, chance = [np.empty(0, np.uint64)], [np.empty(0)], [np.empty(0)]
+            for kind in (NONE, ONCE, MANY):
+                for x in found.pop(kind, []):
+                    u, w, c = _customers(kind, _undealt([x], TYPES[kind]))
+                    for cut in _cuts(len(u)):
+                        cw, lp = terms.pairs(u[cut], w[cut], c[cut])
+                        ks.append(_pair(u[cut], w[cut]))
+                        bases.append(np.where(cw > 0, 1.0, -1.0) * -base_of(cw))  # its sign tells known words
+                        chance.append(lp)
+            key, base, lp = (np.concatenate(x) for x in (ks, bases, chance))
+            order = np.argsort(key)
+            key, base, lp = key[order], base[order], lp[order]
+            k, row = found.take(TOKEN)
+            if not len(k):
+                continue
+            order = np.argsort(k)
+            k, row = k[order], row[order]
+            place = _find(key, k)
+            if (place < 0).any():
+                raise ValueError("a pair without a term")
+            base = base[place]
+            row, known, base, total = _summed(row, (base > 0).astype(np.int64), -np.abs(base), lp[place])
+            yield dealt_sums(row, [np.zeros(len(row)), np.zeros(len(row)), known, base, total])
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only("pitman_yor")
-        row, *columns = _undealt(_gather(batches).get(2, []), sums)
-        row, which = np.unique(row, return_inverse=True)
-        columns = [np.bincount(which, c, minlength=len(row)) for c in columns]
-        yield from pa.table([pa.array(row), *(pa.array(c.astype(np.int64)) for c in columns[:3]), *map(pa.array, columns[3:])], names=["row", "m", "n_tokens", "known", "base", "total"]).to_batches(DRAWN)
+        for _, found in _gather(batches):
+            row, *columns = _summed(*found.take(ROW))
+            yield from pa.table([pa.array(row), *(pa.array(c.astype(np.int64)) for c in columns[:3]), *map(pa.array, columns[3:])], names=["row", "m", "n_tokens", "known", "base", "total"]).to_batches(DRAWN)
 
     done = []
     for p in range(parts):
-        blocks = missed(p).unionAll(_terms(model, model.pairs[p], words_top, shares)).repartitionById(shares, "share").mapInArrow(matched, BLOCKS)
-        done.append(written(blocks.repartitionById(shares, "share").mapInArrow(summed, "row long, m long, n_tokens long, known long, base double, total double"), f"scores{p}"))
-        dropped(model.pairs[p])
-    dropped(most, model.words)
+        own = (F.col("share") >= p * shares) & (F.col("share") < (p + 1) * shares)
+        blocks = _met(shares, matched, missed(p), *(x.where(own) for x in model.pairs), model.rare.where(own)).repartitionById(shares, "share")
+        done.append(written(blocks.mapInArrow(summed, "row long, m long, n_tokens long, known long, base double, total double"), f"scores{p}"))
+    dropped(model.rare, *model.pairs)
     words_sent.destroy()
     pairs_sent.destroy()
     by = reduce(DataFrame.unionAll, done).groupBy("row").agg(*(F.sum(x).alias(x) for x in ("m", "n_tokens", "known", "base", "total")))

@@ -391,6 +391,27 @@ def test_distributed_scores_are_the_models(spark, monkeypatch):
     assert all(math.isclose(got[i], want[i], rel_tol=1e-4) for i in want)
 
 
+def test_pairs_and_words_stay_in_blocks(spark, monkeypatch):
+    """Nothing of the model is joined, summed or kept by rows; a pair is where the terms of its rare word are."""
+    monkeypatch.setattr(pitman_yor, "WORDS", 4)
+    monkeypatch.setattr(pitman_yor, "FREQUENT", 5)
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice([f"w{i}" for i in range(40)], 15)) for _ in range(30)]
+    seen, real = [], pitman_yor.written
+    monkeypatch.setattr(pitman_yor, "written", lambda df, name: seen.append((name, df.columns, df._jdf.queryExecution().optimizedPlan().toString())) or real(df, name))
+    assert pitman_yor.score(frame(spark, texts), burn_in=0, sweeps=1).count() == len(texts)
+    for name, columns, plan in seen:
+        assert name.startswith("scores") or columns == ["share", "kind", "data"]
+        assert "Join" not in plan and "Aggregate" not in plan
+    key = np.sort(np.random.default_rng(6).integers(1, 1 << 63, 6).astype(np.uint64))
+    t, h = pitman_yor.Top(key[:3], {}), key[[0, 1, 3, 4, 2, 5]]
+    u, to = pitman_yor._homes(t, h, np.array([0, 6]), 1000)
+    share = pitman_yor._share(h, 1000)
+    assert u.tolist() == [int(pitman_yor.END), *h[:-1].tolist()]
+    assert to[2] == share[2] and to[3] == share[2] and to[4] == share[3] and to[5] == share[5]
+    assert t.find(key).tolist() == [0, 1, 2, -1, -1, -1] and t.has(key).tolist() == [True] * 3 + [False] * 3
+
+
 def test_fingerprints(spark):
     texts = [t for t in ODD] + ["alpha beta gamma delta " * 20 + str(i) for i in range(6)]
     got = sorted(fingerprints.fingerprints(frame(spark, texts)).collect(), key=lambda r: r.doc_id)
