@@ -74,7 +74,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, id_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         enc = encoder(tokenizer_path)
-        for batch in B.slices(batches, 1, batch_docs):
+        for batch in B.slices(batches, 1, batch_docs, size=1 << 20):
             flat, begin = with_end(*enc.encode(batch.column(1)), end_id)
             size = np.diff(begin)
             n = -(-size // capacity)

@@ -29,6 +29,8 @@ from orrery.llm.resident import only
 CACHE_PIECES = 600_000
 #: Unknown pieces encoded as one text, and such texts encoded at once: a tokenizer's results take far more room than their ids.
 JOIN, AT_ONCE = 500, 8
+#: Pieces that move at once when others are forgotten.
+SHIFTED = 1 << 16
 _word = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+"
 _marks = r"[!-&(-/:-@\[-`{-~]+"
 #: A word and its marks, or two words with a line end between: both files part words from marks and line ends.
@@ -91,7 +93,7 @@ class Places:
     """An open table from hashes to places; hashes are mixed already and not 0."""
 
     def __init__(self, most: int):
-        self.mask = np.uint64((1 << max(12, (2 * most - 1).bit_length())) - 1)
+        self.mask = np.uint64((1 << max(12, (3 * most // 2).bit_length())) - 1)  # at most two thirds are held
         self.key = np.zeros(int(self.mask) + 1, np.uint64)
         self.place = np.zeros(int(self.mask) + 1, np.int32)
 
@@ -107,6 +109,9 @@ class Places:
             which, slot = which[on], (slot[on] + np.uint64(1)) & self.mask
         return out
 
+    def clear(self) -> None:
+        self.key[:] = 0
+
     def add(self, keys: np.ndarray, first: int) -> None:
         """Distinct hashes that are not held, at places ``first``, ``first`` + 1, ..."""
         which, slot = np.arange(len(keys)), keys & self.mask
@@ -147,14 +152,19 @@ class Encoder:
         self.size, self.begin, self.hits = (np.zeros(room, np.int32) for _ in range(3))
         self.flat = np.zeros(1 << 14, np.uint32)
 
+    def _resize(self, room: int) -> None:
+        """Room for as many pieces; those held stay."""
+        n, self.room = self.n, room
+        fit = lambda x: np.concatenate([x[:n], np.zeros(room - n, x.dtype)])
+        self.places = None  # goes before its successor is made
+        self.keys, self.size, self.begin, self.hits = fit(self.keys), fit(self.size), fit(self.begin), fit(self.hits)
+        self.places = Places(room)
+        self.places.add(self.keys[:n], 0)
+
     def _add(self, keys: np.ndarray, size: np.ndarray, flat: np.ndarray) -> None:
         n, m = self.n, self.n + len(keys)
         if m > self.room:
-            old, self.room = self.room, max(m, 2 * self.room)
-            more = lambda x: np.concatenate([x, np.zeros(self.room - old, x.dtype)])
-            self.keys, self.size, self.begin, self.hits = more(self.keys), more(self.size), more(self.begin), more(self.hits)
-            self.places = Places(self.room)
-            self.places.add(self.keys[:n], 0)
+            self._resize(max(m, 2 * self.room))
         if self.used + len(flat) > len(self.flat):
             grown = np.zeros(max(self.used + len(flat), 2 * len(self.flat)), np.uint32)
             grown[: self.used] = self.flat[: self.used]
@@ -165,13 +175,26 @@ class Encoder:
         self.n, self.used = m, self.used + len(flat)
 
     def _shrink(self) -> None:
-        """Forgets pieces that were met once; if many are left, all but those met most."""
+        """Forgets pieces that were met once; if many are left, all but those met most. Tables are used again, not copied."""
         hits = self.hits[: self.n]
         least = max(2, int(np.partition(hits, -CACHE_PIECES // 2)[-CACHE_PIECES // 2]) + 1)
         keep = np.flatnonzero(hits >= least)
-        keys, size, begin, flat = self.keys[keep], self.size[keep], self.begin[keep], self.flat
-        self._clear(CACHE_PIECES)
-        self._add(keys, size, flat[_ranges(begin.astype(np.int64), size)])
+        used = 0
+        for i in range(0, len(keep), SHIFTED):  # in place, as what is kept only moves down
+            at = keep[i : i + SHIFTED]
+            size, flat = self.size[at], self.flat[_ranges(self.begin[at].astype(np.int64), self.size[at])]
+            self.keys[i : i + len(at)], self.size[i : i + len(at)] = self.keys[at], size
+            self.begin[i : i + len(at)] = used + np.cumsum(size) - size
+            self.flat[used : used + len(flat)] = flat
+            used += len(flat)
+        self.n, self.used = len(keep), used
+        hits[:] = 0
+        if self.room > 2 * CACHE_PIECES or len(self.flat) > 8 * CACHE_PIECES:  # one text was very long
+            self.flat = self.flat[: max(used, 1 << 14)].copy()
+            self._resize(CACHE_PIECES)
+        else:
+            self.places.clear()
+            self.places.add(self.keys[: self.n], 0)
 
     def _separator(self) -> tuple[str, int] | None:
         """A string that parts pieces in one text and its id, if the tokenizer has one."""

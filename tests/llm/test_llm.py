@@ -1,11 +1,16 @@
+import ctypes
 import functools
 import hashlib
 import itertools
 import math
 import re
+import subprocess
+import sys
+import tracemalloc
 import uuid
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -125,6 +130,54 @@ def test_cached_ids_are_the_tokenizers(name):
     assert [ids[a:b].tolist() for a, b in zip(begin, begin[1:])] == want
 
 
+def test_cache_forgets_in_place(monkeypatch):
+    e, rng = tokens.Encoder(public_tokenizers.path("word_bpe_49k.json")), np.random.default_rng(0)
+    n = tokens.CACHE_PIECES + 1
+    keys, size = np.unique(rng.integers(1, 2**63, n, np.uint64)), rng.integers(1, 6, n, np.int32)
+    flat = rng.integers(0, 49_000, int(size.sum()), np.uint32)
+    assert len(keys) == n
+    e._add(keys, size, flat)
+    e.hits[:n] = np.arange(n) % 3 == 0
+    e.hits[:n] *= 5
+    begin = np.cumsum(size) - size
+    tracemalloc.start()
+    e._shrink()
+    held = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert held < 16 << 20  # new tables beside the old were 60 MB
+    assert e.n == len(keys[::3]) and (e.places.find(keys[np.arange(n) % 3 > 0]) == -1).all() and not e.hits.any()
+    at = e.places.find(keys[::3])
+    for i, k in zip(range(0, n, 3000), at[::1000].tolist()):
+        assert e.flat[e.begin[k] : e.begin[k] + e.size[k]].tolist() == flat[begin[i] : begin[i] + size[i]].tolist()
+    monkeypatch.setattr(tokens, "CACHE_PIECES", 40)  # forgets again and again, and lets large tables go
+    for i in range(6):
+        texts = [" ".join(f"w{x}-{x * i}" for x in rng.integers(0, 60, 80)) for _ in range(4)]
+        ids, b = e.encode(texts)
+        assert [ids[x:y].tolist() for x, y in zip(b, b[1:])] == [x.ids for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert e.room < 5000 and len(e.places.key) < 1 << 14
+
+
+@pytest.mark.skipif(not hasattr(ctypes.CDLL(None), "mallopt"), reason="glibc's options")
+def test_freed_arrays_leave_a_worker():
+    """In a process of its own, as a worker is."""
+    code = """
+import numpy as np
+from orrery.llm import resident
+resident.only("x")
+held = lambda: next(int(x.split()[1]) >> 10 for x in open("/proc/self/status") if x.startswith("RssAnon"))
+for n in (1 << 20, 4 << 20, 16 << 20, 30 << 20):
+    x = np.ones(n, np.uint8)
+    del x
+before = held()
+x = [np.ones(20 << 20, np.uint8) for _ in range(4)]
+pins = [np.ones(200_000, np.uint8) for _ in range(10)]
+del x
+print(held() - before)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[2])
+    assert int(out.stdout) < 20  # 80 without the options
+
+
 def test_simple8b_round_trips():
     rng = np.random.default_rng(0)
     for n in (0, 1, 1023, 1024, 1025, 4000):
