@@ -70,6 +70,8 @@ DISCOUNT, STRENGTH = 0.75, 5.0
 #: The hash that stands for the end of a text as a word, and for its begin as a context.
 END = np.uint64(0x5851F42D4C957F2D)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of text worked on at once, so that arrays of its words stay below ``resident.PAGED``.
+SLICE = 1 << 19
 #: Distinct pairs a task holds before it passes counts on, and blocks it draws at once.
 FLUSH, DRAWN = 1 << 20, 1 << 17
 SMALL = 120
@@ -485,7 +487,7 @@ def word_counts(src: DataFrame, shares: int) -> DataFrame:
         only("pitman_yor")
         held: list[tuple[np.ndarray, ...]] = []
         n = fresh = 0
-        for batch in B.slices(batches, 0):
+        for batch in B.slices(batches, 0, size=SLICE):
             h, first = _tokens(batch.column(0))
             train = np.repeat(~batch.column(1).to_numpy(zero_copy_only=False).astype(bool), np.diff(first))
             for own, trained in ((h[train], 1), (h[~train], 0)):
@@ -519,7 +521,7 @@ def pair_blocks(src: DataFrame, part: int, parts: int, shares: int, top=None) ->
         t = top()[0] if top else only("pitman_yor")
         held: list[tuple[np.ndarray, ...]] = []
         n = fresh = 0
-        for batch in B.slices(batches, 0):
+        for batch in B.slices(batches, 0, size=SLICE):
             h, first = _tokens(batch.column(0))
             u, to = _homes(t, h, first, parts * shares)
             train = np.repeat(~batch.column(1).to_numpy(zero_copy_only=False).astype(bool), np.diff(first))
@@ -932,16 +934,19 @@ class Terms:
         at, n = self.t.find(x), len(self.t.key)
         left = np.flatnonzero(at < 0)
         x = x[left]
-        rare = _find(self.key, x)
-        at[left] = n + np.where(rare >= 0, rare, len(self.key) + (_find(self.one, x) < 0))
+        place = _find(self.key, x)
+        other = np.flatnonzero(place < 0)
+        place[other] = len(self.key) + (_find(self.one, x[other]) < 0)
+        at[left] = n + place
         return at
 
     def of(self, name: str, at: np.ndarray) -> np.ndarray:
-        n = len(self.t.key)
-        out = self.rare[name][np.maximum(at - n, 0)]
+        n, top = len(self.t.key), self.t.columns[name]
+        rare = self.rare[name].take(np.maximum(at - n, 0), axis=0)
+        if not n:
+            return rare
         near = at < n
-        out[near] = self.t.columns[name][at[near]]
-        return out
+        return np.where(near[:, None] if rare.ndim > 1 else near, top.take(np.minimum(at, n - 1), axis=0), rare)
 
     def pairs(self, u: np.ndarray, w: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Training counts of the words, and the terms of the pairs."""
@@ -1007,7 +1012,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed:
             held: list[tuple[np.ndarray, ...]] = []
             own: list[tuple[np.ndarray, ...]] = []
             n_held = n_own = 0
-            for batch in B.slices(batches, 0, rows=500):
+            for batch in B.slices(batches, 0, rows=500, size=SLICE):
                 n = batch.num_rows
                 row = batch.column(1).to_numpy()
                 h, first = _tokens(batch.column(0))

@@ -11,8 +11,8 @@ from typing import Any
 import pyarrow as pa
 
 _held: dict[str, Any] = {}
-#: glibc's options, and the bytes from which an array has pages of its own that go when it goes.
-_TRIM_THRESHOLD, _MMAP_THRESHOLD, PAGED = -1, -3, 1 << 20
+#: glibc's options, the bytes from which an array has pages of its own that go when it goes, and those of the heap that stay free for smaller ones.
+_TRIM_THRESHOLD, _MMAP_THRESHOLD, PAGED, SPARE = -1, -3, 1 << 20, 4 << 20
 
 
 def _libc(name: str, *args: int) -> None:
@@ -26,7 +26,9 @@ def _libc(name: str, *args: int) -> None:
 def lean() -> None:
     """Has the process give arrays' memory back: else glibc keeps arrays of up to 32 MB in its heap once some were freed."""
     _libc("mallopt", _MMAP_THRESHOLD, PAGED)
-    _libc("mallopt", _TRIM_THRESHOLD, PAGED)
+    _libc("mallopt", _TRIM_THRESHOLD, SPARE)
+    gc.collect()
+    gc.freeze()  # what modules hold stays, and collecting need not look through it each time
 
 
 def only(name: str, make: Callable[[], Any] = lambda: None) -> Any:

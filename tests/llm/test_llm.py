@@ -178,6 +178,29 @@ print(held() - before)
     assert int(out.stdout) < 20  # 80 without the options
 
 
+@pytest.mark.skipif(not hasattr(ctypes.CDLL(None), "mallopt"), reason="glibc's options")
+def test_words_reuse_a_workers_pages():
+    """Fresh pages for each temporary array took a third of the time of hashing words; nor are modules' objects looked through whenever a cache goes."""
+    code = """
+import gc, resource
+import pyarrow as pa
+from orrery.llm import bytewords as B, pitman_yor, resident
+resident.only("x")
+texts = pa.record_batch([pa.array(["some words of a text " * 100] * 2000)], ["text"])
+faults = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+def run():
+    for b in B.slices(iter([texts]), 0, size=pitman_yor.SLICE):
+        pitman_yor._tokens(b.column(0))
+run()
+before = faults()
+run()
+print(faults() - before, gc.get_freeze_count())
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[2])
+    fresh, frozen = map(int, out.stdout.split())
+    assert fresh < 2000 and frozen  # of 4 MB of text; 27,630 and none before
+
+
 def test_simple8b_round_trips():
     rng = np.random.default_rng(0)
     for n in (0, 1, 1023, 1024, 1025, 4000):
