@@ -28,29 +28,42 @@ FRAME = 1024
 #: Values and width by selector; selector 0 is the escape.
 COUNT = np.array([1, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 WIDTH = np.array([64, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
+#: Bits of small ids.
+_LENGTH = np.array([x.bit_length() for x in range(1 << 16)], np.uint8)
 HEAD = np.dtype([("magic", "S4"), ("frame", "<u4"), ("ids", "<u8"), ("words", "<u8")])
 
 
+def _bits(ids: np.ndarray) -> np.ndarray:
+    """The bits that each id needs."""
+    if len(ids) and ids.max() < len(_LENGTH):
+        return _LENGTH[ids]
+    need = ((ids.astype(np.float64).view(np.int64) >> 52) - 1022).clip(0).astype(np.uint8)
+    for i in np.flatnonzero(ids >> np.uint64(53)).tolist():  # beyond exact doubles
+        need[i] = int(ids[i]).bit_length()
+    return need
+
+
 def _selectors(ids: np.ndarray, frame: int) -> np.ndarray:
     """For each place the selector that holds most ids from there on within its frame."""
     n = len(ids)
-    need = ((ids.astype(np.float64).view(np.int64) >> 52) - 1022).clip(0).astype(np.uint8)  # bits of each id
-    for i in np.flatnonzero(ids >> np.uint64(53)).tolist():  # beyond exact doubles
-        need[i] = int(ids[i]).bit_length()
-    left = frame - np.arange(n) % frame
-    left = np.minimum(left, n - np.arange(n))
-    best = np.full(n, 15, np.uint8)
-    best[need > 60] = 0
-    most, have = need, 1  # greatest need over `have` ids from each place
-    for s in range(14, 0, -1):
+    need = np.full(-(-n // frame) * frame, 255, np.uint8)
+    need[:n] = _bits(ids)
+    # after each frame a value that no selector holds, so that none reaches beyond
+    most = np.full((len(need) // frame, frame + 1), 255, np.uint8)
+    most[:, :frame] = need.reshape(-1, frame)
+    most = most.reshape(-1)
+    best, have = np.full(len(most), 15, np.uint8), 1  # `most` is the greatest need over `have` ids from each place
+    for s in range(14, 0, -1):  # each holds more ids of fewer bits than the one before, so the last that fits is 15 less their number
         c, w = int(COUNT[s]), int(WIDTH[s])
         while have < c:
             step = min(have, c - have)
             wider = most.copy()
-            rest = max(0, n - step)
-            wider[:rest] = np.maximum(most[:rest], most[step:])
+            rest = max(0, len(most) - step)
+            np.maximum(most[:rest], most[step:], out=wider[:rest])
             most, have = wider, have + step
-        best[(most <= w) & (left >= c)] = s
+        best -= most <= w
+    best = best.reshape(-1, frame + 1)[:, :frame].reshape(-1)[:n]
+    best[need[:n] > 60] = 0
     return best
 
 
@@ -61,15 +74,13 @@ def encode(ids: np.ndarray, frame: int = FRAME) -> bytes:
     best = _selectors(ids, frame)
     at = np.arange(0, n, frame)
     ends = np.minimum(at + frame, n)
-    hop = COUNT[best]
-    rows, places = [], []
-    which = np.arange(len(at))
-    while len(which):
-        rows.append(which)
-        places.append(at[which])
-        at[which] += hop[at[which]]
-        which = which[at[which] < ends[which]]
-    starts = np.sort(np.concatenate(places)) if places else np.zeros(0, np.int64)
+    begins = np.zeros(n, bool)
+    while len(at):
+        begins[at] = True
+        at = at + COUNT[best[at]]
+        on = at < ends
+        at, ends = at[on], ends[on]
+    starts = np.flatnonzero(begins)
     sel = best[starts]
     raw = sel == 0
     slot = np.arange(len(starts)) + np.concatenate([[0], np.cumsum(raw)])[:-1].astype(np.int64)

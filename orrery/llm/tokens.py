@@ -15,10 +15,8 @@ in a text are ordinary text, as the files' description has it.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,14 +25,26 @@ from orrery.llm import bytewords as B
 from orrery.llm.resident import only
 
 CACHE_PIECES = 600_000
-#: Unknown pieces encoded as one text, and such texts encoded at once: a tokenizer's results take far more room than their ids.
-JOIN, AT_ONCE = 500, 8
+#: Unknown pieces encoded as one text, and such texts encoded at once: a tokenizer's results take far more room than their ids, and its time a piece grows with the text.
+JOIN, AT_ONCE = 32, 64
 #: Pieces that move at once when others are forgotten.
 SHIFTED = 1 << 16
-_word = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+"
-_marks = r"[!-&(-/:-@\[-`{-~]+"
-#: A word and its marks, or two words with a line end between: both files part words from marks and line ends.
-_parts = re.compile(f"({_word})(?:({_marks})|((?:{_marks})?\n)({_word})({_marks})?)")
+#: Pieces learned at once, and bytes of texts looked up at once: their arrays reuse a worker's pages (see ``resident``).
+LEARNED, LOOKED_UP = 1 << 14, 1 << 18
+#: Pieces of more bytes are encoded as they are, each as a text.
+LONG = 256
+#: Classes of bytes in a piece; digits, ' and other visible ASCII are ``VISIBLE``.
+LETTER, MARK, LINE, VISIBLE, ELSE = 1, 2, 3, 4, 5
+_class = np.full(256, ELSE, np.uint8)
+_class[0x21:0x7F] = VISIBLE
+_class[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = LETTER
+_class[[*range(0x21, 0x27), *range(0x28, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = MARK
+_class[0x0A] = LINE
+#: A word and its marks, or two words with a line end between: both files part words from marks and line ends. Classes of
+#: the runs of such a piece, three bits each.
+_compound = np.zeros(1 << 15, bool)
+for _runs in ((1, 2), (1, 3, 1), (1, 2, 3, 1), (1, 3, 1, 2), (1, 2, 3, 1, 2)):
+    _compound[sum(x << 3 * i for i, x in enumerate(_runs))] = True
 
 #: White space in ASCII, and the ends of white space beyond it by UTF-8 bytes.
 _ascii_space = np.zeros(256, bool)
@@ -53,8 +63,9 @@ def _wide_space(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
 def cuts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Places of single spaces within a text between two characters that are not white space."""
     at = np.flatnonzero(raw == 0x20)
-    text = np.searchsorted(offsets, at, "right") - 1
-    at = at[(at > offsets[text]) & (at + 1 < offsets[text + 1])]
+    edge = np.zeros(len(raw) + 1, bool)
+    edge[offsets] = True
+    at = at[~(edge[at] | edge[at + 1])]
     byte = lambda x: raw[np.clip(x, 0, len(raw) - 1)]
     before, after = raw[at - 1], raw[at + 1]
     ok = ~(_ascii_space[before] | _ascii_space[after])
@@ -124,12 +135,34 @@ class Places:
 
 
 def _plain(piece: str) -> bool:
-    """Whether a piece, less its leading space, is visible characters, and so may be parted from others by white space."""
-    return bool(piece) and " " not in piece and piece.isprintable()
-
-
-#: A piece is a string without its leading space, and whether it has none.
-Piece = tuple[str, bool]
+    """Whether a piece, less its leading space, is letters or visible characters, and so may be parted from others by white space."""
+    return piece.isalpha() or bool(piece) and " " not in piece and piece.isprintable()
+
+
+def _classes(raw: np.ndarray) -> np.ndarray:
+    """The class of each byte of pieces."""
+    out = _class[raw]
+    lead = np.flatnonzero(raw == 0xC3)  # of Latin letters, but for two signs
+    lead = lead[(lead + 1 < len(raw))]
+    after = raw[lead + 1]
+    lead = lead[(after >= 0x80) & (after < 0xC0) & (after != 0x97) & (after != 0xB7)]
+    out[lead] = out[lead + 1] = LETTER
+    return out
+
+
+def _joined(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, before: bytes, sep: bytes) -> list[str]:
+    """Texts of ``JOIN`` pieces each, with ``before`` before every piece and ``sep`` between them."""
+    size = ends - starts
+    each = size + len(before) + len(sep)
+    to = np.cumsum(each) - each
+    out = np.empty(int(each.sum()), np.uint8)
+    out[_ranges(to + len(before), size)] = raw[_ranges(starts, size)]
+    for i, x in enumerate(before):
+        out[to + i] = x
+    for i, x in enumerate(sep):
+        out[to + len(before) + size + i] = x
+    own, cuts = out.tobytes(), [*to[::JOIN].tolist(), len(out)]
+    return [own[a : b - len(sep)].decode() for a, b in zip(cuts, cuts[1:])]
 
 
 class Encoder:
@@ -205,63 +238,86 @@ class Encoder:
                 return sep, own[0]
         return None
 
-    def _hashes(self, pieces: list[Piece]) -> np.ndarray:
-        raw, offsets = B.buffers(pa.array([x for x, _ in pieces], pa.string()))
-        return hashes(raw, offsets[:-1], offsets[1:], np.fromiter((f for _, f in pieces), bool, len(pieces)))
-
-    def _learn(self, pieces: list[Piece]) -> None:
-        """Adds unknown pieces; words and marks of compound ones are encoded apart, and once each."""
+    def _learn(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, keys: np.ndarray) -> None:
+        """Adds pieces, raw[start:end], of distinct hashes; words and marks of compound ones are encoded apart, and once each."""
+        left = np.flatnonzero(self.places.find(keys) < 0)  # some came as parts of others
+        starts, ends, first, keys = starts[left], ends[left], first[left], keys[left]
+        long = np.flatnonzero(ends - starts > LONG)
+        if len(long):
+            self._add_each([raw[a:b].tobytes().decode() for a, b in zip(starts[long].tolist(), ends[long].tolist())], first[long], keys[long])
+            short = np.flatnonzero(ends - starts <= LONG)
+            starts, ends, first, keys = starts[short], ends[short], first[short], keys[short]
+        if not len(keys):
+            return
+        size = ends - starts
+        raw = raw[_ranges(starts, size)]
+        ends = np.cumsum(size)
+        starts = ends - size
+        kind = _classes(raw)
         if not self.parted:
-            return self._encode_new(pieces)
-        plain: list[Piece] = []
-        made: list[Piece] = []
-        parts: list[Piece] = []
-        many: list[int] = []
-        for x in pieces:
-            m = None if x[1] or x[0].isalpha() else _parts.fullmatch(x[0])
-            if m is None:
-                plain.append(x)
-                continue
-            word, marks, between, second, after = m.groups()
-            rest = (marks,) if marks else (between, second, after) if after else (between, second)
-            parts.append((word, False))
-            parts += [(y, True) for y in rest]
-            made.append(x)
-            many.append(1 + len(rest))
-        if made:
-            kinds = list(dict.fromkeys(parts))
-            fresh = [kinds[i] for i in np.flatnonzero(self.places.find(self._hashes(kinds)) < 0).tolist()]
-            plain = list(dict.fromkeys(chain(plain, fresh)))
-        if plain:
-            self._encode_new(plain)
-        if made:
-            at = self.places.find(self._hashes(parts))
-            n = self.size[at].astype(np.int64)
-            self._add(self._hashes(made), np.add.reduceat(n, np.cumsum(many) - many), self.flat[_ranges(self.begin[at].astype(np.int64), n)])
-
-    def _encode_new(self, pieces: list[Piece]) -> None:
+            return self._encode_new(raw, starts, ends, first, keys, kind)
+        new = np.ones(len(raw), bool)
+        new[1:] = kind[1:] != kind[:-1]
+        new[starts] = True
+        run = np.flatnonzero(new)
+        of = kind[run].astype(np.int64)
+        of[(of == LINE) & (np.diff(run, append=len(raw)) > 1)] = ELSE
+        at = np.searchsorted(run, starts)
+        many = np.diff(at, append=len(run))
+        code = np.zeros(len(at), np.int64)
+        for i in range(5):
+            code += np.where(many > i, of[np.minimum(at + i, len(of) - 1)], 0) << 3 * i
+        made = _compound[code] & (many <= 5) & ~first
+        if not made.any():
+            return self._encode_new(raw, starts, ends, first, keys, kind)
+        # a line end goes with the marks before it
+        runs = _ranges(at[made], many[made])
+        head = np.zeros(len(run), bool)
+        head[at[made]] = True
+        runs = runs[(of[runs] != LINE) | (of[runs - 1] != MARK)]
+        begin, lead = run[runs], head[runs]
+        owner = np.cumsum(lead) - 1
+        end = np.append(begin[1:], 0)
+        last = np.append(lead[1:], True)
+        end[last] = ends[made]
+        parts = hashes(raw, begin, end, ~lead)
+        _, one = np.unique(parts, return_index=True)
+        one = one[self.places.find(parts[one]) < 0]
+        rest = np.flatnonzero(~made)
+        both = [np.concatenate(x) for x in ((starts[rest], begin[one]), (ends[rest], end[one]), (first[rest], ~lead[one]), (keys[rest], parts[one]))]
+        _, some = np.unique(both[3], return_index=True)
+        if len(some):
+            self._encode_new(raw, *(x[some] for x in both), kind)
+        at = self.places.find(parts)
+        n = self.size[at].astype(np.int64)
+        self._add(keys[made], np.bincount(owner, n).astype(np.int64), self.flat[_ranges(self.begin[at].astype(np.int64), n)])
+
+    def _encode_new(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, keys: np.ndarray, kind: np.ndarray) -> None:
         """Many pieces are encoded as one text, parted by a token that none of them holds."""
-        spaced: list[Piece] = []
-        first: list[Piece] = []
-        rest: list[Piece] = []
-        for x in pieces:
-            (rest if not (self.parted and (x[0].isalpha() or _plain(x[0]))) else first if x[1] else spaced).append(x)
-        sizes, flats = [], []
-        if spaced or first:
+        apart = np.zeros(len(keys), bool)
+        if self.parted:
+            odd = np.concatenate([[0], np.cumsum((kind == ELSE) | (kind == LINE))])
+            apart = odd[ends] == odd[starts]  # letters and visible ASCII
+            for i in np.flatnonzero(~apart).tolist():
+                apart[i] = _plain(raw[starts[i] : ends[i]].tobytes().decode())
+        rest = np.flatnonzero(~apart)
+        if len(rest):
+            self._add_each([raw[a:b].tobytes().decode() for a, b in zip(starts[rest].tolist(), ends[rest].tolist())], first[rest], keys[rest])
+        for some, before in ((np.flatnonzero(apart & ~first), b" "), (np.flatnonzero(apart & first), b"")):
+            if not len(some):
+                continue
             sep, mark = self.parted
-            groups = [" " + (sep + " ").join(x for x, _ in spaced[i : i + JOIN]) for i in range(0, len(spaced), JOIN)]
-            groups += [sep.join(x for x, _ in first[i : i + JOIN]) for i in range(0, len(first), JOIN)]
-            for ids in self._ids(groups):
-                at = np.flatnonzero(ids == mark)
-                sizes.append(np.diff(np.concatenate([[-1], at, [len(ids)]])) - 1)
-                flats.append(np.delete(ids, at))
-            if sum(map(len, sizes)) != len(spaced) + len(first):
+            got = list(self._ids(_joined(raw, starts[some], ends[some], before, sep.encode())))
+            ids = np.insert(np.concatenate(got), np.cumsum([len(x) for x in got]), mark)
+            at = np.flatnonzero(ids == mark)
+            if len(at) != len(some):
                 raise ValueError("a piece holds the separator")
-        if rest:
-            got = list(self._ids([x if f else " " + x for x, f in rest], 200))
-            sizes.append(np.fromiter(map(len, got), np.int64, len(got)))
-            flats.append(np.concatenate(got))
-        self._add(self._hashes(spaced + first + rest), np.concatenate(sizes), np.concatenate(flats))
+            self._add(keys[some], np.diff(at, prepend=-1) - 1, np.delete(ids, at))
+
+    def _add_each(self, pieces: list[str], first: np.ndarray, keys: np.ndarray) -> None:
+        """Pieces that are a text each."""
+        got = list(self._ids([x if f else " " + x for x, f in zip(pieces, first.tolist())], 200))
+        self._add(keys, np.fromiter(map(len, got), np.int64, len(got)), np.concatenate(got))
 
     def _ids(self, texts: list[str], at_once: int = AT_ONCE) -> Iterator[np.ndarray]:
         for i in range(0, len(texts), at_once):
@@ -271,14 +327,28 @@ class Encoder:
     def encode(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and where each text's begin (n + 1 values)."""
         raw, offsets = B.buffers(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+        found, sizes, at = [np.empty(0, np.uint32)], [np.zeros(1, np.int64)], 0
+        while at < len(offsets) - 1:
+            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + LOOKED_UP, "right")) - 1)
+            ids, size = self._encoded(raw[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
+            found.append(ids)
+            sizes.append(size)
+            at = to
+        return np.concatenate(found), np.cumsum(np.concatenate(sizes))
+
+    def _encoded(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some texts, and how many each has."""
         some = np.flatnonzero(np.diff(offsets))
-        at = cuts(raw, offsets) if len(raw) else np.empty(0, np.int64)
+        if not len(some):
+            return np.empty(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
+        at = cuts(raw, offsets)
         counts = np.zeros(len(offsets) - 1, np.int64)
         counts[some] = 1 + np.searchsorted(at, offsets[some + 1]) - np.searchsorted(at, offsets[some])
-        starts = np.sort(np.concatenate([offsets[some], at + 1]), kind="stable")
-        ends = np.sort(np.concatenate([offsets[some + 1], at]), kind="stable")
+        begins = (np.cumsum(counts) - counts)[some]
+        starts = np.insert(at + 1, np.searchsorted(at, offsets[some]), offsets[some])
+        ends = np.insert(at, np.searchsorted(at, offsets[some + 1]), offsets[some + 1])
         first = np.zeros(len(starts), bool)
-        first[(np.cumsum(counts) - counts)[some]] = True
+        first[begins] = True
         if self.n > CACHE_PIECES:
             self._shrink()
         keys = hashes(raw, starts, ends, first)
@@ -287,14 +357,15 @@ class Encoder:
         if len(missed):
             _, one, same = np.unique(keys[missed], return_index=True, return_inverse=True)
             new = missed[one]
-            whole = raw.tobytes()
-            self._learn([(whole[a:b].decode(), f) for a, b, f in zip(starts[new].tolist(), ends[new].tolist(), first[new].tolist())])
+            for i in range(0, len(new), LEARNED):
+                k = new[i : i + LEARNED]
+                self._learn(raw, starts[k], ends[k], first[k], keys[k])
             at[missed] = self.places.find(keys[new])[same]
-        self.hits[: self.n] += np.bincount(at, minlength=self.n).astype(np.int32)
+        np.add.at(self.hits, at, np.int32(1))
         n = self.size[at].astype(np.int64)
         ids = self.flat[_ranges(self.begin[at].astype(np.int64), n)]
         piece_ends = np.concatenate([[0], np.cumsum(n)])
-        return ids, piece_ends[np.concatenate([[0], np.cumsum(counts)])]
+        return ids, np.diff(piece_ends[np.concatenate([[0], np.cumsum(counts)])])
 
 
 def encoder(path: str) -> Encoder:

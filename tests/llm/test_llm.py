@@ -201,6 +201,47 @@ print(faults() - before, gc.get_freeze_count())
     assert fresh < 2000 and frozen  # of 4 MB of text; 27,630 and none before
 
 
+@pytest.mark.skipif(not hasattr(ctypes.CDLL(None), "mallopt"), reason="glibc's options")
+def test_tokens_reuse_a_workers_pages():
+    """Looking up known pieces and packing their ids has hardly any fresh pages but those of the ids themselves."""
+    code = """
+import resource
+import public_tokenizers
+import pyarrow as pa
+from orrery.llm import resident, simple8b, tokens
+e = resident.only("x", lambda: tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json")))
+texts = pa.array(["some words of a text, " * 100] * 800)
+faults = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+run = lambda: simple8b.encode(e.encode(texts)[0])
+run()
+before = faults()
+run()
+print(faults() - before)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[2])
+    assert int(out.stdout) < 10_000  # 54,709 before
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_pieces_of_words_marks_and_lines_are_the_tokenizers(name):
+    rng = np.random.default_rng(7)
+    kinds = (["a", "Zeit", "\u00e9t\u00e9", "x" * 300], [".", ",-", "(~"], ["\n", "\n\n"], ["7", "'", "\u00d7", "\u00f7", "\u4e2d", "\x01", "\t"])
+    texts = [" ".join("".join(str(rng.choice(kinds[k])) for k in rng.choice(4, int(rng.integers(1, 7)), p=[0.4, 0.3, 0.2, 0.1])) for _ in range(60)) for _ in range(60)]
+    e = tokens.Encoder(public_tokenizers.path(name))
+    ids, at = e.encode(texts)
+    assert [ids[x:y].tolist() for x, y in zip(at, at[1:])] == [x.ids for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_selectors_are_the_greatest_that_fit():
+    rng = np.random.default_rng(8)
+    for n, frame, bits in ((1, 5, 3), (7, 3, 2), (400, 150, 1), (500, 64, 62), (300, 1024, 20)):
+        ids = (rng.integers(0, 1 << 63, n, np.uint64) >> rng.integers(63 - bits, 64, n).astype(np.uint64)) * (rng.random(n) < 0.3)
+        for i, s in enumerate(simple8b._selectors(ids.astype(np.uint64), frame).tolist()):
+            left, need = min(frame - i % frame, n - i), [int(x).bit_length() for x in ids[i : i + 120]]
+            fits = [k for k in range(1, 16) if simple8b.COUNT[k] <= left and max(need[: simple8b.COUNT[k]]) <= simple8b.WIDTH[k]]
+            assert s == min(fits, default=0)
+
+
 def test_simple8b_round_trips():
     rng = np.random.default_rng(0)
     for n in (0, 1, 1023, 1024, 1025, 4000):
