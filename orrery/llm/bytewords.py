@@ -133,15 +133,13 @@ def words(texts: pa.Array, sep: np.ndarray, fold: np.ndarray = FOLD) -> tuple[np
         part = raw[at:to]
         n, own = len(part), part.tobytes()
         inside = np.frombuffer(own.translate(outside), bool)
-        edge = np.empty(n + 1, bool)
-        edge[0], edge[n] = inside[0], inside[-1]
-        np.not_equal(inside[1:], inside[:-1], out=edge[1:n])
-        edges = np.flatnonzero(edge)
-        s, e = edges[::2], edges[1::2]
         cuts = offsets[np.searchsorted(offsets, at, "right") : np.searchsorted(offsets, to, "left")] - at
-        cuts = np.unique(cuts[inside[cuts] & inside[cuts - 1]])  # between two words
-        if len(cuts):
-            s, e = (np.insert(x, np.searchsorted(x, cuts), cuts) for x in (s, e))
+        begin, end = np.empty(n + 1, bool), np.empty(n + 1, bool)
+        begin[0], begin[n], end[0], end[n] = inside[0], False, False, inside[-1]
+        np.greater(inside[1:], inside[:-1], out=begin[1:n])
+        np.less(inside[1:], inside[:-1], out=end[1:n])
+        begin[cuts], end[cuts] = inside[cuts], inside[cuts - 1]
+        s, e = np.flatnonzero(begin), np.flatnonzero(end)
         up, down = _tables(n + 1)
         total = np.zeros(n + 1, np.uint64)
         np.cumsum(_weighed(np.frombuffer(own.translate(folded), np.uint8), up), out=total[1:])

@@ -44,7 +44,7 @@ import math
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -91,6 +91,12 @@ def log_seatings(n: int, discount: float) -> np.ndarray:
     return out
 
 
+@cache
+def _choose(n: int) -> np.ndarray:
+    """[k - 1, t - 1]: ways to choose k of t."""
+    return np.array([[float(math.comb(t, k)) for t in range(1, n + 1)] for k in range(1, n + 1)])
+
+
 _weights: dict[float, np.ndarray] = {}
 
 
@@ -144,9 +150,7 @@ class Seats:
         """
         n = self.GRID
         k = np.arange(1, n + 1)
-        choose = np.zeros((n, n))  # [k - 1, t - 1]
-        for t in range(1, n + 1):
-            choose[:t, t - 1] = [math.comb(t, j) for j in range(1, t + 1)]
+        choose = _choose(n)
         reciprocal = -np.sin(np.pi * self.d * k) / np.pi * np.exp([math.lgamma(self.d * j + 1) for j in k.tolist()])  # 1 / Gamma(-d k)
         x = c[:, None] - self.d * k[None, :]
         log_gamma = (x - 0.5) * np.log(x) - x + 1 / (12 * x) - 1 / (360 * x**3)
@@ -316,7 +320,8 @@ def _contexts(h: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def _share(key: np.ndarray, shares: int) -> np.ndarray:
-    return ((key >> np.uint64(8)) % np.uint64(shares)).astype(np.int32)
+    key, n = key >> np.uint64(8), np.uint64(shares)
+    return (key - key // n * n).astype(np.int32)  # numpy divides by a number faster than it takes the remainder
 
 
 def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -380,9 +385,10 @@ def _block(share: int, kind: int, *columns: np.ndarray) -> pa.RecordBatch:
 
 def _dealt(to: np.ndarray, kind: int, *columns: np.ndarray) -> pa.RecordBatch:
     """Rows as blocks for the shares ``to``."""
-    order = np.argsort(to, kind="stable")
-    some, at = np.unique(to[order], return_index=True)
-    cuts = list(zip(at.tolist(), [*at[1:].tolist(), len(to)]))
+    order = np.argsort(to.astype(np.uint16) if len(to) and to.max() < 1 << 16 else to, kind="stable")  # of 16 bits by radix
+    to = to[order]
+    at = np.flatnonzero(np.diff(to, prepend=-1))
+    some, cuts = to[at], list(zip(at.tolist(), [*at[1:].tolist(), len(to)]))
     columns = [c[order] for c in columns]
     return _batch(some, kind, [b"".join(c[x:y].tobytes() for c in columns) for x, y in cuts])
 
